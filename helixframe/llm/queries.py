@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, simhash
+from . import decontam, packing, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,5 +26,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontamination": op2_decontamination, "op4_simhash": op4_simhash}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.repeats(table(spark, sf_dir, "documents"), window=50))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_decontamination": op2_decontamination, "op4_simhash": op4_simhash, "op9_substring_dedup": op9_substring_dedup}
 ORACLE_SQL: dict[str, str] = {}
