@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, simhash, substring
+from . import chat, decontam, langid, lm_scoring, packing, quality, simhash, substring, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,5 +30,44 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.repeats(table(spark, sf_dir, "documents"), window=50))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontamination": op2_decontamination, "op4_simhash": op4_simhash, "op9_substring_dedup": op9_substring_dedup}
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good and not toxic."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm_scoring.score(table(spark, sf_dir, "documents"), good)
+
+
+def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.rotated(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    return found.select("conv_id", "speaker", "segment", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("mask"))
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"), least=1000))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.cross_fitted(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_simhash": op4_simhash,
+    "op5_chat_rotation": op5_chat_rotation,
+    "op6_top_k": op6_top_k,
+    "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_language_id": op10_language_id,
+}
 ORACLE_SQL: dict[str, str] = {}
