@@ -140,13 +140,18 @@ def held_out(folds: int = 3, fold: int = 1) -> Column:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row of ``docs`` (doc_id, text, held_out)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
 
-    def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        found = [sent.value.predict(x) for x in column(batch, "text").cast(pa.binary()).to_pylist()]
-        yield {"doc_id": column(batch, "doc_id"), "held_out": column(batch, "held_out"), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[2] for x in found]}
+    def make():
+        known = Model(**sent.value)
 
-    return map_batches(docs, lambda: step, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+        def step(batch: pa.RecordBatch) -> Iterator[dict]:
+            found = [known.predict(x) for x in column(batch, "text").cast(pa.binary()).to_pylist()]
+            yield {"doc_id": column(batch, "doc_id"), "held_out": column(batch, "held_out"), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[2] for x in found]}
+
+        return step
+
+    return map_batches(docs, make, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def cross_fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:

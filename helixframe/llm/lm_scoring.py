@@ -105,10 +105,13 @@ def tables(docs: DataFrame) -> DataFrame:
 class Model:
     """Negative log probabilities under one model."""
 
-    def __init__(self, words: np.ndarray, before: np.ndarray, pairs: np.ndarray, scale: float, alpha: float, mu: float):
-        total = words.sum() * scale
-        self.words = ((words * scale + alpha) / (total + alpha * WORD_BUCKETS)).astype(np.float64)
-        self.before, self.pairs, self.mu = (before * scale).astype(np.float32), (pairs * scale).astype(np.float32), mu
+    def __init__(self, words: np.ndarray, before: np.ndarray, pairs: np.ndarray, mu: float):
+        self.words, self.before, self.pairs, self.mu = words, before, pairs, mu
+
+    @classmethod
+    def of(cls, counts: list[np.ndarray], scale: float, alpha: float, mu: float) -> Model:
+        words, before, pairs = (x * scale for x in counts)
+        return cls((words + alpha) / (words.sum() + alpha * WORD_BUCKETS), before.astype(np.float32), pairs.astype(np.float32), mu)
 
     def losses(self, words: np.ndarray) -> np.ndarray:
         top = self.pairs[bigrams(words)].astype(np.float64) + self.mu * self.words[words]
@@ -125,23 +128,23 @@ def fit(docs: DataFrame, alpha: float = 0.1, mu: float = 50.0) -> tuple[Model, M
             own = found[found["kind"] == kind]
             table[own["bucket"].to_numpy()] = own[name].to_numpy()
     share = counts["target"][0].sum() / max(counts["background"][0].sum(), 1)
-    return Model(*counts["target"], 1.0, alpha, mu), Model(*counts["background"], share, alpha, mu)
+    return Model.of(counts["target"], 1.0, alpha, mu), Model.of(counts["background"], share, alpha, mu)
 
 
 def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.1, mu: float = 50.0) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) for every row; ``target_ids`` (doc_id) name the target documents."""
     rows = columns_as(docs, doc_id=id_col, text=text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(fit(flagged(rows, target_ids), alpha, mu))
+    sent = docs.sparkSession.sparkContext.broadcast([vars(x) for x in fit(flagged(rows, target_ids), alpha, mu)])
 
     def make():
-        buckets = WordBuckets()
+        buckets, models = WordBuckets(), [Model(**x) for x in sent.value]
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             n, losses = [], ([], [])
             for text in as_bytes(column(batch, "text")):
                 words = buckets.of(text)
                 n.append(len(words))
-                for model, out in zip(sent.value, losses):
+                for model, out in zip(models, losses):
                     out.append(float(model.losses(words).mean()) if len(words) else None)
             yield {"doc_id": column(batch, "doc_id"), "n_words": n, "target_loss": losses[0], "background_loss": losses[1], "score": [None if t is None else t - b for t, b in zip(*losses)]}
 

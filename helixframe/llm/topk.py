@@ -58,12 +58,16 @@ def candidates(rows: DataFrame, k: int) -> DataFrame:
 class Block:
     """The query vectors of one pass, by their length."""
 
-    def __init__(self, rows: list):
-        self.ids = np.array([r["vec_id"] for r in rows], np.int64)
+    def __init__(self, ids: np.ndarray, by_length: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.ids, self.by_length = ids, by_length
+
+    @classmethod
+    def of(cls, rows: list) -> Block:
         by = defaultdict(list)
         for q, r in enumerate(rows):
             by[len(r["v"])].append(q)
-        self.by_length = {n: (np.array(qs), np.array([rows[q]["v"] for q in qs], np.int64).reshape(len(qs), n)) for n, qs in by.items()}
+        vectors = {n: (np.array(qs), np.array([rows[q]["v"] for q in qs], np.int64).reshape(len(qs), n)) for n, qs in by.items()}
+        return cls(np.array([r["vec_id"] for r in rows], np.int64), vectors)
 
     def tiles(self, batch: pa.RecordBatch, lists: int) -> Iterator[tuple]:
         """(queries, list, rids, partial scores, own): scores by query and row; own marks rows of the query's id."""
@@ -99,23 +103,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, lists: int = 2, scal
     for row in queries.toLocalIterator():
         held.append(row)
         if len(held) == QUERY_BLOCK:
-            part = _search(rows, Block(held), k, lists)
+            part = _search(rows, Block.of(held), k, lists)
             out, held = part if out is None else out.unionByName(part), []
-    part = _search(rows, Block(held), k, lists)
+    part = _search(rows, Block.of(held), k, lists)
     return part if out is None else out.unionByName(part)
 
 
 def _search(rows: DataFrame, block: Block, k: int, lists: int) -> DataFrame:
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(block)
+    sent = spark.sparkContext.broadcast(vars(block))
     n = len(block.ids)
 
     # Phase 1: (q, list, rid, part) of each task's k highest; rid is null for a list's minimum
     def local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict = defaultdict(lambda: np.full(n, np.iinfo(np.int64).max))
         best: dict = defaultdict(lambda: [np.zeros((n, 0), np.int64)] * 2)
+        known = Block(**sent.value)
         for batch in batches:
-            for queries, j, rid, part, own in sent.value.tiles(batch, lists):
+            for queries, j, rid, part, own in known.tiles(batch, lists):
                 least[j][queries] = np.minimum(least[j][queries], part.min(axis=1))
                 part = np.where(own, np.iinfo(np.int64).min, part)
                 top = min(k, part.shape[1])
@@ -142,9 +147,9 @@ def _search(rows: DataFrame, block: Block, k: int, lists: int) -> DataFrame:
 
     # Phase 2: shifted partial scores of at least cutoff / lists
     def sufficient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor, safe = limits.value
+        known, (floor, safe) = Block(**sent.value), limits.value
         for batch in batches:
-            for queries, j, rid, part, own in sent.value.tiles(batch, lists):
+            for queries, j, rid, part, own in known.tiles(batch, lists):
                 shifted = part - floor[j][queries][:, None]
                 q, c = np.nonzero((lists * shifted >= safe[queries][:, None]) & ~own)
                 if len(q):
@@ -164,7 +169,7 @@ def _search(rows: DataFrame, block: Block, k: int, lists: int) -> DataFrame:
 
     def resolve(batch: pa.RecordBatch) -> Iterator[dict]:
         q, vectors = column(batch, "q").to_numpy(), column(batch, "v").to_pylist()
-        own = {int(x): v for queries, m in sent.value.by_length.values() for x, v in zip(queries, m)}
+        own = {int(x): v for queries, m in sent.value["by_length"].values() for x, v in zip(queries, m)}
         yield {"q": q, "vec_id": column(batch, "vec_id"), "score": [int(np.dot(own[int(x)], np.array(v, np.int64))) for x, v in zip(q, vectors)]}
 
     scored = whole.unionByName(map_batches(open_, lambda: resolve, "q int, vec_id long, score long"))
