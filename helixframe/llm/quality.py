@@ -1,10 +1,12 @@
 """Quality classification by hierarchical empirical Bayes.
 
-Evidence of a document: for each hashed feature (words, trailing signs, shares of the commonest word
-and of capitals), its documents among the rejected and the accepted labels give a log likelihood
-ratio. It counts if it speaks for rejection, at a ratio of at least ``least_ratio`` and ``least_z``
-standard errors; a document's evidence is the sum over its distinct features. Having no evidence is
-itself a feature. All labelled documents are counted.
+Evidence of a document: for each hashed feature (words, trailing signs, shares of the commonest word,
+of capitals and of words said twice), its documents among the rejected and the accepted labels give a
+log likelihood ratio. It counts if it speaks for rejection, at a ratio of at least ``least_ratio``,
+with a signed root of the likelihood-ratio statistic of at least ``least_z``, and if at least
+``least_share`` of the rejected have it: words that only a group of copies shares say nothing of
+others. A document's evidence is the sum over its distinct features. Having no evidence is itself a
+feature. All labelled documents are counted.
 
 Sites: a document's host and path (of its source; the language is the path's last part) have rates
 of rejection, summed over the probabilities that evidence alone gives all their documents, labelled
@@ -54,8 +56,9 @@ def features(text: bytes) -> np.ndarray:
     counts = Counter(words)
     names = {b"w " + w.lower() for w in counts}
     names |= {b"s " + m[0] for w in counts if (m := SIGNS.search(w))}
-    if len(words) >= 20:
+    if len(words) >= 10:
         names.add(b"r %d" % (10 * max(counts.values()) // len(words)))
+        names.add(b"d %d" % (10 * sum(map(bytes.__eq__, words, words[1:])) // len(words)))
         big, small = (len(text) - len(text.translate(None, x)) for x in (CAPITALS, SMALL))
         names.add(b"u %d" % (10 * big // max(big + small, 1)))
     return np.unique(np.fromiter((zlib.crc32(x) % BUCKETS for x in names), np.int64, len(names)))
@@ -69,7 +72,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(marks) if small else marks, F.col("doc_id") == F.col("label_id")).drop("label_id")
 
 
-def weights(rows: DataFrame, least_ratio: float, least_z: float) -> np.ndarray:
+def weights(rows: DataFrame, least_ratio: float, least_z: float, least_share: float) -> np.ndarray:
     """By feature: the log likelihood ratio of rejection if it counts, else 0. ``rows``: (text, bad)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +89,11 @@ def weights(rows: DataFrame, least_ratio: float, least_z: float) -> np.ndarray:
     found = np.zeros(BUCKETS, np.float32)
     if total and total["good"] and total["bad"]:
         ratio = F.log((F.col("bad") + 0.5) / (total["bad"] + 1.0)) - F.log((F.col("good") + 0.5) / (total["good"] + 1.0))
-        error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-        kept = counted.where("feature >= 0").select("feature", ratio.alias("w"), (ratio / error).alias("z")).where((F.col("w") >= math.log(least_ratio)) & (F.col("z") >= least_z)).toPandas()
+        n, share = F.col("bad") + F.col("good"), total["bad"] / (total["bad"] + total["good"])
+        term = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
+        root = F.sqrt(F.greatest(2 * (term("bad", share) + term("good", 1 - share)), F.lit(0.0)))
+        common = counted.where((F.col("feature") >= 0) & (F.col("bad") >= least_share * total["bad"]))
+        kept = common.select("feature", ratio.alias("w"), root.alias("z")).where((F.col("w") >= math.log(least_ratio)) & (F.col("z") >= least_z)).toPandas()
         found[kept["feature"].to_numpy(np.int64)] = kept["w"].to_numpy()
     return found
 
@@ -120,12 +126,12 @@ def logit(x):
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, least_ratio: float = 3.0, least_z: float = 3.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, least_ratio: float = 10.0, least_z: float = 4.5, least_share: float = 0.02, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """(doc_id, evidence, host_rate, path_rate, p_reject, rejected) for every row."""
     rows = columns_as(docs, doc_id=id_col, text=text_col, source=source_col, lang=lang_col)
     source = F.coalesce("source", F.lit(""))
     rows = rows.select("doc_id", "text", F.regexp_extract(source, r"^(?:[A-Za-z]+://)?([^/?#]*)", 1).alias("host"), F.concat_ws("/", F.regexp_replace(source, r"/[^/]*$", ""), F.coalesce("lang", F.lit(""))).alias("path"))
-    found = weights(labelled(rows.select("doc_id", "text"), labels), least_ratio, least_z)
+    found = weights(labelled(rows.select("doc_id", "text"), labels), least_ratio, least_z, least_share)
     scored = saved(evidence(rows, found, ["doc_id", "host", "path"]), "evidence")
 
     seen = labelled(scored.select("doc_id", "evidence"), labels)
