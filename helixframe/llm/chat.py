@@ -6,8 +6,8 @@ the participants; ``system`` turns are rendered as such for everyone and never l
 
 A row is one segment of a rendering: turns from segment * turns_per_segment on. However long a
 conversation is, only a segment is gathered in one place, and mask spans count within its text.
-Turns meet the conversation's set of participants by a join that adaptive execution may split, so a
-hot conversation spreads over tasks.
+Segments are gathered first and then meet the conversation's set of participants, in a join that
+adaptive execution may split, so a hot conversation spreads over tasks both times.
 
 Defined cases: a null text is empty; a null or blank role is the participant ``unknown``; turns with
 a null number come in segment -1, by role and text; equal turn numbers are ordered by role, then
@@ -32,18 +32,22 @@ def rotated(turns: DataFrame, turns_per_segment: int = 64, conv_col: str = "conv
     rows = columns_as(turns, conv=conv_col, turn=turn_col, role=role_col, said=text_col)
     plain = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     rows = rows.select(
-        F.coalesce(F.struct("conv"), F.struct("conv")).alias("key"),
+        F.struct("conv").alias("key"),  # a struct of null joins, null does not
         F.coalesce(F.floor(F.col("turn") / turns_per_segment), F.lit(-1)).alias("segment"),
         "turn",
         plain(F.coalesce(F.when(F.trim("role") != "", F.col("role")), F.lit("unknown"))).alias("role"),
         plain(F.coalesce("said", F.lit(""))).alias("said"),
     )
     speakers = rows.where(F.col("role") != SYSTEM).groupBy("key").agg(F.collect_set("role").alias("speakers"))
-    seen = rows.join(speakers, "key").withColumn("speaker", F.explode("speakers"))
-    own = F.col("role") == F.col("speaker")
-    head = F.when(F.col("role") == SYSTEM, F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), "role", F.lit("|>\n")))
-    piece = F.struct("turn", "role", "said", own.alias("own"), F.length(head).alias("head"), F.concat(head, "said", F.lit(END)).alias("piece"))
-    held = seen.groupBy("key", "speaker", "segment").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    turns_of = rows.groupBy("key", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "said"))).alias("turns"))
+    seen = turns_of.join(speakers, "key").withColumn("speaker", F.explode("speakers"))
+
+    def piece(x):
+        own = x["role"] == F.col("speaker")
+        head = F.when(x["role"] == SYSTEM, F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), x["role"], F.lit("|>\n")))
+        return F.struct(own.alias("own"), F.length(head).alias("head"), F.concat(head, x["said"], F.lit(END)).alias("piece"))
+
+    held = seen.select("key", "speaker", "segment", F.transform("turns", piece).alias("pieces"))
 
     def walk(acc, x):
         stop = acc["at"] + F.length(x["piece"])

@@ -27,7 +27,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.digest(substring.repeats(table(spark, sf_dir, "documents"), window=50))
+    return substring.digest(table(spark, sf_dir, "documents"), window=50)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +70,26 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_chat_rotation": """
+        with rows as (
+            select conv_id, turn, coalesce(turn // 64, -1) as segment,
+                replace(case when trim(role) <> '' then role else 'unknown' end, '<|', '< |') as role,
+                replace(coalesce(text, ''), '<|', '< |') as said
+            from conversations),
+        speakers as (select distinct conv_id, role as speaker from rows where role <> 'system'),
+        pieces as (
+            select r.conv_id, s.speaker, r.segment, r.turn, r.role, r.said, r.role = s.speaker as own,
+                case when r.role = 'system' then '<|system|>' || chr(10) when r.role = s.speaker then '<|assistant|>' || chr(10)
+                    else '<|user name=' || r.role || '|>' || chr(10) end as head
+            from rows r join speakers s on r.conv_id is not distinct from s.conv_id),
+        placed as (
+            select *, head || said || '<|end|>' || chr(10) as piece,
+                row_number() over (partition by conv_id, speaker, segment order by turn nulls first, role, said) as n,
+                sum(length(head) + length(said) + 8) over (partition by conv_id, speaker, segment order by turn nulls first, role, said rows unbounded preceding) as stop
+            from pieces)
+        select conv_id, speaker, cast(segment as bigint) as segment, count(*) as n_turns, string_agg(piece, '' order by n) as text,
+            coalesce(string_agg(cast(stop - length(said) - 8 as bigint) || '-' || cast(stop as bigint), ',' order by n) filter (where own), '') as mask
+        from placed group by conv_id, speaker, segment
+    """,
+}
