@@ -1,21 +1,25 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints: XXH64 (seed 42) of every word shingle, repeats included; a bit is set where more than
-half of the hashes have it. Equal fingerprints are collapsed first, so exact copies cost one row.
-
-Links: a fingerprint has two halves of 32 bits, the segments. Two fingerprints at 4 or fewer bits
-have a segment at 2 or fewer. Each fingerprint is entered in the table under every key of the ball
-of radius 1 around each segment (33 keys a segment); two balls share a key exactly when the
-segments differ by 2 bits or fewer. All entries of a key are fetched and their complete distances
-verified. Other numbers of bits choose the radius likewise: half of each segment's share, rounded up.
+Fingerprints: a 64-bit hash of every word shingle, repeats included; a bit is set where more than
+half of the hashes have it. The first lane of 64 bits is over XXH64 (seed 42), further lanes are
+over mixtures of it, for wider fingerprints. Equal fingerprints are collapsed first, so exact copies
+cost one row.
+
+Links: the bits are divided into segments. Two fingerprints at ``distance`` or fewer bits have a
+segment at distance // segments or fewer. Each fingerprint is entered in the table under every key of
+a small ball around each segment; two balls share a key exactly when the segments differ by no more
+than the two radii together. All entries of a key are fetched and their complete distances verified,
+so no link is lost. Two segments of 32 bits and balls of radius 1 (33 keys) do for 4 bits of 64;
+eight segments of 16 bits and balls of radius 1 (17 keys) for 23 bits of 128.
 
 No bucket emits its pairs: it emits a spanning forest of its verified links, at most one edge less
-than it has entries, found by a search that visits each entry once. So links are kept, and a large
-group of near copies gives as many edges as it has entries. Components come from ``components``.
+than it has entries. So links are kept, and a large group of near copies gives as many edges as it
+has entries. Components come from ``components``.
 
 Defined cases: a text that is null, empty or blank has fingerprint zero, which links like any other;
 null ids carry a fingerprint and a component but never name one, if their component has another id;
-repeated rows repeat; an empty table gives no rows; other columns are ignored.
+repeated rows repeat; an empty table gives no rows; other columns are ignored by ``near_duplicates``
+and kept by ``survivors``.
 """
 
 from __future__ import annotations
@@ -37,15 +41,27 @@ SEED = 42
 RUN = 1 << 16
 #: Table rows that one task of the search is planned for, 16 bytes each.
 TASK_ROWS = 1_500_000
+#: Buckets of more entries are searched one by one.
+SPARSE = 256
+#: A table of ids is broadcast up to this many rows.
+BROADCAST_ROWS = 1_000_000
+
+
+def mixed(x: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes of a further lane."""
+    x = (x + np.uint64(lane)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """64-bit SimHash of the lower-cased (A-Z) words between ASCII white space, as shingles of ``width`` words."""
+def fingerprint(text: bytes, width: int = 4, lanes: int = 1) -> list[int]:
+    """The lanes of the SimHash of the lower-cased (A-Z) words between ASCII white space, as shingles of ``width`` words."""
     import xxhash
 
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return [0] * lanes
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -53,25 +69,43 @@ def fingerprint(text: bytes, width: int = 4) -> int:
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, total, n = xxhash.xxh64_digest, np.zeros(64, np.int64), len(starts)
+    digest, total, n = xxhash.xxh64_digest, np.zeros((lanes, 64), np.int64), len(starts)
     for i in range(0, n, RUN):
         spans = zip(starts[i : i + RUN].tolist(), ends[i : i + RUN].tolist())
-        hashes = np.frombuffer(b"".join([digest(flat[a:b], SEED) for a, b in spans]), np.uint8).reshape(-1, 8)
-        total += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+        hashes = np.frombuffer(b"".join([digest(flat[a:b], SEED) for a, b in spans]), ">u8")
+        for lane in range(lanes):
+            own = mixed(hashes.astype(np.uint64), lane).astype(">u8") if lane else hashes
+            total[lane] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * x > n).tobytes(), "big") for x in total]
+
+
+def lane_names(lanes: int) -> list[str]:
+    return ["fp", *(f"fp{i}" for i in range(1, lanes))]
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, fp1, ...): the lanes of the fingerprint as signed longs."""
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
-            fps = np.array([fingerprint(x, width) for x in as_bytes(column(batch, "text"))], np.uint64)
-            yield {"doc_id": column(batch, "doc_id"), "fp": fps.view(np.int64)}
+            fps = np.array([fingerprint(x, width, lanes) for x in as_bytes(column(batch, "text"))], np.uint64).reshape(-1, lanes)
+            yield {"doc_id": column(batch, "doc_id")} | {name: fps[:, i].copy().view(np.int64) for i, name in enumerate(lane_names(lanes))}
 
         return step
 
-    return map_batches(columns_as(docs, doc_id=id_col, text=text_col), make, "doc_id long, fp long")
+    return map_batches(columns_as(docs, doc_id=id_col, text=text_col), make, "doc_id long, " + ", ".join(f"{x} long" for x in lane_names(lanes)))
+
+
+def lanes_of(batch: pa.RecordBatch, lanes: int) -> np.ndarray:
+    return np.stack([column(batch, x).to_numpy().view(np.uint64) for x in lane_names(lanes)], axis=1)
+
+
+def node_of(fps: np.ndarray) -> np.ndarray:
+    """A long for each fingerprint: itself for one lane, else a 64-bit hash of the lanes."""
+    out = fps[:, 0]
+    for i in range(1, fps.shape[1]):
+        out = mixed(out, 0) ^ fps[:, i]
+    return out.copy().view(np.int64)
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -79,81 +113,140 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
 
 
-def table_entries(fps: DataFrame, distance: int, segments: int = 2) -> DataFrame:
-    """(key, fp): every fingerprint under every key of the balls around its segments."""
-    bits = 64 // segments
+def table_entries(fps: DataFrame, distance: int, segments: int = 2, lanes: int = 1) -> DataFrame:
+    """(key, fp, ...): every fingerprint under every key of the balls around its segments."""
+    each = segments // lanes
+    bits = 64 // each
     radius = math.ceil((distance // segments) / 2)
 
     def make():
         masks = ball(bits, radius)
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
-            fps = column(batch, "fp").to_numpy().view(np.uint64)
+            fps = lanes_of(batch, lanes)
             for s in range(segments):
-                part = (fps >> np.uint64(s * bits)) & np.uint64((1 << bits) - 1)
+                part = (fps[:, s // each] >> np.uint64(s % each * bits)) & np.uint64((1 << bits) - 1)
                 keys = (part[:, None] ^ masks) | np.uint64(s << bits)
-                yield {"key": keys.ravel().view(np.int64), "fp": np.repeat(fps, len(masks)).view(np.int64)}
+                yield {"key": keys.ravel().view(np.int64)} | {name: np.repeat(fps[:, i], len(masks)).view(np.int64) for i, name in enumerate(lane_names(lanes))}
 
         return step
 
-    return map_batches(fps, make, "key long, fp long")
+    return map_batches(fps, make, "key long, " + ", ".join(f"{x} long" for x in lane_names(lanes)))
+
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
-def spanning_edges(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, bucket by bucket, of the links among the entries of equal keys."""
-    order = np.lexsort((fps, keys))
-    keys, fps = keys[order], fps[order].view(np.uint64)
+
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """The pairs that a spanning forest needs."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[y]
+        return x
+
+    kept = []
+    for i, (a, b) in enumerate(pairs.tolist()):
+        if (ra := find(a)) != (rb := find(b)):
+            parent[ra] = rb
+            kept.append(i)
+    return pairs[kept]
+
+
+def spanning_edges(keys: np.ndarray, fps: np.ndarray, distance: int) -> np.ndarray:
+    """(n, 2) nodes: a spanning forest, bucket by bucket, of the links among the entries of equal keys."""
+    order = np.lexsort((*fps.T[::-1], keys))
+    keys, fps = keys[order], fps[order]
+    node = node_of(fps)
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.concatenate([start, [len(keys)]]))
-    us, vs = [], []
-    for a in start[size == 2][None]:
-        near = np.bitwise_count(fps[a] ^ fps[a + 1]) <= distance
-        us.append(fps[a][near])
-        vs.append(fps[a + 1][near])
-    for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-        left, queue = fps[a + 1 : a + n], [fps[a]]
-        while queue or len(left):
+    close = np.concatenate([apart(fps[:-1], fps[1:]) <= distance, [False]])
+    dense = (size > SPARSE) | (size > 16) & (2 * np.add.reduceat(close, start) > size) if len(start) else np.zeros(0, bool)
+    out = []
+
+    # Small buckets: every entry with the one that stands d behind it, for all buckets at once
+    end, sparse = np.repeat(start + size, size), ~np.repeat(dense, size)
+    live, d, found = np.flatnonzero(sparse), 1, []
+    while len(live := live[live + d < end[live]]):
+        near = live[apart(fps[live], fps[live + d]) <= distance]
+        found.append(np.stack([near, near + d], axis=1))
+        d += 1
+    if found:
+        at = np.concatenate(found)
+        of = np.repeat(np.arange(len(start)), size)
+        lone = (2 == size)[of[at[:, 0]]]
+        out += [node[at[lone]], node[forest(at[~lone])]]
+
+    # Large ones, or such as hold many close entries: a search that takes each entry once
+    for a, n in zip(start[dense].tolist(), size[dense].tolist()):
+        left, queue = np.arange(a + 1, a + n), [a]
+        while len(left):
             if not queue:
-                queue, left = [left[0]], left[1:]
+                queue, left = [int(left[0])], left[1:]
+                continue
             here = queue.pop()
-            near = np.bitwise_count(left ^ here) <= distance
+            near = apart(fps[left], fps[here]) <= distance
             if near.any():
-                found, left = left[near], left[~near]
-                us.append(np.full(len(found), here))
-                vs.append(found)
-                queue.extend(found)
-    empty = np.zeros(0, np.uint64)
-    return np.concatenate([empty, *us]).view(np.int64), np.concatenate([empty, *vs]).view(np.int64)
+                out.append(np.stack([np.full(near.sum(), node[here]), node[left[near]]], axis=1))
+                queue += left[near].tolist()
+                left = left[~near]
+    return np.concatenate([np.zeros((0, 2), np.int64), *out])
 
 
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """(u, v): links among distinct fingerprints, enough to join every component; ``fps`` (fp) is distinct and saved."""
-    entries = table_entries(fps, distance)
-    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * 66 // TASK_ROWS))
+def links(fps: DataFrame, distance: int = 4, segments: int = 2, lanes: int = 1) -> DataFrame:
+    """(u, v): links among distinct fingerprints, enough to join every component; ``fps`` (fp, ...) is distinct and saved."""
+    entries = table_entries(fps, distance, segments, lanes)
+    bits = 64 * lanes // segments
+    rows = fps.count() * segments * len(ball(bits, math.ceil((distance // segments) / 2)))
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
 
     def search(batches):
-        held = [(column(b, "key").to_numpy(), column(b, "fp").to_numpy()) for b in batches]
+        held = [(column(b, "key").to_numpy(), lanes_of(b, lanes)) for b in batches]
         if held:
-            u, v = spanning_edges(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]), distance)
-            for i in range(0, len(u), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000]), pa.array(v[i : i + 100_000])], names=["u", "v"])
+            edges = spanning_edges(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]), distance)
+            for i in range(0, len(edges), 100_000):
+                part = edges[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["u", "v"])
 
     return entries.repartition(tasks, "key").mapInArrow(search, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest id that links reach."""
-    rows = saved(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), distance))
-    nodes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, segments: int = 2, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, ..., component_id) for every row; component_id is the smallest id that links reach."""
+    names = lane_names(lanes)
+    rows = saved(fingerprints(docs, width, lanes, id_col, text_col), "fingerprints")
+
+    def numbered(batch: pa.RecordBatch) -> Iterator[dict]:
+        yield {c: column(batch, c) for c in (*names, "least")} | {"node": node_of(lanes_of(batch, lanes))}
+
+    distinct = rows.groupBy(*names).agg(F.min("doc_id").alias("least"))
+    distinct = distinct.withColumn("node", F.col("fp")) if lanes == 1 else map_batches(distinct, lambda: numbered, ", ".join(f"{x} long" for x in (*names, "least", "node")))
+    distinct = saved(distinct, "distinct")
+    roots = components(links(distinct.select(*names), distance, segments, lanes))
+    nodes = distinct.join(roots, "node", "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
     smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(smallest, "root").select(*names, "component_id")
+    return rows.join(named, names).select("doc_id", *names, "component_id")
+
+
+def survivors(docs: DataFrame, distance: int = 23, width: int = 5, segments: int = 8, lanes: int = 2) -> DataFrame:
+    """One row of ``docs`` (doc_id, text, ...) for each component, that of the smallest id; rows with null ids stay.
+
+    The defaults stand for a similarity of 0.8 of sets of five words: two texts that share that much
+    differ in 19 bits of 128, give or take 4, two that share half of it in 45.
+    """
+    found = saved(near_duplicates(docs, distance, width, segments, lanes).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "components")
+    left = docs.join(_small(found.where("doc_id > component_id").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    again = saved(found.where("doc_id = component_id and n > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return left
+    once = left.join(_small(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return left.join(_small(again), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
-def survivors(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) that are the smallest of their component; rows with null ids stay."""
-    found = near_duplicates(docs, distance, width)
-    gone = found.where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def _small(ids: DataFrame) -> DataFrame:
+    """Marked for broadcast where it has no more than BROADCAST_ROWS rows; joined by a shuffle else."""
+    ids = saved(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 import xxhash
 
 from helixframe.llm import simhash
@@ -48,27 +50,43 @@ def test_odd_rows(spark):
     got = [(r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(docs).collect()]
     assert sorted(got, key=str) == sorted(((d, x, c) for (d, x), c in zip(rows, brute_components(rows))), key=str)
     assert simhash.near_duplicates(empty(docs)).count() == 0
-    assert {r["doc_id"] for r in simhash.survivors(docs).collect()} == {None, 1, 4, 5, 10, 11}
 
 
-def test_links_at_every_distance(spark):
-    rng = random.Random(5)
-    fps = []
-    for _ in range(40):  # chains of steps of up to six bits, some of which link and some not
-        x = rng.getrandbits(64)
+def groups(ids):
+    return sorted(sorted(i for i in range(len(ids)) if ids[i] == k) for k in set(ids))
+
+
+@pytest.mark.parametrize(("distance", "segments", "lanes", "sparse"), [(4, 2, 1, 256), (4, 2, 1, 2), (8, 3, 1, 256), (23, 8, 2, 256), (23, 8, 2, 3)])
+def test_links_at_every_distance(spark, monkeypatch, distance, segments, lanes, sparse):
+    monkeypatch.setattr(simhash, "SPARSE", sparse)
+    rng, bits, fps = random.Random(5), 64 * lanes, set()
+    for _ in range(30):  # chains of steps, some of which link and some not
+        x = rng.getrandbits(bits)
         for _ in range(12):
-            fps.append(x)
-            for b in rng.sample(range(64), rng.randint(1, 6)):
+            fps.add(x)
+            for b in rng.sample(range(bits), rng.randint(1, distance + 2)):
                 x ^= 1 << b
-    fps = sorted(set(fps))
-    rows = list(enumerate(fps))
-    signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-    table = spark.createDataFrame([(x,) for x in signed], "fp long")
-    found = {r["node"]: r["root"] for r in components(simhash.links(table)).collect()}
-    roots = [found.get(x, x) for x in signed]
-    want = brute_components(rows)
-    groups = lambda ids: sorted(sorted(i for i in range(len(ids)) if ids[i] == k) for k in set(ids))
-    assert groups(roots) == groups(want)
+    fps = sorted(fps)
+    split = np.array([[x >> 64 * i & 2**64 - 1 for i in range(lanes)] for x in fps], np.uint64)
+    names = simhash.lane_names(lanes)
+    table = spark.createDataFrame([tuple(map(int, r)) for r in split.view(np.int64)], ", ".join(f"{n} long" for n in names))
+    found = {r["node"]: r["root"] for r in components(simhash.links(table, distance, segments, lanes)).collect()}
+    nodes = simhash.node_of(split).tolist()
+    assert groups([found.get(x, x) for x in nodes]) == groups(brute_components(list(enumerate(fps)), distance))
+
+
+def test_survivors_of_near_copies(spark):
+    rng = random.Random(9)
+    base = [[f"w{rng.randint(0, 500)}" for _ in range(400)] for _ in range(12)]
+    texts = []
+    for words in base:
+        copy = list(words)
+        for i in rng.sample(range(400), 3):  # about 0.93 of the shingles stay
+            copy[i] = "new"
+        texts += [" ".join(words), " ".join(words), " ".join(copy)]
+    docs = odd_documents(spark, texts)
+    kept = sorted(r["doc_id"] for r in simhash.survivors(docs).collect() if r["doc_id"] is not None)
+    assert kept == [1, 4, 5, *range(10, 46, 3)] and simhash.survivors(docs).columns == docs.columns
 
 
 def test_components_of_chains_and_hubs(spark):
