@@ -11,12 +11,12 @@ also starts in a document with a smaller id. Four steps, each linear in the inpu
 3. Automata. Documents are dealt into blocks by a hash of their id. For each block the recurring
    phrases that its documents select are compiled into an Aho-Corasick automaton, its shard, and all
    texts of the block stream through it. That gives every occurrence of every phrase, and so every
-   window that may recur; a block sends one row for each distinct window, with its smallest id.
-   Joined over the blocks, the rows confirm the recurring windows: window, smallest id.
+   window that may recur: those whose own selected phrase occurs. A block sends one row for each
+   such distinct window, with its smallest id. Over the blocks, the rows confirm the recurring ones.
 4. Removal. Confirmed windows go back to the blocks that hold them, and the blocks' documents are
    streamed once more to mark the words.
 
-Words are compared by 128-bit hashes of their bytes, windows by 128 bits made of them.
+Words are compared by 128-bit hashes of their bytes, windows by 96 bits made of them.
 No group is gathered: rows of a phrase or window are combined to one for each block before they are
 shuffled. A shard is as large as its block, which BLOCK_BYTES bounds at any size of the input.
 
@@ -29,21 +29,30 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import as_bytes, column, columns_as, map_batches, numbers, saved
 
-#: Bytes of text in one block.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text in one block, and of those handled at once.
+BLOCK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Words kept in the hash cache of a task.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 17
+#: Size of the table of flags that spares most lookups of windows.
+FILTER_BITS = 22
+WINDOWS = "h1 long, h2 int, block int, least long, most long"
+PHRASE_TYPES = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
 #: Odd 64-bit multipliers of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Of a window's two hashes 64 and 32 bits are sent.
+SHIFTS = (np.uint64(0), np.uint64(32))
 
 
 class WordHashes(dict):
@@ -83,237 +92,222 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def text_bytes(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+class Words:
+    """The words of several texts in a row, and which text each belongs to."""
+
+    def __init__(self, texts: list[bytes]):
+        split = [t.split() for t in texts]
+        self.counts = np.fromiter(map(len, split), np.int64, len(split))
+        self.begin = np.cumsum(self.counts) - self.counts
+        self.words = list(chain.from_iterable(split))
+        self.flat = b" " + b" ".join(self.words) + b" "
+        self.after = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)  # where the blank behind each word stands
+        self.text_of = np.repeat(np.arange(len(split)), self.counts)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def of_text(self, i: int) -> list[bytes]:
+        return self.words[self.begin[i] : self.begin[i] + self.counts[i]]
+
+    def whole(self, window: int) -> np.ndarray:
+        """For each start of ``window`` words, whether all are of one text."""
+        last = max(len(self) - window + 1, 0)
+        return self.text_of[:last] == self.text_of[window - 1 :] if last else np.zeros(0, bool)
+
+    def occurrences(self, automaton) -> np.ndarray:
+        """By word, whether a phrase of the automaton starts there. Phrases are told from their end, so all have one length."""
+        ends = np.fromiter((e for e, _ in automaton.iter(self.flat.decode("latin-1"))), np.int64)
+        return np.searchsorted(self.after, ends)
+
+
+def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[range, list[bytes]]]:
+    """The texts of a column in turns of about CHUNK_BYTES, with their rows."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy())
+    first = 0
+    while first < len(ends):
+        done = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, done + CHUNK_BYTES)), first) + 1
+        yield range(first, min(last, len(ends))), as_bytes(column.slice(first, last - first))
+        first = last
+
+
 def selected(grams: np.ndarray, span: int) -> np.ndarray:
-    """Positions of the smallest (leftmost) of every ``span`` neighbours."""
+    """For every ``span`` neighbours, the position of the smallest (leftmost)."""
     if len(grams) < span:
         return np.zeros(0, np.int64)
     at, k = np.arange(len(grams)), 1
-    while k < span:  # positions of minima over 1, 2, 4, ... neighbours, then over the span
+    while k < span:  # minima over 1, 2, 4, ... neighbours, then over the span
         step = min(k, span - k)
         left, right = at[:-step], at[step:]
         at = np.where(grams[left] <= grams[right], left, right)
         k += step
-    return np.unique(at)
-
-
-def block_count(rows: DataFrame) -> int:
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
+    return at
 
 
-def repeats(docs: DataFrame, window: int = 50, phrase: int = 6, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
-    """(doc_id, text, spans) for every row: ``spans`` are the merged half-open word ranges to remove, pairs of little-endian int64.
-
-    Words stand between ASCII white space and are compared as they are. ``carry`` names one more column to hand on.
-    """
+def _found(docs: DataFrame, window: int, phrase: int, id_col: str, text_col: str, carry: str | None, finish, schema) -> DataFrame:
+    """Steps 1 to 4; ``finish`` takes a table (doc_id, text, rest) and the spans of its rows, and gives columns of ``schema``."""
     rows = columns_as(docs, doc_id=id_col, text=text_col, **({"rest": carry} if carry else {}))
-    blocks = block_count(rows)
+    blocks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(rows) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
 
     # 1 and 2: one row for each phrase that a document selects, and one for the document's words as a whole
     chosen = saved(_select(rows.select("doc_id", "text", block.alias("block")), window, phrase), "phrases")
     whole = chosen.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("first"))
-    copies = chosen.where("words is not null").join(whole, "words").where("doc_id > first").select("block", F.lit(0).alias("kind"), "doc_id", "words")
+    copies = chosen.where("words is not null").join(whole, "words").where("doc_id > first").select("block", "doc_id", "words")
     recurring = chosen.where("words is null").groupBy("gram").agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a < b").select("gram")
-    shards = chosen.where("words is null").join(recurring, "gram", "left_semi").select("block", F.lit(1).alias("kind"), "phrase")
+    shards = chosen.where("words is null").join(recurring, "gram", "left_semi").select("block", "phrase")
 
     # 3: automata by block; a window has a row for each block at most
-    dealt = rows.withColumns({"block": block, "kind": F.lit(3)})
+    dealt = rows.withColumn("block", block)
     markers = saved(copies.unionByName(shards, allowMissingColumns=True), "markers")
-    seen = _locate(_by_block(markers.unionByName(dealt.drop("rest"), allowMissingColumns=True), blocks), window)
     same = W.partitionBy("h1", "h2")
-    confirmed = seen.withColumns({"first": F.min("least").over(same), "last": F.max("most").over(same)}).where("first < last").select("block", F.lit(2).alias("kind"), "h1", "h2", "first")
+    seen = _together(dealt, markers, lambda key, docs, marks: _locate(key[0].as_py(), docs, marks, window), WINDOWS)
+    confirmed = seen.withColumns({"first": F.min("least").over(same), "last": F.max(F.coalesce("most", "least")).over(same)}).where("first < last").select("block", "h1", "h2", "first")
 
     # 4: removal by block
-    marks = markers.where("kind = 0").drop("phrase").unionByName(confirmed, allowMissingColumns=True)
-    return _mark(_by_block(marks.unionByName(dealt, allowMissingColumns=True), blocks), window)
+    marks = markers.where("words is not null").drop("phrase").unionByName(confirmed, allowMissingColumns=True)
+    return _together(dealt, marks, lambda docs, marks: finish(docs, _spans(docs, marks, window)), schema)
 
 
-def _by_block(df: DataFrame, blocks: int) -> DataFrame:
-    """Each block's rows together, in the order of their kind."""
-    return df.repartition(blocks, "block").sortWithinPartitions("block", "kind")
+def _together(dealt: DataFrame, marks: DataFrame, run, schema) -> DataFrame:
+    """``run`` over each block's documents and marks. The documents' exchange is the same in both steps, so Spark reuses it."""
+    return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(run, schema)
+
+
+def words_hash(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def _select(rows: DataFrame, window: int, phrase: int) -> DataFrame:
-    """Phrases: (gram, phrase, block, least, most), combined within a batch; documents: (words, block, doc_id)."""
+    """Phrases: (gram, phrase, block, least, most), combined within a chunk; documents: (words, block, doc_id)."""
 
     def make():
         hashes, roll = WordHashes(), Rolling(BASES[0])
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
-            ids, at, n = numbers(column(batch, "doc_id")), column(batch, "block").to_pylist(), len(batch)
-            found: dict[tuple[int, int], list] = {}
-            wholes, words_of, block_of = [], [], []
-            for i, text in enumerate(as_bytes(column(batch, "text"))):
-                words = text.split()
-                if len(words) < window:
-                    continue
-                doc = int(ids[i])
-                wholes.append(doc)
-                words_of.append(words_hash(words))
-                block_of.append(at[i])
-                grams = roll(hashes.of(words)[:, 0], phrase)
-                for p, g in zip((own := selected(grams, window - phrase + 1)).tolist(), grams[own].view(np.int64).tolist()):
-                    held = found.get((g, at[i]))
-                    if held is None:
-                        found[g, at[i]] = [b" ".join(words[p : p + phrase]), doc, doc]
-                    elif doc < held[1]:
-                        held[1] = doc
-                    elif doc > held[2]:
-                        held[2] = doc
-            k, m = len(found), len(wholes)
-            yield {
-                "gram": [g for g, _ in found] + [None] * m,
-                "block": [b for _, b in found] + block_of,
-                "phrase": [x[0] for x in found.values()] + [None] * m,
-                "least": [x[1] for x in found.values()] + [None] * m,
-                "most": [x[2] for x in found.values()] + [None] * m,
-                "words": [None] * k + words_of,
-                "doc_id": [None] * k + wholes,
-            }
+            all_ids, all_blocks = numbers(column(batch, "doc_id")), column(batch, "block").to_numpy()
+            for at, texts in chunks(column(batch, "text")):
+                ids, blocks = all_ids[at.start : at.stop], all_blocks[at.start : at.stop]
+                text = Words(texts)
+                whole = np.flatnonzero(text.counts >= window)
+                out = {"gram": [], "block": [], "phrase": [], "least": [], "most": []}
+                if len(whole):
+                    grams = roll(hashes.of(text.words)[:, 0], phrase)
+                    own = np.unique(selected(grams, window - phrase + 1)[text.whole(window)])
+                    gram, of = grams[own].view(np.int64), text.text_of[own]
+                    order = np.lexsort((blocks[of], gram))
+                    gram, block, doc, own = gram[order], blocks[of][order], ids[of][order], own[order]
+                    start = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])]))
+                    begin, end = (text.after - np.fromiter(map(len, text.words), np.int64, len(text)))[own[start]], text.after[own[start] + phrase - 1]
+                    out = {
+                        "gram": gram[start],
+                        "block": block[start],
+                        "phrase": [text.flat[a:b] for a, b in zip(begin.tolist(), end.tolist())],
+                        "least": np.minimum.reduceat(doc, start),
+                        "most": np.maximum.reduceat(doc, start),
+                    }
+                k, m = len(out["gram"]), len(whole)
+                yield {c: pa.concat_arrays([pa.array(v, t), pa.nulls(m, t)]) for (c, v), t in zip(out.items(), PHRASE_TYPES) if c != "block"} | {
+                    "block": np.concatenate([np.array(out["block"], np.int32), blocks[whole]]),
+                    "words": [None] * k + [words_hash(text.of_text(i)) for i in whole.tolist()],
+                    "doc_id": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(ids[whole])]),
+                }
 
         return step
 
     return map_batches(rows.where("doc_id is not null"), make, "gram long, block int, phrase binary, least long, most long, words binary, doc_id long")
 
 
-def words_hash(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-
-
-def _copies(batch: pa.RecordBatch) -> set[tuple[int, bytes]]:
-    return set(zip(column(batch, "doc_id").to_pylist(), column(batch, "words").to_pylist()))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """The batches cut where block or kind changes."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        block, kind = numbers(column(batch, "block")), column(batch, "kind").to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])]))
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(batch)]):
-            yield int(block[a]), int(kind[a]), batch.slice(a, b - a)
-
-
-def _candidates(words: list[bytes], automaton, phrase_words: int, window: int) -> np.ndarray:
-    """Starts of the windows that hold a phrase of the automaton."""
-    n = len(words) - window + 1
-    if automaton is None or n <= 0:
-        return np.zeros(0, np.int64)
-    flat = b" " + b" ".join(words) + b" "
-    ends = [e for e, _ in automaton.iter(flat.decode("latin-1"))]
-    if not ends:
-        return np.zeros(0, np.int64)
-    after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # where the blank behind each word stands
-    last = np.searchsorted(after, np.array(ends, np.int64))
-    delta = np.zeros(len(words) + 1, np.int64)
-    np.add.at(delta, np.maximum(last + 1 - window, 0), 1)
-    np.add.at(delta, np.minimum(last + 1 - phrase_words, n - 1) + 1, -1)
-    return np.flatnonzero(np.cumsum(delta)[:n] > 0)
-
-
-def _locate(df: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, block, least, most): each block's distinct windows that hold a recurring phrase."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        hashes, rolls = WordHashes(), [Rolling(b) for b in BASES]
-        now, state = None, None
-
-        def finished():
-            if state and state["h"]:
-                h = np.concatenate(state["h"])
-                ids = np.concatenate(state["ids"])
-                order = np.lexsort((h[:, 1], h[:, 0]))
-                h, ids = h[order], ids[order]
-                start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]).any(axis=1)]))
-                least, most = np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start)
-                for i in range(0, len(start), 200_000):
-                    at = start[i : i + 200_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[at, 0].view(np.int64)), pa.array(h[at, 1].view(np.int64)), pa.array(np.full(len(at), now, np.int32)), pa.array(least[i : i + 200_000]), pa.array(most[i : i + 200_000])],
-                        names=["h1", "h2", "block", "least", "most"],
-                    )
-
-        for block, kind, batch in _blocks(batches):
-            if block != now:
-                yield from finished()
-                now, state = block, {"copies": set(), "copied": set(), "automaton": ahocorasick.Automaton(), "size": 0, "made": False, "h": [], "ids": []}
-            if kind == 0:
-                state["copies"] |= (own := _copies(batch))
-                state["copied"].update(d for d, _ in own)
-            elif kind == 1:
-                for x in column(batch, "phrase").to_pylist():
-                    state["size"] = x.count(b" ") + 1
-                    state["automaton"].add_word(f" {x.decode('latin-1')} ", True)
-            elif len(state["automaton"]):
-                if not state["made"]:
-                    state["automaton"].make_automaton()
-                    state["made"] = True
-                for doc, text in zip(column(batch, "doc_id").to_pylist(), as_bytes(column(batch, "text"))):
-                    words = text.split()
-                    if doc is None or doc in state["copied"] and (doc, words_hash(words)) in state["copies"] or not len(at := _candidates(words, state["automaton"], state["size"], window)):
-                        continue
-                    own = hashes.of(words)
-                    state["h"].append(np.stack([roll(own[:, i], window)[at] for i, roll in enumerate(rolls)], axis=1))
-                    state["ids"].append(np.full(len(at), doc, np.int64))
-        yield from finished()
-
-    return df.mapInArrow(run, "h1 long, h2 long, block int, least long, most long")
-
-
-def _mark(df: DataFrame, window: int) -> DataFrame:
-    names = ["doc_id", "text", *(["rest"] if "rest" in df.columns else [])]
-    schema = df.select(*names).schema.add("spans", "binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rolls = WordHashes(), [Rolling(b) for b in BASES]
-        now, copies, held, table = None, set(), [], None
-        for block, kind, batch in _blocks(batches):
-            if block != now:
-                now, copies, held, table = block, set(), [], None
-            if kind == 0:
-                copies |= _copies(batch)
-            elif kind == 2:
-                held.append(np.stack([column(batch, c).to_numpy() for c in ("h1", "h2", "first")], axis=1))
-            else:
-                if table is None:
-                    table = np.concatenate([np.zeros((0, 3), np.int64), *held])
-                    table, held = table[np.lexsort((table[:, 1], table[:, 0]))], []
-                ids = column(batch, "doc_id").to_pylist()
-                spans = [_spans(doc, text.split(), copies, table, hashes, rolls, window) for doc, text in zip(ids, as_bytes(column(batch, "text")))]
-                yield pa.RecordBatch.from_arrays([*(column(batch, x) for x in names), pa.array(spans, pa.binary())], names=[*names, "spans"])
-
-    return df.mapInArrow(run, schema)
-
-
-def _spans(doc, words: list[bytes], copies: set, table: np.ndarray, hashes: WordHashes, rolls: list, window: int) -> bytes:
-    if doc is None or len(words) < window:
-        return b""
-    if copies and (doc, words_hash(words)) in copies:
-        return np.array([0, len(words)], "<i8").tobytes()
-    if not len(table):
-        return b""
-    own = hashes.of(words)
-    h1, h2 = (roll(own[:, i], window).view(np.int64) for i, roll in enumerate(rolls))
-    at = np.searchsorted(table[:, 0], h1)
-    hit = np.zeros(len(h1), bool)
-    live = np.flatnonzero((at < len(table)) & (table[np.minimum(at, len(table) - 1), 0] == h1))
-    while len(live):  # entries with equal first halves stand together
-        row = table[at[live]]
-        hit[live] |= (row[:, 1] == h2[live]) & (row[:, 2] < doc)
-        at[live] += 1
-        live = live[at[live] < len(table)]
-        live = live[table[at[live], 0] == h1[live]]
-    begin = np.flatnonzero(hit)
-    if not len(begin):
-        return b""
-    delta = np.zeros(len(words) + 1, np.int64)
-    delta[begin] += 1
-    delta[begin + window] -= 1  # starts are distinct, so are their ends
-    return np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(delta) > 0).view(np.int8)]))).astype("<i8").tobytes()
+def _copies(marks: pa.Table) -> set[tuple[int, bytes]]:
+    words = marks["words"]
+    known = marks.filter(words.is_valid())
+    return set(zip(known["doc_id"].to_pylist(), known["words"].to_pylist()))
+
+
+def _is_copy(copies: set, ids: np.ndarray, text: Words) -> np.ndarray:
+    known = {d for d, _ in copies}
+    return np.array([d in known and (d, words_hash(text.of_text(i))) in copies for i, d in enumerate(ids.tolist())], bool)
+
+
+def _locate(block: int, docs: pa.Table, marks: pa.Table, window: int) -> pa.Table:
+    """(h1, h2, block, least, most): the block's distinct windows whose own phrase recurs; most is null if it is least."""
+    import ahocorasick
+
+    automaton, size = ahocorasick.Automaton(), 0
+    for x in marks["phrase"].drop_null().to_pylist():
+        size = x.count(b" ") + 1
+        automaton.add_word(f" {x.decode('latin-1')} ", True)
+    held, owners = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)]
+    if len(automaton) and len(docs):
+        automaton.make_automaton()
+        copies, hashes, rolls = _copies(marks), WordHashes(), [Rolling(b) for b in BASES]
+        docs = docs.filter(docs["doc_id"].is_valid())
+        all_ids = docs["doc_id"].to_numpy()
+        for at, texts in chunks(docs["text"]):
+            text, ids = Words(texts), all_ids[at.start : at.stop]
+            whole = text.whole(window)
+            if not whole.any() or not len(last := text.occurrences(automaton)):
+                continue
+            occurs = np.zeros(len(text), bool)
+            occurs[last - size + 1] = True
+            own = hashes.of(text.words)
+            phrase = selected(rolls[0](own[:, 0], size), window - size + 1)
+            starts = np.flatnonzero(whole & occurs[phrase] & ~_is_copy(copies, ids, text)[text.text_of[: len(whole)]])
+            held.append(np.stack([roll(own[:, i], window)[starts] >> shift for i, (roll, shift) in enumerate(zip(rolls, SHIFTS))], axis=1))
+            owners.append(ids[text.text_of[starts]])
+    h, ids = np.concatenate(held), np.concatenate(owners)
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    h, ids = h[order], ids[order]
+    start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]).any(axis=1)])) if len(h) else np.zeros(0, np.int64)
+    least, most = (f.reduceat(ids, start) if len(h) else ids for f in (np.minimum, np.maximum))
+    return pa.table({"h1": h[start, 0].copy().view(np.int64), "h2": h[start, 1].astype(np.uint32).view(np.int32), "block": np.full(len(start), block, np.int32), "least": least, "most": pa.array(most, mask=most == least)})
+
+
+def _spans(docs: pa.Table, marks: pa.Table, window: int) -> list[bytes]:
+    """For each row, the merged half-open word ranges to remove: pairs of little-endian int64."""
+    known = marks.filter(marks["h1"].is_valid())
+    table = np.stack([known[c].to_numpy() for c in ("h1", "h2", "first")], axis=1)
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    here = np.zeros(1 << FILTER_BITS, bool)
+    here[table[:, 0] & (len(here) - 1)] = True
+    copies, hashes, rolls = _copies(marks), WordHashes(), [Rolling(b) for b in BASES]
+    all_ids, out = docs["doc_id"].to_pylist(), []
+    for at, texts in chunks(docs["text"]):
+        text = Words(texts)
+        ids = np.array([np.iinfo(np.int64).min if x is None else x for x in all_ids[at.start : at.stop]], np.int64)
+        spans = [b""] * len(ids)
+        whole = text.whole(window)
+        if len(table) and whole.any():
+            own = hashes.of(text.words)
+            h1 = rolls[0](own[:, 0], window).view(np.int64)
+            live = np.flatnonzero(whole & here[h1 & (len(here) - 1)])
+            h2 = (rolls[1](own[:, 1], window) >> SHIFTS[1]).astype(np.uint32).view(np.int32)
+            row, hit = np.searchsorted(table[:, 0], h1[live]), np.zeros(len(text), bool)
+            while len(live):  # entries with equal first halves stand together
+                inside = row < len(table)
+                live, row = live[inside], row[inside]
+                same = table[row, 0] == h1[live]
+                live, row = live[same], row[same]
+                hit[live] |= (table[row, 1] == h2[live]) & (table[row, 2] < ids[text.text_of[live]])
+                row = row + 1
+            begin = np.flatnonzero(hit)
+            delta = np.zeros(len(text) + 1, np.int64)
+            delta[begin] += 1
+            delta[begin + window] -= 1  # starts are distinct, so are their ends
+            gone = np.cumsum(delta)[:-1] > 0
+            for i in np.unique(text.text_of[begin]).tolist():
+                part = gone[text.begin[i] : text.begin[i] + text.counts[i]]
+                spans[i] = np.flatnonzero(np.diff(np.concatenate([[0], part.view(np.int8), [0]]))).astype("<i8").tobytes()
+        if copies:
+            for i in np.flatnonzero(_is_copy(copies, ids, text)).tolist():
+                spans[i] = np.array([0, text.counts[i]], "<i8").tobytes()
+        out += spans
+    return out
 
 
 def kept_words(text: bytes, spans: bytes) -> list[bytes]:
@@ -324,24 +318,29 @@ def kept_words(text: bytes, spans: bytes) -> list[bytes]:
     return kept + words[at:]
 
 
-def digest(found: DataFrame) -> DataFrame:
-    """The report of ``repeats``: counts, and the SHA-256 of the kept words joined by one space."""
+def repeats(docs: DataFrame, window: int = 50, phrase: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, spans array<struct<start, stop>>) for every row: the merged half-open word ranges to remove.
 
-    def make():
-        def step(batch: pa.RecordBatch) -> Iterator[dict]:
-            texts, spans = as_bytes(column(batch, "text")), column(batch, "spans").to_pylist()
-            kept = [kept_words(t, s) for t, s in zip(texts, spans)]
-            removed = [int(p[1::2].sum() - p[::2].sum()) for p in (np.frombuffer(s, "<i8") for s in spans)]
-            yield {
-                "doc_id": column(batch, "doc_id"),
-                "n_words": [len(k) + r for k, r in zip(kept, removed)],
-                "n_removed": removed,
-                "kept_sha256": [hashlib.sha256(b" ".join(k)).hexdigest() for k in kept],
-            }
+    Words stand between ASCII white space and are compared as they are.
+    """
+
+    def finish(docs: pa.Table, spans: list[bytes]) -> pa.Table:
+        pairs = [[{"start": a, "stop": b} for a, b in np.frombuffer(s, "<i8").reshape(-1, 2).tolist()] for s in spans]
+        return pa.table({"doc_id": docs["doc_id"], "text": docs["text"], "spans": pa.array(pairs, pa.list_(pa.struct({"start": pa.int64(), "stop": pa.int64()})))})
+
+    return _found(docs, window, phrase, id_col, text_col, None, finish, "doc_id long, text string, spans array<struct<start:long,stop:long>>")
 
-        return step
 
-    return map_batches(found, make, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+def digest(docs: DataFrame, window: int = 50, phrase: int = 6) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256): counts, and the SHA-256 of the kept words joined by one space."""
+
+    def finish(docs: pa.Table, spans: list[bytes]) -> pa.Table:
+        kept = [kept_words(t, s) for t, s in zip(as_bytes(docs["text"]), spans)]
+        removed = [int(p[1::2].sum() - p[::2].sum()) for p in (np.frombuffer(s, "<i8") for s in spans)]
+        n, sha = [len(k) + r for k, r in zip(kept, removed)], [hashlib.sha256(b" ".join(k)).hexdigest() for k in kept]
+        return pa.table({"doc_id": docs["doc_id"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+
+    return _found(docs, window, phrase, "doc_id", "text", None, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 6) -> DataFrame:
@@ -352,16 +351,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 6) -> DataFr
     names = [f.name for f in docs.schema.fields]
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     doc, at = (f"c{names.index(x)}" for x in ("doc_id", "text"))
-    found = repeats(plain.withColumn("rest", F.struct(*plain.columns).dropFields(at) if len(names) > 1 else F.struct(F.lit(0))), window, phrase, doc, at, "rest")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = column(batch, "spans").to_pylist()
-            texts = [b" ".join(kept_words(t, s)) if s else t for t, s in zip(column(batch, "text").cast(pa.binary()).to_pylist(), spans)]
-            keep = [not s or t != b"" for t, s in zip(texts, spans)]
-            i = batch.schema.get_field_index("text")
-            batch = batch.set_column(i, batch.schema.field(i), pa.array(texts, pa.binary()).cast(batch.schema.field(i).type))
-            yield batch.drop_columns(["spans"]).filter(pa.array(keep, pa.bool_()))
-
-    left = found.mapInArrow(run, found.drop("spans").schema)
-    return left.select(*(F.col("text") if c == at else F.col(f"rest.{c}") for c in plain.columns)).toDF(*names)
+    plain = plain.withColumn("rest", F.struct(*(c for c in plain.columns if c != at)))
+
+    def finish(docs: pa.Table, spans: list[bytes]) -> pa.Table:
+        texts = [b" ".join(kept_words(t, s)) if s else t for t, s in zip(docs["text"].cast(pa.binary()).to_pylist(), spans)]
+        keep = pa.array([not s or t != b"" for t, s in zip(texts, spans)], pa.bool_())
+        return pa.table({"text": pa.array(texts, pa.binary()).cast(pa.string()), "rest": docs["rest"]}).filter(keep)
+
+    left = _found(plain, window, phrase, doc, at, "rest", finish, plain.select(F.col(at).alias("text"), "rest").schema)
+    return left.select(*(F.col("text") if c == at else F.col(f"rest.{c}") for c in plain.columns if c != "rest")).toDF(*names)
