@@ -13,8 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round maps a node to the smallest of its neighbours and itself, then renames the ends of
     all edges and keeps those that still join two nodes. At least half of the nodes with edges go
-    in a round, so that rounds grow with the logarithm of the nodes; each is saved to the shared
-    folder. The smallest node of a component always maps to itself, so it is what remains.
+    in a round, so that rounds grow with the logarithm of the nodes; each round's edges are saved to
+    the shared folder. The smallest node of a component always maps to itself, so it is what remains.
     Hubs are safe: their rows meet in min() aggregates, combined before the shuffle, and in joins
     against one row for each node, which adaptive execution may split.
     """
@@ -22,12 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while labels is None or not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = saved(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("root")), "roots")
+        step = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("root"))
         if labels is None:
             labels = step
         else:
             to = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = saved(labels.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            labels = labels.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
         u = step.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         v = step.select(F.col("node").alias("v"), F.col("root").alias("rv"))
         moved = edges.join(u, "u").join(v, "v").where("ru <> rv")

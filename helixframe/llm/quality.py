@@ -147,7 +147,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, least_r
     overall = paths.agg(F.sum("mass"), F.sum("n")).first()
     base = overall[0] / overall[1] if overall[1] else prior
     hosts = shrunk(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).withColumn("up", F.lit(float(base))), "up").select("host", F.col("rate").alias("host_rate"))
-    sites = shrunk(saved(paths.join(hosts, "host"), "sites"), "host_rate").select("host", "path", "host_rate", F.col("rate").alias("path_rate"))
+    sites = shrunk(paths.join(hosts, "host"), "host_rate").select("host", "path", "host_rate", F.col("rate").alias("path_rate"))
 
     final = F.lit(math.log(prior / (1 - prior))) + F.col("odds") + logit(F.col("path_rate")) - logit(F.lit(float(base)))
     out = alone.join(sites, ["host", "path"]).withColumn("p_reject", 1 / (1 + F.exp(-final)))

@@ -164,13 +164,12 @@ def _found(docs: DataFrame, window: int, phrase: int, id_col: str, text_col: str
 
     # 3: automata by block; a window has a row for each block at most
     dealt = rows.withColumn("block", block)
-    markers = saved(copies.unionByName(shards, allowMissingColumns=True), "markers")
     same = W.partitionBy("h1", "h2")
-    seen = _together(dealt, markers, lambda key, docs, marks: _locate(key[0].as_py(), docs, marks, window), WINDOWS)
+    seen = _together(dealt, copies.unionByName(shards, allowMissingColumns=True), lambda key, docs, marks: _locate(key[0].as_py(), docs, marks, window), WINDOWS)
     confirmed = seen.withColumns({"first": F.min("least").over(same), "last": F.max(F.coalesce("most", "least")).over(same)}).where("first < last").select("block", "h1", "h2", "first")
 
     # 4: removal by block
-    marks = markers.where("words is not null").drop("phrase").unionByName(confirmed, allowMissingColumns=True)
+    marks = copies.unionByName(confirmed, allowMissingColumns=True)
     return _together(dealt, marks, lambda docs, marks: finish(docs, _spans(docs, marks, window)), schema)
 
 
