@@ -40,8 +40,12 @@ def neighbours(df: DataFrame, keys: list[str], pos: str, tile: int = TILE) -> Da
 def islands(df: DataFrame, keys: list[str], pos: str, width: int, gap: Column, tile: int = TILE) -> DataFrame:
     """``island``: the first position of the row's run of positions whose distance, less ``width``, is ``gap`` at most."""
     near = neighbours(df, keys, pos, tile)
-    starts = F.col("prev").isNull() | (F.col(pos) - F.col("prev") - width > gap)
-    marked = near.withColumns({"_tile": F.floor(F.col(pos) / tile), "_start": F.when(starts, F.col(pos))}).drop("prev", "next")
+    return runs(near, keys, pos, F.col("prev").isNull() | (F.col(pos) - F.col("prev") - width > gap), tile).drop("prev", "next")
+
+
+def runs(df: DataFrame, keys: list[str], pos: str, starts: Column, tile: int = TILE) -> DataFrame:
+    """``island``: the last position up to the row's where ``starts`` holds; it has to hold for the first of each key."""
+    marked = df.withColumns({"_tile": F.floor(F.col(pos) / tile), "_start": F.when(starts, F.col(pos))})
     last = marked.groupBy(*keys, "_tile").agg(F.max("_start").alias("_last"))
     before = W.partitionBy(*keys).orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)
     last = last.select(*keys, "_tile", F.max("_last").over(before).alias("_carried"))

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
-from ..functions.intervals import islands, neighbours
+from ..functions.intervals import islands, runs
+from ..functions.storage import stored
 from .grid import bin_of
 
 
@@ -24,25 +25,29 @@ def island_clusters(leads: DataFrame, gap: int = 0, p: Params = DEFAULTS) -> Dat
 
 
 def reach(leads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """``part``: runs of bins that no merge can join, so each is clustered on its own.
+    """(contig, svtype, seed, part) of the bins with enough leads: parts that no merge can join, so each is clustered on its own.
 
     A cut lies where the gap is wider than every fixed distance of the rules and than merge_r times
-    any deviation of the starts on its narrower side. Deviations grow with the side's span, so parts
-    are joined from narrow gaps to wide ones until all cuts hold.
+    any deviation of starts on its narrower side. A run of more than one bin has four leads or more,
+    whose deviation is at most its span by the root of 3. Where a cut does not hold, its sides become
+    one part, and the wider parts are looked at again until all cuts hold.
     """
     keys = ["contig", "svtype"]
-    seeds = leads.select(*keys, bin_of("ref_start", p.bin_size).alias("seed")).distinct()
-    wide = max(p.repeat_h_max, p.merge_bnd)
+    known = leads.where("svlen is not null").groupBy(*keys, bin_of("ref_start", p.bin_size).alias("seed")).agg(F.count("*").alias("n"))
+    seeds = stored(islands(known.where(F.col("n") >= p.min_leads).drop("n"), keys, "seed", p.bin_size, F.lit(max(p.repeat_h_max, p.merge_bnd))))
+    named = seeds.withColumnRenamed("island", "part")
+    parts = stored(named.groupBy(*keys, "part").agg((F.max("seed") + p.bin_size).alias("end")))
+    over = W.partitionBy(*keys).orderBy("part")  # a row for each part, not for each lead
     while True:
-        runs = islands(seeds, keys, "seed", p.bin_size, F.lit(wide))
-        spans = runs.groupBy(*keys, "island").agg((F.max("seed") - F.min("seed") + p.bin_size).alias("span"), F.max("seed").alias("end"))
-        near = neighbours(spans, keys, "island").select(*keys, "island", "span", "end", "next")
-        after = spans.select(*keys, F.col("island").alias("next"), F.col("span").alias("next_span"))
-        low = near.join(after, [*keys, "next"]).where((F.col("next") - F.col("end") - p.bin_size) <= p.merge_r * F.least("span", "next_span") / math.sqrt(2))
-        need = low.agg(F.max(F.col("next") - F.col("end") - p.bin_size)).first()[0]
-        if need is None:
-            return runs.select(*keys, "seed", F.col("island").alias("part"))
-        wide = int(need)
+        span = F.col("end") - F.col("part")
+        near = parts.withColumns({"_end": F.lag("end").over(over), "_span": F.lag(span).over(over)})
+        joined = F.coalesce(F.col("part") - F.col("_end") <= p.merge_r * F.least(span, "_span") / math.sqrt(3), F.lit(False))
+        near = stored(near.withColumn("_joined", joined))
+        if near.where("_joined").isEmpty():
+            return named.select(*keys, "seed", "part")
+        moved = runs(near, keys, "part", ~F.col("_joined")).select(*keys, "part", "end", "island")
+        named = named.join(moved.select(*keys, "part", "island"), [*keys, "part"]).select(*keys, "seed", F.col("island").alias("part"))
+        parts = stored(moved.groupBy(*keys, F.col("island").alias("part")).agg(F.max("end").alias("end")))
 
 
 class Run:

@@ -125,11 +125,11 @@ _AT = ("upstream", "start", "center", "end", "downstream")
     "coverage_points",
     f"with alignments as ({lens_text(ALIGNMENTS)}), calls as ({lens_text(CALLS)}){STEPS}, "
     "ends as (select call_id, contig, svtype, pos, case when svtype = 'BND' then pos else stop end as stop from calls), "
-    "points as (select call_id, contig, 'upstream' as at, pos - 500 as x from ends union all select call_id, contig, 'start', case when svtype in ('INS', 'BND') then pos - 100 else pos end from ends "
+    "points as (select call_id, contig, 'upstream' as spot, pos - 500 as x from ends union all select call_id, contig, 'start', case when svtype in ('INS', 'BND') then pos - 100 else pos end from ends "
     "union all select call_id, contig, 'center', case when svtype in ('INS', 'BND') then pos else (pos + stop) // 2 end from ends "
     "union all select call_id, contig, 'end', case when svtype in ('INS', 'BND') then stop + 100 else stop - 100 end from ends union all select call_id, contig, 'downstream', stop + 500 from ends), "
-    "found as (select p.call_id, at, case when s.stop > p.x then s.depth else 0 end as depth from points p asof left join steps s on p.contig = s.contig and p.x >= s.start) "
-    "select call_id, " + ", ".join(f"cast(max(coalesce(depth, 0)) filter (at = '{n}') as bigint) as cov_{n}" for n in _AT) + " from found group by call_id",
+    "found as (select p.call_id, spot, case when s.stop > p.x then s.depth else 0 end as depth from points p asof left join steps s on p.contig = s.contig and p.x >= s.start) "
+    "select call_id, " + ", ".join(f"cast(max(coalesce(depth, 0)) filter (spot = '{n}') as bigint) as cov_{n}" for n in _AT) + " from found group by call_id",
 )
 def coverage_points(spark, d):
     x = calls(spark, d).select("call_id", "contig", "svtype", "pos", "end")
