@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, column, columns_as, map_batches, plain_words
 
 WORD_BUCKETS = 1 << 18
-BIGRAM_BUCKETS = 1 << 21
+BIGRAM_BUCKETS = 1 << 20
 CACHE_WORDS = 1 << 19
 #: A table of ids is broadcast up to this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -120,13 +120,13 @@ class Model:
 
 def fit(docs: DataFrame, alpha: float = 0.1, mu: float = 50.0) -> tuple[Model, Model]:
     """(target, background) of ``docs`` (text, target)."""
-    found = tables(docs).toPandas()
+    found = tables(docs).toArrow()
+    kind, bucket = found["kind"].to_numpy(), found["bucket"].to_numpy()
     counts = {}
     for name in ("target", "background"):
-        counts[name] = Counts().tables
-        for kind, table in enumerate(counts[name]):
-            own = found[found["kind"] == kind]
-            table[own["bucket"].to_numpy()] = own[name].to_numpy()
+        counts[name], n = Counts().tables, found[name].to_numpy()
+        for i, table in enumerate(counts[name]):
+            table[bucket[kind == i]] = n[kind == i]
     share = counts["target"][0].sum() / max(counts["background"][0].sum(), 1)
     return Model.of(counts["target"], 1.0, alpha, mu), Model.of(counts["background"], share, alpha, mu)
 
