@@ -1,26 +1,34 @@
 """Quality classification by hierarchical empirical Bayes.
 
-Evidence of a document: for each hashed feature (words, trailing signs, shares of the commonest word,
-of capitals and of words said twice), its documents among the rejected and the accepted labels give a
-log likelihood ratio. It counts if it speaks for rejection, at a ratio of at least ``least_ratio``,
-with a signed root of the likelihood-ratio statistic of at least ``least_z``, and if at least
-``least_share`` of the rejected have it: words that only a group of copies shares say nothing of
-others. A document's evidence is the sum over its distinct features. Having no evidence is itself a
-feature. All labelled documents are counted.
+Evidence of a document: for each feature (words, trailing signs, shares of the commonest word, of
+capitals and of words said twice; by language), its documents among the rejected and the accepted
+labels give a log likelihood ratio. It counts if it speaks for rejection, at a ratio of at least
+``least_ratio``, with a signed root of the likelihood-ratio statistic of at least ``least_z``, and if
+at least ``least_share`` of the language's rejected have it: words that only a group of copies
+shares say nothing of others. A document's evidence is the sum over its distinct features. All
+labelled documents are counted.
+
+Levels: features are not independent, and long texts hold more of them by chance, so evidence is not
+yet a probability. Documents of one level (whole part of the evidence) have the rate of rejection
+that the labelled ones of the level show, shrunk by ``level_weight`` documents to what independent
+features would give; those of one level and size (whole part of the binary logarithm of the number
+of distinct features) that of their own labelled ones, shrunk likewise to the level's.
 
 Sites: a document's host and path (of its source; the language is the path's last part) have rates
-of rejection, summed over the probabilities that evidence alone gives all their documents, labelled
-or not. The host's rate is shrunk to the global one and the path's to the host's, by a prior weight
-from the method of moments between groups, so sparse sites stay near the global rate. The path's
-posterior replaces the global rate in the document's odds.
+of rejection, summed over the levels' rates of all their documents, labelled or not. The host's rate
+is shrunk to the global one and the path's to the host's, by a prior weight from the method of
+moments between groups, so sparse sites stay near the global rate. The path's posterior replaces the
+global rate in the document's odds.
 
 All of that is grouped aggregation of sums; hosts and paths meet documents in joins that adaptive
-execution may split. Only the significant features, of at most BUCKETS, are broadcast.
+execution may split. Only the significant features are broadcast: each is in ``least_share`` of a
+language's rejected documents, so there are at most the mean number of features of those documents,
+divided by ``least_share``, for each language.
 
 Defined cases: a null or empty text has no features, so no evidence; a null source or language is
-the site "" of its level; labels of unknown documents, null ids or null values teach nothing; several
-labels of a document count each; without labels no evidence is found and nothing is rejected; rows
-with null ids are scored, and kept by ``accepted``; an empty table gives no rows; other columns are
+"" at its level; labels of unknown documents, null ids or null values teach nothing; several labels
+of a document count each; without labels no evidence is found and nothing is rejected; rows with
+null ids are scored, and kept by ``accepted``; an empty table gives no rows; other columns are
 ignored by ``classify`` and kept by ``accepted``.
 """
 
@@ -39,7 +47,6 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, column, columns_as, map_batches, saved
 
-BUCKETS = 1 << 20
 BROADCAST_ROWS = 1_000_000
 SIGNS = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
 CAPITALS = bytes(range(65, 91))
@@ -48,8 +55,14 @@ SMALL = bytes(range(97, 123))
 LEAST_WEIGHT, MOST_WEIGHT = 2.0, 1e6
 
 
-def features(text: bytes) -> np.ndarray:
-    """The distinct feature buckets of a text."""
+#: Level of the highest evidence; more is taken for as much.
+TOP_LEVEL = 20
+
+
+def features(text: bytes, lang: str | None = None) -> np.ndarray:
+    """64-bit hashes, sorted, of the distinct features of a text of that language."""
+    import xxhash
+
     words = text.split()
     if not words:
         return np.zeros(0, np.int64)
@@ -61,7 +74,8 @@ def features(text: bytes) -> np.ndarray:
         names.add(b"d %d" % (10 * sum(map(bytes.__eq__, words, words[1:])) // len(words)))
         big, small = (len(text) - len(text.translate(None, x)) for x in (CAPITALS, SMALL))
         names.add(b"u %d" % (10 * big // max(big + small, 1)))
-    return np.unique(np.fromiter((zlib.crc32(x) % BUCKETS for x in names), np.int64, len(names)))
+    seed, digest = zlib.crc32((lang or "").encode()), xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(x, seed) for x in names), np.uint64, len(names)).view(np.int64))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -72,41 +86,55 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(marks) if small else marks, F.col("doc_id") == F.col("label_id")).drop("label_id")
 
 
-def weights(rows: DataFrame, least_ratio: float, least_z: float, least_share: float) -> np.ndarray:
-    """By feature: the log likelihood ratio of rejection if it counts, else 0. ``rows``: (text, bad)."""
+def weights(rows: DataFrame, least_ratio: float, least_z: float, least_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The features that count, sorted, and their log likelihood ratios of rejection. ``rows``: (text, lang, bad)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.zeros((2, BUCKETS), np.int64), [0, 0]
+        held: dict[str, list] = {}
         for batch in batches:
-            for text, bad in zip(as_bytes(column(batch, "text")), column(batch, "bad").to_pylist()):
-                held[int(bad)][features(text)] += 1
-                n[int(bad)] += 1
-        at = np.flatnonzero(held.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int64()), pa.array([*held[0][at], n[0]], pa.int64()), pa.array([*held[1][at], n[1]], pa.int64())], names=["feature", "good", "bad"])
-
-    counted = saved(rows.select("text", "bad").mapInArrow(run, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "features")
-    total = counted.where("feature = -1").first()
-    found = np.zeros(BUCKETS, np.float32)
-    if total and total["good"] and total["bad"]:
-        ratio = F.log((F.col("bad") + 0.5) / (total["bad"] + 1.0)) - F.log((F.col("good") + 0.5) / (total["good"] + 1.0))
-        n, share = F.col("bad") + F.col("good"), total["bad"] / (total["bad"] + total["good"])
-        term = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
-        root = F.sqrt(F.greatest(2 * (term("bad", share) + term("good", 1 - share)), F.lit(0.0)))
-        common = counted.where((F.col("feature") >= 0) & (F.col("bad") >= least_share * total["bad"]))
-        kept = common.select("feature", ratio.alias("w"), root.alias("z")).where((F.col("w") >= math.log(least_ratio)) & (F.col("z") >= least_z)).toPandas()
-        found[kept["feature"].to_numpy(np.int64)] = kept["w"].to_numpy()
-    return found
-
-
-def evidence(rows: DataFrame, found: np.ndarray, passed: list[str]) -> DataFrame:
-    """``passed`` columns of ``rows`` and the evidence of ``text``."""
+            for text, lang, bad in zip(as_bytes(column(batch, "text")), column(batch, "lang").to_pylist(), column(batch, "bad").to_pylist()):
+                held.setdefault(lang or "", []).append((features(text, lang), bad))
+        for lang, found in held.items():  # a task's own labelled documents, so that it sends each feature once
+            names = np.concatenate([f for f, _ in found])
+            bad = np.repeat([b for _, b in found], [len(f) for f, _ in found])
+            keys, at = np.unique(names, return_inverse=True)
+            counts = [np.bincount(at, weights=w, minlength=len(keys)).astype(np.int64) for w in (~bad, bad)]
+            total = [sum(not b for _, b in found), sum(b for _, b in found)]
+            for i in range(0, len(keys), 200_000):
+                part = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys[part])), pa.array(keys[part]), pa.array(counts[0][part]), pa.array(counts[1][part])], names=["lang", "feature", "good", "bad"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.int64()), pa.array([total[0]], pa.int64()), pa.array([total[1]], pa.int64())], names=["lang", "feature", "good", "bad"])
+
+    counted = rows.select("text", "lang", "bad").mapInArrow(run, "lang string, feature long, good long, bad long")
+    counted = saved(counted.groupBy("lang", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where("bad > 0 or feature is null"), "features")
+    total = counted.where("feature is null").select("lang", F.col("good").alias("all_good"), F.col("bad").alias("all_bad")).where("good > 0 and bad > 0")
+    x = counted.where("feature is not null").join(F.broadcast(total), "lang").where(F.col("bad") >= least_share * F.col("all_bad"))
+    ratio = F.log((F.col("bad") + 0.5) / (F.col("all_bad") + 1.0)) - F.log((F.col("good") + 0.5) / (F.col("all_good") + 1.0))
+    n, share = F.col("bad") + F.col("good"), F.col("all_bad") / (F.col("all_bad") + F.col("all_good"))
+    term = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
+    root = F.sqrt(F.greatest(2 * (term("bad", share) + term("good", 1 - share)), F.lit(0.0)))
+    kept = x.select("feature", ratio.alias("w"), root.alias("z")).where((F.col("w") >= math.log(least_ratio)) & (F.col("z") >= least_z)).toArrow()
+    names, values = kept["feature"].to_numpy(), kept["w"].to_numpy()
+    order = np.argsort(names)
+    return names[order], values[order]
+
+
+def evidence(rows: DataFrame, found: tuple[np.ndarray, np.ndarray], passed: list[str]) -> DataFrame:
+    """``passed`` columns of ``rows``, and the evidence and size of ``text``."""
     sent = rows.sparkSession.sparkContext.broadcast(found)
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        yield {c: column(batch, c) for c in passed} | {"evidence": [float(sent.value[features(x)].sum()) for x in as_bytes(column(batch, "text"))]}
+        names, values = sent.value
+        sums, sizes = [], []
+        for text, lang in zip(as_bytes(column(batch, "text")), column(batch, "lang").to_pylist()):
+            at = features(text, lang)
+            hit = np.isin(names, at, assume_unique=True)
+            sums.append(float(values[hit].sum()))
+            sizes.append(len(at).bit_length())
+        yield {c: column(batch, c) for c in passed} | {"evidence": sums, "size": sizes}
 
-    schema = rows.select(*passed).schema.add("evidence", "double")
-    return map_batches(rows.select("text", *passed), lambda: step, schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    schema = rows.select(*passed).schema.add("evidence", "double").add("size", "integer")
+    return map_batches(rows.select("text", "lang", *passed), lambda: step, schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
 
 
 def shrunk(groups: DataFrame, up: str) -> DataFrame:
@@ -126,30 +154,41 @@ def logit(x):
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, least_ratio: float = 10.0, least_z: float = 4.5, least_share: float = 0.02, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def rates(seen: list, weight: float) -> tuple[float, dict[str, float], dict[str, float]]:
+    """The prior log odds of rejection, the levels' rates and those of (level, size) of rows with level, size, n, bad and sum (of evidence)."""
+    n, bad = sum(r["n"] for r in seen), sum(r["bad"] for r in seen)
+    prior = math.log((bad + 0.5) / (n - bad + 49.5))
+    by_level: dict[str, float] = {}
+    for k in {r["level"] for r in seen}:
+        own = [r for r in seen if r["level"] == k]
+        m = sum(r["n"] for r in own)
+        alone = 1 / (1 + math.exp(-prior - sum(r["sum"] for r in own) / m))
+        by_level[str(k)] = (sum(r["bad"] for r in own) + weight * alone) / (m + weight)
+    return prior, by_level, {f"{r['level']}:{r['size']}": (r["bad"] + weight * by_level[str(r["level"])]) / (r["n"] + weight) for r in seen}
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, least_ratio: float = 10.0, least_z: float = 4.0, least_share: float = 0.02, level_weight: float = 5.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """(doc_id, evidence, host_rate, path_rate, p_reject, rejected) for every row."""
     rows = columns_as(docs, doc_id=id_col, text=text_col, source=source_col, lang=lang_col)
     source = F.coalesce("source", F.lit(""))
-    rows = rows.select("doc_id", "text", F.regexp_extract(source, r"^(?:[A-Za-z]+://)?([^/?#]*)", 1).alias("host"), F.concat_ws("/", F.regexp_replace(source, r"/[^/]*$", ""), F.coalesce("lang", F.lit(""))).alias("path"))
-    found = weights(labelled(rows.select("doc_id", "text"), labels), least_ratio, least_z, least_share)
+    rows = rows.select("doc_id", "text", "lang", F.regexp_extract(source, r"^(?:[A-Za-z]+://)?([^/?#]*)", 1).alias("host"), F.concat_ws("/", F.regexp_replace(source, r"/[^/]*$", ""), F.coalesce("lang", F.lit(""))).alias("path"))
+    found = weights(labelled(rows.select("doc_id", "text", "lang"), labels), least_ratio, least_z, least_share)
     scored = saved(evidence(rows, found, ["doc_id", "host", "path"]), "evidence")
 
-    seen = labelled(scored.select("doc_id", "evidence"), labels)
-    none = (F.col("evidence") == 0).cast("long")
-    total = seen.groupBy("bad").agg(F.count("*").alias("n"), F.sum(none).alias("none")).collect()
-    n, without = ({b: next((r[k] for r in total if r["bad"] is b), 0) for b in (True, False)} for k in ("n", "none"))
-    prior = (n[True] + 0.5) / (n[True] + n[False] + 50.0)
-    absent = math.log((without[True] + 0.5) / (n[True] + 1.0)) - math.log((without[False] + 0.5) / (n[False] + 1.0))
-    odds = F.when(F.col("evidence") > 0, F.col("evidence")).otherwise(F.lit(min(absent, 0.0)))
-    alone = scored.withColumn("odds", odds).withColumn("p", 1 / (1 + F.exp(-(F.lit(math.log(prior / (1 - prior))) + F.col("odds")))))
+    level = F.least(F.floor("evidence"), F.lit(TOP_LEVEL)).alias("level")
+    seen = labelled(scored.select("doc_id", "evidence", "size"), labels).groupBy(level, "size").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), F.sum("evidence").alias("sum")).collect()
+    prior, by_level, by_cell = rates(seen, level_weight)
+    shown = [F.create_map(*(F.lit(x) for r in found.items() for x in r)) if found else F.create_map().cast("map<string,double>") for found in (by_cell, by_level)]
+    cell = F.concat_ws(":", level.cast("string"), F.col("size").cast("string"))
+    alone = scored.withColumn("p", F.coalesce(F.try_element_at(shown[0], cell), F.try_element_at(shown[1], level.cast("string")), 1 / (1 + F.exp(-(F.lit(prior) + F.col("evidence"))))))
 
     paths = saved(alone.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("mass")), "paths")
     overall = paths.agg(F.sum("mass"), F.sum("n")).first()
-    base = overall[0] / overall[1] if overall[1] else prior
+    base = overall[0] / overall[1] if overall[1] else 0.5
     hosts = shrunk(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).withColumn("up", F.lit(float(base))), "up").select("host", F.col("rate").alias("host_rate"))
     sites = shrunk(paths.join(hosts, "host"), "host_rate").select("host", "path", "host_rate", F.col("rate").alias("path_rate"))
 
-    final = F.lit(math.log(prior / (1 - prior))) + F.col("odds") + logit(F.col("path_rate")) - logit(F.lit(float(base)))
+    final = logit(F.col("p")) + logit(F.col("path_rate")) - logit(F.lit(float(base)))
     out = alone.join(sites, ["host", "path"]).withColumn("p_reject", 1 / (1 + F.exp(-final)))
     return out.select("doc_id", "evidence", "host_rate", "path_rate", "p_reject", (F.col("p_reject") > threshold).alias("rejected"))
 
