@@ -92,4 +92,43 @@ ORACLE_SQL = {
             coalesce(string_agg(cast(stop - length(said) - 8 as bigint) || '-' || cast(stop as bigint), ',' order by n) filter (where own), '') as mask
         from placed group by conv_id, speaker, segment
     """,
+    "op2_decontamination": r"""
+        with fold as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as big, 'abcdefghijklmnopqrstuvwxyz' as small),
+        docs as (select doc_id, row_number() over () as r, coalesce(regexp_extract_all(translate(text, big, small), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as words from documents, fold),
+        items as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(text, big, small), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark, fold),
+        sized as (select item_id, words, least(len(words), 10) as size from items where len(words) > 0),
+        item_windows as (select distinct item_id, size, words[i:i + size - 1] as w from (select *, unnest(range(1, len(words) - size + 2)) as i from sized)),
+        doc_windows as (select r, i, size, words[i:i + size - 1] as w from (select *, unnest(range(1, len(words) - size + 2)) as i from docs, (select distinct size from sized))),
+        found as (select r, i, d.size, item_id from doc_windows d join item_windows t on d.size = t.size and d.w = t.w),
+        hit as (select r, count(distinct place) as n_hit from (select r, unnest(range(i, i + size)) as place from found) group by r),
+        named as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names from (select distinct r, item_id from found where item_id is not null) group by r)
+        select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, n_hit is not null as contaminated
+        from docs left join hit using (r) left join named using (r)
+    """,
+    "op6_top_k": """
+        with vectors as (
+            select distinct vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scores as (
+            select q.vec_id as query_id, q.v as query, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+            from vectors q join vectors c on len(q.v) = len(c.v) and c.vec_id is distinct from q.vec_id where q.vec_id % 50 = 0),
+        ranked as (select *, row_number() over (partition by query_id, query order by score desc, vec_id nulls last) as rank from scores)
+        select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
+    """,
+    "op7_warc": """
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+        m as (select *, max(page_id) over (partition by payload_digest) as top from p)
+        select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
+            case when payload_bytes >= 1000 and page_id < top then top end as refers_to
+        from m
+    """,
+    "op9_substring_dedup": r"""
+        with docs as (select doc_id, row_number() over () as r, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as words from documents),
+        windows as (select r, doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as w from (select *, unnest(range(1, len(words) - 48)) as i from docs where doc_id is not null)),
+        firsts as (select w, min(doc_id) as first from windows group by w),
+        covered as (select distinct r, unnest(range(i, i + 50)) as place from windows join firsts using (w) where first < doc_id),
+        each as (select r, unnest(words) as word, unnest(range(1, len(words) + 1)) as place from docs),
+        kept as (select r, string_agg(word, ' ' order by place) as kept, count(*) as n from each anti join covered using (r, place) group by r)
+        select doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from docs left join kept using (r)
+    """,
 }
