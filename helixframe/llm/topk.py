@@ -3,13 +3,14 @@
 The lists of the method are slices of the dimensions: list j holds, for a query, every candidate's
 partial score over slice j. Partial scores are shifted by the list's minimum, so all are 0 or more.
 
-1. Each list gives its k highest partial scores and its minimum. Sums of what is known of a
-   candidate are lower bounds of its shifted score; the k-th highest of them is a safe cutoff.
+1. Each task gives, of each list, its k highest partial scores and its minimum. A task holds all
+   lists of its rows, so it completes the scores of what it gives; the k-th highest of these is a
+   safe cutoff.
 2. The cutoff is broadcast. Each list gives all entries of at least cutoff / lists: a candidate that
    no list gives has a lower total than the cutoff, so it cannot be among the k highest.
-3. With the better lower bounds of phase 2, candidates whose upper bound (cutoff / lists for each
-   list that did not give them) is too low go; missing partial scores of the rest are looked up,
-   and the complete scores are ranked.
+3. Of the candidates that all lists gave, the scores are known, and the k-th highest is a better
+   cutoff. Others whose upper bound (cutoff / lists for each list that did not give them) is too low
+   go; missing partial scores of the rest are looked up, and the complete scores are ranked.
 
 Queries are a stated set, taken in blocks of QUERY_BLOCK vectors: what is broadcast, the thresholds
 and query vectors of one block, has that bound; there are as many passes as blocks. Equal vectors
@@ -39,7 +40,6 @@ from .common import column, columns_as, map_batches, saved
 QUERY_BLOCK = 2048
 #: Scores held at once by a task, 8 bytes each.
 TILE = 1 << 21
-PARTIALS = "q int, list int, rid long, part long"
 
 
 def quantised(rows: DataFrame, scale: float) -> DataFrame:
@@ -70,20 +70,19 @@ class Block:
         return cls(np.array([r["vec_id"] for r in rows], np.int64), vectors)
 
     def tiles(self, batch: pa.RecordBatch, lists: int) -> Iterator[tuple]:
-        """(queries, list, rids, partial scores, own): scores by query and row; own marks rows of the query's id."""
+        """(queries, rids, partial scores by list, query and row, own): own marks rows of the query's id."""
         values, rid = column(batch, "v"), column(batch, "rid").to_numpy()
         ids = column(batch, "vec_id")
         vec_id, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
         length = values.value_lengths().to_numpy()
         flat, starts = values.values.to_numpy(), values.offsets.to_numpy()[:-1]
         for n, (queries, vectors) in self.by_length.items():
-            rows, step = np.flatnonzero(length == n), max(1, TILE // len(queries))
+            rows, step = np.flatnonzero(length == n), max(1, TILE // (len(queries) * lists))
             for i in range(0, len(rows), step):
                 at = rows[i : i + step]
                 block = flat[starts[at][:, None] + np.arange(n)].reshape(len(at), n)
                 own = (self.ids[queries][:, None] == vec_id[at]) & known[at]
-                for j, dims in enumerate(np.array_split(np.arange(n), lists)):
-                    yield queries, j, rid[at], product(vectors[:, dims], block[:, dims]), own
+                yield queries, rid[at], np.stack([product(vectors[:, d], block[:, d]) for d in np.array_split(np.arange(n), lists)]), own
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,53 +113,65 @@ def _search(rows: DataFrame, block: Block, k: int, lists: int) -> DataFrame:
     sent = spark.sparkContext.broadcast(vars(block))
     n = len(block.ids)
 
-    # Phase 1: (q, list, rid, part) of each task's k highest; rid is null for a list's minimum
+    # Phase 1: (q, list, rid, low) of each task's k highest of each list, with their complete scores; rid is null for a list's minimum
     def local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict = defaultdict(lambda: np.full(n, np.iinfo(np.int64).max))
-        best: dict = defaultdict(lambda: [np.zeros((n, 0), np.int64)] * 2)
-        known = Block(**sent.value)
+        known, lowest = Block(**sent.value), np.iinfo(np.int64).min
+        least = np.full((lists, n), np.iinfo(np.int64).max)
+        best = np.full((lists, 3, n, 0), lowest)  # partial score, complete score, rid
         for batch in batches:
-            for queries, j, rid, part, own in known.tiles(batch, lists):
-                least[j][queries] = np.minimum(least[j][queries], part.min(axis=1))
-                part = np.where(own, np.iinfo(np.int64).min, part)
-                top = min(k, part.shape[1])
-                at = np.argpartition(part, part.shape[1] - top, axis=1)[:, -top:]
-                score, ids = np.full((n, top), np.iinfo(np.int64).min), np.zeros((n, top), np.int64)
-                score[queries], ids[queries] = np.take_along_axis(part, at, 1), rid[at]
-                score, ids = np.concatenate([best[j][0], score], axis=1), np.concatenate([best[j][1], ids], axis=1)
-                at = np.argsort(-score, axis=1, kind="stable")[:, :k] if score.shape[1] > k else np.broadcast_to(np.arange(score.shape[1]), score.shape)
-                best[j] = [np.take_along_axis(score, at, 1), np.take_along_axis(ids, at, 1)]
-        for j in best:
-            q, c = np.nonzero(best[j][0] > np.iinfo(np.int64).min)
+            for queries, rid, parts, own in known.tiles(batch, lists):
+                least[:, queries] = np.minimum(least[:, queries], parts.min(axis=2))
+                total = parts.sum(axis=0)
+                top = min(k, len(rid))
+                more = np.full((lists, 3, n, top), lowest)
+                for j in range(lists):
+                    part = np.where(own, lowest, parts[j])
+                    at = np.argpartition(part, len(rid) - top, axis=1)[:, -top:]
+                    more[j][:, queries] = [np.take_along_axis(part, at, 1), np.take_along_axis(total, at, 1), rid[at]]
+                best = np.concatenate([best, more], axis=3)
+                at = np.argsort(-best[:, :1], axis=3, kind="stable")[..., :k]
+                best = np.take_along_axis(best, at, 3)
+        for j in range(lists):
+            q, c = np.nonzero(best[j, 0] > lowest)
             seen = np.flatnonzero(least[j] < np.iinfo(np.int64).max)
-            yield _rows([q, seen], j, [best[j][1][q, c], [None] * len(seen)], [best[j][0][q, c], least[j][seen]])
-
-    first = saved(rows.mapInArrow(local_lists, PARTIALS), "lists")
-    least = first.where("rid is null").groupBy("q", "list").agg(F.min("part").alias("least"))
-    tops = first.where("rid is not null").withColumn("n", F.row_number().over(W.partitionBy("q", "list").orderBy(F.desc("part"), "rid"))).where(F.col("n") <= k)
-    bounds = tops.join(least, ["q", "list"]).groupBy("q", "rid").agg(F.sum(F.col("part") - F.col("least")).alias("low"))
-    cutoff = _kth(bounds, k)
-    found = least.join(cutoff, "q", "left").select("q", "list", "least", F.coalesce("cutoff", F.lit(0)).alias("cutoff")).toPandas()
-    floor, safe = np.zeros((lists, n), np.int64), np.zeros(n, np.int64)
-    floor[found["list"], found["q"]], safe[found["q"]] = found["least"], found["cutoff"]
+            yield _rows([q, seen], j, [best[j, 2][q, c], [None] * len(seen)], [best[j, 1][q, c], least[j][seen]])
+
+    first = saved(rows.mapInArrow(local_lists, "q int, list int, rid long, low long"), "lists")
+    least = first.where("rid is null").groupBy("q", "list").agg(F.min("low").alias("least"))
+    cutoff = _kth(first.where("rid is not null").select("q", "rid", "low").distinct(), k)
+    found = least.join(cutoff, "q", "left").select("q", "list", "least", "cutoff").toArrow()
+    q, floor, safe = found["q"].to_numpy(), np.zeros((lists, n), np.int64), np.zeros(n, np.int64)
+    floor[found["list"].to_numpy(), q] = found["least"].to_numpy()
+    some = found["cutoff"].is_valid().to_numpy()
+    safe[q[some]] = found["cutoff"].drop_null().to_numpy()
+    safe = np.where(np.isin(np.arange(n), q[some]), safe - floor.sum(axis=0), 0)  # shifted; 0 where fewer than k are known
     limits = spark.sparkContext.broadcast((floor, safe))
 
-    # Phase 2: shifted partial scores of at least cutoff / lists
+    # Phase 2: shifted partial scores of at least cutoff / lists, summed for each candidate
     def sufficient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (floor, safe) = Block(**sent.value), limits.value
         for batch in batches:
-            for queries, j, rid, part, own in known.tiles(batch, lists):
-                shifted = part - floor[j][queries][:, None]
-                q, c = np.nonzero((lists * shifted >= safe[queries][:, None]) & ~own)
+            for queries, rid, parts, own in known.tiles(batch, lists):
+                parts -= floor[:, queries, None]
+                given = (lists * parts >= safe[queries][:, None]) & ~own
+                q, c = np.nonzero(given.any(axis=0))
                 if len(q):
-                    yield _rows([queries[q]], j, [rid[c]], [shifted[q, c]])
-
-    entries = rows.mapInArrow(sufficient, PARTIALS).groupBy("q", "rid").agg(F.sum("part").alias("low"), F.count("*").alias("known"))
-    entries = saved(entries, "entries")
+                    low, count = np.where(given[:, q, c], parts[:, q, c], 0).sum(axis=0), given[:, q, c].sum(axis=0)
+                    whole = count == lists
+                    better = np.full(n, np.iinfo(np.int64).min)
+                    np.maximum.at(better, queries[q[whole]], 0)
+                    for x in np.unique(q[whole]):  # of complete scores only the k highest of the tile can matter
+                        own_low = low[whole & (q == x)]
+                        if len(own_low) > k:
+                            better[queries[x]] = np.partition(own_low, len(own_low) - k)[-k]
+                    keep = ~whole | (low >= better[queries[q]])
+                    yield pa.RecordBatch.from_arrays([pa.array(queries[q[keep]].astype(np.int32)), pa.array(rid[c[keep]]), pa.array(low[keep]), pa.array(count[keep].astype(np.int32))], names=["q", "rid", "low", "known"])
+
+    entries = saved(rows.mapInArrow(sufficient, "q int, rid long, low long, known int"), "entries")
     safe_rows = spark.createDataFrame([(q, int(x), int(floor[:, q].sum())) for q, x in enumerate(safe)], "q int, cutoff long, shift long")
-    better = F.broadcast(_kth(entries, k).withColumnRenamed("cutoff", "lower"))
+    better = F.broadcast(_kth(entries.where(F.col("known") == lists), k).withColumnRenamed("cutoff", "lower"))
     left = entries.join(F.broadcast(safe_rows), "q").join(better, "q", "left")
-    left = left.where(lists * F.col("low") + (lists - F.col("known")) * F.col("cutoff") >= lists * F.coalesce("lower", F.lit(0)))
+    left = left.where(lists * F.col("low") + (lists - F.col("known")) * F.col("cutoff") >= lists * F.greatest(F.coalesce("lower", F.lit(0)), "cutoff"))
 
     # Phase 3: what is still missing, exactly; then the ranks
     whole = left.where(F.col("known") == lists).select("q", "rid", (F.col("low") + F.col("shift")).alias("score"))
@@ -168,9 +179,14 @@ def _search(rows: DataFrame, block: Block, k: int, lists: int) -> DataFrame:
     open_ = left.where(F.col("known") < lists).select("q", "rid").join(rows, "rid")
 
     def resolve(batch: pa.RecordBatch) -> Iterator[dict]:
-        q, vectors = column(batch, "q").to_numpy(), column(batch, "v").to_pylist()
-        own = {int(x): v for queries, m in sent.value["by_length"].values() for x, v in zip(queries, m)}
-        yield {"q": q, "vec_id": column(batch, "vec_id"), "score": [int(np.dot(own[int(x)], np.array(v, np.int64))) for x, v in zip(q, vectors)]}
+        q, values, score = column(batch, "q").to_numpy(), column(batch, "v"), np.zeros(len(batch), np.int64)
+        length, flat, starts = values.value_lengths().to_numpy(), values.values.to_numpy(), values.offsets.to_numpy()[:-1]
+        for n, (queries, vectors) in sent.value["by_length"].items():
+            place = np.zeros(len(sent.value["ids"]), np.int64)
+            place[queries] = np.arange(len(queries))
+            at = np.flatnonzero(length == n)
+            score[at] = np.einsum("ij,ij->i", vectors[place[q[at]]], flat[starts[at][:, None] + np.arange(n)].reshape(len(at), n))
+        yield {"q": q, "vec_id": column(batch, "vec_id"), "score": score}
 
     scored = whole.unionByName(map_batches(open_, lambda: resolve, "q int, vec_id long, score long"))
     named = F.broadcast(spark.createDataFrame([(q, int(x)) for q, x in enumerate(block.ids)], "q int, query_id long"))
@@ -185,4 +201,4 @@ def _kth(bounds: DataFrame, k: int) -> DataFrame:
 
 def _rows(q: list, j: int, rid: list, part: list) -> pa.RecordBatch:
     q, rid, part = (pa.concat_arrays([pa.array(x, t) for x in xs]) for xs, t in ((q, pa.int32()), (rid, pa.int64()), (part, pa.int64())))
-    return pa.RecordBatch.from_arrays([q, pa.array(np.full(len(q), j, np.int32)), rid, part], names=["q", "list", "rid", "part"])
+    return pa.RecordBatch.from_arrays([q, pa.array(np.full(len(q), j, np.int32)), rid, part], names=["q", "list", "rid", "low"])
