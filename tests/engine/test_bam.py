@@ -24,5 +24,5 @@ def test_reads_blocks_across_members(spark, tmp_path):
     got = [tuple(r)[1:] for r in bam.bam(spark, [str(path)]).orderBy("aln_idx").collect()]
     assert got == [
         (0, "r1", 16, "chr1", 100, 111, 60, "5S4M5D2M", "ACGTNACGTAC", 11, 5, 11, "chr2,5,+,5M,60,0;", 2, None, 7),
-        (2, "r3", 0, "chr2", 3, 6, 9, "3M", None, 3, 0, 3, None, None, None),
+        (2, "r3", 0, "chr2", 3, 6, 9, "3M", None, 3, 0, 3, None, None, None, None),
     ]

@@ -73,7 +73,7 @@ def test_sinks(spark, tmp_path):
 
 
 def test_combining(spark):
-    rows = [(1, 1, "c", "DEL", 1000, -100, 9), (2, 2, "c", "DEL", 1040, -110, 5), (3, 3, "c", "DEL", 9000, -100, 7), (4, 1, "c", "DEL", 1010, -900, 4)]
+    rows = [(1, 1, "c", "DEL", 1000, -100, 9), (2, 2, "c", "DEL", 1040, -110, 5), (3, 3, "c", "DEL", 9000, -100, 7), (4, 1, "c", "DEL", 1010, -3000, 4)]
     df = spark.createDataFrame([(*r, None, None) for r in rows], "call_id long, sample_id long, contig string, svtype string, pos long, svlen long, support long, mate_contig string, mate_pos long").repartition(3)
     got = {r["call_id"]: r["group_id"] for r in combine.combined(df, 3).collect()}
     assert got[1] == got[2] and len(set(got.values())) == 3
