@@ -1,16 +1,22 @@
 """Cross-entropy difference of two matched bigram models.
 
 The target model is counted over the target documents, the background model over all documents.
-They are matched: one order, one smoothing, one vocabulary of WORD_BUCKETS hash buckets of words
-(and BIGRAM_BUCKETS of word pairs), and background counts scaled to the target's number of tokens.
+They are matched: one order, one smoothing, one vocabulary (the V distinct words of all documents),
+and background counts scaled to the target's number of tokens.
 
-    p(w)     = (c(w) + alpha) / (N + alpha * WORD_BUCKETS)
+    p(w)     = (c(w) + alpha) / (N + alpha * V)
     p(w | v) = (c(v, w) + mu * p(w)) / (c(v) + mu)
 
 A document's score is the mean, over its words, of the target's loss less the background's loss;
-lower is closer to the target. Counts cover whole texts of all documents. Each task sums its own
-tables before they are shuffled, so no word is hot. The tables' size is fixed by the buckets, which
-bounds what is broadcast.
+lower is closer to the target. Counts cover whole texts of all documents. Words are 64-bit hashes and
+pairs are two of them; nothing is put into buckets, so all tables grow with the corpus.
+
+First words are counted, in a shuffled table. Of it come N, V and the frequent words, those with at
+least one of FREQUENT tokens: there are at most FREQUENT of them, which bounds what is broadcast.
+Then each document sends its own pairs, once, to the task of their second word, and its last word as
+one more row. What goes to one task is packed, each word once. That task has all of c(v, w) and c(w) there, and c(v) of the word as a context, so it
+finds the losses of the pairs and hands each document its part of the sum. Pairs whose second word
+is frequent go to a task by pair instead; their words' counts are those broadcast.
 
 Defined cases: texts without words (null, empty, blank) have n_words 0 and null scores; rows with
 null ids count in the background and are scored; target ids that no document has do nothing; with no
@@ -20,134 +26,260 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, columns_as, map_batches, plain_words
+from .common import as_bytes, column, columns_as, map_batches, plain_words, saved
 
-WORD_BUCKETS = 1 << 18
-BIGRAM_BUCKETS = 1 << 20
 CACHE_WORDS = 1 << 19
 #: A table of ids is broadcast up to this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Bucket of what stands before the first word.
-START = 0
+#: A word with at least this part of all tokens is frequent.
+FREQUENT = 1 << 16
+#: Tokens that one task of the losses is planned for, and that a task sorts at once.
+TASK_TOKENS, RUN_TOKENS = 2_000_000, 1_000_000
+#: What stands before the first word, and after the last.
+START, END = 0, 1
 
 
-class WordBuckets(dict):
+class WordKeys(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        value = xxhash.xxh64_intdigest(word) % (WORD_BUCKETS - 1) + 1
+        value = max(xxhash.xxh64_intdigest(word), END + 1)
         if len(self) < CACHE_WORDS:
             self[word] = value
         return value
 
     def of(self, text: bytes) -> np.ndarray:
         words = plain_words(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def bigrams(words: np.ndarray) -> np.ndarray:
-    """Buckets of each word with the one before it."""
-    before = np.concatenate([[START], words[:-1]]).astype(np.uint64)
-    x = (before * np.uint64(WORD_BUCKETS) + words.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(29))) % np.uint64(BIGRAM_BUCKETS)).astype(np.int64)
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    """(words, sizes, target, ids) of rows of ``batches`` (doc_id, text, target): their words one after another, the number of each row, its flag and its id."""
+    keys, held, target, ids, n = WordKeys(), [], [], [], 0
+    for batch in batches:
+        for text, flag, own in zip(as_bytes(column(batch, "text")), column(batch, "target").to_pylist(), column(batch, "doc_id").to_pylist()):
+            held.append(keys.of(text))
+            target.append(flag)
+            ids.append(own)
+            n += len(held[-1])
+            if n >= RUN_TOKENS:
+                yield np.concatenate(held), np.array([len(x) for x in held]), np.array(target), ids
+                held, target, ids, n = [], [], [], 0
+    if held:
+        yield np.concatenate(held), np.array([len(x) for x in held]), np.array(target), ids
 
 
-def contexts(words: np.ndarray) -> np.ndarray:
-    return np.concatenate([[START], words[:-1]]).astype(np.int64)
+def flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``target``: whether doc_id is in ``ids`` (doc_id). Broadcast if that is small, by a shuffle else, and saved, so that rows keep their order."""
+    ids = ids.where("doc_id is not null").select("doc_id", F.lit(True).alias("target")).distinct()
+    small = ids.count() <= BROADCAST_ROWS
+    found = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    return found if small else saved(found, "flagged")
 
 
-class Counts:
-    """Tables of one model: words, contexts, bigrams."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, target, background, target_last, background_last): counts of words, and of last words, over all rows of ``docs``."""
 
-    def __init__(self):
-        self.tables = [np.zeros(n, np.int64) for n in (WORD_BUCKETS, WORD_BUCKETS, BIGRAM_BUCKETS)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, sizes, target, _ in runs(batches):
+            found, at = np.unique(words, return_inverse=True)
+            last = (np.cumsum(sizes) - 1)[sizes > 0]
+            own, end = np.repeat(target, sizes), target[sizes > 0]
+            counts = [np.bincount(x, minlength=len(found)).astype(np.int64) for x in (at[own], at, at[last[end]], at[last])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found.view(np.int64), *counts)], names=["word", *names])
+
+    names = ["target", "background", "target_last", "background_last"]
+    return docs.mapInArrow(run, "word long, " + ", ".join(f"{x} long" for x in names)).groupBy("word").agg(*(F.sum(x).alias(x) for x in names))
+
+
+class Models:
+    """What both models know of all documents: totals, and the counts of the frequent words."""
+
+    def __init__(self, words: DataFrame, alpha: float, mu: float):
+        names = ["target", "background", "target_last", "background_last"]
+        total = words.agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in names)).first()
+        self.alpha, self.mu, self.size = alpha, mu, total["n"]
+        n, texts = ([total[a] or 0, total[b] or 0] for a, b in (names[:2], names[2:]))
+        self.tokens = n[1]
+        self.scale = [1.0, n[0] / max(n[1], 1)]
+        self.total = [x * k + alpha * self.size for x, k in zip(n, self.scale)]
+        #: Log of the denominator after START, which each text that has words has once.
+        self.start = [float(self.below(x, i)) for i, x in enumerate(texts)]
+        found = words.where(F.col("background") * FREQUENT >= n[1]).toArrow().sort_by("word")
+        keys = found["word"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], np.stack([found[x].to_numpy()[order] for x in names], axis=1)
 
-    def add(self, texts: list[np.ndarray]) -> None:
-        texts = [x for x in texts if len(x)]
-        if texts:
-            for table, of in zip(self.tables, (lambda x: x, contexts, bigrams)):
-                table += np.bincount(np.concatenate([of(x) for x in texts]), minlength=len(table))
+    @classmethod
+    def of(cls, state: dict) -> Models:
+        """Sent as its ``vars``: workers do not have this package."""
+        self = cls.__new__(cls)
+        self.__dict__.update(state)
+        return self
 
+    def below(self, contexts, i: int):
+        """Log of the denominator after words that are contexts so often."""
+        return np.log(contexts * self.scale[i] + self.mu)
 
-def flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` with ``target``: whether doc_id is in ``ids`` (doc_id). Broadcast if that is small, by a shuffle else."""
-    ids = ids.where("doc_id is not null").select("doc_id", F.lit(True).alias("target")).distinct()
-    small = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    def above(self, pairs: np.ndarray, words: np.ndarray, i: int) -> np.ndarray:
+        """Log of the numerator of pairs, by the counts of the pairs and of their second words."""
+        return np.log(pairs * self.scale[i] + self.mu * (words * self.scale[i] + self.alpha) / self.total[i])
 
+    def frequent(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether words are frequent, and where they then stand in ``counts``."""
+        if not len(self.keys):
+            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
+        return self.keys[at] == words, at
 
-def tables(docs: DataFrame) -> DataFrame:
-    """(kind, bucket, target, background): counts over all rows of ``docs`` (text, target)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, target, background = WordBuckets(), Counts(), Counts()
-        for batch in batches:
-            texts = [buckets.of(x) for x in as_bytes(column(batch, "text"))]
-            background.add(texts)
-            target.add([x for x, t in zip(texts, column(batch, "target").to_pylist()) if t])
-        for kind, (b, t) in enumerate(zip(background.tables, target.tables)):
-            at = np.flatnonzero(b)
-            for i in range(0, len(at), 500_000):
-                part = at[i : i + 500_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(t[part]), pa.array(b[part])], names=["kind", "bucket", "target", "background"])
+ROWS = "bucket int, pairs binary, row long, doc_id long, n long, target double, background double"
 
-    counted = docs.select("text", "target").mapInArrow(run, "kind int, bucket int, target long, background long")
-    return counted.groupBy("kind", "bucket").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
+def record(**columns) -> pa.RecordBatch:
+    """A batch of ROWS; nulls where a column is not given."""
+    size = len(columns["bucket"])
+    types = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "double": pa.float64()}
+    kinds = {name: types[kind] for name, kind in map(str.split, ROWS.split(", "))}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], names=list(kinds))
 
-class Model:
-    """Negative log probabilities under one model."""
 
-    def __init__(self, words: np.ndarray, before: np.ndarray, pairs: np.ndarray, mu: float):
-        self.words, self.before, self.pairs, self.mu = words, before, pairs, mu
+def small(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max())))
 
-    @classmethod
-    def of(cls, counts: list[np.ndarray], scale: float, alpha: float, mu: float) -> Model:
-        words, before, pairs = (x * scale for x in counts)
-        return cls((words + alpha) / (words.sum() + alpha * WORD_BUCKETS), before.astype(np.float32), pairs.astype(np.float32), mu)
 
-    def losses(self, words: np.ndarray) -> np.ndarray:
-        top = self.pairs[bigrams(words)].astype(np.float64) + self.mu * self.words[words]
-        return -np.log(top / (self.before[contexts(words)].astype(np.float64) + self.mu))
+def packed(w: np.ndarray, v: np.ndarray, row: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted pairs with each word written once."""
+    words, pairs = starts(w), starts(w, v)
+    per_word = np.diff(np.append(np.searchsorted(pairs, words), len(pairs)))
+    plain = pickle.dumps((w[words], small(per_word), v[pairs], small(np.diff(np.append(pairs, len(w)))), int(row.min()), small(row - row.min()), small(n)), protocol=5)
+    return len(plain).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(plain, asbytes=True)
 
 
-def fit(docs: DataFrame, alpha: float = 0.1, mu: float = 50.0) -> tuple[Model, Model]:
-    """(target, background) of ``docs`` (text, target)."""
-    found = tables(docs).toArrow()
-    kind, bucket = found["kind"].to_numpy(), found["bucket"].to_numpy()
-    counts = {}
-    for name in ("target", "background"):
-        counts[name], n = Counts().tables, found[name].to_numpy()
-        for i, table in enumerate(counts[name]):
-            table[bucket[kind == i]] = n[kind == i]
-    share = counts["target"][0].sum() / max(counts["background"][0].sum(), 1)
-    return Model.of(counts["target"], 1.0, alpha, mu), Model.of(counts["background"], share, alpha, mu)
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    words, per_word, pairs, per_pair, least, row, n = pickle.loads(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True))
+    return np.repeat(np.repeat(words, per_word), per_pair), np.repeat(pairs, per_pair), row.astype(np.int64) + least, n.astype(np.int64)
 
 
-def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.1, mu: float = 50.0) -> DataFrame:
-    """(doc_id, n_words, target_loss, background_loss, score) for every row; ``target_ids`` (doc_id) name the target documents."""
-    rows = columns_as(docs, doc_id=id_col, text=text_col)
-    sent = docs.sparkSession.sparkContext.broadcast([vars(x) for x in fit(flagged(rows, target_ids), alpha, mu)])
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted, non-empty columns differs from the one before."""
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
 
-    def make():
-        buckets, models = WordBuckets(), [Model(**x) for x in sent.value]
+def pair_rows(docs: DataFrame, sent, buckets: int) -> DataFrame:
+    """Rows by ``bucket``: packed pairs (word, before) of documents with their number n, and (last word, END); and one without for each row of ``docs``, that has its id, its number of words n and the losses known already.
 
-        def step(batch: pa.RecordBatch) -> Iterator[dict]:
-            n, losses = [], ([], [])
-            for text in as_bytes(column(batch, "text")):
-                words = buckets.of(text)
-                n.append(len(words))
-                for model, out in zip(models, losses):
-                    out.append(float(model.losses(words).mean()) if len(words) else None)
-            yield {"doc_id": column(batch, "doc_id"), "n_words": n, "target_loss": losses[0], "background_loss": losses[1], "score": [None if t is None else t - b for t, b in zip(*losses)]}
+    ``row`` is a number of the row, its last bit the flag.
+    """
 
-        return step
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        models = Models.of(sent.value)
+        at = TaskContext.get().partitionId() << 40
+        for words, sizes, target, ids in runs(batches):
+            row = 2 * (at + np.arange(len(sizes))) + target
+            at += len(sizes)
+            some, own = sizes > 0, np.repeat(np.arange(len(sizes)), sizes)
+            end = np.cumsum(sizes)
+            first, last = (end - sizes)[some], (end - 1)[some]
+            before = np.concatenate([words[:1] * 0, words[:-1]])
+            before[first] = START
+            often, where = models.frequent(words)
+
+            # Denominators after START and frequent words
+            inner = often.copy()
+            inner[last] = False
+            known = []
+            for i in range(2):
+                contexts = models.counts[:, i] - models.counts[:, 2 + i]
+                known.append(np.where(some, models.start[i] + np.bincount(own[inner], weights=models.below(contexts, i)[where[inner]], minlength=len(sizes)), 0.0))
+            yield record(bucket=row // 2 % buckets, row=row, n=sizes, doc_id=ids, target=known[0], background=known[1])
+
+            # Pairs; the last words of rows that are not frequent
+            ends = last[~often[last]]
+            w, v, r = (np.concatenate([a, b]) for a, b in ((words, words[ends]), (before, np.full(len(ends), END, np.uint64)), (row[own], row[own[ends]])))
+            if not len(w):
+                continue
+            key = np.where(np.concatenate([often, np.zeros(len(ends), bool)]), (w ^ (v >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15) + v, w)
+            bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.lexsort((v, w, bucket))  # stable, so the rows of a pair stay in order
+            w, v, r, bucket = w[order], v[order], r[order], bucket[order]
+            cut = starts(w, v, r)
+            n = np.diff(np.append(cut, len(w)))
+            w, v, r, bucket = w[cut], v[cut], r[cut], bucket[cut]
+            edge = np.append(starts(bucket), len(w)).tolist()
+            for i in range(0, len(edge) - 1, 64):
+                spans = list(zip(edge[i : i + 64], edge[i + 1 : i + 65]))
+                yield record(bucket=[int(bucket[a]) for a, _ in spans], pairs=[packed(w[a:b], v[a:b], r[a:b], n[a:b]) for a, b in spans])
+
+    return docs.mapInArrow(run, ROWS)
+
+
+def losses(rows: DataFrame, sent) -> DataFrame:
+    """(row, doc_id, n, target, background): parts of the rows' sums of losses; ``rows`` is dealt and sorted by bucket. One part of each row has doc_id and n."""
+
+    names = ["row", "doc_id", "n", "target", "background"]
+
+    def of(models: Models, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """The parts of the pairs of one bucket."""
+        w, v, row, n = (np.concatenate(x) for x in zip(*map(unpacked, held)))
+        order = np.lexsort((v, w))
+        w, v, row, n = w[order], v[order], row[order], n[order]
+        last = v == END
+        cuts = [starts(w, v), starts(w)]
+        often, where = models.frequent(w)
+        sums = []
+        for i in range(2):
+            mine = np.where((row & 1 == 1) | (i == 1), n, 0)
+            counts = [np.repeat(np.add.reduceat(x, cut), np.diff(np.append(cut, len(w)))) for x, cut in ((mine, cuts[0]), (np.where(last, 0, mine), cuts[1]), (np.where(last, -mine, mine), cuts[1]))]
+            words = np.where(often, models.counts[where, i] if len(models.counts) else 0, counts[1])
+            loss = np.where(last, 0.0, -models.above(counts[0], words, i))
+            loss += np.where(often, 0.0, np.where(last, -1.0, 1.0) * models.below(np.where(often, 0, counts[2]), i))
+            sums.append(loss * n)
+        found, at = np.unique(row, return_inverse=True)
+        sums = [np.bincount(at, weights=x) for x in sums]
+        for i in range(0, len(found), 100_000):
+            part = slice(i, i + 100_000)
+            none = pa.nulls(len(found[part]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(found[part]), none, none, *(pa.array(x[part]) for x in sums)], names=names)
 
-    return map_batches(rows, make, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, held, bucket = Models.of(sent.value), [], None
+        for batch in batches:
+            head = column(batch, "pairs").is_null()
+            yield batch.filter(head).select(names)
+            rest = batch.filter(pc.invert(head))
+            for b, data in zip(column(rest, "bucket").to_pylist(), column(rest, "pairs").to_pylist()):
+                if b != bucket and held:
+                    yield from of(models, held)
+                    held = []
+                bucket = b
+                held.append(data)
+        if held:
+            yield from of(models, held)
+
+    return rows.mapInArrow(run, "row long, doc_id long, n long, target double, background double")
+
+
+def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.1, mu: float = 50.0) -> DataFrame:
+    """(doc_id, n_words, target_loss, background_loss, score) for every row; ``target_ids`` (doc_id) name the target documents."""
+    spark = docs.sparkSession
+    rows = flagged(columns_as(docs, doc_id=id_col, text=text_col), target_ids)
+    models = Models(saved(word_counts(rows), "words"), alpha, mu)
+    sent = spark.sparkContext.broadcast(vars(models))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-models.tokens // TASK_TOKENS))
+    parts = losses(pair_rows(rows, sent, tasks).repartition(tasks, "bucket").sortWithinPartitions("bucket"), sent)
+    found = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_words"), F.sum("target").alias("t"), F.sum("background").alias("b"))
+    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words"))
+    return found.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score"))

@@ -1,0 +1,57 @@
+import math
+from collections import Counter
+
+import pytest
+
+from helixframe.llm import lm_scoring as lm
+from helixframe.llm.queries import op3_lm_scoring
+
+from .helpers import PLAIN, SF, empty, lower, odd_documents
+from .test_lm_scoring import same
+
+
+def brute(docs, target, alpha=0.1, mu=50.0):
+    """Over the words themselves."""
+    texts = [(d, PLAIN.findall(lower(t or ""))) for d, t in docs]
+    size = len({x for _, w in texts for x in w})
+    models = []
+    for chosen in ([w for d, w in texts if d in target], [w for _, w in texts]):
+        words, before, pairs = Counter(), Counter(), Counter()
+        for w in chosen:
+            words.update(w)
+            before.update([None, *w[:-1]] if w else [])
+            pairs.update(zip([None, *w], w))
+        models.append((words, before, pairs, sum(words.values())))
+    scale = [1.0, models[0][3] / max(models[1][3], 1)]
+    out = []
+    for d, w in texts:
+        loss = []
+        for (words, before, pairs, n), k in zip(models, scale):
+            p = lambda x: (words[x] * k + alpha) / (n * k + alpha * size)  # noqa: B023, E731
+            loss.append(-sum(math.log((pairs[a, b] * k + mu * p(b)) / (before[a] * k + mu)) for a, b in zip([None, *w], w)) / len(w) if w else None)
+        out.append((d, len(w), *loss, loss[0] - loss[1] if w else None))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [1 << 16, 100, 0])
+def test_table(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "RUN_TOKENS", 20_000)
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = op3_lm_scoring(spark, SF).collect()
+    assert all(r["target_loss"] is None or r["target_loss"] > 0 and r["background_loss"] > 0 for r in got)
+    same(got, brute(docs, good))
+
+
+@pytest.mark.parametrize("frequent", [1 << 16, 4, 0])
+def test_odd_rows(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    docs = odd_documents(spark, ["a b a b c", "c c a", "É é e"])
+    pairs = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    ids = spark.createDataFrame([(10,), (10,), (4,), (None,), (999,)], "doc_id long")
+    same(lm.score(docs, ids).collect(), brute(pairs, {10, 4}))
+    monkeypatch.setattr(lm, "BROADCAST_ROWS", 0)
+    same(lm.score(docs, ids).collect(), brute(pairs, {10, 4}))
+    same(lm.score(docs, empty(ids)).collect(), brute(pairs, set()))
+    assert lm.score(empty(docs), ids).count() == 0
