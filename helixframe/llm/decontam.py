@@ -228,32 +228,73 @@ def cut_spans(text: bytes, spans: bytes) -> bytes:
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` (doc_id, text, ...) without the hit spans; a document goes if more than ``max_coverage`` of its words are hit.
 
-    All other columns stay. Texts without hits are handed on unchanged.
+    All other columns stay. Texts without hits are handed on unchanged. The marks of all shards are united
+    before anything is cut or judged.
     """
     names = [f.name for f in docs.schema.fields]
-    renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    found = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index('text')}"
-    found = renamed
+    before = None
     for shard in shards(columns_as(items, item_id="item_id", text="text"), window):
-        found = _remove_pass(saved(found, "decontaminated") if found is not renamed else found, text, shard, window, max_coverage)
-    return found.toDF(*names)
+        if before is not None:
+            found = saved(_span_pass(found, text, before, window), "marks")
+        before = shard
+    return _remove_pass(found, text, before, window, max_coverage).toDF(*names)
+
+
+def _united(spans: bytes | None, hit: np.ndarray | None, n: int) -> np.ndarray | None:
+    """``hit`` with the words of earlier spans."""
+    if spans:
+        hit = np.zeros(n, bool) if hit is None else hit
+        for a, b in np.frombuffer(spans, "<i8").reshape(-1, 2):
+            hit[a:b] = True
+    return hit
+
+
+def _spans(hit: np.ndarray) -> bytes:
+    return np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).astype("<i8").tobytes()
+
+
+def _span_pass(df: DataFrame, text: str, shard: list, window: int) -> DataFrame:
+    """``df`` with ``spans``, those it has already and the shard's; the text stays."""
+    sent = df.sparkSession.sparkContext.broadcast(shard)
+    old = "spans" in df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value, window)
+        for batch in batches:
+            spans = []
+            for value, own in zip(column(batch, text).cast(pa.binary()).to_pylist(), column(batch, "spans").to_pylist() if old else [None] * len(batch)):
+                words = plain_words(value or b"")
+                hit = _united(own, matcher.mark(words)[0], len(words))
+                spans.append(None if hit is None else _spans(hit))
+            kept = [c for c in batch.schema.names if c != "spans"]
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), pa.array(spans, pa.binary())], names=[*kept, "spans"])
+
+    schema = df.drop("spans").schema.add("spans", "binary")
+    return df.select(*schema.names[:-1], *(["spans"] if old else [])).mapInArrow(run, schema)
 
 
 def _remove_pass(df: DataFrame, text: str, shard: list, window: int, max_coverage: float) -> DataFrame:
+    """The last pass: cuts what ``spans`` of ``df``, if any, and the shard's cover."""
     sent = df.sparkSession.sparkContext.broadcast(shard)
-    at = df.columns.index(text)
+    old = "spans" in df.columns
+    schema = df.drop("spans").schema
+    at = schema.names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value, window)
         for batch in batches:
             out, keep = [], []
-            for value in batch.column(at).cast(pa.binary()).to_pylist():
+            before = column(batch, "spans").to_pylist() if old else [None] * len(batch)
+            batch = batch.select([c for c in batch.schema.names if c != "spans"])
+            for value, own in zip(batch.column(at).cast(pa.binary()).to_pylist(), before):
                 words = plain_words(value or b"")
-                hit, _ = matcher.mark(words)
+                hit = _united(own, matcher.mark(words)[0], len(words))
                 if hit is not None:
-                    value = cut_spans(value, np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).astype("<i8").tobytes())
+                    value = cut_spans(value, _spans(hit))
                 out.append(value)
                 keep.append(hit is None or hit.sum() <= max_coverage * len(words))
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.binary()).cast(batch.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, schema)
