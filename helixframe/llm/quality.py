@@ -1,11 +1,14 @@
 """Quality classification by hierarchical empirical Bayes.
 
 Evidence of a document: for each feature (words, trailing signs, shares of the commonest word, of
-capitals and of words said twice; by language), its documents among the rejected and the accepted
+capitals and of words said twice; counted by language), its documents among the rejected and the accepted
 labels give a log likelihood ratio. It counts if it speaks for rejection, at a ratio of at least
 ``least_ratio``, with a signed root of the likelihood-ratio statistic of at least ``least_z``, and if
 at least ``least_share`` of the language's rejected have it: words that only a group of copies
-shares say nothing of others. A document's evidence is the sum over its distinct features. All
+shares say nothing of others. Languages with few labels, or none of a kind, lean on all languages: a
+feature also counts if it does so over all labels together, against what the languages' own rates of
+rejection lead to expect; and a language's own counts are joined by ``pool_weight`` documents of each
+kind that have the feature as often as all languages' do. A document's evidence is the sum over its distinct features. All
 labelled documents are counted.
 
 Levels: features are not independent, and long texts hold more of them by chance, so evidence is not
@@ -23,7 +26,7 @@ global rate in the document's odds.
 All of that is grouped aggregation of sums; hosts and paths meet documents in joins that adaptive
 execution may split. Only the significant features are broadcast: each is in ``least_share`` of a
 language's rejected documents, so there are at most the mean number of features of those documents,
-divided by ``least_share``, for each language.
+divided by ``least_share``, for each language and for all together.
 
 Defined cases: a null or empty text has no features, so no evidence; a null source or language is
 "" at its level; labels of unknown documents, null ids or null values teach nothing; several labels
@@ -86,14 +89,14 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(marks) if small else marks, F.col("doc_id") == F.col("label_id")).drop("label_id")
 
 
-def weights(rows: DataFrame, least_ratio: float, least_z: float, least_share: float) -> tuple[np.ndarray, np.ndarray]:
-    """The features that count, sorted, and their log likelihood ratios of rejection. ``rows``: (text, lang, bad)."""
+def weights(rows: DataFrame, least_ratio: float, least_z: float, least_share: float, pool_weight: float) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
+    """By language, and under None for languages without labels: the features that count, sorted, and their log likelihood ratios of rejection. ``rows``: (text, lang, bad)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         for batch in batches:
             for text, lang, bad in zip(as_bytes(column(batch, "text")), column(batch, "lang").to_pylist(), column(batch, "bad").to_pylist()):
-                held.setdefault(lang or "", []).append((features(text, lang), bad))
+                held.setdefault(lang or "", []).append((features(text), bad))
         for lang, found in held.items():  # a task's own labelled documents, so that it sends each feature once
             names = np.concatenate([f for f, _ in found])
             bad = np.repeat([b for _, b in found], [len(f) for f, _ in found])
@@ -106,28 +109,53 @@ def weights(rows: DataFrame, least_ratio: float, least_z: float, least_share: fl
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.int64()), pa.array([total[0]], pa.int64()), pa.array([total[1]], pa.int64())], names=["lang", "feature", "good", "bad"])
 
     counted = rows.select("text", "lang", "bad").mapInArrow(run, "lang string, feature long, good long, bad long")
-    counted = saved(counted.groupBy("lang", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where("bad > 0 or feature is null"), "features")
-    total = counted.where("feature is null").select("lang", F.col("good").alias("all_good"), F.col("bad").alias("all_bad")).where("good > 0 and bad > 0")
-    x = counted.where("feature is not null").join(F.broadcast(total), "lang").where(F.col("bad") >= least_share * F.col("all_bad"))
+    counted = saved(counted.groupBy("lang", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "features")
+    total = counted.where("feature is null").select("lang", F.col("good").alias("all_good"), F.col("bad").alias("all_bad"))
+    totals = {r["lang"]: (r["all_good"], r["all_bad"]) for r in total.collect()}
+    all_good, all_bad = (sum(x) for x in zip(*totals.values())) if totals else (0, 0)
+    x = counted.where("feature is not null").join(F.broadcast(total), "lang")
+
+    # Significant: more rejected than the languages' own shares lead to expect; in one language, or in all together
+    n = F.col("bad") + F.col("good")
+    x = x.withColumn("expected", n * F.col("all_bad") / (F.col("all_bad") + F.col("all_good")))
+    term = lambda c, e: F.when((F.col(c) > 0) & (e > 0), F.col(c) * F.log(F.col(c) / e)).otherwise(0.0)
+    root = F.sqrt(F.greatest(2 * (term("bad", F.col("expected")) + term("good", n - F.col("expected"))), F.lit(0.0)))
     ratio = F.log((F.col("bad") + 0.5) / (F.col("all_bad") + 1.0)) - F.log((F.col("good") + 0.5) / (F.col("all_good") + 1.0))
-    n, share = F.col("bad") + F.col("good"), F.col("all_bad") / (F.col("all_bad") + F.col("all_good"))
-    term = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
-    root = F.sqrt(F.greatest(2 * (term("bad", share) + term("good", 1 - share)), F.lit(0.0)))
-    kept = x.select("feature", ratio.alias("w"), root.alias("z")).where((F.col("w") >= math.log(least_ratio)) & (F.col("z") >= least_z)).toArrow()
-    names, values = kept["feature"].to_numpy(), kept["w"].to_numpy()
-    order = np.argsort(names)
-    return names[order], values[order]
-
-
-def evidence(rows: DataFrame, found: tuple[np.ndarray, np.ndarray], passed: list[str]) -> DataFrame:
+    counts = (F.col("bad") > 0) & (F.col("bad") >= least_share * F.col("all_bad")) & (ratio >= math.log(least_ratio)) & (root >= least_z)
+    own = x.where((F.col("all_good") > 0) & (F.col("all_bad") > 0) & counts).select("lang", "feature")
+    pooled = x.groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum("expected").alias("expected"))
+    pooled = pooled.withColumns({"all_good": F.lit(all_good), "all_bad": F.lit(all_bad)}).where(counts & (F.col("bad") > F.col("expected"))).select(F.lit(None).cast("string").alias("lang"), "feature")
+    chosen = saved(own.unionByName(pooled), "chosen")
+    cells = x.join(F.broadcast(chosen.select("feature").distinct()), "feature", "left_semi").select("lang", "feature", "good", "bad").toArrow()
+    chosen = chosen.toArrow()
+
+    # A language's counts, with pool_weight documents of each kind that are as the pooled ones
+    names = np.unique(chosen["feature"].to_numpy())
+    at, of = np.searchsorted(names, cells["feature"].to_numpy()), np.array(cells["lang"].to_pylist(), object)
+    good, bad = cells["good"].to_numpy(), cells["bad"].to_numpy()
+    rate = [(np.bincount(at, weights=c, minlength=len(names)) + 0.5) / (k + 1.0) for c, k in ((good, all_good), (bad, all_bad))]
+    picked: dict[str | None, np.ndarray] = {lang: np.zeros(len(names), bool) for lang in (None, *totals)}
+    for lang, i in zip(chosen["lang"].to_pylist(), np.searchsorted(names, chosen["feature"].to_numpy())):
+        picked[lang][i] = True
+    out = {None: (names[picked[None]], np.log(rate[1] / rate[0])[picked[None]])}
+    for lang, k in totals.items():
+        mine = of == lang
+        own_rate = [(np.bincount(at[mine], weights=c[mine], minlength=len(names)) + 0.5 + pool_weight * r) / (m + 1.0 + pool_weight) for c, m, r in zip((good, bad), k, rate)]
+        value = np.log(own_rate[1] / own_rate[0])
+        keep = (picked[lang] | picked[None]) & (value >= math.log(least_ratio))
+        out[lang] = names[keep], value[keep]
+    return out
+
+
+def evidence(rows: DataFrame, found: dict[str | None, tuple[np.ndarray, np.ndarray]], passed: list[str]) -> DataFrame:
     """``passed`` columns of ``rows``, and the evidence and size of ``text``."""
     sent = rows.sparkSession.sparkContext.broadcast(found)
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        names, values = sent.value
         sums, sizes = [], []
         for text, lang in zip(as_bytes(column(batch, "text")), column(batch, "lang").to_pylist()):
-            at = features(text, lang)
+            names, values = sent.value.get(lang or "", sent.value[None])
+            at = features(text)
             hit = np.isin(names, at, assume_unique=True)
             sums.append(float(values[hit].sum()))
             sizes.append(len(at).bit_length())
@@ -167,12 +195,12 @@ def rates(seen: list, weight: float) -> tuple[float, dict[str, float], dict[str,
     return prior, by_level, {f"{r['level']}:{r['size']}": (r["bad"] + weight * by_level[str(r["level"])]) / (r["n"] + weight) for r in seen}
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, least_ratio: float = 10.0, least_z: float = 4.0, least_share: float = 0.02, level_weight: float = 5.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, least_ratio: float = 10.0, least_z: float = 4.0, least_share: float = 0.02, level_weight: float = 5.0, pool_weight: float = 5.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """(doc_id, evidence, host_rate, path_rate, p_reject, rejected) for every row."""
     rows = columns_as(docs, doc_id=id_col, text=text_col, source=source_col, lang=lang_col)
     source = F.coalesce("source", F.lit(""))
     rows = rows.select("doc_id", "text", "lang", F.regexp_extract(source, r"^(?:[A-Za-z]+://)?([^/?#]*)", 1).alias("host"), F.concat_ws("/", F.regexp_replace(source, r"/[^/]*$", ""), F.coalesce("lang", F.lit(""))).alias("path"))
-    found = weights(labelled(rows.select("doc_id", "text", "lang"), labels), least_ratio, least_z, least_share)
+    found = weights(labelled(rows.select("doc_id", "text", "lang"), labels), least_ratio, least_z, least_share, pool_weight)
     scored = saved(evidence(rows, found, ["doc_id", "host", "path"]), "evidence")
 
     level = F.least(F.floor("evidence"), F.lit(TOP_LEVEL)).alias("level")
