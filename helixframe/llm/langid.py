@@ -3,14 +3,21 @@
 Features are n-grams of UTF-8 bytes of the lower-cased text, ASCII other than letters as blanks,
 counted in DIM hash buckets; a weight is log(1 + count) * idf, vectors have unit length. Document
 frequencies cover all learning documents. Each language has up to ``centroids`` unit centroids from
-spherical k-means over at most ``per_language`` of its documents (those with the smallest id hash,
-whole texts): the bound of what is sent to the driver. A text gets the language of the centroid with
-the highest cosine. It is rejected if that cosine is below the language's floor: ``quantile`` of the
-cosines that the learning documents have with their own language's centroids, less ``slack``.
+spherical k-means over at most ``per_language`` of its documents (whole texts, those with the smallest
+hashes of id and text, of repeated rows one): the bound of what one task clusters. A text gets the
+language of the centroid with the highest cosine. It is rejected if that cosine is below the
+language's floor: ``quantile`` of the cosines that the clustered documents have with their own
+language's centroids, less ``slack``.
+
+The sample needs no ranking of a language's documents: a language of n documents gives the hashes of
+a share of about ``per_language`` / n, and the bound lies among these. So a language may hold any share
+of the rows. The driver gets a row for each language (its centroids and floor), and the sample's hashes.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and rejected; an empty
 text likewise; rows with null language or null id teach nothing; equal documents count as often as
-they come; if nothing can be learned, all texts are ``und``; other columns are ignored.
+they come in document frequencies, and once in the sample if their id is equal too; ties of cosines go
+to the language that sorts first; if nothing can be learned, all texts are ``und``; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import as_bytes, column, columns_as, map_batches
@@ -56,7 +62,7 @@ def counts(text: bytes) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, languages: list[str], centroids: np.ndarray, owner: np.ndarray, floors: np.ndarray):
+    def __init__(self, idf: np.ndarray, languages: list[str] | None = None, centroids: np.ndarray | None = None, owner: np.ndarray | None = None, floors: np.ndarray | None = None):
         self.idf, self.languages, self.centroids, self.owner, self.floors = idf, languages, centroids, owner, floors
 
     def vectors(self, rows: np.ndarray) -> np.ndarray:
@@ -109,28 +115,40 @@ def fit(docs: DataFrame, per_language: int = 400, centroids: int = 3, quantile:
     for bucket, n in seen.items():
         idf[bucket] = np.log((1 + documents) / (1 + n)) + 1
 
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", F.lit(1).alias("chosen")).distinct()
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("lang", "text")
-
-    def vectors(batch: pa.RecordBatch) -> Iterator[dict]:
-        rows = [counts(x) for x in as_bytes(column(batch, "text"))]
-        yield {"lang": column(batch, "lang"), "at": [np.flatnonzero(x).astype("<i4").tobytes() for x in rows], "n": [x[x > 0].astype("<i4").tobytes() for x in rows]}
-
-    by: dict[str, list[np.ndarray]] = {}
-    for row in map_batches(sample, lambda: vectors, "lang string, at binary, n binary").toLocalIterator():
-        x = np.zeros(DIM, np.int32)
-        x[np.frombuffer(row["at"], "<i4")] = np.frombuffer(row["n"], "<i4")
-        by.setdefault(row["lang"], []).append(x)
-    model = Model(idf, sorted(by), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(len(by)))
-    found, owner = [model.centroids], []
-    for i, language in enumerate(model.languages):
-        x = model.vectors(np.array(by[language])[np.lexsort(np.array(by[language]).T[:8])])
-        found.append(clustered(x, centroids))
-        owner += [i] * len(found[-1])
-        model.floors[i] = max(0.0, float(np.quantile((x @ found[-1].T).max(axis=1), quantile)) - slack)
-    model.centroids, model.owner = np.concatenate(found), np.array(owner, int)
-    return model
+    sample = sampled(docs, per_language)
+    sent = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def learn(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("h")
+        x = Model(sent.value).vectors(np.array([counts(t) for t in as_bytes(rows["text"].combine_chunks())]))
+        found = clustered(x, centroids)
+        floor = max(0.0, float(np.quantile((x @ found.T).max(axis=1), quantile)) - slack)
+        return pa.table({"lang": rows["lang"][:1], "centroids": pa.array([found.tobytes()], pa.binary()), "floor": pa.array([floor])})
+
+    learned = sample.groupBy("lang").applyInArrow(learn, "lang string, centroids binary, floor double").toArrow().sort_by("lang")
+    found = [np.frombuffer(x, np.float32).reshape(-1, DIM) for x in learned["centroids"].to_pylist()]
+    owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    return Model(idf, learned["lang"].to_pylist(), np.concatenate([np.zeros((0, DIM), np.float32), *found]), owner, learned["floor"].to_numpy())
+
+
+def sampled(docs: DataFrame, per_language: int) -> DataFrame:
+    """(lang, h, text): of each language the ``per_language`` rows of ``docs`` (doc_id, text, lang) with the smallest hash h of id and text; of equal ones one."""
+    spark = docs.sparkSession
+    hashed = docs.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    share = {r["lang"]: (per_language + 6 * per_language**0.5) / r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    cut: dict[str, int] = {}
+    while share:  # again, with more, only where rows that repeat have left too few
+        limits = {k: min(int(x * 2**63), 2**63 - 1) for k, x in share.items()}
+        near = hashed.select("lang", "h").join(F.broadcast(spark.createDataFrame(list(limits.items()), "lang string, most long")), "lang").where("h <= most").select("lang", "h").distinct()
+        found: dict[str, list[int]] = {k: [] for k in share}
+        for r in near.collect():
+            found[r["lang"]].append(r["h"])
+        for k, hashes in found.items():
+            if len(hashes) >= per_language or share[k] >= 1:
+                cut[k] = sorted(hashes)[min(per_language, len(hashes)) - 1]
+        share = {k: 4 * x for k, x in share.items() if k not in cut}
+    cuts = spark.createDataFrame(list(cut.items()), "lang string, most long")
+    return hashed.join(F.broadcast(cuts), "lang").where("h <= most").groupBy("lang", "h").agg(F.max("text").alias("text"))
 
 
 def held_out(folds: int = 3, fold: int = 1) -> Column:
