@@ -1,7 +1,7 @@
 """Quality classification by hierarchical empirical Bayes.
 
-Evidence of a document: for each feature (words, trailing signs, shares of the commonest word, of
-capitals and of words said twice; counted by language), its documents among the rejected and the accepted
+Evidence of a document: for each feature (words, trailing signs, and whether the commonest word, words
+said twice or capitals have at least a tenth, two tenths, ... of the text; counted by language), its documents among the rejected and the accepted
 labels give a log likelihood ratio. It counts if it speaks for rejection, at a ratio of at least
 ``least_ratio``, with a signed root of the likelihood-ratio statistic of at least ``least_z``, and if
 at least ``least_share`` of the language's rejected have it: words that only a group of copies
@@ -15,7 +15,10 @@ Levels: features are not independent, and long texts hold more of them by chance
 yet a probability. Documents of one level (whole part of the evidence) have the rate of rejection
 that the labelled ones of the level show, shrunk by ``level_weight`` documents to what independent
 features would give; those of one level and size (whole part of the binary logarithm of the number
-of distinct features) that of their own labelled ones, shrunk likewise to the level's.
+of distinct features) that of their own labelled ones, shrunk likewise to the level's. For that the
+labelled documents' own evidence is out of fold: labels are dealt into FOLDS by their ids, and a
+document's evidence comes from the labels of the other folds. So levels show what evidence is worth
+on documents that it was not found in.
 
 Sites: a document's host and path (of its source; the language is the path's last part) have rates
 of rejection, summed over the levels' rates of all their documents, labelled or not. The host's rate
@@ -39,7 +42,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -58,12 +60,16 @@ SMALL = bytes(range(97, 123))
 LEAST_WEIGHT, MOST_WEIGHT = 2.0, 1e6
 
 
-#: Level of the highest evidence; more is taken for as much.
+#: Level of the highest evidence: odds of 5e8, beyond which no rate could be told apart.
 TOP_LEVEL = 20
+#: Parts of the labels, of which one is left out when its own documents' evidence is taken.
+FOLDS = 3
+#: Features that a task counts at once.
+RUN_FEATURES = 2_000_000
 
 
-def features(text: bytes, lang: str | None = None) -> np.ndarray:
-    """64-bit hashes, sorted, of the distinct features of a text of that language."""
+def features(text: bytes) -> np.ndarray:
+    """64-bit hashes, sorted, of the distinct features of a text."""
     import xxhash
 
     words = text.split()
@@ -73,12 +79,11 @@ def features(text: bytes, lang: str | None = None) -> np.ndarray:
     names = {b"w " + w.lower() for w in counts}
     names |= {b"s " + m[0] for w in counts if (m := SIGNS.search(w))}
     if len(words) >= 10:
-        names.add(b"r %d" % (10 * max(counts.values()) // len(words)))
-        names.add(b"d %d" % (10 * sum(map(bytes.__eq__, words, words[1:])) // len(words)))
         big, small = (len(text) - len(text.translate(None, x)) for x in (CAPITALS, SMALL))
-        names.add(b"u %d" % (10 * big // max(big + small, 1)))
-    seed, digest = zlib.crc32((lang or "").encode()), xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(x, seed) for x in names), np.uint64, len(names)).view(np.int64))
+        shares = (b"r", max(counts.values()), len(words)), (b"d", sum(map(bytes.__eq__, words, words[1:])), len(words)), (b"u", big, max(big + small, 1))
+        names.update(b"%b %d" % (kind, k) for kind, n, of in shares for k in range(1, 10 * n // of + 1))
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(x) for x in names), np.uint64, len(names)).view(np.int64))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -89,31 +94,53 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(marks) if small else marks, F.col("doc_id") == F.col("label_id")).drop("label_id")
 
 
-def weights(rows: DataFrame, least_ratio: float, least_z: float, least_share: float, pool_weight: float) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """By language, and under None for languages without labels: the features that count, sorted, and their log likelihood ratios of rejection. ``rows``: (text, lang, bad)."""
+Weights = dict[str | None, tuple[np.ndarray, np.ndarray]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        for batch in batches:
-            for text, lang, bad in zip(as_bytes(column(batch, "text")), column(batch, "lang").to_pylist(), column(batch, "bad").to_pylist()):
-                held.setdefault(lang or "", []).append((features(text), bad))
-        for lang, found in held.items():  # a task's own labelled documents, so that it sends each feature once
-            names = np.concatenate([f for f, _ in found])
-            bad = np.repeat([b for _, b in found], [len(f) for f, _ in found])
-            keys, at = np.unique(names, return_inverse=True)
+
+def fold_of(doc_id: str):
+    return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)), F.lit(0)).cast("int")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(without, lang, feature, good, bad), saved: labelled documents with a feature, or with any (null), of all folds but ``without`` (-1: of all). ``rows``: (text, lang, bad, fold)."""
+    names = ["lang", "fold", "feature", "good", "bad"]
+
+    def flushed(held: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, fold), found in held.items():
+            keys, at = np.unique(np.concatenate([f for f, _ in found]), return_inverse=True)
+            bad = np.repeat([b for _, b in found], [len(f) for f, _ in found]).astype(bool)
             counts = [np.bincount(at, weights=w, minlength=len(keys)).astype(np.int64) for w in (~bad, bad)]
             total = [sum(not b for _, b in found), sum(b for _, b in found)]
-            for i in range(0, len(keys), 200_000):
-                part = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys[part])), pa.array(keys[part]), pa.array(counts[0][part]), pa.array(counts[1][part])], names=["lang", "feature", "good", "bad"])
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.int64()), pa.array([total[0]], pa.int64()), pa.array([total[1]], pa.int64())], names=["lang", "feature", "good", "bad"])
-
-    counted = rows.select("text", "lang", "bad").mapInArrow(run, "lang string, feature long, good long, bad long")
-    counted = saved(counted.groupBy("lang", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "features")
-    total = counted.where("feature is null").select("lang", F.col("good").alias("all_good"), F.col("bad").alias("all_bad"))
-    totals = {r["lang"]: (r["all_good"], r["all_bad"]) for r in total.collect()}
-    all_good, all_bad = (sum(x) for x in zip(*totals.values())) if totals else (0, 0)
-    x = counted.where("feature is not null").join(F.broadcast(total), "lang")
+            features = pa.concat_arrays([pa.array(keys, pa.int64()), pa.nulls(1, pa.int64())])
+            n = len(features)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array([fold] * n, pa.int32()), features, *(pa.array(np.append(c, t), pa.int64()) for c, t in zip(counts, total))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = {}, 0  # several documents together, so that each feature is sent once for them
+        for batch in batches:
+            for text, lang, bad, fold in zip(as_bytes(column(batch, "text")), *(column(batch, c).to_pylist() for c in ("lang", "bad", "fold"))):
+                found = features(text)
+                held.setdefault((lang or "", fold), []).append((found, bad))
+                n += len(found)
+                if n >= RUN_FEATURES:
+                    yield from flushed(held)
+                    held, n = {}, 0
+        yield from flushed(held)
+
+    counts = rows.select("text", "lang", "bad", "fold").mapInArrow(run, "lang string, fold int, feature long, good long, bad long")
+    by_fold = counts.groupBy("lang", "fold", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    without = F.explode(F.filter(F.sequence(F.lit(-1), F.lit(FOLDS - 1)), lambda k: k != F.col("fold"))).alias("without")
+    left = by_fold.select(without, "lang", "feature", "good", "bad").groupBy("without", "lang", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    return saved(left, "features")
+
+
+def weights(rows: DataFrame, least_ratio: float, least_z: float, least_share: float, pool_weight: float) -> dict[int, Weights]:
+    """By fold left out (-1: none), then by language, and under None for languages without labels: the features that count, sorted, and their log likelihood ratios of rejection."""
+    counts = counted(rows)
+    own, pool = ["without", "lang"], ["without"]
+    total = counts.where("feature is null").select(*own, F.col("good").alias("all_good"), F.col("bad").alias("all_bad"))
+    overall = total.groupBy(*pool).agg(F.sum("all_good").alias("all_good"), F.sum("all_bad").alias("all_bad"))
+    x = counts.where("feature is not null").join(F.broadcast(total), own)
 
     # Significant: more rejected than the languages' own shares lead to expect; in one language, or in all together
     n = F.col("bad") + F.col("good")
@@ -121,15 +148,20 @@ def weights(rows: DataFrame, least_ratio: float, least_z: float, least_share: fl
     term = lambda c, e: F.when((F.col(c) > 0) & (e > 0), F.col(c) * F.log(F.col(c) / e)).otherwise(0.0)
     root = F.sqrt(F.greatest(2 * (term("bad", F.col("expected")) + term("good", n - F.col("expected"))), F.lit(0.0)))
     ratio = F.log((F.col("bad") + 0.5) / (F.col("all_bad") + 1.0)) - F.log((F.col("good") + 0.5) / (F.col("all_good") + 1.0))
-    counts = (F.col("bad") > 0) & (F.col("bad") >= least_share * F.col("all_bad")) & (ratio >= math.log(least_ratio)) & (root >= least_z)
-    own = x.where((F.col("all_good") > 0) & (F.col("all_bad") > 0) & counts).select("lang", "feature")
-    pooled = x.groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum("expected").alias("expected"))
-    pooled = pooled.withColumns({"all_good": F.lit(all_good), "all_bad": F.lit(all_bad)}).where(counts & (F.col("bad") > F.col("expected"))).select(F.lit(None).cast("string").alias("lang"), "feature")
-    chosen = saved(own.unionByName(pooled), "chosen")
-    cells = x.join(F.broadcast(chosen.select("feature").distinct()), "feature", "left_semi").select("lang", "feature", "good", "bad").toArrow()
-    chosen = chosen.toArrow()
-
-    # A language's counts, with pool_weight documents of each kind that are as the pooled ones
+    counts_for = (F.col("bad") > 0) & (F.col("bad") >= least_share * F.col("all_bad")) & (ratio >= math.log(least_ratio)) & (root >= least_z)
+    in_one = x.where((F.col("all_good") > 0) & (F.col("all_bad") > 0) & counts_for).select(*own, "feature")
+    pooled = x.groupBy(*pool, "feature").agg(*(F.sum(c).alias(c) for c in ("good", "bad", "expected"))).join(F.broadcast(overall), pool)
+    in_all = pooled.where(counts_for & (F.col("bad") > F.col("expected"))).select(*pool, F.lit(None).cast("string").alias("lang"), "feature")
+    chosen = saved(in_one.unionByName(in_all), "chosen")
+    cells = x.join(F.broadcast(chosen.select(*pool, "feature").distinct()), [*pool, "feature"], "left_semi").select(*own, "feature", "good", "bad").toArrow()
+    chosen, totals = chosen.toArrow(), total.collect()
+    of = lambda table, k: table.filter(np.asarray(table["without"]) == k) if len(table) else table
+    return {k: _pooled(of(chosen, k), of(cells, k), {r["lang"]: (r["all_good"], r["all_bad"]) for r in totals if r["without"] == k}, least_ratio, pool_weight) for k in range(-1, FOLDS)}
+
+
+def _pooled(chosen: pa.Table, cells: pa.Table, totals: dict[str, tuple[int, int]], least_ratio: float, pool_weight: float) -> Weights:
+    """Each language's counts of the chosen features, with ``pool_weight`` documents of each kind that are as the pooled ones."""
+    all_good, all_bad = (sum(x) for x in zip(*totals.values())) if totals else (0, 0)
     names = np.unique(chosen["feature"].to_numpy())
     at, of = np.searchsorted(names, cells["feature"].to_numpy()), np.array(cells["lang"].to_pylist(), object)
     good, bad = cells["good"].to_numpy(), cells["bad"].to_numpy()
@@ -137,7 +169,7 @@ def weights(rows: DataFrame, least_ratio: float, least_z: float, least_share: fl
     picked: dict[str | None, np.ndarray] = {lang: np.zeros(len(names), bool) for lang in (None, *totals)}
     for lang, i in zip(chosen["lang"].to_pylist(), np.searchsorted(names, chosen["feature"].to_numpy())):
         picked[lang][i] = True
-    out = {None: (names[picked[None]], np.log(rate[1] / rate[0])[picked[None]])}
+    out: Weights = {None: (names[picked[None]], np.log(rate[1] / rate[0])[picked[None]])}
     for lang, k in totals.items():
         mine = of == lang
         own_rate = [(np.bincount(at[mine], weights=c[mine], minlength=len(names)) + 0.5 + pool_weight * r) / (m + 1.0 + pool_weight) for c, m, r in zip((good, bad), k, rate)]
@@ -147,22 +179,27 @@ def weights(rows: DataFrame, least_ratio: float, least_z: float, least_share: fl
     return out
 
 
-def evidence(rows: DataFrame, found: dict[str | None, tuple[np.ndarray, np.ndarray]], passed: list[str]) -> DataFrame:
-    """``passed`` columns of ``rows``, and the evidence and size of ``text``."""
+def evidence(rows: DataFrame, found: dict[int, Weights], passed: list[str]) -> DataFrame:
+    """``passed`` columns of ``rows``, the evidence of ``text``, that of the labels of other folds, and the size."""
     sent = rows.sparkSession.sparkContext.broadcast(found)
 
+    def of(weights: Weights, lang: str | None, at: np.ndarray) -> float:
+        names, values = weights.get(lang or "", weights[None])
+        if not len(at) or not len(names):
+            return 0.0
+        return float(values[at[np.minimum(np.searchsorted(at, names), len(at) - 1)] == names].sum())
+
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        sums, sizes = [], []
-        for text, lang in zip(as_bytes(column(batch, "text")), column(batch, "lang").to_pylist()):
-            names, values = sent.value.get(lang or "", sent.value[None])
+        sums, others, sizes = [], [], []
+        for text, lang, fold in zip(as_bytes(column(batch, "text")), column(batch, "lang").to_pylist(), column(batch, "fold").to_pylist()):
             at = features(text)
-            hit = np.isin(names, at, assume_unique=True)
-            sums.append(float(values[hit].sum()))
+            sums.append(of(sent.value[-1], lang, at))
+            others.append(of(sent.value[fold], lang, at))
             sizes.append(len(at).bit_length())
-        yield {c: column(batch, c) for c in passed} | {"evidence": sums, "size": sizes}
+        yield {c: column(batch, c) for c in passed} | {"evidence": sums, "other_evidence": others, "size": sizes}
 
-    schema = rows.select(*passed).schema.add("evidence", "double").add("size", "integer")
-    return map_batches(rows.select("text", "lang", *passed), lambda: step, schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    schema = rows.select(*passed).schema.add("evidence", "double").add("other_evidence", "double").add("size", "integer")
+    return map_batches(rows.select("text", "lang", "fold", *passed), lambda: step, schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
 
 
 def shrunk(groups: DataFrame, up: str) -> DataFrame:
@@ -183,9 +220,9 @@ def logit(x):
 
 
 def rates(seen: list, weight: float) -> tuple[float, dict[str, float], dict[str, float]]:
-    """The prior log odds of rejection, the levels' rates and those of (level, size) of rows with level, size, n, bad and sum (of evidence)."""
+    """The labels' log odds of rejection, the levels' rates and those of (level, size) of rows with level, size, n, bad and sum (of evidence)."""
     n, bad = sum(r["n"] for r in seen), sum(r["bad"] for r in seen)
-    prior = math.log((bad + 0.5) / (n - bad + 49.5))
+    prior = math.log((bad + 0.5) / (n - bad + 0.5))
     by_level: dict[str, float] = {}
     for k in {r["level"] for r in seen}:
         own = [r for r in seen if r["level"] == k]
@@ -195,16 +232,16 @@ def rates(seen: list, weight: float) -> tuple[float, dict[str, float], dict[str,
     return prior, by_level, {f"{r['level']}:{r['size']}": (r["bad"] + weight * by_level[str(r["level"])]) / (r["n"] + weight) for r in seen}
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, least_ratio: float = 10.0, least_z: float = 4.0, least_share: float = 0.02, level_weight: float = 5.0, pool_weight: float = 5.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, evidence, host_rate, path_rate, p_reject, rejected) for every row."""
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, least_ratio: float = 10.0, least_z: float = 4.0, least_share: float = 0.02, level_weight: float = 5.0, pool_weight: float = 5.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, evidence, host_rate, path_rate, p_reject, rejected) for every row. ``threshold`` is above a half, since a good document lost costs more than a bad one kept."""
     rows = columns_as(docs, doc_id=id_col, text=text_col, source=source_col, lang=lang_col)
     source = F.coalesce("source", F.lit(""))
-    rows = rows.select("doc_id", "text", "lang", F.regexp_extract(source, r"^(?:[A-Za-z]+://)?([^/?#]*)", 1).alias("host"), F.concat_ws("/", F.regexp_replace(source, r"/[^/]*$", ""), F.coalesce("lang", F.lit(""))).alias("path"))
-    found = weights(labelled(rows.select("doc_id", "text", "lang"), labels), least_ratio, least_z, least_share, pool_weight)
+    rows = rows.select("doc_id", "text", "lang", F.regexp_extract(source, r"^(?:[A-Za-z]+://)?([^/?#]*)", 1).alias("host"), F.concat_ws("/", F.regexp_replace(source, r"/[^/]*$", ""), F.coalesce("lang", F.lit(""))).alias("path"), fold_of("doc_id").alias("fold"))
+    found = weights(labelled(rows.select("doc_id", "text", "lang", "fold"), labels), least_ratio, least_z, least_share, pool_weight)
     scored = saved(evidence(rows, found, ["doc_id", "host", "path"]), "evidence")
 
-    level = F.least(F.floor("evidence"), F.lit(TOP_LEVEL)).alias("level")
-    seen = labelled(scored.select("doc_id", "evidence", "size"), labels).groupBy(level, "size").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), F.sum("evidence").alias("sum")).collect()
+    level, other = (F.least(F.floor(c), F.lit(TOP_LEVEL)).alias("level") for c in ("evidence", "other_evidence"))
+    seen = labelled(scored.select("doc_id", "other_evidence", "size"), labels).groupBy(other, "size").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), F.sum("other_evidence").alias("sum")).collect()
     prior, by_level, by_cell = rates(seen, level_weight)
     shown = [F.create_map(*(F.lit(x) for r in found.items() for x in r)) if found else F.create_map().cast("map<string,double>") for found in (by_cell, by_level)]
     cell = F.concat_ws(":", level.cast("string"), F.col("size").cast("string"))

@@ -1,8 +1,12 @@
 import math
-from collections import defaultdict
+import re
+import struct
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from helixframe.llm import quality
 from helixframe.llm.queries import op8_quality
@@ -23,40 +27,78 @@ def shrink(groups):
     return {key: (mass + weight * up) / (n + weight) for key, (n, mass, up) in groups.items()}
 
 
-def brute(docs, labels, ratio=10.0, least_z=4.0, share=0.02, weight=5.0):
+def plain_features(text):
+    """The features as names."""
+    words = re.findall(rb"[^\x20\x09-\x0d]+", text.encode())
+    found = {("word", w.lower()) for w in words}
+    for w in words:
+        if tail := re.search(rb"[^0-9A-Za-z\x80-\xff]+$", w):
+            found.add(("signs", tail[0]))
+    if len(words) >= 10:
+        big, small = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
+        for kind, n, of in (("commonest", max(Counter(words).values()), len(words)), ("twice", sum(a == b for a, b in zip(words, words[1:])), len(words)), ("capitals", big, max(big + small, 1))):
+            found |= {(kind, k) for k in range(1, 11) if n / of >= k / 10}
+    return found
+
+
+def fold(doc):
+    h = xxhash.xxh64_intdigest(struct.pack("<q", doc), 42)
+    return (h - 2**64 * (h >> 63)) % quality.FOLDS
+
+
+def learned(marks, ratio, least_z, share, pool):
+    """marks: (features, language, bad); by language, and None for others, feature to log ratio."""
+    n, seen = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for f, g, bad in marks:
+        n[g][bad] += 1
+        for x in f:
+            seen[g, x][bad] += 1
+    whole = [sum(v[i] for v in n.values()) for i in (0, 1)]
+    pooled, expected = defaultdict(lambda: [0, 0]), defaultdict(float)
+    for (g, x), (good, bad) in seen.items():
+        pooled[x][0] += good
+        pooled[x][1] += bad
+        expected[x] += (good + bad) * n[g][1] / sum(n[g])
+
+    def counts(good, bad, e, of):
+        term = lambda c, q: c * math.log(c / q) if c and q else 0.0
+        z = math.sqrt(max(2 * (term(bad, e) + term(good, good + bad - e)), 0))
+        value = math.log((bad + 0.5) / (of[1] + 1)) - math.log((good + 0.5) / (of[0] + 1))
+        return bad and bad >= share * of[1] and value >= math.log(ratio) and z >= least_z
+
+    everywhere = {x for x, (good, bad) in pooled.items() if counts(good, bad, expected[x], whole) and bad > expected[x]}
+    rate = {x: [(c + 0.5) / (k + 1) for c, k in zip(pooled[x], whole)] for x in pooled}
+    found = {None: {x: math.log(rate[x][1] / rate[x][0]) for x in everywhere}}
+    for g, of in n.items():
+        here = {x for (h, x), (good, bad) in seen.items() if h == g and all(of) and counts(good, bad, (good + bad) * of[1] / sum(of), of)}
+        value = {x: [(c + 0.5 + pool * r) / (k + 1 + pool) for c, r, k in zip(seen[g, x] if (g, x) in seen else (0, 0), rate[x], of)] for x in here | everywhere}
+        value = {x: math.log(v[1] / v[0]) for x, v in value.items()}
+        found[g] = {x: v for x, v in value.items() if v >= math.log(ratio)}
+    return found
+
+
+def brute(docs, labels, ratio=10.0, least_z=4.0, share=0.02, weight=5.0, pool=5.0):
     """docs: (id, text, source, lang); labels: (id, quality, toxic); (id, evidence, host rate, path rate, p)."""
     bad_of = defaultdict(list)
     for d, q, t in labels:
         if None not in (d, q, t):
             bad_of[d].append(q == 0 or t == 1)
-    own = [quality.features((t or "").encode(), g).tolist() for _, t, _, g in docs]
-    n, seen = defaultdict(lambda: [0, 0]), [defaultdict(int), defaultdict(int)]
-    langs = {}
-    for (d, _, _, g), f in zip(docs, own):
-        for bad in bad_of.get(d, []):
-            n[g or ""][bad] += 1
-            for x in f:
-                seen[bad][x] += 1
-                langs[x] = g or ""
-    w = {}
-    for x, b in seen[1].items():
-        g, (good, bad) = seen[0][x], n[langs[x]]
-        p = bad / (good + bad)
-        term = lambda c, q: c * math.log(c / ((b + g) * q)) if c else 0.0  # noqa: B023, E731
-        value = math.log((b + 0.5) / (bad + 1)) - math.log((g + 0.5) / (good + 1))
-        if good and b >= share * bad and value >= math.log(ratio) and math.sqrt(max(2 * (term(b, p) + term(g, 1 - p)), 0)) >= least_z:
-            w[x] = value
-    evidence = [sum(w.get(x, 0.0) for x in f) for f in own]
-    level = [min(math.floor(e), quality.TOP_LEVEL) for e in evidence]
+    own = [plain_features(t or "") for _, t, _, _ in docs]
+    marks = [(f, g or "", bad, fold(d)) for (d, _, _, g), f in zip(docs, own) for bad in bad_of.get(d, [])]
+    models = {k: learned([m[:3] for m in marks if m[3] != k], ratio, least_z, share, pool) for k in range(-1, quality.FOLDS)}
+    worth = lambda model, f, g: sum(v for x, v in model.get(g or "", model[None]).items() if x in f)
     size = [len(f).bit_length() for f in own]
+    level_of = lambda e: min(math.floor(e), quality.TOP_LEVEL)
     cells = defaultdict(lambda: [0, 0, 0.0])
-    for (d, *_), e, k, z in zip(docs, evidence, level, size):
+    for (d, _, _, g), f, z in zip(docs, own, size):
         for bad in bad_of.get(d, []):
+            e = worth(models[fold(d)], f, g)
+            k = level_of(e)
             for key in ((k,), (k, z), ()):
                 cells[key][0] += 1
                 cells[key][1] += bad
                 cells[key][2] += e
-    prior = math.log((cells[()][1] + 0.5) / (cells[()][0] - cells[()][1] + 49.5))
+    prior = math.log((cells[()][1] + 0.5) / (cells[()][0] - cells[()][1] + 0.5))
     sigmoid = lambda x: 1 / (1 + math.exp(-x))
 
     def rate(e, k, z):
@@ -66,7 +108,8 @@ def brute(docs, labels, ratio=10.0, least_z=4.0, share=0.02, weight=5.0):
         up = (bad + weight * sigmoid(prior + total / m)) / (m + weight)
         return (cells[(k, z)][1] + weight * up) / (cells[(k, z)][0] + weight) if (k, z) in cells else up
 
-    p = [rate(*x) for x in zip(evidence, level, size)]
+    evidence = [worth(models[-1], f, g) for (_, _, _, g), f in zip(docs, own)]
+    p = [rate(e, level_of(e), z) for e, z in zip(evidence, size)]
     sites = [(s or "", f"{s or ''}/{g or ''}") for _, _, s, g in docs]
     base = sum(p) / len(p)
     add = lambda keys: {k: (sum(x == k for x in keys), sum(q for x, q in zip(keys, p) if x == k)) for k in set(keys)}
@@ -79,7 +122,7 @@ def brute(docs, labels, ratio=10.0, least_z=4.0, share=0.02, weight=5.0):
 def same(rows, want):
     key = lambda r: (str(r[0]), round(r[4], 6))
     for g, w in zip(sorted(map(tuple, rows), key=key), sorted(want, key=key), strict=True):
-        assert g[0] == w[0] and g[1:5] == pytest.approx(w[1:], rel=1e-4) and g[5] == (g[4] > 0.5)
+        assert g[0] == w[0] and g[1:5] == pytest.approx(w[1:], rel=1e-4) and g[5] == (g[4] > 0.7)
 
 
 def test_table(spark):
@@ -87,9 +130,19 @@ def test_table(spark):
     labels = [tuple(r) for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
     rows = op8_quality(spark, SF).collect()
     same(rows, brute(docs, labels))
-    bad = {d: q == 0 or t == 1 for d, q, t in labels}
-    seen = [(bad[r["doc_id"]], r["rejected"]) for r in rows if r["doc_id"] in bad]
-    assert sum(b and r for b, r in seen) >= 0.6 * sum(b for b, _ in seen) and sum(r and not b for b, r in seen) <= 0.05 * sum(not b for b, _ in seen)
+
+
+def test_held_out_recall(spark):
+    """Fitted on two thirds of the labels, judged on the others."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    own = F.pmod(F.hash("doc_id"), F.lit(3)) == 1
+    bad = {r["doc_id"]: r["quality"] == 0 or r["toxic"] == 1 for r in labels.where(own).collect()}
+    seen = [(bad[r["doc_id"]], r["rejected"]) for r in quality.classify(docs, labels.where(~own)).collect() if r["doc_id"] in bad]
+    caught, of = sum(b and r for b, r in seen), sum(b for b, _ in seen)
+    wrong, fine = sum(r and not b for b, r in seen), sum(not b for b, _ in seen)
+    print("held out: caught", caught, "of", of, "wrongly rejected", wrong, "of", fine)
+    assert caught >= 0.97 * of and wrong <= 0.005 * fine
 
 
 def test_odd_rows(spark, monkeypatch):
