@@ -7,20 +7,26 @@ partial score over slice j. Partial scores are shifted by the list's minimum, so
    lists of its rows, so it completes the scores of what it gives; the k-th highest of these is a
    safe cutoff.
 2. The cutoff is broadcast. Each list gives all entries of at least cutoff / lists: a candidate that
-   no list gives has a lower total than the cutoff, so it cannot be among the k highest.
+   no list gives has a lower total than the cutoff, so it cannot be among the k highest. A task knows
+   the k highest of the scores it has completed so far, and holds back what cannot reach the k-th.
 3. Of the candidates that all lists gave, the scores are known, and the k-th highest is a better
    cutoff. Others whose upper bound (cutoff / lists for each list that did not give them) is too low
    go; missing partial scores of the rest are looked up, and the complete scores are ranked.
 
 Queries are a stated set, taken in blocks of QUERY_BLOCK vectors: what is broadcast, the thresholds
-and query vectors of one block, has that bound; there are as many passes as blocks. Equal vectors
-tie, so of each distinct vector only the k + 1 smallest ids can be ranked (one may be the query's
-own); the rest is left out before the search, which keeps a very common vector cheap and exact.
+and query vectors of one block, has that bound. A block is one pass over the candidates, whose result
+is added to one folder; so plans are as large for a thousand blocks as for one. Equal vectors tie, so
+of each distinct vector only the smallest ids, up to k + 1 rows, can be ranked (one may be the query
+itself); the rest is left out before the search, which keeps a very common vector cheap and exact.
+
+Candidates of a query are all rows but its own. Rows with equal id and vector are one row with a
+number through the search and count as often as they come in the ranks; each is a query of its own
+then, for which the others are candidates, and so are rows that have its id and another vector.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; a null id
-is no query and ranks behind all ids of its score; equal rows count once; rows that share an id
-never answer a query of that id; only vectors of the query's length answer it; the empty vector
-scores zero; an empty table gives no rows; other columns are ignored. Scores have to fit in 63 bits.
+is no query and ranks behind all ids of its score; only vectors of the query's length answer it; the
+empty vector scores zero; an empty table gives no rows; other columns are ignored. Scores have to fit
+in 63 bits.
 """
 
 from __future__ import annotations
@@ -34,32 +40,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, columns_as, map_batches, saved
+from .common import column, columns_as, forget, map_batches, new_path, saved
 
 #: Query vectors of one pass.
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
 #: Scores held at once by a task, 8 bytes each.
 TILE = 1 << 21
 
 
 def quantised(rows: DataFrame, scale: float) -> DataFrame:
-    """(vec_id, v array<long>) of (vec_id, x): floor(scale * x), distinct, without unusable vectors."""
+    """(vec_id, v array<long>, n) of (vec_id, x): floor(scale * x) without unusable vectors, and how often the row comes."""
     usable = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where("x is not null").where(usable).select("vec_id", F.transform("x", lambda x: F.floor(x.cast("double") * scale)).alias("v")).distinct()
+    each = rows.where("x is not null").where(usable).select("vec_id", F.transform("x", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    return each.groupBy("vec_id", "v").agg(F.count("*").alias("n"))
 
 
 def candidates(rows: DataFrame, k: int) -> DataFrame:
-    """(rid, vec_id, v): of equal vectors the k + 1 smallest ids; saved."""
-    ranked = rows.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy(F.col("vec_id").asc_nulls_last())))
-    kept = saved(ranked.where(F.col("n") <= k + 1).drop("n"), "vectors")
-    return saved(kept.withColumn("rid", F.monotonically_increasing_id()).select("rid", "vec_id", "v"), "numbered")
+    """(rid, vec_id, v, n): of equal vectors the smallest ids, up to k + 1 rows; saved."""
+    before = F.sum("n").over(W.partitionBy("v").orderBy(F.col("vec_id").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1))
+    kept = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= k)
+    return saved(kept.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v", "n"), "vectors")
 
 
 class Block:
     """The query vectors of one pass, by their length."""
 
-    def __init__(self, ids: np.ndarray, by_length: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.ids, self.by_length = ids, by_length
+    def __init__(self, ids: np.ndarray, rows: list[int], by_length: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.ids, self.rows, self.by_length = ids, rows, by_length
 
     @classmethod
     def of(cls, rows: list) -> Block:
@@ -67,11 +74,11 @@ class Block:
         for q, r in enumerate(rows):
             by[len(r["v"])].append(q)
         vectors = {n: (np.array(qs), np.array([rows[q]["v"] for q in qs], np.int64).reshape(len(qs), n)) for n, qs in by.items()}
-        return cls(np.array([r["vec_id"] for r in rows], np.int64), vectors)
+        return cls(np.array([r["vec_id"] for r in rows], np.int64), [r["n"] for r in rows], vectors)
 
     def tiles(self, batch: pa.RecordBatch, lists: int) -> Iterator[tuple]:
-        """(queries, rids, partial scores by list, query and row, own): own marks rows of the query's id."""
-        values, rid = column(batch, "v"), column(batch, "rid").to_numpy()
+        """(queries, rids, partial scores by list, query and row, own): own marks a query's only row."""
+        values, rid, alone = column(batch, "v"), column(batch, "rid").to_numpy(), column(batch, "n").to_numpy() == 1
         ids = column(batch, "vec_id")
         vec_id, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
         length = values.value_lengths().to_numpy()
@@ -81,7 +88,9 @@ class Block:
             for i in range(0, len(rows), step):
                 at = rows[i : i + step]
                 block = flat[starts[at][:, None] + np.arange(n)].reshape(len(at), n)
-                own = (self.ids[queries][:, None] == vec_id[at]) & known[at]
+                q, c = np.nonzero((self.ids[queries][:, None] == vec_id[at]) & known[at] & alone[at])
+                own = np.zeros((len(queries), len(at)), bool)
+                own[q, c] = (vectors[q] == block[c]).all(axis=1)
                 yield queries, rid[at], np.stack([product(vectors[:, d], block[:, d]) for d in np.array_split(np.arange(n), lists)]), own
 
 
@@ -95,20 +104,21 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, lists: int = 2, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest inner products for each row where ``is_query`` (of column ``vec_id``)."""
-    named = columns_as(vectors, vec_id=id_col, x=vector_col)
-    rows = candidates(quantised(named, scale), k)
-    queries = quantised(named.where(is_query & F.col("vec_id").isNotNull()), scale)
-    out, held = None, []
-    for row in queries.toLocalIterator():
+    rows = quantised(columns_as(vectors, vec_id=id_col, x=vector_col), scale)
+    kept = candidates(rows, k)
+    folder, held = new_path(vectors.sparkSession, "ranks"), []
+    for row in rows.where(is_query & F.col("vec_id").isNotNull()).toLocalIterator():
         held.append(row)
         if len(held) == QUERY_BLOCK:
-            part = _search(rows, Block.of(held), k, lists)
-            out, held = part if out is None else out.unionByName(part), []
-    part = _search(rows, Block.of(held), k, lists)
-    return part if out is None else out.unionByName(part)
+            _search(kept, Block.of(held), k, lists, folder)
+            held = []
+    _search(kept, Block.of(held), k, lists, folder)
+    forget(kept)
+    return vectors.sparkSession.read.schema("query_id long, rank int, vec_id long, score long").parquet(folder)
 
 
-def _search(rows: DataFrame, block: Block, k: int, lists: int) -> DataFrame:
+def _search(rows: DataFrame, block: Block, k: int, lists: int, folder: str) -> None:
+    """Adds the ranks of one block's queries to ``folder``."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(vars(block))
     n = len(block.ids)
@@ -150,22 +160,25 @@ def _search(rows: DataFrame, block: Block, k: int, lists: int) -> DataFrame:
     # Phase 2: shifted partial scores of at least cutoff / lists, summed for each candidate
     def sufficient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (floor, safe) = Block(**sent.value), limits.value
+        best = np.repeat(safe[:, None], k, axis=1)  # the k highest complete scores so far, rising
         for batch in batches:
             for queries, rid, parts, own in known.tiles(batch, lists):
                 parts -= floor[:, queries, None]
                 given = (lists * parts >= safe[queries][:, None]) & ~own
                 q, c = np.nonzero(given.any(axis=0))
-                if len(q):
-                    low, count = np.where(given[:, q, c], parts[:, q, c], 0).sum(axis=0), given[:, q, c].sum(axis=0)
-                    whole = count == lists
-                    better = np.full(n, np.iinfo(np.int64).min)
-                    np.maximum.at(better, queries[q[whole]], 0)
-                    for x in np.unique(q[whole]):  # of complete scores only the k highest of the tile can matter
-                        own_low = low[whole & (q == x)]
-                        if len(own_low) > k:
-                            better[queries[x]] = np.partition(own_low, len(own_low) - k)[-k]
-                    keep = ~whole | (low >= better[queries[q]])
-                    yield pa.RecordBatch.from_arrays([pa.array(queries[q[keep]].astype(np.int32)), pa.array(rid[c[keep]]), pa.array(low[keep]), pa.array(count[keep].astype(np.int32))], names=["q", "rid", "low", "known"])
+                if not len(q):
+                    continue
+                low, count, of = np.where(given[:, q, c], parts[:, q, c], 0).sum(axis=0), given[:, q, c].sum(axis=0), queries[q]
+                whole = np.flatnonzero(count == lists)
+                order = whole[np.lexsort((-low[whole], of[whole]))]
+                first = np.flatnonzero(np.diff(of[order], prepend=-1))
+                place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                top, place = order[place < k], place[place < k]
+                more = np.full((n, k), np.iinfo(np.int64).min)
+                more[of[top], place] = low[top]
+                best = np.sort(np.concatenate([best, more], axis=1), axis=1)[:, -k:]
+                keep = lists * low + (lists - count) * safe[of] >= lists * best[of, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(of[keep].astype(np.int32)), pa.array(rid[c[keep]]), pa.array(low[keep]), pa.array(count[keep].astype(np.int32))], names=["q", "rid", "low", "known"])
 
     entries = saved(rows.mapInArrow(sufficient, "q int, rid long, low long, known int"), "entries")
     safe_rows = spark.createDataFrame([(q, int(x), int(floor[:, q].sum())) for q, x in enumerate(safe)], "q int, cutoff long, shift long")
@@ -175,7 +188,7 @@ def _search(rows: DataFrame, block: Block, k: int, lists: int) -> DataFrame:
 
     # Phase 3: what is still missing, exactly; then the ranks
     whole = left.where(F.col("known") == lists).select("q", "rid", (F.col("low") + F.col("shift")).alias("score"))
-    whole = whole.join(rows.select("rid", "vec_id"), "rid").select("q", "vec_id", "score")
+    whole = whole.join(rows.select("rid", "vec_id", "n"), "rid").select("q", "rid", "vec_id", "n", "score")
     open_ = left.where(F.col("known") < lists).select("q", "rid").join(rows, "rid")
 
     def resolve(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -186,12 +199,24 @@ def _search(rows: DataFrame, block: Block, k: int, lists: int) -> DataFrame:
             place[queries] = np.arange(len(queries))
             at = np.flatnonzero(length == n)
             score[at] = np.einsum("ij,ij->i", vectors[place[q[at]]], flat[starts[at][:, None] + np.arange(n)].reshape(len(at), n))
-        yield {"q": q, "vec_id": column(batch, "vec_id"), "score": score}
-
-    scored = whole.unionByName(map_batches(open_, lambda: resolve, "q int, vec_id long, score long"))
-    named = F.broadcast(spark.createDataFrame([(q, int(x)) for q, x in enumerate(block.ids)], "q int, query_id long"))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())))
-    return ranked.where(F.col("rank") <= k).join(named, "q").select("query_id", "rank", "vec_id", "score")
+        yield {c: column(batch, c) for c in ("q", "rid", "vec_id", "n")} | {"score": score}
+
+    def own_row(batch: pa.RecordBatch) -> Iterator[dict]:
+        vector = {q: v for queries, vectors in sent.value["by_length"].values() for q, v in zip(queries.tolist(), vectors.tolist())}
+        same = pa.array([vector[q] == v for q, v in zip(column(batch, "q").to_pylist(), column(batch, "v").to_pylist())], pa.bool_())
+        yield {c: column(batch, c).filter(same) for c in ("q", "rid")}
+
+    scored = whole.unionByName(map_batches(open_, lambda: resolve, "q int, rid long, vec_id long, n long, score long"))
+    named = F.broadcast(spark.createDataFrame([(q, int(x), int(m)) for q, (x, m) in enumerate(zip(block.ids, block.rows))], "q int, query_id long, own_rows long"))
+    own = rows.join(named, F.col("vec_id") == F.col("query_id")).select("rid", "q", "v")  # rows of a query's id, of which one may be its own
+    mine = map_batches(own, lambda: own_row, "q int, rid long").withColumn("own", F.lit(1))
+    best = scored.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))).where(F.col("place") <= k)
+    each = best.join(F.broadcast(mine), ["q", "rid"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.coalesce("own", F.lit(0)), F.lit(k)))))
+    ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())))
+    found = ranked.where(F.col("rank") <= k).join(named, "q")
+    found = found.withColumn("query", F.explode(F.sequence(F.lit(1).cast("long"), "own_rows")))
+    found.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(folder)
+    forget(first, entries)
 
 
 def _kth(bounds: DataFrame, k: int) -> DataFrame:
