@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,20 @@ PLAIN_WORDS = bytes(
 )
 
 
+#: Tasks that one key's rows are dealt to in ``spread_join``.
+SALTS = 8
+#: Where ``saved`` wrote a table.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine in local mode (tests); a cluster has to set it."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/checkpoints"
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -32,7 +45,23 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what ``saved`` wrote for these tables, of which nothing is read any more."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            drop_path(table.sparkSession, path)
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``many.join(few, on, how)`` where ``few`` has a key once and ``many`` may have one in any share of its rows: those meet SALTS copies of the key."""
+    salt = F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -91,8 +120,3 @@ def plain_words(text: bytes) -> list[bytes]:
 def columns_as(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the operator's own names; other columns, clashing ones too, stay outside."""
     return df.select(*(F.col(f"`{theirs}`").alias(ours) for ours, theirs in names.items()))
-
-
-def row_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

@@ -5,6 +5,8 @@ import pytest
 import xxhash
 
 from helixframe.llm import simhash
+from helixframe.llm import components as components_module
+from helixframe.llm.common import saved
 from helixframe.llm.components import components
 from helixframe.llm.queries import op4_simhash
 
@@ -56,9 +58,11 @@ def groups(ids):
     return sorted(sorted(i for i in range(len(ids)) if ids[i] == k) for k in set(ids))
 
 
-@pytest.mark.parametrize(("distance", "segments", "lanes", "sparse"), [(4, 2, 1, 256), (4, 2, 1, 2), (8, 3, 1, 256), (23, 8, 2, 256), (23, 8, 2, 3)])
-def test_links_at_every_distance(spark, monkeypatch, distance, segments, lanes, sparse):
+@pytest.mark.parametrize("every", [False, True])
+@pytest.mark.parametrize(("distance", "segments", "lanes", "sparse", "close"), [(4, 2, 1, 256, 32), (4, 2, 1, 2, 0), (8, 3, 1, 256, 32), (23, 8, 2, 256, 0), (23, 8, 2, 3, 32)])
+def test_links_at_every_distance(spark, monkeypatch, distance, segments, lanes, sparse, close, every):
     monkeypatch.setattr(simhash, "SPARSE", sparse)
+    monkeypatch.setattr(simhash, "CLOSE", close)
     rng, bits, fps = random.Random(5), 64 * lanes, set()
     for _ in range(30):  # chains of steps, some of which link and some not
         x = rng.getrandbits(bits)
@@ -67,12 +71,60 @@ def test_links_at_every_distance(spark, monkeypatch, distance, segments, lanes,
             for b in rng.sample(range(bits), rng.randint(1, distance + 2)):
                 x ^= 1 << b
     fps = sorted(fps)
-    split = np.array([[x >> 64 * i & 2**64 - 1 for i in range(lanes)] for x in fps], np.uint64)
-    names = simhash.lane_names(lanes)
-    table = spark.createDataFrame([tuple(map(int, r)) for r in split.view(np.int64)], ", ".join(f"{n} long" for n in names))
-    found = {r["node"]: r["root"] for r in components(simhash.links(table, distance, segments, lanes)).collect()}
-    nodes = simhash.node_of(split).tolist()
+    split = np.array([[x >> 64 * i & 2**64 - 1 for i in range(lanes)] for x in fps], np.uint64).view(np.int64)
+    nodes = split[:, 0].tolist() if lanes == 1 else list(range(len(fps)))
+    table = spark.createDataFrame([(n, *map(int, r)) for n, r in zip(nodes, split)], ", ".join(f"{n} long" for n in ("node", *simhash.lane_names(lanes))))
+    pairs = simhash.links(table, distance, segments, lanes, every=every)
+    found = {r["node"]: r["root"] for r in components(pairs).collect()}
     assert groups([found.get(x, x) for x in nodes]) == groups(brute_components(list(enumerate(fps)), distance))
+    if every and close:
+        close_by = {tuple(sorted((nodes[i], nodes[j]))) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= distance}
+        assert {tuple(sorted(r)) for r in pairs.collect()} == close_by
+
+
+def test_minimum_forest_takes_the_nearest():
+    rng = random.Random(3)
+    center = rng.getrandbits(64)
+    fps = [center] + [center ^ sum(1 << b for b in rng.sample(range(64), 6)) for _ in range(40)]
+    edges = simhash.minimum_forest(np.array(fps, np.uint64)[:, None], 12)
+    assert len(edges) == 40
+    near = lambda i: min((fps[i] ^ x).bit_count() for j, x in enumerate(fps) if j != i)
+    for i in range(len(fps)):
+        assert min((fps[a] ^ fps[b]).bit_count() for a, b in edges if i in (a, b)) == near(i)
+
+
+def shingles(text):
+    words = WORDS.findall(lower(text or ""))
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
+
+
+def brute_survivors(docs, similarity=0.8):
+    """docs: (id, text); the (id, text) that stay, of the rows with an id: one of each group that pairs of the similarity join."""
+    rows = sorted({(d, " ".join(WORDS.findall(lower(t or ""))), t) for d, t in docs if d is not None}, key=lambda r: (r[0], r[1]))
+    sets, parent = [shingles(t) for _, t, _ in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            low, high = sorted((len(x), len(y)))
+            if low >= similarity * high and (rows[i][1] == rows[j][1] or x and len(x & y) >= similarity * len(x | y)):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return sorted(least.values())
+
+
+def test_survivors_are_those_of_the_similarity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(r["doc_id"] for r in simhash.survivors(docs).collect()) == brute_survivors(rows)
 
 
 def test_survivors_of_near_copies(spark):
@@ -85,11 +137,53 @@ def test_survivors_of_near_copies(spark):
             copy[i] = "new"
         texts += [" ".join(words), " ".join(words), " ".join(copy)]
     docs = odd_documents(spark, texts)
-    kept = sorted(r["doc_id"] for r in simhash.survivors(docs).collect() if r["doc_id"] is not None)
-    assert kept == [1, 4, 5, *range(10, 46, 3)] and simhash.survivors(docs).columns == docs.columns
+    found = simhash.survivors(docs).collect()
+    assert sorted(r["doc_id"] for r in found if r["doc_id"] is not None) == [1, 4, 5, *range(10, 46, 3)]
+    assert sum(r["doc_id"] is None for r in found) == 1 and simhash.survivors(docs).columns == docs.columns
+    assert simhash.survivors(empty(docs)).count() == 0
+
+
+def test_survivors_weigh_a_repeated_line_once(spark):
+    line = " a line that many pages of the site all have too" * 30
+    texts = [" ".join(f"w{i}x{j}" for j in range(100)) + line for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.survivors(docs).count() == 6
+
+
+def test_survivors_judge_rows_that_share_an_id_apart(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(80)) for x in "abc")
+    docs = spark.createDataFrame([(7, a), (7, b), (3, b), (7, b), (5, c), (9, c), (9, a)], "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, simhash.survivors(docs).collect())) == [(3, b), (5, c), (7, a)]
+
+
+def test_survivors_of_a_family_beyond_all_pairs(spark, monkeypatch):
+    """Copies of one text that resemble it, not each other: each is tested against the nearest, the text."""
+    monkeypatch.setattr(simhash, "CLOSE", 1)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words)]
+    for k in range(120):
+        copy = list(words)
+        for i in rng.sample(range(300), 5):
+            copy[i] = f"new{k}x{i}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.survivors(docs).collect()] == brute_survivors(list(enumerate(texts))) == [0]
 
 
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 400)] + [(500, 500)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 400)}
+
+
+@pytest.mark.parametrize("numbering", ["up", "shuffled"])
+def test_components_take_few_rounds(spark, monkeypatch, numbering):
+    names = list(range(1000))
+    if numbering == "shuffled":
+        random.Random(4).shuffle(names)
+    taken = []
+    monkeypatch.setattr(components_module, "saved", lambda df, label: taken.append(label) or saved(df, label))
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(list(zip(names, names[1:])), "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(1000), 0)
+    assert taken.count("edges") <= 10 and (numbering != "up" or len(taken) <= 15)
