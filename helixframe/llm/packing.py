@@ -6,12 +6,16 @@ the partitions' global offsets as prefix sums. The second pass reads the ids and
 the windows end; what crosses a window's end becomes two pieces, the boundary records. No row is
 shuffled and no partition waits for another, so a hot source or a giant text costs nothing extra.
 
+Strings that the vocabulary's file lists as added tokens stand for their one id wherever they occur in
+a text, as they do under the ``tokenizers`` library by default.
+
 Defined cases: a null or empty text is one separator token; a null id is kept as null; repeated
 rows are packed as often as they come; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +34,17 @@ TOKENS = "part int, part_start long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def byte_bpe(ranks_path: str, pattern: str):
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file and their ids."""
+    with open(json_path, encoding="utf-8") as file:
+        listed = json.load(file)["added_tokens"]
+    for x in listed:
+        if x["lstrip"] or x["rstrip"] or x["single_word"]:
+            raise ValueError(f"{x['content']}: tokens that take the white space around them are not supported")
+    return {x["content"]: x["id"] for x in listed}
+
+
+def byte_bpe(ranks_path: str, pattern: str, special: dict[str, int]):
     """A byte-level BPE encoder: text to numpy uint32 ids. ``ranks_path``: base64 token and rank a line.
 
     The ids are those of the same vocabulary's JSON file under the ``tokenizers`` library (tests
@@ -42,15 +56,15 @@ def byte_bpe(ranks_path: str, pattern: str):
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
-def tokenised(docs: DataFrame, ranks_path: str, pattern: str, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """First pass, saved: every text's ids (little-endian uint32, ``separator`` last) and its offset in its partition."""
 
     def make():
-        encode, part, start = byte_bpe(ranks_path, pattern), TaskContext.get().partitionId(), 0
+        encode, part, start = byte_bpe(ranks_path, pattern, special), TaskContext.get().partitionId(), 0
         end = np.array([separator], np.uint32)
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -118,9 +132,9 @@ def cut(tokens: DataFrame, window: int, with_ids: bool = False) -> DataFrame:
     return map_batches(tokens, make, PIECES + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, window: int = 1024, separator: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every text in windows of ``window`` tokens: all full, but for the last."""
-    return cut(tokenised(docs, ranks_path, pattern, separator, id_col, text_col), window, with_ids)
+def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], window: int = 1024, separator: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces of every text in windows of ``window`` tokens: all full, but for the last. ``special``: strings that are one token, and their ids."""
+    return cut(tokenised(docs, ranks_path, pattern, special, separator, id_col, text_col), window, with_ids)
 
 
 def sequences(pieces: DataFrame, window: int = 1024, padding: int = 0) -> DataFrame:

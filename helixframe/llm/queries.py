@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, **how) -> DataFrame:
+    """Packed with the ids of the public 50k byte-level vocabulary."""
+    import public_tokenizers
+
+    ranks, listed = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("tiktoken", "json"))
+    return packing.pack(docs, ranks, public_tokenizers.PATTERN, packing.added_tokens(listed), **how)
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +114,12 @@ ORACLE_SQL = {
     """,
     "op6_top_k": """
         with vectors as (
-            select distinct vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+            select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
             where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         scores as (
-            select q.vec_id as query_id, q.v as query, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
-            from vectors q join vectors c on len(q.v) = len(c.v) and c.vec_id is distinct from q.vec_id where q.vec_id % 50 = 0),
-        ranked as (select *, row_number() over (partition by query_id, query order by score desc, vec_id nulls last) as rank from scores)
+            select q.r, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+            from vectors q join vectors c on len(q.v) = len(c.v) and c.r <> q.r where q.vec_id % 50 = 0),
+        ranked as (select *, row_number() over (partition by r order by score desc, vec_id nulls last) as rank from scores)
         select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
     """,
     "op7_warc": """

@@ -3,17 +3,17 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from helixframe.llm import packing
-from helixframe.llm.queries import op1_packing
+from helixframe.llm.queries import op1_packing, packed
 
 from .helpers import SF, empty, odd_documents
 
 
 def encoder():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -46,15 +46,23 @@ def test_packs_all_tokens_of_the_tokenizers_library(spark):
 
 
 def test_odd_rows(spark):
-    docs = odd_documents(spark, ["<|endoftext|> it's 12345   \n\n x", "a" * 5000]).repartition(3)
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, window=64)
+    texts = ["<|endoftext|> it's 12345   \n\n x", "a <|endoftext|>", "x<|endoftext|><|endoftext|>y <|ENDOFTEXT|> <|endof", "<|endoftext|>", "a" * 5000]
+    docs = odd_documents(spark, texts).repartition(3)
+    pieces = packed(docs, window=64)
     check([(r["doc_id"], r["text"]) for r in docs.collect()], pieces.collect(), 64)
-    assert packing.pack(empty(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    assert packed(empty(docs)).count() == 0
 
 
 def test_sequences_hold_the_pieces(spark):
     docs = odd_documents(spark, ["some words", "more words here"])
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, window=128, with_ids=True)
+    pieces = packed(docs, window=128, with_ids=True)
     rows = packing.sequences(pieces, 128).collect()
     assert all(len(r["input_ids"]) == len(r["segment_ids"]) == 128 for r in rows)
     assert sum(r["n_tokens"] for r in rows) == sum(len(encoder()(r["text"])) for r in docs.collect())
+
+
+def test_added_tokens(tmp_path):
+    assert packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")) == {"<|endoftext|>": 50256}
+    (tmp_path / "t.json").write_text('{"added_tokens": [{"content": "<m>", "id": 3, "lstrip": true, "rstrip": false, "single_word": false}]}')
+    with pytest.raises(ValueError):
+        packing.added_tokens(str(tmp_path / "t.json"))
