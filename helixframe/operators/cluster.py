@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
 from ..functions.intervals import islands, runs
-from ..functions.storage import stored
+from ..functions.storage import forget, stored
 from .grid import bin_of
 
 
@@ -44,10 +45,12 @@ def reach(leads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         joined = F.coalesce(F.col("part") - F.col("_end") <= p.merge_r * F.least(span, "_span") / math.sqrt(3), F.lit(False))
         near = stored(near.withColumn("_joined", joined))
         if near.where("_joined").isEmpty():
+            forget(parts, near)
             return named.select(*keys, "seed", "part")
         moved = runs(near, keys, "part", ~F.col("_joined")).select(*keys, "part", "end", "island")
-        named = named.join(moved.select(*keys, "part", "island"), [*keys, "part"]).select(*keys, "seed", F.col("island").alias("part"))
-        parts = stored(moved.groupBy(*keys, F.col("island").alias("part")).agg(F.max("end").alias("end")))
+        before, named = named, stored(named.join(moved.select(*keys, "part", "island"), [*keys, "part"]).select(*keys, "seed", F.col("island").alias("part")))
+        old, parts = parts, stored(moved.groupBy(*keys, F.col("island").alias("part")).agg(F.max("end").alias("end")))
+        forget(before, old, near)
 
 
 class Run:
@@ -97,26 +100,48 @@ def merged_runs(rows: list[tuple], svtype: str, p: Params, first_part: bool = Tr
 def greedy_clusters(leads: DataFrame, order: list[str], p: Params = DEFAULTS, split: bool = True) -> DataFrame:
     """``leads`` (with a boolean ``repeat``) of all clusters of the greedy merge, with ``cluster`` (its first seed) and ``cluster_end``.
 
-    Exact: its order matters, so it runs in Python, part by part (``reach``), or contig by contig.
+    Exact: its order matters, so it runs in Python, part by part (``reach``), or contig by contig. Rows
+    arrive sorted by part, so a task holds one part at a time, however many it has.
     """
     keys = ["contig", "svtype"]
     found = leads.withColumn("seed", bin_of("ref_start", p.bin_size))
     parts = reach(found, p) if split else found.select(*keys, "seed", F.lit(0).cast("long").alias("part")).distinct()
     first = parts.groupBy(*keys).agg(F.min("part").alias("first_part"))
     found = found.join(parts.join(first, keys), [*keys, "seed"])
-    columns = [*leads.columns, "cluster", "cluster_end"]
     schema = leads.withColumns({"cluster": F.lit(0).cast("long"), "cluster_end": F.lit(0).cast("long")}).schema
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ref_start", *order], kind="stable").reset_index(drop=True)
-        lengths = [None if pd.isna(x) else int(x) for x in rows["svlen"]]
-        tuples = list(zip(rows["ref_start"].tolist(), lengths, rows["repeat"].tolist(), range(len(rows))))
-        first = bool((rows["part"] == rows["first_part"]).iloc[0])
-        out = [(r[3], c.start, c.end) for c in merged_runs(tuples, rows["svtype"].iloc[0], p, first) for r in c.rows + c.long_rows]
-        at = [x[0] for x in out]
-        return rows.iloc[at].assign(cluster=[x[1] for x in out], cluster_end=[x[2] for x in out])[columns]
+    def clustered(rows: pd.DataFrame) -> pd.DataFrame:
+        """Whole parts, sorted."""
+        part, contig, svtype = (rows[c].to_numpy() for c in ("part", "contig", "svtype"))
+        edge = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (contig[1:] != contig[:-1]) | (svtype[1:] != svtype[:-1]), [True]]))
+        is_first = (part == rows["first_part"].to_numpy()).tolist()
+        tuples = list(zip(rows["ref_start"].tolist(), [None if pd.isna(x) else int(x) for x in rows["svlen"]], rows["repeat"].tolist(), range(len(rows))))
+        at, start, end = [], [], []
+        for a, b in zip(edge.tolist(), edge[1:].tolist()):
+            for c in merged_runs(tuples[a:b], svtype[a], p, is_first[a]):
+                for r in (*c.rows, *c.long_rows):
+                    at.append(r[3])
+                    start.append(c.start)
+                    end.append(c.end)
+        return rows.iloc[at].assign(cluster=start, cluster_end=end)[schema.names]
 
-    return found.groupBy(*keys, "part").applyInPandas(run, schema)
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            if not len(rows):
+                continue
+            last = rows[[*keys, "part"]].iloc[-1]
+            open_ = ((rows["part"] == last["part"]) & (rows["contig"] == last["contig"]) & (rows["svtype"] == last["svtype"])).to_numpy()
+            done = rows[~open_]
+            if len(done) or held and not held[-1][[*keys, "part"]].iloc[-1].equals(last):
+                yield clustered(pd.concat([*held, done], ignore_index=True))
+                held = []
+            held.append(rows[open_])
+        if held:
+            yield clustered(pd.concat(held, ignore_index=True))
+
+    dealt = found.repartition(*(F.col(c) for c in (*keys, "part")))
+    return dealt.sortWithinPartitions(*keys, "part", "ref_start", *(F.col(c).asc_nulls_last() for c in order)).mapInPandas(run, schema)
 
 
 def merged_fragments(leads: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFrame:

@@ -556,7 +556,7 @@ def consensus_(spark, d):
     return consensus.with_consensus(x.withColumn("others", others)).drop("others")
 
 
-@query("vcf_lines", f"{WITH_CALLS} select call_id, contig || chr(9) || greatest(pos, 1) || chr(9) || svtype || '.' || call_id || chr(9) || 'N' || chr(9) || '<' || svtype || '>' || chr(9) || qual || chr(9) || 'PASS' || chr(9) || case when precise then 'PRECISE' else 'IMPRECISE' end || ';SVTYPE=' || svtype || case when svtype <> 'BND' then ';SVLEN=' || svlen || ';END=' || case when precise and svtype = 'DEL' then pos + abs(svlen) else stop end else '' end || ';SUPPORT=' || support || ';COVERAGE=' || cov_upstream || ',' || cov_start || ',' || cov_center || ',' || cov_end || ',' || cov_downstream || ';STRAND=' || case when fwd > 0 then '+' else '' end || case when rev > 0 then '-' else '' end || coalesce(';STDEV_LEN=' || printf('%.3f', stdev_len), '') || ';STDEV_POS=' || printf('%.3f', stdev_pos) || ';VAF=' || printf('%.3f', vaf) || chr(9) || 'GT:GQ:DR:DV' || chr(9) || './.' as line from calls")
+@query("vcf_lines", f"{WITH_CALLS} select call_id, contig || chr(9) || greatest(pos, 1) || chr(9) || svtype || '.' || call_id || chr(9) || 'N' || chr(9) || '<' || svtype || '>' || chr(9) || qual || chr(9) || 'PASS' || chr(9) || case when precise then 'PRECISE' else 'IMPRECISE' end || ';SVTYPE=' || svtype || case when svtype <> 'BND' then ';SVLEN=' || svlen || ';END=' || case when precise and svtype = 'DEL' then greatest(pos, 1) + abs(svlen) else stop end else '' end || ';SUPPORT=' || support || ';COVERAGE=' || cov_upstream || ',' || cov_start || ',' || cov_center || ',' || cov_end || ',' || cov_downstream || ';STRAND=' || case when fwd > 0 then '+' else '' end || case when rev > 0 then '-' else '' end || coalesce(';STDEV_LEN=' || printf('%.3f', stdev_len), '') || ';STDEV_POS=' || printf('%.3f', stdev_pos) || ';VAF=' || printf('%.3f', vaf) || chr(9) || 'GT:GQ:DR:DV' || chr(9) || './.' as line from calls")
 def vcf_lines(spark, d):
     x = calls(spark, d).withColumns({"id": F.concat_ws(".", "svtype", F.col("call_id").cast("string")), "ref": F.lit("N"), "alt": F.concat(F.lit("<"), "svtype", F.lit(">")), "filter": F.lit("PASS")})
     x = x.withColumns({c: F.col(c).cast("double") for c in ("stdev_pos", "stdev_len", "vaf")})

@@ -11,7 +11,8 @@ TABLES = ("lineitem", "orders", "part", "events", "documents", "benchmark", "sup
 
 SVTYPE = "case l_linenumber % 5 when 0 then 'INS' when 1 then 'DEL' when 2 then 'DUP' when 3 then 'INV' else 'BND' end"
 SVLEN = "(case when l_linenumber % 5 = 1 then -1 else 1 end) * cast(l_quantity as bigint) * 20"
-LEAD_ID = "((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey) * 10007 + l_suppkey"
+#: Distinct for every row of lineitem.
+LEAD_ID = "((l_orderkey * 8 + l_linenumber) * 10000019 + cast(round(l_extendedprice * 100) as bigint)) * 59 + cast(l_quantity as bigint)"
 
 LEADS = f"""
     select {LEAD_ID} as lead_id, l_returnflag as contig, {SVTYPE} as svtype, l_partkey * 2000 + l_orderkey % 140 as ref_start,

@@ -1,9 +1,11 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+CHECKPOINTS = f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 @pytest.fixture(scope="session")
@@ -15,6 +17,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", CHECKPOINTS)
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
