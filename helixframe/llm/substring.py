@@ -8,7 +8,8 @@ also starts in a document with a smaller id. Four steps, each linear in the inpu
 2. Phrases. In every window the phrase of ``phrase`` words with the smallest hash is selected
    (winnowing), so equal windows select equal phrases wherever they stand. Phrases that two
    documents select are recurring; no window without a recurring phrase can recur.
-3. Automata. Documents are dealt into blocks by a hash of their id. For each block the recurring
+3. Automata. Documents are dealt into blocks by a hash of id and text, so that rows without an id, or of
+   one id, spread. For each block the recurring
    phrases that its documents select are compiled into an Aho-Corasick automaton, its shard, and all
    texts of the block stream through it. That gives every occurrence of every phrase, and so every
    window that may recur: those whose own selected phrase occurs. A block sends one row for each
@@ -153,7 +154,7 @@ def _found(docs: DataFrame, window: int, phrase: int, id_col: str, text_col: str
     """Steps 1 to 4; ``finish`` takes a table (doc_id, text, rest) and the spans of its rows, and gives columns of ``schema``."""
     rows = columns_as(docs, doc_id=id_col, text=text_col, **({"rest": carry} if carry else {}))
     blocks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(rows) // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
 
     # 1 and 2: one row for each phrase that a document selects, and one for the document's words as a whole
     chosen = saved(_select(rows.select("doc_id", "text", block.alias("block")), window, phrase), "phrases")
