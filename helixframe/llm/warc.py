@@ -2,11 +2,13 @@
 
 Each task writes archives of its own. It holds back the first records of an archive, builds a
 Zstandard dictionary from them, writes it in a leading skippable frame and then compresses every
-record into a frame of its own, so any record can be read alone. An archive is closed at ROLL_BYTES.
+record into a frame of its own, so any record can be read alone. Where those records are too few or
+too small to train on, the dictionary is their own bytes. An archive is closed at ROLL_BYTES.
 
 Records with equal payloads (by SHA-1) of at least ``least`` bytes become revisits of the one with
 the largest page id. That page id is one maximum for each digest, combined before the shuffle; the
-pages only meet the digests that occur more than once.
+pages only meet the digests that occur more than once, copies of which they find under several salts,
+so a payload may be that of any share of the pages.
 
 Files go to a folder all executors share. Their names hold the task attempt, so an attempt that is
 lost leaves files that no manifest lists; the manifest is saved once all are written.
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, columns_as, map_batches, new_path, saved
+from .common import column, columns_as, map_batches, new_path, saved, spread_join
 
 #: Bytes of records that a dictionary is built from, at most.
 TRAIN_BYTES = 2 << 20
@@ -65,7 +67,7 @@ def planned(pages: DataFrame, least: int, id_col: str, url_col: str, payload_col
     rows = columns_as(pages, page_id=id_col, url=url_col, html=payload_col).withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     repeated = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(repeated, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") < F.col("keeper"), F.col("keeper")).alias("refers_to"))
+    return spread_join(rows, repeated, ["digest"], "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") < F.col("keeper"), F.col("keeper")).alias("refers_to"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -108,11 +110,10 @@ class Archive:
         self.file = open_file(self.uri, "wb")
         try:
             trained = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(self.held_bytes // 8, 256)), self.held)
-        except zstandard.ZstdError:  # too few or too small records to build one from
-            trained = None
-        if trained:
-            self._put(struct.pack("<II", DICTIONARY_MAGIC, len(trained.as_bytes())) + trained.as_bytes())
-            trained.precompute_compress(level=self.level)
+        except zstandard.ZstdError:  # too few or too small records to train on: the records themselves
+            trained = zstandard.ZstdCompressionDict(b"".join(self.held)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self._put(struct.pack("<II", DICTIONARY_MAGIC, len(trained.as_bytes())) + trained.as_bytes())
+        trained.precompute_compress(level=self.level)
         self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=trained, write_checksum=True)
         for x in self.held:
             self._put(self.compressor.compress(x))
