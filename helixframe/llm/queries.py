@@ -46,7 +46,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.rotated(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), ",")
-    return found.select("conv_id", "speaker", "segment", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("mask"))
+    return found.select("conv_id", "speaker", "segment", "part", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("mask"))
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,25 +79,26 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op5_chat_rotation": """
-        with rows as (
+        with said as (
             select conv_id, turn, coalesce(turn // 64, -1) as segment,
                 replace(case when trim(role) <> '' then role else 'unknown' end, '<|', '< |') as role,
                 replace(coalesce(text, ''), '<|', '< |') as said
             from conversations),
+        rows as (select *, (row_number() over (partition by conv_id, segment order by turn nulls first, role, said) - 1) // 64 as part from said),
         speakers as (select distinct conv_id, role as speaker from rows where role <> 'system'),
         pieces as (
-            select r.conv_id, s.speaker, r.segment, r.turn, r.role, r.said, r.role = s.speaker as own,
+            select r.conv_id, s.speaker, r.segment, r.part, r.turn, r.role, r.said, r.role = s.speaker as own,
                 case when r.role = 'system' then '<|system|>' || chr(10) when r.role = s.speaker then '<|assistant|>' || chr(10)
                     else '<|user name=' || r.role || '|>' || chr(10) end as head
             from rows r join speakers s on r.conv_id is not distinct from s.conv_id),
         placed as (
             select *, head || said || '<|end|>' || chr(10) as piece,
-                row_number() over (partition by conv_id, speaker, segment order by turn nulls first, role, said) as n,
-                sum(length(head) + length(said) + 8) over (partition by conv_id, speaker, segment order by turn nulls first, role, said rows unbounded preceding) as stop
+                row_number() over (partition by conv_id, speaker, segment, part order by turn nulls first, role, said) as n,
+                sum(length(head) + length(said) + 8) over (partition by conv_id, speaker, segment, part order by turn nulls first, role, said rows unbounded preceding) as stop
             from pieces)
-        select conv_id, speaker, cast(segment as bigint) as segment, count(*) as n_turns, string_agg(piece, '' order by n) as text,
+        select conv_id, speaker, cast(segment as bigint) as segment, cast(part as bigint) as part, count(*) as n_turns, string_agg(piece, '' order by n) as text,
             coalesce(string_agg(cast(stop - length(said) - 8 as bigint) || '-' || cast(stop as bigint), ',' order by n) filter (where own), '') as mask
-        from placed group by conv_id, speaker, segment
+        from placed group by conv_id, speaker, segment, part
     """,
     "op2_decontamination": r"""
         with fold as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as big, 'abcdefghijklmnopqrstuvwxyz' as small),

@@ -17,19 +17,20 @@ def brute(turns, size):
             roles[conv].add(role)
     out = []
     for (conv, segment), rows in by.items():
-        for speaker in roles[conv]:
+        rows = sorted(rows)
+        for speaker, part in [(s, i) for s in roles[conv] for i in range(-(-len(rows) // size))]:
             text, mask = "", []
-            for _, role, said in sorted(rows):
+            for _, role, said in (held := rows[part * size : (part + 1) * size]):
                 text += "<|system|>\n" if role == "system" else "<|assistant|>\n" if role == speaker else f"<|user name={role}|>\n"
                 start = len(text)
                 text += said + "<|end|>\n"
                 mask += [(start, len(text))] * (role == speaker)
-            out.append((conv, speaker, segment, len(rows), text, mask))
+            out.append((conv, speaker, segment, part, len(held), text, mask))
     return sorted(out, key=str)
 
 
 def rows_of(df):
-    return sorted(((*tuple(r)[:5], [tuple(x) for x in r["mask"]]) for r in df.collect()), key=str)
+    return sorted(((*tuple(r)[:6], [tuple(x) for x in r["mask"]]) for r in df.collect()), key=str)
 
 
 def test_table(spark):
@@ -47,7 +48,7 @@ def test_sql(spark):
 
 def test_odd_rows(spark):
     rows = [(1, 0, "system", "be é"), (1, 1, "anna", "hi <|end|> x"), (1, 2, "bo", None), (1, 2, "bo", None), (1, 3, "anna", "y" * 100_000), (1, None, "cy", "late")]
-    rows += [(2, 0, "system", "alone"), (None, 0, None, "who"), (None, 1, " ", "me"), (3, 5, "a<|b", "t"), *[(9, i, ["p", "q"][i % 2], f"t{i}") for i in range(40)]]
+    rows += [(2, 0, "system", "alone"), (None, 0, None, "who"), (None, 1, " ", "me"), (3, 5, "a<|b", "t"), *[(9, i, ["p", "q"][i % 2], f"t{i}") for i in range(40)], *[(10, None, "p", f"t{i}") for i in range(30)], *[(11, 7, "pq"[i % 2], f"t{i}") for i in range(20)]]
     turns = spark.createDataFrame([(*r, "clash", 3) for r in rows], "conv_id long, turn long, role string, text string, speaker string, segment int")
     assert rows_of(chat.rotated(turns, 8)) == brute(rows, 8)
     assert chat.rotated(empty(turns)).count() == 0
