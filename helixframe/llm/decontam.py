@@ -9,7 +9,8 @@ skipped and the automaton starts anew in the next; that is exact.
 
 The items are read in shards of at most ``SHARD_WORDS`` words. One shard is broadcast at a time:
 its size is bounded by that number. A larger benchmark takes one pass over the documents for each
-shard; the marks of the passes are united.
+shard, which writes the marks of rows with hits and no texts; then the marks of all shards are united
+for each row.
 
 Defined cases: null or blank texts have no words and stay; an item without words never matches; an
 item with a null id marks words but is not listed; equal item ids count once; null doc ids and
@@ -22,12 +23,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from .common import LOWER, column, columns_as, map_batches, plain_words, saved
+from .common import LOWER, column, columns_as, map_batches, new_path, plain_words
 
 #: Words of the items in one automaton; at about 0.5 KB a word a task holds 100 MB at most.
 SHARD_WORDS = 200_000
@@ -150,45 +154,81 @@ def shards(items: DataFrame, window: int) -> Iterator[list[tuple[str | None, byt
     yield held
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_words, spans, items) for every row: half-open word ranges that windows cover, merged, and the items found.
+def _marked(df: DataFrame, doc_id: str, text: str, items: DataFrame, window: int, finish, schema) -> DataFrame:
+    """``finish`` over the batches of ``df`` and, for each row, its number of words, a flag for each word (None without a hit) and the names of the items found."""
+    spark, names_of = df.sparkSession, df.columns
+    of = shards(items, window)
+    first, second = next(of), next(of, None)
+    if second is None:
+        sent = spark.sparkContext.broadcast(first)
 
-    ``spans`` is binary: pairs of little-endian int64.
-    """
-    at = columns_as(docs, doc_id=id_col, text=text_col)
-    found = None
-    for shard in shards(columns_as(items, item_id=item_id_col, text=item_text_col), window):
-        if found is not None:
-            found = saved(found, "marks")
-        found = _pass(at if found is None else found, shard, window, first=found is None)
-    return found
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, window)
+            for batch in batches:
+                words = (plain_words(x or b"") for x in column(batch, text).cast(pa.binary()).to_pylist())
+                yield finish(batch, [(len(w), *matcher.mark(w)) for w in words])
 
+        return df.mapInArrow(run, schema)
 
-def _pass(df: DataFrame, shard: list, window: int, first: bool) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(shard)
+    # Several: each shard's pass writes the marks of rows with hits only, by id and text; then they are united
+    folder, key = new_path(spark, "marks"), ["_id", "_raw"]
+    keyed = df.withColumns({"_id": F.struct(F.col(doc_id)), "_raw": F.xxhash64(text)})
+    for i, shard in enumerate(chain([first, second], of)):
+        _hits(keyed.select(*key, F.col(text).alias("text")), shard, window).withColumn("shard", F.lit(i)).write.mode("append").parquet(folder)
+    hits = spark.read.parquet(folder).groupBy(*key, "shard").agg(F.max("spans").alias("spans"), F.max("names").alias("names"))  # equal rows have equal marks
+    united = hits.groupBy(*key).agg(F.collect_list(F.struct("spans", "names")).alias("_marks"))
 
-    def make():
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, marks in zip(column(batch, text).cast(pa.binary()).to_pylist(), column(batch, "_marks").to_pylist()):
+                n, hit, names = len(plain_words(x or b"")), None, set()
+                for m in marks or ():
+                    hit = np.zeros(n, bool) if hit is None else hit
+                    for a, b in np.frombuffer(m["spans"], "<i8").reshape(-1, 2):
+                        hit[a:b] = True
+                    names |= set(m["names"])
+                out.append((n, hit, names))
+            yield finish(batch.select(names_of), out)
+
+    return keyed.join(united, key, "left").select(*df.columns, "_marks").mapInArrow(unite, schema)
+
+
+def _hits(rows: DataFrame, shard: list, window: int) -> DataFrame:
+    """(_id, _raw, spans, names) of the rows (_id, _raw, text) that windows of the shard hit."""
+    sent = rows.sparkSession.sparkContext.broadcast(shard)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value, window)
+        for batch in batches:
+            marks = [matcher.mark(plain_words(x or b"")) for x in column(batch, "text").cast(pa.binary()).to_pylist()]
+            at = [i for i, (hit, _) in enumerate(marks) if hit is not None]
+            kept = [column(batch, c).take(pa.array(at, pa.int64())) for c in ("_id", "_raw")]
+            spans = pa.array([_spans(marks[i][0]) for i in at], pa.binary())
+            names = pa.array([sorted(x for x in marks[i][1] if x is not None) for i in at], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*kept, spans, names], names=["_id", "_raw", "spans", "names"])
 
-        def step(batch: pa.RecordBatch) -> Iterator[dict]:
-            n_words, spans, items = [], [], []
-            before = [(b"", [])] * len(batch) if first else zip(column(batch, "spans").to_pylist(), column(batch, "items").to_pylist())
-            for text, (old, names) in zip(column(batch, "text").cast(pa.binary()).to_pylist(), before):
-                words = plain_words(text or b"")
-                hit, found = matcher.mark(words)
-                if old and hit is not None:
-                    for a, b in np.frombuffer(old, "<i8").reshape(-1, 2):
-                        hit[a:b] = True
-                if hit is not None:
-                    old = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).astype("<i8").tobytes()
-                n_words.append(len(words))
-                spans.append(old)
-                items.append(sorted({*names, *(x for x in found if x is not None)}))
-            yield {"doc_id": column(batch, "doc_id"), "text": column(batch, "text"), "n_words": n_words, "spans": spans, "items": items}
+    return rows.mapInArrow(run, rows.select("_id", "_raw").schema.add("spans", "binary").add("names", ArrayType(StringType())))
 
-        return step
 
-    return map_batches(df, make, "doc_id long, text string, n_words long, spans binary, items array<string>")
+def _spans(hit: np.ndarray) -> bytes:
+    return np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).astype("<i8").tobytes()
+
+
+def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, text, n_words, spans, items) for every row: half-open word ranges that windows cover, merged, and the items found.
+
+    ``spans`` is binary: pairs of little-endian int64.
+    """
+
+    def finish(batch: pa.RecordBatch, marks: list) -> pa.RecordBatch:
+        n = pa.array([m[0] for m in marks], pa.int64())
+        spans = pa.array([b"" if hit is None else _spans(hit) for _, hit, _ in marks], pa.binary())
+        names = pa.array([sorted(x for x in found if x is not None) for *_, found in marks], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), n, spans, names], names=["doc_id", "text", "n_words", "spans", "items"])
+
+    at = columns_as(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _marked(at, "doc_id", "text", columns_as(items, item_id=item_id_col, text=item_text_col), window, finish, "doc_id long, text string, n_words long, spans binary, items array<string>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -231,70 +271,16 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 10, max_covera
     All other columns stay. Texts without hits are handed on unchanged. The marks of all shards are united
     before anything is cut or judged.
     """
-    names = [f.name for f in docs.schema.fields]
-    found = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = f"c{names.index('text')}"
-    before = None
-    for shard in shards(columns_as(items, item_id="item_id", text="text"), window):
-        if before is not None:
-            found = saved(_span_pass(found, text, before, window), "marks")
-        before = shard
-    return _remove_pass(found, text, before, window, max_coverage).toDF(*names)
-
-
-def _united(spans: bytes | None, hit: np.ndarray | None, n: int) -> np.ndarray | None:
-    """``hit`` with the words of earlier spans."""
-    if spans:
-        hit = np.zeros(n, bool) if hit is None else hit
-        for a, b in np.frombuffer(spans, "<i8").reshape(-1, 2):
-            hit[a:b] = True
-    return hit
-
-
-def _spans(hit: np.ndarray) -> bytes:
-    return np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).astype("<i8").tobytes()
-
-
-def _span_pass(df: DataFrame, text: str, shard: list, window: int) -> DataFrame:
-    """``df`` with ``spans``, those it has already and the shard's; the text stays."""
-    sent = df.sparkSession.sparkContext.broadcast(shard)
-    old = "spans" in df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, window)
-        for batch in batches:
-            spans = []
-            for value, own in zip(column(batch, text).cast(pa.binary()).to_pylist(), column(batch, "spans").to_pylist() if old else [None] * len(batch)):
-                words = plain_words(value or b"")
-                hit = _united(own, matcher.mark(words)[0], len(words))
-                spans.append(None if hit is None else _spans(hit))
-            kept = [c for c in batch.schema.names if c != "spans"]
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), pa.array(spans, pa.binary())], names=[*kept, "spans"])
-
-    schema = df.drop("spans").schema.add("spans", "binary")
-    return df.select(*schema.names[:-1], *(["spans"] if old else [])).mapInArrow(run, schema)
-
-
-def _remove_pass(df: DataFrame, text: str, shard: list, window: int, max_coverage: float) -> DataFrame:
-    """The last pass: cuts what ``spans`` of ``df``, if any, and the shard's cover."""
-    sent = df.sparkSession.sparkContext.broadcast(shard)
-    old = "spans" in df.columns
-    schema = df.drop("spans").schema
-    at = schema.names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, window)
-        for batch in batches:
-            out, keep = [], []
-            before = column(batch, "spans").to_pylist() if old else [None] * len(batch)
-            batch = batch.select([c for c in batch.schema.names if c != "spans"])
-            for value, own in zip(batch.column(at).cast(pa.binary()).to_pylist(), before):
-                words = plain_words(value or b"")
-                hit = _united(own, matcher.mark(words)[0], len(words))
-                if hit is not None:
-                    value = cut_spans(value, _spans(hit))
-                out.append(value)
-                keep.append(hit is None or hit.sum() <= max_coverage * len(words))
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.binary()).cast(batch.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
-
-    return df.mapInArrow(run, schema)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = names.index("text")
+
+    def finish(batch: pa.RecordBatch, marks: list) -> pa.RecordBatch:
+        field = batch.schema.field(at)
+        texts = batch.column(at).cast(pa.binary()).to_pylist()
+        cut = [x if hit is None else cut_spans(x, _spans(hit)) for x, (_, hit, _) in zip(texts, marks)]
+        keep = [hit is None or hit.sum() <= max_coverage * n for n, hit, _ in marks]
+        return batch.set_column(at, field, pa.array(cut, pa.binary()).cast(field.type)).filter(pa.array(keep, pa.bool_()))
+
+    found = _marked(plain, f"c{names.index('doc_id')}", f"c{at}", columns_as(items, item_id="item_id", text="text"), window, finish, plain.schema)
+    return found.toDF(*names)

@@ -75,22 +75,26 @@ def test_links_at_every_distance(spark, monkeypatch, distance, segments, lanes,
     nodes = split[:, 0].tolist() if lanes == 1 else list(range(len(fps)))
     table = spark.createDataFrame([(n, *map(int, r)) for n, r in zip(nodes, split)], ", ".join(f"{n} long" for n in ("node", *simhash.lane_names(lanes))))
     pairs = simhash.links(table, distance, segments, lanes, every=every)
+    close_by = {tuple(sorted((nodes[i], nodes[j]))) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= distance}
+    if every:
+        got = {tuple(sorted(r)) for r in pairs.collect()}
+        assert got == close_by if close else got <= close_by
+        return
     found = {r["node"]: r["root"] for r in components(pairs).collect()}
     assert groups([found.get(x, x) for x in nodes]) == groups(brute_components(list(enumerate(fps)), distance))
-    if every and close:
-        close_by = {tuple(sorted((nodes[i], nodes[j]))) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= distance}
-        assert {tuple(sorted(r)) for r in pairs.collect()} == close_by
 
 
-def test_minimum_forest_takes_the_nearest():
+def test_nearest_and_hub():
     rng = random.Random(3)
     center = rng.getrandbits(64)
-    fps = [center] + [center ^ sum(1 << b for b in rng.sample(range(64), 6)) for _ in range(40)]
-    edges = simhash.minimum_forest(np.array(fps, np.uint64)[:, None], 12)
-    assert len(edges) == 40
-    near = lambda i: min((fps[i] ^ x).bit_count() for j, x in enumerate(fps) if j != i)
-    for i in range(len(fps)):
-        assert min((fps[a] ^ fps[b]).bit_count() for a, b in edges if i in (a, b)) == near(i)
+    fps = [center ^ sum(1 << b for b in rng.sample(range(64), 10)) for _ in range(20)] + [center] + [rng.getrandbits(64) for _ in range(5)]
+    home = np.arange(len(fps)) != 3
+    edges = set(map(tuple, simhash.nearest_and_hub(np.array(fps, np.uint64)[:, None], home, 14).tolist()))
+    apart = lambda i, j: (fps[i] ^ fps[j]).bit_count()
+    assert {i for i, _ in edges} == {*range(21)} - {3} and all(apart(i, j) <= 14 and i != j for i, j in edges)
+    assert all((i, 20) in edges for i in range(20) if i != 3)
+    for i in {*range(21)} - {3}:
+        assert min(apart(i, j) for k, j in edges if k == i) == min(apart(i, j) for j in range(len(fps)) if j != i)
 
 
 def shingles(text):
