@@ -67,3 +67,5 @@ class Params:
 
 
 DEFAULTS = Params()
+#: Version of the stores that are written.
+STORE_VERSION = "3.0.0"

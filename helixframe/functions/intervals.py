@@ -14,17 +14,6 @@ from pyspark.sql import functions as F
 TILE = 1_000_000
 
 
-def running_sum(df: DataFrame, keys: list[str], pos: str, value: str, out: str, tile: int = TILE) -> DataFrame:
-    """``out``: sum of ``value`` over rows of the same keys up to ``pos`` (inclusive; positions are distinct)."""
-    df = df.withColumn("_tile", F.floor(F.col(pos) / tile))
-    sums = df.groupBy(*keys, "_tile").agg(F.sum(value).alias("_sum"))
-    before = W.partitionBy(*keys).orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_tile", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = W.partitionBy(*keys, "_tile").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumn("_own", F.sum(value).over(within))
-    return df.join(sums, [*keys, "_tile"]).withColumn(out, F.col("_own") + F.col("_base")).drop("_tile", "_own", "_base")
-
-
 def neighbours(df: DataFrame, keys: list[str], pos: str, tile: int = TILE) -> DataFrame:
     """``prev`` and ``next``: the positions (distinct within the keys) before and after each row's."""
     df = df.withColumn("_tile", F.floor(F.col(pos) / tile))
@@ -54,12 +43,23 @@ def runs(df: DataFrame, keys: list[str], pos: str, starts: Column, tile: int = T
     return marked.withColumn("island", F.coalesce("_own", "_carried")).drop("_tile", "_start", "_own", "_carried")
 
 
-def depth_steps(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """(keys, start, end, depth): the runs of equal depth above 0 of half-open intervals, by an event sweep."""
+def depth_steps(intervals: DataFrame, keys: list[str], start: str, end: str, tile: int = TILE) -> DataFrame:
+    """(keys, start, end, depth): the runs of equal depth above 0 of half-open intervals, by an event sweep.
+
+    Events are dealt by tile once; sums and next positions come from one sort there, and what crosses a
+    tile from one row for each tile.
+    """
+    at = [*keys, "_tile"]
     ends = intervals.where(F.col(start) < F.col(end)).select(*keys, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")), F.struct(F.col(end).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    events = ends.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    summed = neighbours(running_sum(events, keys, "pos", "d", "depth"), keys, "pos")
-    return summed.where("depth > 0").select(*keys, F.col("pos").alias("start"), F.col("next").alias("end"), F.col("depth").cast("long").alias("depth"))
+    dealt = ends.select(*keys, F.floor(F.col("e.pos") / tile).alias("_tile"), F.col("e.pos").alias("pos"), F.col("e.d").alias("d")).repartition(*at)
+    events = dealt.groupBy(*at, "pos").agg(F.sum("d").alias("d")).where("d <> 0")
+    within = W.partitionBy(*at).orderBy("pos")
+    swept = events.withColumns({"_own": F.sum("d").over(within.rowsBetween(W.unboundedPreceding, 0)), "_next": F.lead("pos").over(within)})
+    over = W.partitionBy(*keys).orderBy("_tile")
+    tiles = events.groupBy(*at).agg(F.sum("d").alias("_sum"), F.min("pos").alias("_first"))
+    tiles = tiles.select(*at, F.coalesce(F.sum("_sum").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lead("_first").over(over).alias("_after"))
+    summed = swept.join(tiles, at).withColumn("depth", F.col("_own") + F.col("_base"))
+    return summed.where("depth > 0").select(*keys, F.col("pos").alias("start"), F.coalesce("_next", "_after").alias("end"), F.col("depth").cast("long").alias("depth"))
 
 
 def binned(df: DataFrame, first: Column, last: Column, size: int, name: str = "_bin") -> DataFrame:

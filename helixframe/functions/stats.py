@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,3 +46,24 @@ def forward_difference_variance(df: DataFrame, keys: list[str], order: list[str]
     over = W.partitionBy(*keys).orderBy(*order)
     change = df.withColumn("_p", F.lag(value).over(over)).withColumn("_c", F.try_divide(F.col(value) - F.col("_p"), F.col("_p")))
     return change.groupBy(*keys).agg(F.count("_c").alias("n"), F.coalesce(F.var_pop("_c"), F.lit(0.0)).alias("variance"))
+
+
+def with_center(df: DataFrame, keys: list[str], value: str, out: str) -> tuple[DataFrame, Column]:
+    """``df`` with columns from which the aggregate over ``keys`` gives ``center`` of ``value`` (never null), without another exchange."""
+    own = W.partitionBy(*keys)
+    count, place, top = f"_{out}_n", f"_{out}_k", f"_{out}_r"
+    x = df.withColumns({count: F.count("*").over(W.partitionBy(*keys, value)), place: F.row_number().over(W.partitionBy(*keys, value).orderBy(value))})
+    x = x.withColumn(top, F.max(count).over(own))
+    modal = F.when((F.col(place) == 1) & (F.col(count) > F.col(top) - 3), 1).otherwise(0)
+    x = x.withColumn(place, modal)
+    x = x.withColumns({count: F.sum(place).over(own), top: F.sum(place).over(own.orderBy(value).rowsBetween(W.unboundedPreceding, 0))})
+    return x, F.max(F.when((F.col(place) == 1) & (F.col(top) == F.floor(F.col(count) / 2) + 1), F.col(value))).alias(out)
+
+
+def with_trimmed(df: DataFrame, keys: list[str], value: str, out: str, percent: int = 25) -> tuple[DataFrame, Column]:
+    """``df`` with columns from which the aggregate over ``keys`` gives ``trimmed_stdev`` of ``value`` (never null)."""
+    own = W.partitionBy(*keys)
+    n, r = f"_{out}_n", f"_{out}_r"
+    x = df.withColumns({n: F.count("*").over(own), r: F.row_number().over(own.orderBy(value))})
+    cut = F.floor(F.col(n) / 100.0 * percent)
+    return x, F.coalesce(F.stddev_samp(F.when((F.col(r) > cut) & (F.col(r) <= F.col(n) - cut), F.col(value))), F.lit(0.0)).alias(out)

@@ -20,19 +20,21 @@ def bounds(svtype: Column, start: Column, svlen: Column) -> tuple[Column, Column
 
 
 def candidates(leads: DataFrame, keys: list[str] = KEYS, p: Params = DEFAULTS) -> DataFrame:
-    """One row for each cluster of ``leads`` (keys, ref_start, svlen, read_id, strand, mapq)."""
-    length = stats.center(leads, keys, "svlen", "svlen")
-    start = stats.center(leads, keys, "ref_start", "center_start")
-    dev_pos = stats.trimmed_stdev(leads, keys, "ref_start", "stdev_pos")
-    dev_len = stats.trimmed_stdev(leads, keys, "svlen", "stdev_len")
-    base = leads.groupBy(*keys).agg(
+    """One row for each cluster of ``leads`` (keys, ref_start, svlen, read_id, strand, mapq). Windows and sums over the keys share one exchange."""
+    x, dev_len = stats.with_trimmed(leads, keys, "svlen", "stdev_len")  # first, so that the exchange is by the keys alone
+    x, dev_pos = stats.with_trimmed(x, keys, "ref_start", "stdev_pos")
+    x, length = stats.with_center(x, keys, "svlen", "center_len")
+    x, start = stats.with_center(x, keys, "ref_start", "center_start")
+    base = x.groupBy(*keys).agg(
+        length,
+        start,
+        dev_len,
+        dev_pos,
         F.count_distinct("read_id").alias("support"),
         F.avg("mapq").cast("int").alias("qual"),
         F.count_if(F.col("strand") == "+").alias("fwd"),
         F.count_if(F.col("strand") == "-").alias("rev"),
-    )
-    for other in (length, start, dev_pos, dev_len):
-        base = base.join(other, keys)
+    ).withColumnRenamed("center_len", "svlen")
     svtype = F.col("svtype")
     pos, end = bounds(svtype, F.col("center_start"), F.col("svlen"))
     base = base.withColumn("stdev_len", F.when(svtype != "BND", F.col("stdev_len")))
@@ -41,6 +43,29 @@ def candidates(leads: DataFrame, keys: list[str] = KEYS, p: Params = DEFAULTS) -
     return base.where(keep).select(*keys, "pos", "end", "svlen", "support", "qual", "precise", "fwd", "rev", "stdev_pos", "stdev_len")
 
 
+def lead_counts(leads: DataFrame, long_leads: DataFrame, keys: list[str], own: list[str], p: Params = DEFAULTS, edge: int = 500) -> DataFrame:
+    """(keys, support_all, support_long, support_split, n_leads, sa_count, sa_share, nm, edge_reads): what a call takes from its leads besides ``candidates``.
+
+    ``leads``: is_sa, nm, source, read_qname, qry_start, read_len too. ``long_leads`` (``own`` keys: those of the
+    cluster before it was split) belong to each part of their cluster.
+    """
+    near = (F.col("qry_start") <= edge) | (F.abs(F.col("read_len") - F.col("qry_start")) <= edge)
+    each = leads.select(*keys, "read_qname", "is_sa", F.lit(False).alias("long"), (F.col("source") != "INLINE").alias("split"), "nm", near.alias("near"))
+    parts = leads.select(*keys).distinct()
+    more = long_leads.select(*own, "read_qname", "is_sa").join(parts, own).select(*keys, "read_qname", "is_sa", F.lit(True).alias("long"))
+    known = ~F.col("long")
+    return each.unionByName(more, allowMissingColumns=True).groupBy(*keys).agg(
+        F.count_distinct("read_qname").alias("support_all"),
+        F.count_distinct(F.when(F.col("long"), F.col("read_qname"))).alias("support_long"),
+        F.count_if(known & F.col("split")).alias("support_split"),
+        F.count_if(known).alias("n_leads"),
+        F.count_if("is_sa").alias("sa_count"),
+        F.avg(F.col("is_sa").cast("int")).alias("sa_share"),
+        F.avg("nm").alias("nm"),
+        F.count_if(known & F.coalesce("near", F.lit(False))).alias("edge_reads"),
+    )
+
+
 def call_ids(calls: DataFrame, order: list[str], prefix: str = "") -> DataFrame:
     """``id``: TYPE.nStask with n and the contig's number in capital hex digits, numbered by position within (contig, svtype)."""
     over = W.partitionBy("contig", "svtype").orderBy(*order)

@@ -144,8 +144,8 @@ def greedy_clusters(leads: DataFrame, order: list[str], p: Params = DEFAULTS, sp
     return dealt.sortWithinPartitions(*keys, "part", "ref_start", *(F.col(c).asc_nulls_last() for c in order)).mapInPandas(run, schema)
 
 
-def merged_fragments(leads: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFrame:
-    """Pieces of one event on one read as one lead: (keys, read_qname, ref_start, svlen, seq, n_fragments).
+def merged_fragments(leads: DataFrame, keys: list[str], p: Params = DEFAULTS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Pieces of one event on one read as one lead: (keys, read_qname, ref_start, svlen, seq, n_fragments), and the ``carried`` columns of its first piece.
 
     Neighbours (by ref_start) are one event if both their reference and read distances, to the start
     or the end of the one before, are below the limit, on one strand; within repeats always.
@@ -159,7 +159,9 @@ def merged_fragments(leads: DataFrame, keys: list[str], p: Params = DEFAULTS) ->
     piece = F.struct("ref_start", "qry_start", "qry_end", "svlen", "seq")
     seqs = F.transform(F.array_sort(F.collect_list(piece)), lambda s: s["seq"])
     seq = F.when(F.count("seq") == F.count("*"), F.array_join(seqs, ""))
-    return x.groupBy(*keys, "read_qname", "_island").agg(F.min("ref_start").alias("ref_start"), F.sum("svlen").alias("svlen"), seq.alias("seq"), F.count("*").alias("n_fragments")).drop("_island")
+    first = F.min(F.struct("ref_start", "qry_start", "qry_end", "svlen", *(F.col(c).alias(f"c_{c}") for c in carried))).alias("_first")
+    out = x.groupBy(*keys, "read_qname", "_island").agg(F.min("ref_start").alias("ref_start"), F.sum("svlen").alias("svlen"), seq.alias("seq"), F.count("*").alias("n_fragments"), first)
+    return out.select(*keys, "read_qname", "ref_start", "svlen", "seq", "n_fragments", *(F.col(f"_first.c_{c}").alias(c) for c in carried))
 
 
 def bnd_parts(leads: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFrame:

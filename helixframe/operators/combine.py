@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..config import DEFAULTS, Params
 from ..functions.intervals import binned
@@ -46,12 +47,20 @@ def alike(a: Column, b: Column, share: float = DEFAULTS.combine_sequence_share)
 
 
 def population_annotated(calls: DataFrame, population: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """population_af and population_size of the nearest variant of the call's block and type; 0 where there is none."""
+    """population_af and population_size of the nearest variant of the call's block and type; 0 where there is none.
+
+    Where both sides have ``alt``, insertions have to be alike too: their edit distance leaves more than a share of the variant's length.
+    """
     block = lambda c: F.floor(F.col(c) / p.block_size)
-    near = population.select("contig", "svtype", block("pos").alias("_block"), F.col("pos").alias("_pos"), F.col("svlen").alias("_len"), "af", "genotyped_n", F.col("id").alias("_id"))
+    sequences = "alt" in calls.columns and "alt" in population.columns
+    near = population.select("contig", "svtype", block("pos").alias("_block"), F.col("pos").alias("_pos"), F.col("svlen").alias("_len"), "af", "genotyped_n", F.col("id").alias("_id"), *([F.col("alt").alias("_alt")] if sequences else []))
     met = calls.withColumn("_block", block("pos")).join(near, ["contig", "svtype", "_block"])
     distance = F.abs(F.col("pos") - F.col("_pos")) + F.abs(F.abs("svlen") - F.abs("_len"))
     met = met.where(distance <= match_limit(F.least(F.abs("svlen"), F.abs("_len")), p))
+    if sequences:
+        left = lambda d: F.try_divide(F.col("_len") - d, F.col("_len")) > p.combine_sequence_share
+        bound = left(F.abs(F.length("alt") - F.length("_alt")))  # lengths first: they bound the distance
+        met = met.where(F.when((F.col("svtype") == "INS") & F.col("alt").isNotNull() & F.col("_alt").isNotNull(), F.when(bound, left(F.levenshtein("alt", "_alt"))).otherwise(False)).otherwise(True))
     best = met.groupBy("call_id").agg(F.min(F.struct(distance.alias("d"), F.col("_id").alias("id"), "af", "genotyped_n")).alias("b"))
     return calls.join(best, "call_id", "left").select(*calls.columns, F.coalesce(F.round("b.af", 5), F.lit(0.0)).alias("population_af"), F.coalesce("b.genotyped_n", F.lit(0)).cast("long").alias("population_size"))
 
@@ -65,21 +74,54 @@ def population_frequencies(genotypes: DataFrame, n_samples: int, p: Params = DEF
 
 
 def absent_coverage(groups: DataFrame, members: DataFrame, samples: DataFrame, block_coverage: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """(group_id, sample_id, depth): binned depth at the group's mean for every sample without a member. ``samples`` is a small dimension."""
-    missing = groups.select("group_id", "contig", (F.floor(F.col("pos_mean") / p.coverage_bin) * p.coverage_bin).cast("long").alias("cov_bin")).crossJoin(F.broadcast(samples.select("sample_id").distinct()))
-    missing = missing.join(members.select("group_id", "sample_id").distinct(), ["group_id", "sample_id"], "left_anti")
+    """(group_id, sample_id, depth): binned depth at the group's mean for every sample without a member.
+
+    ``samples`` is a small dimension, whose ids are a literal; a group's own ids are at most as many. Only missing samples become rows.
+    """
+    ids = [r["sample_id"] for r in samples.select("sample_id").distinct().collect()]
+    every = F.array(*map(F.lit, ids)).cast(ArrayType(samples.schema["sample_id"].dataType))
+    own = members.groupBy("group_id").agg(F.collect_set("sample_id").alias("_own"))
+    at = groups.select("group_id", "contig", (F.floor(F.col("pos_mean") / p.coverage_bin) * p.coverage_bin).cast("long").alias("cov_bin"))
+    missing = at.join(own, "group_id", "left").withColumn("sample_id", F.explode(F.array_except(every, F.coalesce("_own", F.array())))).drop("_own")
     depth = block_coverage.groupBy("sample_id", "contig", "cov_bin").agg(F.max("depth").alias("depth"))
     return missing.join(depth, ["sample_id", "contig", "cov_bin"], "left").select("group_id", "sample_id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein's distance, a column of its table at a time as the bits of two whole numbers: rises and falls along ``a``."""
+    if not a or a == b:
+        return len(b) if not a else 0
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    every, last, rises, falls, score = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << len(a)) - 1, 0, len(a)
+    for c in b:
+        here = where.get(c, 0)
+        level = ((here & rises) + rises ^ rises) | here
+        up, down = falls | every & ~(level | rises), rises & level
+        score += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & every, down << 1 & every
+        rises, falls = down | every & ~(here | falls | up), up & (here | falls)
+    return score
+
+
 class Group:
     """Calls of several samples taken for one."""
 
     def __init__(self, row, name: int):
         self.name, self.n, self.pos, self.size, self.mate = name, 0, 0.0, 0.0, 0.0
-        self.mate_contig, self.samples = row.mate_contig, set()
+        self.mate_contig, self.samples, self.alt = row.mate_contig, set(), getattr(row, "alt", None)
         self.add(row)
 
+    def resembles(self, row, p: Params) -> bool:
+        """Whether the edit distance to the first member's sequence leaves more than a share of the mean length; true without sequences."""
+        other = getattr(row, "alt", None)
+        if not p.combine_sequence_share or self.alt is None or other is None or not self.size:
+            return True
+        if (self.size - abs(len(self.alt) - len(other))) / self.size <= p.combine_sequence_share:
+            return False
+        return (self.size - edit_distance(self.alt, other)) / self.size > p.combine_sequence_share
+
     def add(self, row) -> None:
         self.n += 1
         self.pos += (row.pos - self.pos) / self.n
@@ -111,7 +153,7 @@ def grouped_rows(rows: list, n_samples: int, p: Params = DEFAULTS, one_per_sampl
         for i in sorted(held, key=lambda i: -rows[i].support):
             r, best, near = rows[i], None, math.inf
             for g in kept:
-                if (d := g.distance(r, p)) < near and not (one_per_sample and r.sample_id in g.samples):
+                if (d := g.distance(r, p)) < near and not (one_per_sample and r.sample_id in g.samples) and (r.svtype == "BND" or g.resembles(r, p)):
                     best, near = g, d
             if best is None:
                 best = Group(r, names)
@@ -126,7 +168,7 @@ def grouped_rows(rows: list, n_samples: int, p: Params = DEFAULTS, one_per_sampl
 
 
 def combined(candidates: DataFrame, n_samples: int, p: Params = DEFAULTS, one_per_sample: bool = False) -> DataFrame:
-    """``candidates`` (call_id, sample_id, contig, svtype, pos, svlen, support, mate_contig, mate_pos) with ``group_id``. Exact: order matters, so it runs contig by contig and type by type."""
+    """``candidates`` (call_id, sample_id, contig, svtype, pos, svlen, support, mate_contig, mate_pos; alt if known) with ``group_id``. Exact: order matters, so it runs contig by contig and type by type."""
     schema = candidates.withColumn("group_id", F.lit("").cast("string")).schema
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -166,10 +208,11 @@ def group_calls(members: DataFrame, depth: DataFrame, samples: DataFrame, p: Par
     zero = F.when(F.col("depth") >= p.combine_null_depth, 0).cast("int")
     off = depth.select("group_id", "sample_id", zero.alias("gt_a"), zero.alias("gt_b"))
     cells = own.unionByName(off).withColumn("has", F.coalesce((F.col("gt_a") + F.col("gt_b")) > 0, F.lit(False)))
-    cells = cells.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "gt_a", "gt_b", "has"))).alias("cells"))
+    alleles = F.sum(F.when(F.col("has"), F.col("gt_a") + F.col("gt_b")).otherwise(0)).alias("ac")
+    cells = cells.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "gt_a", "gt_b", "has"))).alias("cells"), alleles)
     gt = lambda c: F.concat(F.coalesce(c["gt_a"].cast("string"), F.lit(".")), F.lit("/"), F.coalesce(c["gt_b"].cast("string"), F.lit(".")))
     out = x.join(cells, "group_id")
-    return out.select("group_id", "contig", "svtype", "first.pos", "first.end", "first.svlen", "samples", "support", "fwd", "rev", "precise", "stdev_pos", "stdev_len", F.array_join(F.transform("cells", lambda c: F.when(c["has"], "1").otherwise("0")), "").alias("supp_vec"), F.array_join(F.transform("cells", gt), "\t").alias("genotypes"))
+    return out.select("group_id", "contig", "svtype", "first.pos", "first.end", "first.svlen", "samples", "support", "fwd", "rev", "precise", "stdev_pos", "stdev_len", F.array_join(F.transform("cells", lambda c: F.when(c["has"], "1").otherwise("0")), "").alias("supp_vec"), F.array_join(F.transform("cells", gt), "\t").alias("genotypes"), "ac", F.when(F.col("ac") == 0, "GT").otherwise("PASS").alias("filter"))
 
 
 def majority_genotype(members: DataFrame) -> DataFrame:

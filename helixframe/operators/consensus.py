@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,51 +15,53 @@ K, SKIP, SKIP_PER, LEAST_OTHERS = 6, 3, 500, 4
 
 
 def anchors(df: DataFrame, key: str, seq: str, k: int = K, skip: int | None = None) -> DataFrame:
-    """(key, kmer, at): k-mers at every ``skip``-th place (3 + length / 500 without one) that occur there once in the sequence."""
+    """(key, kmer, at): k-mers at every ``skip``-th place (3 + length / 500 without one) that occur there once in the sequence; the very last place is not one."""
     step = F.lit(skip) if skip else (F.lit(SKIP) + F.floor(F.length(seq) / SKIP_PER)).cast("int")
-    long = df.where(F.length(seq) >= k)
-    at = long.select(key, F.col(seq), F.explode(F.sequence(F.lit(0), F.length(seq) - k, step)).alias("at"))
+    long = df.where(F.length(seq) > k)
+    at = long.select(key, F.col(seq), F.explode(F.sequence(F.lit(0), F.length(seq) - k - 1, step)).alias("at"))
     kmers = at.select(key, "at", F.substring(F.col(seq), F.col("at") + 1, F.lit(k)).alias("kmer"))
     return kmers.groupBy(key, "kmer").agg(F.count("*").alias("n"), F.min("at").alias("at")).where("n = 1").select(key, "kmer", "at")
 
 
 def aligned(best: str, other: str, unique: dict[str, int], k: int, skip: int) -> str | None:
-    """``other`` laid along ``best`` between shared anchors, with dashes where it says nothing; null if too little is left."""
-    out, last = "", None
-    for j in range(0, len(other) - k + 1, skip):
+    """``other`` laid along ``best`` between shared anchors, with dashes where it says nothing; null if too little is left.
+
+    Anchors are at most k apart and rise in both. Between two of them ``other`` is taken where both moved
+    alike and half of the bases agree; else dashes stand for what ``other`` moved. What follows the last
+    anchor says nothing. Then runs go that do not mostly agree, or in five places at most.
+    """
+    met, at = [], -1
+    for j in range(0, len(other) - k, skip):
         i = unique.get(other[j : j + k])
-        if i is None or abs(i - j) > 6 or last and i <= last[0]:
-            continue
-        if last is None:
-            out = "-" * i
-        else:
-            width, moved = i - last[0], j - last[1]
-            ours, theirs = best[last[0] + 1 : i + 1], other[last[1] + 1 : j + 1]
-            same = sum(a == b for a, b in zip(ours, theirs)) / width
-            out += other[last[1] : j] if width == moved and same >= 0.5 else "-" * min(width, len(best) - len(out))
-        last = (i, j)
-    if last is None:
+        if i is not None and abs(i - j) <= k and i > at:
+            met.append((i, j))
+            at = i
+    if not met:
         return None
-    out = (out + other[last[1] : last[1] + k]).ljust(len(best), "-")[: len(best)]
-    kept, at = list(out), 0
-    while at < len(out):
-        end = at
-        while end < len(out) and (out[end] == "-") == (out[at] == "-"):
-            end += 1
-        if out[at] != "-":
-            matches = sum(out[i] == best[i] for i in range(at, end))
-            if matches / (end - at) <= 0.5 or matches <= 5:
-                kept[at:end] = "-" * (end - at)
-        at = end
-    matched = sum(x != "-" for x in kept)
-    return "".join(kept) if matched > 0.2 * len(best) else None
+    out, covered = "-" * met[0][0] if met[0][1] else "", 0
+    for (i0, j0), (i1, j1) in zip(met, met[1:]):
+        moved = j1 - j0
+        room = min(moved, len(best) - len(out))
+        piece = "-" * room
+        if i1 - i0 == room > 0:
+            covered += moved
+            if sum(other[j0 + d] == best[i0 + d] for d in range(1, moved + 1)) >= 0.5 * moved:
+                piece = other[j0 : j0 + room]
+        out += piece
+    out = out.ljust(len(best), "-")
+    kept = []
+    for told, run in groupby(range(len(best)), key=lambda h: out[h] != "-"):
+        where = list(run)
+        same = sum(out[h] == best[h] for h in where)
+        kept.append(out[where[0] : where[-1] + 1] if told and same > 5 and same > 0.5 * len(where) else "-" * len(where))
+    return "".join(kept) if covered > 0.2 * len(best) else None
 
 
 def consensus(best: str, others: list[str], k: int = K) -> str:
     """``best`` with the bases that most of the aligned others agree on."""
     skip = SKIP + len(best) // SKIP_PER
-    seen = Counter(best[i : i + k] for i in range(0, len(best) - k + 1, skip))
-    unique = {best[i : i + k]: i for i in range(0, len(best) - k + 1, skip) if seen[best[i : i + k]] == 1}
+    seen = Counter(best[i : i + k] for i in range(0, len(best) - k, skip))
+    unique = {best[i : i + k]: i for i in range(0, len(best) - k, skip) if seen[best[i : i + k]] == 1}
     rows = [x for x in (aligned(best, o, unique, k, skip) for o in others) if x]
     out = []
     for i, base in enumerate(best):

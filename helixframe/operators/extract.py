@@ -126,7 +126,7 @@ def split_leads(alignments: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     end = F.when(F.col("e.svtype") == "INS", F.col("e.start")).otherwise(F.col("e.start") + F.col("e.svlen"))
     out = out.where(F.least("mapq", F.coalesce("a_mapq", "mapq")) >= p.min_mapq)
     source = F.when(F.col("sa_no") < 0, "SPLIT_PRIM").otherwise("SPLIT_SUP")
-    return out.select("aln_idx", "contig", F.col("e.svtype").alias("svtype"), F.col("e.start").alias("lead_start"), end.alias("lead_end"), F.col("e.svlen").alias("svlen"), "strand", "mapq", source.alias("source"))
+    return out.select("aln_idx", "contig", F.col("e.svtype").alias("svtype"), F.col("e.start").alias("lead_start"), end.alias("lead_end"), F.col("e.svlen").alias("svlen"), "strand", "mapq", source.alias("source"), F.col("qry_start").alias("lead_qry_start"), F.col("qry_end").alias("lead_qry_end"))
 
 
 def breakends(alignments: DataFrame) -> DataFrame:

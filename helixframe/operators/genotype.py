@@ -83,8 +83,7 @@ def phase_votes(leads: DataFrame, keys: list[str], order: str, p: Params = DEFAU
         return top.select(*keys, name, F.col("n").alias(f"{name}_support"), F.when(good, "PASS").otherwise("FAIL").alias(f"{name}_filter"))
 
     x = majority("hp").join(majority("ps"), keys)
-    phase = F.concat_ws(",", "hp", "ps", F.col("hp_support").cast("string"), F.col("ps_support").cast("string"), "hp_filter", "ps_filter")
-    return x.withColumns({"phase": phase, "haplotype": F.when((F.col("hp_filter") == "PASS") & F.col("hp").isin("1", "2"), F.col("hp"))})
+    return x.withColumns({"phase": phase_text(F.col("hp_filter")), "haplotype": F.when((F.col("hp_filter") == "PASS") & F.col("hp").isin("1", "2"), F.col("hp"))})
 
 
 def phase_rescued(calls: DataFrame, share: float = 0.75, least: int = 3, longest: int = 10_000, max_nm: float = 0.05) -> DataFrame:
@@ -94,16 +93,27 @@ def phase_rescued(calls: DataFrame, share: float = 0.75, least: int = 3, longest
     return calls.withColumns({"filter": F.when(hit, "PASS").otherwise(F.col("filter")), "gt_b": F.when(hit, 1).otherwise(F.col("gt_b"))})
 
 
-def hom_alt_phase(gt_a: Column, gt_b: Column, haplotype: Column) -> Column:
-    """A homozygous call has no haplotype of its own."""
-    return F.when((gt_a == 1) & (gt_b == 1), F.lit(None)).otherwise(haplotype)
+def hom_alt_phased(calls: DataFrame) -> DataFrame:
+    """``calls`` with hp, ps and the phase columns: conflicting haplotypes do not fail a homozygous call, unless its reads are unphased."""
+    hom = F.coalesce((F.col("gt_a") == 1) & (F.col("gt_b") == 1) & F.col("hp").isNotNull() & (F.col("hp") != "0"), F.lit(False))
+    good = F.when(hom, "PASS").otherwise(F.col("hp_filter"))
+    return calls.withColumns({
+        "haplotype": F.when(hom & (F.col("hp") != "NULL"), F.col("hp")).otherwise(F.col("haplotype")),
+        "phase_set": F.when((hom | (F.col("ps_filter") == "PASS")) & (F.col("ps") != "NULL"), F.col("ps")),
+        "phase": phase_text(good),
+        "hp_filter": good,
+    })
+
+
+def phase_text(hp_filter: Column) -> Column:
+    return F.concat_ws(",", "hp", "ps", F.col("hp_support").cast("string"), F.col("ps_support").cast("string"), hp_filter, "ps_filter")
 
 
 def genotype_string(phased: bool = True, with_id: bool = False) -> Column:
-    """GT:GQ:DR:DV[:PS][:ID]; heterozygous calls on haplotype 1 are written 1|0."""
+    """GT:GQ:DR:DV[:PS][:ID]; heterozygous calls on haplotype 1 are written 1|0. Calls without the variant are not phased."""
     c = F.col
     text = lambda x: F.coalesce(x.cast("string"), F.lit("."))
-    bar = F.when(F.lit(phased) & c("haplotype").isNotNull(), "|").otherwise("/")
+    bar = F.when(F.lit(phased) & c("haplotype").isNotNull() & c("gt_a").isin(0, 1) & (c("gt_b") == 1), "|").otherwise("/")
     swap = c("haplotype").eqNullSafe("1") & (c("gt_a") == 0) & (c("gt_b") == 1)
     a, b = F.when(swap, c("gt_b")).otherwise(c("gt_a")), F.when(swap, c("gt_a")).otherwise(c("gt_b"))
     parts = [F.concat(text(a), bar, text(b)), F.coalesce(c("gq"), F.lit(0)).cast("string"), F.coalesce(c("dr"), F.lit(0)).cast("string"), F.coalesce(c("dv"), F.lit(0)).cast("string")]

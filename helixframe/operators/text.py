@@ -19,13 +19,44 @@ AMBIGUOUS = "RYSWKMBDHV"
 CSV_HEADER = "svtype,orientation_start,contig_start,pos_start,orientation_end,contig_end,pos_end,filter,support_inline,support_split,support_ref"
 
 
-def header(contigs: list[tuple[str, int]], samples: list[str], phased: bool = True, with_id: bool = False) -> list[str]:
+# The INFO keys of records, their number and type.
+INFOS = (
+    ("PRECISE", "0", "Flag"),
+    ("IMPRECISE", "0", "Flag"),
+    ("MOSAIC", "0", "Flag"),
+    ("SVLEN", "1", "Integer"),
+    ("SVTYPE", "1", "String"),
+    ("CHR2", "1", "String"),
+    ("SUPPORT", "1", "Integer"),
+    ("SUPPORT_INLINE", "1", "Integer"),
+    ("SUPPORT_SA", "1", "Integer"),
+    ("SUPPORT_LONG", "1", "Integer"),
+    ("END", "1", "Integer"),
+    ("STDEV_POS", "1", "Float"),
+    ("STDEV_LEN", "1", "Float"),
+    ("COVERAGE", ".", "Float"),
+    ("STRAND", "1", "String"),
+    ("AC", ".", "Integer"),
+    ("SUPP_VEC", "1", "String"),
+    ("CONSENSUS_SUPPORT", "1", "Integer"),
+    ("RNAMES", ".", "String"),
+    ("VAF", "1", "Float"),
+    ("COVERAGE_VAR", "1", "Float"),
+    ("NM", ".", "Float"),
+    ("PHASE", ".", "String"),
+    ("LASM", "0", "Flag"),
+)
+POPULATION_INFOS = (("POPULATION_AF", "1", "Float"), ("POPULATION_SIZE", "1", "Integer"))
+
+
+def header(contigs: list[tuple[str, int]], samples: list[str], phased: bool = True, with_id: bool = False, population: bool = False) -> list[str]:
     """The lines of a VCF header; contigs are a small dimension."""
     lines = ["##fileformat=VCFv4.2"] + [f"##contig=<ID={c},length={n}>" for c, n in contigs]
     lines += [f'##ALT=<ID={t},Description="{t}">' for t in ("INS", "DEL", "DUP", "INV", "BND")]
     extra = ([("PS", "String")] if phased else []) + ([("ID", "String")] if with_id else [])
     lines += [f'##FORMAT=<ID={n},Number=1,Type={t},Description="{n}">' for n, t in (*FORMATS, *extra)]
     lines += [f'##FILTER=<ID={f},Description="{f}">' for f in FILTERS]
+    lines += [f'##INFO=<ID={n},Number={k},Type={t},Description="{n}">' for n, k, t in INFOS + POPULATION_INFOS * population]
     return [*lines, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
 
 
@@ -52,16 +83,20 @@ def resolved(calls: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     alt = (
         F.when(deletion, F.substring(ref, 1, 1))
         .when(sequence, F.concat(anchor, F.col("alt")))
-        .when(F.col("svtype") == "BND", F.replace(F.col("alt"), F.lit("N"), anchor))
+        .when(F.col("svtype") == "BND", F.when(F.col("alt").startswith("N"), F.concat(anchor, F.substring("alt", F.lit(2), F.length("alt")))).otherwise(F.concat(F.substring("alt", F.lit(1), F.length("alt") - 1), anchor)))
         .otherwise(F.concat(F.lit("<"), "svtype", F.lit(">")))
     )
     size = F.when(sequence, F.length("alt")).otherwise(F.col("svlen"))
     return calls.withColumns({"svlen": size.cast("long"), "ref": ref, "alt": alt})
 
 
-def vcf_lines(calls: DataFrame, genotypes: Column, prefix: str = "") -> DataFrame:
-    """(contig, pos, id, line). ``calls`` with id, contig, pos, end, ref, alt, qual, filter, svtype, svlen, support, precise, fwd, rev, cov_*, stdev_pos, stdev_len, vaf."""
+def vcf_lines(calls: DataFrame, genotypes: Column, prefix: str = "", phased: bool = False, mosaic: bool = False, measure_nm: bool = False, with_id: bool = False, p: Params = DEFAULTS) -> DataFrame:
+    """(contig, pos, id, line). ``calls`` with id, contig, pos, end, ref, alt, qual, filter, svtype, svlen, support, precise, fwd, rev, cov_*, stdev_pos, stdev_len, vaf.
+
+    Also written where ``calls`` has them: rnames, ac, mate_contig, phase, population_af, population_size, support_long, support_sa, supp_vec.
+    """
     c = F.col
+    more = lambda key, name, kind: [(key, c(name), kind)] * (name in calls.columns)
     pos = F.greatest(c("pos"), F.lit(1))
     end = F.when(c("precise") & (c("svtype") == "DEL"), pos + F.abs("svlen")).otherwise(c("end"))
     typed = c("svtype") != "BND"
@@ -72,15 +107,26 @@ def vcf_lines(calls: DataFrame, genotypes: Column, prefix: str = "") -> DataFram
         ("SVLEN", F.when(typed, c("svlen")), "long"),
         ("END", F.when(typed, end), "long"),
         ("SUPPORT", c("support"), "long"),
+        *more("RNAMES", "rnames", "array"),
         ("COVERAGE", depth, "string"),
         ("STRAND", strand, "string"),
+        *(more("NM", "nm", "double") if measure_nm else []),
+        # by their keys
+        *more("AC", "ac", "long"),
+        *more("CHR2", "mate_contig", "string"),
+        *more("PHASE", "phase", "string"),
+        *more("POPULATION_AF", "population_af", "double"),
+        *more("POPULATION_SIZE", "population_size", "long"),
         ("STDEV_LEN", c("stdev_len"), "double"),
         ("STDEV_POS", c("stdev_pos"), "double"),
+        *more("SUPPORT_LONG", "support_long", "long"),
+        *more("SUPPORT_SA", "support_sa", "long"),
+        *more("SUPP_VEC", "supp_vec", "string"),
         ("VAF", c("vaf"), "double"),
     ]
-    flags = [F.when(c("precise"), "PRECISE").otherwise("IMPRECISE")]
-    quality = F.least(F.greatest("qual", F.lit(0)), F.lit(60)).cast("string")
-    formats = F.lit("GT:GQ:DR:DV")
+    flags = [F.when(c("precise"), "PRECISE").otherwise("IMPRECISE"), F.when(F.lit(mosaic) & (F.coalesce("vaf", F.lit(0.0)) <= p.mosaic_af_max), "MOSAIC")]
+    quality = F.coalesce(F.least(F.greatest("qual", F.lit(0)), F.lit(60)).cast("string"), F.lit("."))
+    formats = F.lit("GT:GQ:DR:DV" + ":PS" * phased + ":ID" * with_id)
     line = F.concat_ws("\t", "contig", pos.cast("string"), F.concat(F.lit(prefix), "id"), "ref", "alt", quality, "filter", info(fields, flags), formats, genotypes)
     return calls.select("contig", "pos", "id", line.alias("line"))
 

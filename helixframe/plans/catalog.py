@@ -12,6 +12,7 @@ from ..functions import stats
 from ..operators import call, cluster, combine, consensus, extract, genotype, grid, qc, scan, text
 from ..sources import readers
 from ..streaming import windowed
+from . import pipelines
 from .lens import ALIGNMENTS, CALLS, CONTIGS, LEADS, REPEATS, view
 from .lens import text as lens_text
 
@@ -172,7 +173,21 @@ def sa_explode(spark, d):
     return longs(extract.sa_entries(alignments(spark, d)).select("aln_idx", "contig", "pos", "strand", "clip_start", "clip_end", "ref_span", "read_span"), "clip_end")
 
 
-@query("split_leads")
+@query(
+    "split_leads",
+    WITH_ALIGNMENTS + """,
+    reads as (select *, (flag & 16) <> 0 as back, cast(split_part(sa, ',', 2) as bigint) - 1 as s_pos, split_part(sa, ',', 3) as s_strand, cast(regexp_extract(sa, ',([0-9]+)S', 1) as bigint) as clip, cast(regexp_extract(sa, 'S([0-9]+)M', 1) as bigint) as m, cast(split_part(sa, ',', 5) as bigint) as s_mapq from alignments where (flag & 2048) = 0 and sa is not null),
+    parts as (
+        select aln_idx, -1 as k, contig, ref_start as rs, ref_end as re, case when back then query_length - qry_end else qry_start end as qs, case when back then query_length - qry_start else qry_end end as qe, case when back then '-' else '+' end as st, mapq from reads
+        union all select aln_idx, 0, split_part(sa, ',', 1), s_pos, s_pos + m + 20, case when s_strand = '-' then 0 else clip end, case when s_strand = '-' then 0 else clip end + m + 30, s_strand, s_mapq from reads),
+    pairs as (select *, lag(contig) over w as a_contig, lag(rs) over w as ars, lag(re) over w as are, lag(qe) over w as aqe, lag(st) over w as ast, lag(mapq) over w as amapq from parts window w as (partition by aln_idx order by qs, k)),
+    gaps as (select *, st = ast as same, qs - aqe as dq, case when st = '+' then rs - are else ars - re end as dr, case when st = '+' then rs else ars end as near, case when st = '+' then abs(rs - ars) else abs(re - are) end as span, case when st = '+' then least(rs, ars) else least(re, are) end as flip from pairs),
+    events as (
+        select *, case when a_contig is null then case when qs >= 1250 then 'INS' end when contig <> a_contig then null when same and dq >= 45 and dq - dr >= 45 then 'INS' when same and dr >= 45 and dr - dq >= 45 then 'DEL' when same and dr <= 0 and -dr >= 45 then 'DUP' when not same and span >= 45 then 'INV' end as svtype from gaps),
+    placed as (select *, case when a_contig is null then rs when svtype = 'INV' then flip else near end as start, case when a_contig is null then null when svtype = 'INS' then dq when svtype in ('DEL', 'DUP') then -dr else span end as size from events where svtype is not null)
+    select aln_idx, contig, svtype, start as lead_start, case when svtype = 'INS' then start else start + size end as lead_end, size as svlen, st as strand, mapq, case when k < 0 then 'SPLIT_PRIM' else 'SPLIT_SUP' end as source, qs as lead_qry_start, qe as lead_qry_end
+    from placed where least(mapq, coalesce(amapq, mapq)) >= 20""",
+)
 def split_leads(spark, d):
     return extract.split_leads(alignments(spark, d))
 
@@ -224,7 +239,19 @@ def bnd_resplit(spark, d):
     return cluster.bnd_parts(x, ["contig", "sample_id"]).select("lead_id", "mate_contig", "is_first", F.col("part").cast("long").alias("part"))
 
 
-@query("length_resplit")
+@query(
+    "length_resplit",
+    WITH_LEADS.replace("with ", "with recursive ", 1) + CLUSTERS + """,
+    sized as (select *, abs(svlen) // 20 * 20 as bin from clustered),
+    begun as (select contig, svtype, cluster, list_sort(list(distinct bin)) as ks from sized group by all),
+    walk as (
+        select contig, svtype, cluster, ks, ks as bins, ks as own, 1 as i from begun
+        union all
+        select contig, svtype, cluster, case when near then list_filter(ks, lambda x: x <> a) else ks end, bins, case when near then list_transform(own, lambda x: case when x = a then b else x end) else own end, case when near then greatest(0, i - 2) else i + 1 end
+        from (select *, abs(b - a) <= greatest(50, least(a, b) * 0.22) as near from (select *, ks[case when i = 0 then len(ks) else i end] as a, ks[i + 1] as b from walk where len(ks) > 1 and i < len(ks)))),
+    ended as (select contig, svtype, cluster, unnest(bins) as bin, unnest(own) as length_key from walk where len(ks) <= 1 or i >= len(ks))
+    select lead_id, contig, svtype, cluster, length_key from sized join ended using (contig, svtype, cluster, bin)""",
+)
 def length_resplit(spark, d):
     return cluster.split_by_length(clustered(spark, d), call.KEYS).select("lead_id", "contig", "svtype", "cluster", "length_key")
 
@@ -416,10 +443,15 @@ def qc_mosaic(spark, d):
 # --- genotypes -----------------------------------------------------------------------------------
 
 
-@query("genotype", f"with kn as (select l_partkey as part_id, 'DEL' as svtype, cast(count(*) filter (l_returnflag = 'R') as double) as k, count(*) as n from lineitem group by l_partkey){LIKELIHOOD} select part_id, case when alleles = 2 then 1 else 0 end as gt_a, case when alleles >= 1 then 1 else 0 end as gt_b, cast(n - k as bigint) as dr, cast(k as bigint) as dv, round(k / n, 6) as vaf from o")
+def _phred_sql(q: str) -> str:
+    r = f"(({q} / nullif(q0 + q1 + q2, 0)) / nullif(best / nullif(q0 + q1 + q2, 0), 0))"
+    return f"cast(least(60, trunc(case when {r} > 0 then -10 * log10({r}) else 0 end)) as integer)"
+
+
+@query("genotype", f"with kn as (select l_partkey as part_id, 'DEL' as svtype, cast(count(*) filter (l_returnflag = 'R') as double) as k, count(*) as n from lineitem group by l_partkey){LIKELIHOOD} select part_id, case when alleles = 2 then 1 else 0 end as gt_a, case when alleles >= 1 then 1 else 0 end as gt_b, cast(n - k as bigint) as dr, cast(k as bigint) as dv, round(k / n, 6) as vaf, {_phred_sql('second')} as gq, {_phred_sql('q0')} as z, case when {_phred_sql('q0')} < 5 then 'GT' else 'PASS' end as gt_filter from o")
 def genotype_(spark, d):
     x = view(spark, d, "select l_partkey as part_id, 'DEL' as svtype, 100L as svlen, count(*) as n, count_if(l_returnflag = 'R') as k from {lineitem} group by l_partkey")
-    return rounded(genotype.genotyped(x, F.col("k"), F.col("n")).select("part_id", "gt_a", "gt_b", "dr", "dv", "vaf"), "vaf")
+    return rounded(genotype.genotyped(x, F.col("k"), F.col("n")).select("part_id", "gt_a", "gt_b", "dr", "dv", "vaf", "gq", "z", "gt_filter"), "vaf")
 
 
 def _mean_sql(*xs: str) -> str:
@@ -447,7 +479,7 @@ def phase_rescue(spark, d):
     return genotype.phase_rescued(x).select("call_id", "filter", "gt_b")
 
 
-@query("genotype_string", f"{WITH_CALLS} select call_id, case when sample_id = 1 and gt_a = 0 and gt_b = 1 then '1|0' else coalesce(cast(gt_a as varchar), '.') || case when sample_id in (1, 2) then '|' else '/' end || coalesce(cast(gt_b as varchar), '.') end || ':' || qual || ':' || cov_start || ':' || support || ':' || case when sample_id = 2 then '9' else '.' end as genotype from calls")
+@query("genotype_string", f"{WITH_CALLS} select call_id, case when sample_id = 1 and gt_a = 0 and gt_b = 1 then '1|0' else coalesce(cast(gt_a as varchar), '.') || case when sample_id in (1, 2) and gt_a in (0, 1) and gt_b = 1 then '|' else '/' end || coalesce(cast(gt_b as varchar), '.') end || ':' || qual || ':' || cov_start || ':' || support || ':' || case when sample_id = 2 then '9' else '.' end as genotype from calls")
 def genotype_string(spark, d):
     x = calls(spark, d).withColumns({"gq": F.col("qual"), "dr": F.col("cov_start"), "dv": F.col("support"), "haplotype": F.when(F.col("sample_id").isin(1, 2), F.col("sample_id").cast("string")), "phase_set": F.when(F.col("sample_id") == 2, "9")})
     return x.select("call_id", genotype.genotype_string().alias("genotype"))
@@ -472,6 +504,14 @@ def population_annotate(spark, d):
     return x.withColumn("population_af", F.round(F.col("population_af").cast("double"), 5))
 
 
+@query("population_sequences", f"with calls as ({lens_text(CALLS)}), population as ({lens_text(POPULATION)}), c as (select *, repeat('ACG', cast(abs(svlen) % 31 as int)) as alt from calls where svtype in ('INS', 'DEL')), v as (select *, repeat('ACT', cast(svlen % 23 as int)) as alt from population), met as (select call_id, v.id, af, abs(c.pos - v.pos) + abs(abs(c.svlen) - abs(v.svlen)) as dist, least(250 * sqrt(least(abs(c.svlen), abs(v.svlen))), 1000) as lim, c.svtype <> 'INS' or (v.svlen - levenshtein(c.alt, v.alt)) / v.svlen > 0.7 as fits from c join v on c.contig = v.contig and c.svtype = v.svtype and c.pos // 100000 = v.pos // 100000), best as (select call_id, arg_min(af, (dist, id)) as af from met where dist <= lim and fits group by call_id) select c.call_id, round(coalesce(af, 0), 5) as population_af from c left join best b on b.call_id = c.call_id")
+def population_sequences(spark, d):
+    x = calls(spark, d).where("svtype in ('INS', 'DEL')").withColumn("alt", F.expr("repeat('ACG', cast(abs(svlen) % 31 as int))"))
+    variants = view(spark, d, POPULATION).withColumn("alt", F.expr("repeat('ACT', cast(svlen % 23 as int))"))
+    found = combine.population_annotated(x, variants).select("call_id", "population_af")
+    return found.withColumn("population_af", F.round(F.col("population_af").cast("double"), 5))
+
+
 @query("population_af", "with g as (select l_partkey as variant_id, case when l_linenumber % 7 = 0 then null when l_returnflag = 'R' then 1 else 0 end as a, case when l_linenumber % 7 = 0 then null when l_linestatus = 'O' then 1 else 0 end as b from lineitem) select variant_id, round(sum(coalesce(a + b, 0)) / nullif(2 * count(a), 0), 6) as af, count(a) as genotyped_n, count(*) filter (coalesce(a + b, 0) > 0) as variant_n from g group by variant_id having count(a) / 30 >= 0.75")
 def population_af(spark, d):
     x = view(spark, d, "select l_partkey as variant_id, case when l_linenumber % 7 = 0 then null when l_returnflag = 'R' then 1 else 0 end as gt_a, case when l_linenumber % 7 = 0 then null when l_linestatus = 'O' then 1 else 0 end as gt_b from {lineitem}")
@@ -544,7 +584,7 @@ def edit_gate(spark, d):
 # --- sequences and text --------------------------------------------------------------------------
 
 
-@query("kmer_anchors", "with k as (select item_id, unnest(range(0, length(text) - 5, 3)) as p, text from benchmark where length(text) >= 6), m as (select item_id, substr(text, p + 1, 6) as kmer, count(*) as n, min(p) as p from k group by all) select item_id, kmer, p as \"at\" from m where n = 1")
+@query("kmer_anchors", "with k as (select item_id, unnest(range(0, length(text) - 6, 3)) as p, text from benchmark where length(text) > 6), m as (select item_id, substr(text, p + 1, 6) as kmer, count(*) as n, min(p) as p from k group by all) select item_id, kmer, p as \"at\" from m where n = 1")
 def kmer_anchors(spark, d):
     return longs(consensus.anchors(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id", "text", skip=3), "at")
 
@@ -556,7 +596,7 @@ def consensus_(spark, d):
     return consensus.with_consensus(x.withColumn("others", others)).drop("others")
 
 
-@query("vcf_lines", f"{WITH_CALLS} select call_id, contig || chr(9) || greatest(pos, 1) || chr(9) || svtype || '.' || call_id || chr(9) || 'N' || chr(9) || '<' || svtype || '>' || chr(9) || qual || chr(9) || 'PASS' || chr(9) || case when precise then 'PRECISE' else 'IMPRECISE' end || ';SVTYPE=' || svtype || case when svtype <> 'BND' then ';SVLEN=' || svlen || ';END=' || case when precise and svtype = 'DEL' then greatest(pos, 1) + abs(svlen) else stop end else '' end || ';SUPPORT=' || support || ';COVERAGE=' || cov_upstream || ',' || cov_start || ',' || cov_center || ',' || cov_end || ',' || cov_downstream || ';STRAND=' || case when fwd > 0 then '+' else '' end || case when rev > 0 then '-' else '' end || coalesce(';STDEV_LEN=' || printf('%.3f', stdev_len), '') || ';STDEV_POS=' || printf('%.3f', stdev_pos) || ';VAF=' || printf('%.3f', vaf) || chr(9) || 'GT:GQ:DR:DV' || chr(9) || './.' as line from calls")
+@query("vcf_lines", f"{WITH_CALLS} select call_id, contig || chr(9) || greatest(pos, 1) || chr(9) || svtype || '.' || call_id || chr(9) || 'N' || chr(9) || '<' || svtype || '>' || chr(9) || qual || chr(9) || 'PASS' || chr(9) || case when precise then 'PRECISE' else 'IMPRECISE' end || ';SVTYPE=' || svtype || case when svtype <> 'BND' then ';SVLEN=' || svlen || ';END=' || case when precise and svtype = 'DEL' then greatest(pos, 1) + abs(svlen) else stop end else '' end || ';SUPPORT=' || support || ';COVERAGE=' || cov_upstream || ',' || cov_start || ',' || cov_center || ',' || cov_end || ',' || cov_downstream || ';STRAND=' || case when fwd > 0 then '+' else '' end || case when rev > 0 then '-' else '' end || coalesce(';STDEV_LEN=' || printf('%.3f', stdev_len), '') || ';STDEV_POS=' || printf('%.3f', stdev_pos) || ';SUPPORT_SA=' || support_sa || ';VAF=' || printf('%.3f', vaf) || chr(9) || 'GT:GQ:DR:DV' || chr(9) || './.' as line from calls")
 def vcf_lines(spark, d):
     x = calls(spark, d).withColumns({"id": F.concat_ws(".", "svtype", F.col("call_id").cast("string")), "ref": F.lit("N"), "alt": F.concat(F.lit("<"), "svtype", F.lit(">")), "filter": F.lit("PASS")})
     x = x.withColumns({c: F.col(c).cast("double") for c in ("stdev_pos", "stdev_len", "vaf")})
@@ -606,7 +646,32 @@ def bed_regions(spark, d):
     return readers.parse_bed(lines)
 
 
-@query("event_windows")
+@query("event_windows", "select cast(epoch(date_trunc('hour', ts)) as bigint) as start, event_type as contig, cast(floor(floor(epoch(ts)) / 100) * 100 as bigint) as bin, count(*) as n, round(sum(value), 4) as value from events group by all")
 def event_windows(spark, d):
     x = spark.read.parquet(f"{d}/events.parquet").select("ts", F.col("event_type").alias("contig"), F.unix_timestamp("ts").alias("ref_start"), "value")
-    return windowed.windowed_leads(x)
+    return windowed.windowed_leads(x).withColumns({"start": F.unix_timestamp("start"), "value": F.round("value", 4)})
+
+
+# --- the entries, over the lenses; tests/engine/test_pipelines.py holds them against planted variants ----------
+
+
+def entry_alignments(spark: SparkSession, d: str) -> DataFrame:
+    return alignments(spark, d).withColumns({"hp": F.col("hap").cast("int"), "ps": F.lit(None).cast("string"), "seq": F.lit(None).cast("string")})
+
+
+@query("entry_call")
+def entry_call(spark, d):
+    found = pipelines.call_sample(entry_alignments(spark, d), spark.sql(CONTIGS), repeats=view(spark, d, REPEATS), keep_failed=True)
+    return found.select("contig", "svtype", "pos", "end", "svlen", "support", "id", "alt", "filter", "gt_a", "gt_b", "gq", "dr", "dv", "phase")
+
+
+@query("entry_force")
+def entry_force(spark, d):
+    given = view(spark, d, TARGETS).select(F.col("target_id").alias("line_index"), "contig", "svtype", "pos", "svlen", (F.col("pos") + F.col("svlen")).alias("end"))
+    return pipelines.genotype_variants(entry_alignments(spark, d), spark.sql(CONTIGS), given)
+
+
+@query("entry_combine")
+def entry_combine(spark, d):
+    members = sample_candidates(spark, d).withColumns({"end": F.col("pos"), "precise": F.lit(True), "gt_a": F.lit(0), "gt_b": F.lit(1), "passed": F.lit(True)})
+    return pipelines.combine_samples(members, sample_coverage(spark, d), members.select("sample_id").distinct())

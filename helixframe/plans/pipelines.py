@@ -2,25 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
-from ..operators import call, cluster, combine, extract, genotype, grid, qc, scan
+from ..functions.storage import stored
+from ..operators import call, cluster, combine, consensus, extract, genotype, grid, qc, scan, text
+from ..sources import readers, writers
+
+
+#: A call's key: its cluster and, within it, the group of lengths, or of mates of breakends.
+PART = [*call.KEYS, "sub"]
 
 
 def leads_of(alignments: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """All leads of usable alignments: inline, split and breakend ones."""
-    own = alignments.select("aln_idx", "read_qname", F.coalesce("hp", F.lit(0)).alias("hap"), F.col("ps").alias("phase_set"), (F.col("flag").bitwiseAND(2048) != 0).alias("is_sa"))
-    inline = extract.inline_leads(alignments, p).drop("read_qname", "lead_qry_start", "lead_qry_end")
+    own = scan.mismatch_rate(alignments).select("aln_idx", "read_qname", F.coalesce("hp", F.lit(0)).alias("hap"), F.col("ps").alias("phase_set"), (F.col("flag").bitwiseAND(2048) != 0).alias("is_sa"), F.col("nm_rate").alias("nm"), F.col("query_length").alias("read_len"))
+    inline = extract.inline_leads(alignments, p).drop("read_qname")
     split = extract.split_leads(alignments, p)
     bnd = extract.breakends(alignments).join(alignments.select("aln_idx", "mapq", F.when(F.col("flag").bitwiseAND(16) == 0, "+").otherwise("-").alias("strand")), "aln_idx")
     bnd = bnd.select("aln_idx", "contig", F.lit("BND").alias("svtype"), F.col("ref_start").alias("lead_start"), F.col("ref_start").alias("lead_end"), F.lit(0).cast("long").alias("svlen"), "strand", "mapq", F.lit("BND_SA").alias("source"), "mate_contig", "mate_ref_start", "is_first", "is_reverse")
     found = inline.unionByName(split, allowMissingColumns=True).unionByName(bnd, allowMissingColumns=True).join(own, "aln_idx")
-    return found.withColumnRenamed("lead_start", "ref_start").withColumn("read_id", F.xxhash64("read_qname"))
+    named = {"lead_start": "ref_start", "lead_end": "ref_end", "lead_qry_start": "qry_start", "lead_qry_end": "qry_end"}
+    return found.withColumnsRenamed(named).withColumn("read_id", F.xxhash64("read_qname"))
+
+
+def parts_of(found: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """The leads of known length of clusters, with ``sub``: fragments of one event on a read joined (INS, DEL), clusters split by length, breakends by mate."""
+    known = found.where("svlen is not null")
+    carried = tuple(c for c in known.columns if c not in {*call.KEYS, "read_qname", "ref_start", "svlen", "seq"})
+    whole = cluster.merged_fragments(known.where("svtype in ('INS', 'DEL')"), call.KEYS, p, carried)
+    sized = whole.unionByName(known.where("svtype not in ('INS', 'DEL', 'BND')"), allowMissingColumns=True)
+    sized = cluster.split_by_length(sized, call.KEYS, p).withColumn("sub", F.col("length_key").cast("string"))
+    mates = cluster.bnd_parts(known.where("svtype = 'BND'"), call.KEYS, p).withColumn("sub", F.concat_ws(":", "mate_contig", F.col("is_first").cast("string"), F.col("part").cast("string")))
+    return sized.unionByName(mates, allowMissingColumns=True)
+
 
+def with_sequences(calls: DataFrame, leads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """``alt``: of insertions the sequence of the nearest lead, or the consensus if enough others have one; else what is there.
 
-def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame | None = None, repeats: DataFrame | None = None, p: Params = DEFAULTS, keep_failed: bool = False) -> DataFrame:
+    ``grid.cap_sequences`` has left few leads of a bin their sequence, so those of a call are few.
+    """
+    bounded = leads.where("svtype = 'INS' and seq is not null").withColumn("nth", F.row_number().over(W.partitionBy(*PART).orderBy("aln_idx", "ref_start")))
+    best = call.ins_representative(bounded, calls.where("svtype = 'INS'").select(*PART, "svlen", "pos"), PART, "nth")
+    others = bounded.join(best.select(*PART, "lead"), PART).where(F.col("nth") != F.col("lead"))
+    others = others.groupBy(*PART).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "seq"))), lambda x: x["seq"]).alias("others"))
+    held = best.join(others, PART, "left").select(*PART, F.col("seq").alias("best"), F.coalesce("others", F.array().cast("array<string>")).alias("others"))
+    return calls.join(consensus.with_consensus(held).select(*PART, F.col("alt").alias("_seq")), PART, "left").withColumn("alt", F.coalesce("_seq", "alt")).drop("_seq")
+
+
+def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame | None = None, repeats: DataFrame | None = None, p: Params = DEFAULTS, keep_failed: bool = False, mosaic: bool = False, measure_nm: bool = False) -> DataFrame:
     """Genotyped, filtered calls of a sample, in order of contig, position and id."""
     used = scan.scan(alignments, regions, p)
     leads = leads_of(used, p)
@@ -31,31 +63,65 @@ def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame |
     else:
         hit = grid.in_repeats(seeds.select("contig", "seed").distinct(), repeats).withColumn("hit", F.lit(True))
         leads = seeds.join(hit, ["contig", "seed"], "left").withColumn("repeat", F.coalesce("hit", F.lit(False))).drop("hit", "seed")
-    found = cluster.greedy_clusters(leads, ["read_qname", "svlen"], p)
-    known = cluster.split_by_length(found.where("svlen is not null"), call.KEYS, p)
-    keys = [*call.KEYS, "length_key"]
-    calls = call.candidates(known, keys, p)
-    extra = cluster.sa_share(known, keys).join(known.groupBy(*keys).agg(F.count_if(F.col("source") != "INLINE").alias("support_sa"), F.count("*").alias("n_leads")), keys)
-    calls = calls.join(extra, keys).join(F.broadcast(contigs.select("contig", "contig_idx").distinct()), "contig")
-    calls = call.call_ids(calls, ["pos", "cluster", "length_key"]).withColumn("call_id", F.concat_ws(":", "contig", "id"))
+    leads = grid.cap_sequences(leads, ["aln_idx", "ref_start", "svlen"], p)
+    found = stored(cluster.greedy_clusters(leads, ["read_qname", "svlen"], p))
+    known = stored(parts_of(found, p))
+    counts = call.lead_counts(known, found.where("svlen is null"), PART, call.KEYS, p)
+    calls = call.candidates(known, PART, p).join(counts, PART)
+    long_ins = (F.col("svtype") == "INS") & (F.col("svlen") >= p.long_ins_length)
+    calls = calls.withColumns({
+        "support": F.when(long_ins, F.col("support_all")).otherwise(F.col("support")),
+        "support_long": F.when(F.col("svtype") == "INS", F.when(long_ins, F.col("support_long")).otherwise(0)),
+        "support_sa": F.when(F.col("svtype") == "DEL", F.col("support_split")),
+        "alt": F.concat(F.lit("<"), "svtype", F.lit(">")),
+    })
+    mates = call.resolve_bnd(known.where("svtype = 'BND'"), PART).withColumnsRenamed({"support": "mate_support", "alt": "mate_alt"})
+    calls = calls.join(mates, PART, "left").withColumns({"support": F.coalesce("mate_support", "support"), "alt": F.coalesce("mate_alt", "alt")}).drop("mate_support", "mate_alt")
+    calls = calls.join(F.broadcast(contigs.select("contig", "contig_idx").distinct()), "contig")
+    calls = call.call_ids(calls, ["pos", "cluster", "sub"]).withColumn("call_id", F.concat_ws(":", "contig", "id"))
     calls = grid.with_coverage(calls, steps, p).withColumn("coverage_var", F.lit(0.0))
-    first = qc.first_filter(qc.call_rules(p) + qc.support_rule(p))
+    calls = with_sequences(calls, known, p)
+    first = qc.first_filter(qc.call_rules(p, mosaic) + ([] if mosaic else qc.support_rule(p)))
     k, n = genotype.observed(p)
-    calls = genotype.genotyped(calls.withColumn("filter", first), k, n, p)
-    votes = genotype.phase_votes(known, keys, "aln_idx", p).select(*keys, "phase", "haplotype")
-    calls = calls.join(votes, keys, "left").withColumns({"nm": F.lit(-1.0), "regional_nm": F.lit(0.0), "edge_reads": F.lit(0)})
-    calls = calls.withColumn("haplotype", genotype.hom_alt_phase(F.col("gt_a"), F.col("gt_b"), F.col("haplotype")))
-    after = F.when(F.col("gt_filter") != "PASS", F.col("gt_filter")).otherwise(qc.first_filter(qc.genotype_rules(p)))
+    calls = genotype.genotyped(calls.withColumn("filter", first), k, n, p, mosaic)
+    votes = genotype.phase_votes(known, PART, "aln_idx", p).select(*PART, "hp", "ps", "hp_support", "ps_support", "hp_filter", "ps_filter", "phase", "haplotype")
+    calls = genotype.hom_alt_phased(calls.join(votes, PART, "left"))
+    regional = scan.mismatch_rate(used).groupBy("contig").agg(F.avg("nm_rate").alias("regional_nm"))
+    calls = calls.join(F.broadcast(regional), "contig", "left")
+    after = F.when(F.col("gt_filter") != "PASS", F.col("gt_filter")).otherwise(qc.first_filter(qc.genotype_rules(p, mosaic, nm=measure_nm)))
     calls = calls.withColumn("filter", F.when(F.col("filter") != "PASS", F.col("filter")).otherwise(after))
+    calls = genotype.phase_rescued(with_haplotypes(calls, leads, used, p))
     calls = calls if keep_failed else calls.where("filter = 'PASS'")
     return calls.orderBy("contig_idx", "pos", "id")
 
 
+def with_haplotypes(calls: DataFrame, leads: DataFrame, used: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """hap_support and hap_reads: leads and reads of the call's haplotype in the first bin of its cluster; null without a passing one."""
+    own = grid.lead_bins(leads, p).select("contig", "svtype", F.col("bin").alias("cluster"), F.col("hap1").alias("own1"), F.col("hap2").alias("own2"))
+    every = grid.hap_reference(used.withColumn("hap", F.coalesce("hp", F.lit(0))), p).select("contig", F.col("bin").alias("cluster"), F.col("hap1").alias("all1"), F.col("hap2").alias("all2"))
+    x = calls.join(own, call.KEYS, "left").join(every, ["contig", "cluster"], "left")
+    of = lambda name: F.when(F.col("hp_filter") == "PASS", F.when(F.col("hp") == "1", F.col(f"{name}1")).when(F.col("hp") == "2", F.col(f"{name}2")))
+    return x.withColumns({"hap_support": of("own"), "hap_reads": of("all")}).drop("own1", "own2", "all1", "all2")
+
+
+def vcf_of(calls: DataFrame, reference: DataFrame | None = None, chunk: int = 0, p: Params = DEFAULTS, prefix: str = "", phased: bool = True, mosaic: bool = False, measure_nm: bool = False) -> DataFrame:
+    """(contig, pos, id, line) of a sample's calls; with ``reference`` (contig, chunk_no, seq in chunks of ``chunk``) REF and ALT are bases."""
+    calls = calls.withColumn("ref", F.lit("N"))
+    if reference is not None:
+        whole = (F.col("svtype") == "DEL") & (F.abs("svlen") <= p.long_del_length)
+        bases = readers.sequences(calls.select("call_id", "contig", F.greatest(F.col("pos") - 1, F.lit(0)).alias("start"), F.when(whole, F.col("pos") - F.col("svlen")).otherwise(F.greatest("pos", F.lit(1))).alias("end")), reference, chunk, "call_id")
+        calls = calls.join(bases, "call_id", "left").withColumns({"anchor": F.substring("bases", 1, 1), "deleted": F.when(whole & (F.col("pos") > 0), F.col("bases"))})
+        calls = text.resolved(calls, p).drop("anchor", "deleted", "bases")
+    calls = qc.emitted(calls.withColumn("supp_vec", F.lit(None).cast("string")), p).drop("supp_vec")
+    return text.vcf_lines(calls, genotype.genotype_string(phased), prefix, phased, mosaic, measure_nm, p=p)
+
+
 def genotype_variants(alignments: DataFrame, contigs: DataFrame, variants: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """(line_index, gt_a, gt_b, gq, dr, dv, call_id): the nearest call's genotype for every variant of ``variants`` (of ``readers.vcf``); else 0/0 where covered."""
-    calls = call_sample(alignments, contigs, p=p, keep_failed=True)
+    calls = stored(call_sample(alignments, contigs, p=p, keep_failed=True))
     targets = variants.withColumn("target_id", F.col("line_index"))
-    near = combine.nearest(targets.select("target_id", "contig", "svtype", "pos", "svlen"), calls.select("call_id", "contig", "svtype", "pos", "svlen"), p)
+    mate = ["mate_contig"] * ("mate_contig" in targets.columns)
+    near = combine.nearest(targets.select("target_id", "contig", "svtype", "pos", "svlen", *mate), calls.select("call_id", "contig", "svtype", "pos", "svlen", *mate), p)
     depth = grid.with_coverage(variants.select(F.col("line_index").alias("call_id"), "contig", "svtype", "pos", "end"), grid.coverage(scan.scan(alignments, p=p)), p)
     depth = depth.select(F.col("call_id").alias("target_id"), F.greatest("cov_start", "cov_center", "cov_end").alias("depth"))
     found = near.select("target_id", "call_id").join(calls.select("call_id", "gt_a", "gt_b", "gq", "dr", "dv"), "call_id", "left").join(depth, "target_id", "left")
@@ -64,11 +130,36 @@ def genotype_variants(alignments: DataFrame, contigs: DataFrame, variants: DataF
     return found.select(F.col("target_id").alias("line_index"), *(F.when(alone, zero).otherwise(F.col(c)).alias(c) for c in ("gt_a", "gt_b")), F.coalesce("gq", F.lit(0)).alias("gq"), F.coalesce("dr", F.when(alone, F.col("depth")), F.lit(0)).alias("dr"), F.coalesce("dv", F.lit(0)).alias("dv"), "call_id")
 
 
-def combine_samples(candidates: DataFrame, block_coverage: DataFrame, samples: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def combine_samples(candidates: DataFrame, block_coverage: DataFrame, samples: DataFrame, p: Params = DEFAULTS, one_per_sample: bool = False) -> DataFrame:
     """One call for each group of candidates across samples."""
     kept = combine.supported(candidates, p)
     n = samples.select("sample_id").distinct().count()
-    members = combine.combined(kept, n, p)
+    members = stored(combine.combined(kept, n, p, one_per_sample))
     groups = members.groupBy("group_id", "contig").agg(F.avg("pos").alias("pos_mean"))
     depth = combine.absent_coverage(groups, members, samples, block_coverage, p)
     return combine.group_calls(members, depth, samples, p)
+
+
+def stored_sample(calls: DataFrame, alignments: DataFrame, path: str, sample_id: str, p: Params = DEFAULTS) -> None:
+    """Writes the store of a sample: all its calls, failed ones too, and its binned depth."""
+    kept = calls.select("call_id", *CANDIDATE, (F.col("filter") == "PASS").alias("passed"))
+    writers.write_sample(kept, grid.coverage_bins(grid.coverage(scan.scan(alignments, p=p)), p), path, sample_id, p=p)
+
+
+#: What a store keeps of a call.
+CANDIDATE = "contig svtype pos end svlen support support_sa qual precise fwd rev stdev_pos stdev_len alt mate_contig mate_pos cov_upstream cov_start cov_center cov_end cov_downstream gt_a gt_b gq dr dv vaf".split()
+
+
+def combine_stores(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None, population: DataFrame | None = None, p: Params = DEFAULTS, one_per_sample: bool = False) -> DataFrame:
+    """``combine_samples`` over stores; calls of old stores are genotyped anew. With ``population``, its frequencies too."""
+    found, depth, samples = readers.sample_stores(spark, paths, names, p=p)
+    found = found.withColumn("call_id", F.concat_ws(":", "sample_id", "call_id"))
+    old = combine.needs_genotyping(F.col("version"))
+    k, n = genotype.observed(p)
+    told = ["gt_a", "gt_b", "gq", "z", "dr", "dv", "vaf", "gt_filter"]
+    again = genotype.genotyped(found.where(old).drop(*told), k, n, p).drop("z", "gt_filter")
+    found = found.where(~old).unionByName(again)
+    calls = combine_samples(found, depth, samples, p, one_per_sample)
+    if population is None:
+        return calls
+    return combine.population_annotated(calls.withColumn("call_id", F.col("group_id")), population, p).drop("call_id")

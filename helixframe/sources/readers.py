@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, Params
+from ..config import DEFAULTS, STORE_VERSION, Params
+from ..functions.intervals import binned
 from ..operators.scan import cigar_ops, total
 
 
@@ -50,6 +51,16 @@ def bases(points: DataFrame, reference: DataFrame, chunk: int, out: str = "base"
     return x.select(*points.columns, F.when(base != "", base).alias(out))
 
 
+def sequences(spans: DataFrame, reference: DataFrame, chunk: int, key: str, out: str = "bases") -> DataFrame:
+    """(``key``, bases) of ``spans`` (key, contig, start, end): what ``reference`` has of [start, end), by an equi-join on chunks. Spans are short, so their pieces are few."""
+    cut = binned(spans.where("start < end"), F.col("start"), F.col("end") - 1, chunk, "chunk_no").withColumn("chunk_no", F.col("chunk_no").cast("int"))
+    x = cut.join(reference, ["contig", "chunk_no"])
+    low = F.greatest(F.col("start") - F.col("chunk_no").cast("long") * chunk, F.lit(0))
+    high = F.least(F.col("end") - F.col("chunk_no").cast("long") * chunk, F.lit(chunk))
+    piece = F.struct("chunk_no", F.substring(F.col("seq"), (low + 1).cast("int"), (high - low).cast("int")).alias("piece"))
+    return x.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda c: c["piece"]), "").alias(out))
+
+
 def sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of SAM text, in file order by aln_idx; header lines and unmapped reads are left out."""
     lines = spark.read.text(path).where(~F.col("value").startswith("@"))
@@ -114,3 +125,39 @@ def store_list(spark: SparkSession, path: str) -> DataFrame:
     checked = F.when(F.size(f) <= 2, f).otherwise(F.raise_error(F.concat(F.lit("too many columns: "), "value")).cast("array<string>"))
     stem = F.regexp_replace(F.element_at(F.split(F.col("path"), "/"), -1), r"\.[^.]*$", "")
     return x.select(checked[0].alias("path"), F.get(checked, F.lit(1)).alias("own")).select("path", F.coalesce(F.nullif("own", F.lit("")), stem).alias("sample_id"))
+
+
+def store_headers(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """(root, sample_id, version) of the stores at ``paths``: ids as named there, else as the header has them, else the path's stem. Other block or bin sizes, and newer versions, raise."""
+    schema = "sample_id string, version string, block_size long, coverage_bin long"
+    rows = spark.read.schema(schema).json([f"{x}/header" for x in paths])
+    rows = rows.select(F.substring_index("_metadata.file_path", "/header/", 1).alias("root"), "*").collect()  # one for each store
+    if len(rows) != len(set(paths)):
+        raise ValueError(f"{len(set(paths))} stores have {len(rows)} headers")
+    out, numbers = [], lambda v: [int(x) if x.isdigit() else 0 for x in (v or "").split(".")]
+    for r in rows:
+        if (r["block_size"], r["coverage_bin"]) != (p.block_size, p.coverage_bin):
+            raise ValueError(f"{r['root']}: blocks of {r['block_size']} and bins of {r['coverage_bin']} bases, not {p.block_size} and {p.coverage_bin}")
+        if numbers(r["version"])[:1] > numbers(STORE_VERSION)[:1]:
+            raise ValueError(f"{r['root']}: version {r['version']} is newer than {STORE_VERSION}")
+        own = next((v for k, v in (names or {}).items() if r["root"].endswith(k.rstrip("/").split(":")[-1])), None)
+        out.append((r["root"], own or r["sample_id"] or r["root"].rpartition("/")[2].split(".")[0], r["version"]))
+    return spark.createDataFrame(out, "root string, sample_id string, version string")
+
+
+def sample_stores(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None, contig: str | None = None, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, binned depth and samples (root, sample_id, version) of any number of stores, each in one read."""
+    samples = store_headers(spark, paths, names, p)
+
+    def part(kind: str) -> DataFrame:
+        x = spark.read.parquet(*[f"{x}/{kind}" for x in paths]).drop("sample_id").withColumn("root", F.substring_index("_metadata.file_path", f"/{kind}/", 1))
+        x = x.where(F.col("contig") == contig) if contig is not None else x
+        return x.join(F.broadcast(samples), "root").drop("root")
+
+    return part("candidates"), part("coverage").drop("version"), samples
+
+
+def population(spark: SparkSession, path: str, contig: str | None = None) -> DataFrame:
+    """Variants with their frequencies; contig prunes folders."""
+    x = spark.read.parquet(path)
+    return x.where(F.col("contig") == contig) if contig is not None else x

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, Params
+from ..config import DEFAULTS, STORE_VERSION, Params
 
 
 def write_text(lines: DataFrame, path: str, header: list[str] | None = None, order: list[str] | None = None, gzip: bool = False) -> None:
@@ -28,3 +30,15 @@ def write_population(frequencies: DataFrame, path: str, p: Params = DEFAULTS) ->
     """Variants with their frequencies, in folders by contig, sorted by block."""
     x = frequencies.withColumn("block", (F.floor(F.col("pos") / p.block_size) * p.block_size).cast("long"))
     x.repartition("contig", "block").sortWithinPartitions("contig", "block", "pos").write.partitionBy("contig").parquet(path)
+
+
+def write_sample(candidates: DataFrame, coverage: DataFrame, path: str, sample_id: str, version: str = STORE_VERSION, p: Params = DEFAULTS) -> None:
+    """A sample's store: a header, its candidates without single breaks, and its binned depth (contig, cov_bin, depth). Rows are sorted by contig and block, so that readers of many stores skip row groups."""
+    spark = candidates.sparkSession
+    header = {"sample_id": sample_id, "version": version, "block_size": p.block_size, "coverage_bin": p.coverage_bin}
+    spark.createDataFrame([(json.dumps(header),)], "value string").coalesce(1).write.text(f"{path}/header")
+    block = lambda c: (F.floor(F.col(c) / p.block_size) * p.block_size).cast("long")
+    kept = candidates.where("svtype not like 'SINGLE%'").withColumn("block", block("pos"))
+    kept.repartitionByRange("contig", "block").sortWithinPartitions("contig", "block", "pos").write.parquet(f"{path}/candidates")
+    depth = coverage.select("contig", block("cov_bin").alias("block"), "cov_bin", "depth")
+    depth.repartitionByRange("contig", "block").sortWithinPartitions("contig", "cov_bin").write.parquet(f"{path}/coverage")

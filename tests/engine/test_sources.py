@@ -91,6 +91,18 @@ def test_consensus_corrects_single_errors():
     assert consensus.consensus(truth, [truth] * 6) == truth and consensus.consensus(truth, []) == truth
 
 
+def test_alignment_along_the_best_sequence():
+    unique = {"ACG": 0, "TTA": 6, "GGC": 12, "CAT": 20}
+    best = "ACGAAATTACCCGGCTTTTACATGA"
+    same = consensus.aligned(best, best, unique, 3, 1)
+    assert same == best[:20] + "-" * 5  # nothing after the last anchor
+    longer = best[:16] + "A" + best[16:]  # one more base between two anchors: dashes as far as the read moved
+    assert consensus.aligned(best, longer, unique, 3, 1) == best[:12] + "-" * 13
+    late = "T" + best[:20]  # the first anchor is not the read's first k-mer
+    assert consensus.aligned(best, late, {"TTA": 6, "GGC": 12}, 3, 1) == "-" * 6 + best[6:12] + "-" * 13
+    assert consensus.aligned(best, best[:7], unique, 3, 1) is None and consensus.aligned(best, "GGGG", unique, 3, 1) is None
+
+
 def test_all_filters_are_listed_once(spark):
     df = spark.createDataFrame([(5,), (0,)], "x int")
     rules = [("A", F.col("x") > 1), ("B", F.col("x") > 2), ("A", F.col("x") > 3)]
