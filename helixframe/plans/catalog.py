@@ -215,7 +215,27 @@ def cluster_greedy(spark, d):
     return cluster.greedy_clusters(leads(spark, d).withColumn("repeat", F.lit(False)), ["lead_id"]).select("lead_id", "contig", "svtype", "cluster")
 
 
-@query("cluster_greedy_events")
+def _run_sql(r: str, name: str) -> str:
+    """Mean length and deviation of starts of a run, over every step-th lead."""
+    n = f"least(len({r}.rows), 100)"
+    taken = f"list_filter({r}.rows, lambda q, i: (i - 1) % (len({r}.rows) // {n}) = 0)"
+    return f"list_sum(list_transform({taken}, lambda q: q.size)) / {n} as {name}_mean, coalesce(list_aggregate(list_transform({taken}, lambda q: cast(q.s as double)), 'stddev_samp'), 0) as {name}_dev"
+
+
+@query(
+    "cluster_greedy_events",
+    f"""with recursive leads as (select event_id, event_type as contig, cast(floor(epoch(ts)) as bigint) as s, cast(trunc(value) as bigint) as size, user_id % 5 = 0 as rep from events),
+    bins as (select contig, s // 100 * 100 as bin, list({{'s': s, 'size': size, 'id': event_id}} order by s, event_id) as rows, bool_or(rep) as rep from leads group by all having count(*) >= 2),
+    walk as (
+        select contig, list({{'a': bin, 'z': bin + 100, 'rows': rows, 'rep': rep}} order by bin) as runs, 0 as i from bins group by contig
+        union all
+        select contig, case when near then list_concat(list_concat(runs[1:i], [{{'a': x.a, 'z': y.z, 'rows': list_concat(x.rows, y.rows), 'rep': x.rep or y.rep}}]), runs[i + 3:]) else runs end, case when near then greatest(i - 1, 1) else i + 1 end
+        from (
+            select *, y.a - x.z <= least(x_dev, y_dev) * 2.5 or ((x.rep or y.rep) and y.z - x.a <= least(1000, (abs(x_mean) + abs(y_mean)) * 1.5)) as near
+            from (select *, {_run_sql("x", "x")}, {_run_sql("y", "y")} from (select *, runs[i + 1] as x, runs[i + 2] as y from walk where i + 1 < len(runs))))),
+    ended as (select contig, unnest(runs) as r from walk where i + 1 >= len(runs))
+    select unnest(r.rows).id as event_id, contig, r.a as cluster, r.z as cluster_end from ended""",
+)
 def cluster_greedy_events(spark, d):
     x = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_type").alias("contig"), F.lit("INS").alias("svtype"), F.unix_timestamp("ts").alias("ref_start"), F.col("value").cast("long").alias("svlen"), (F.col("user_id") % 5 == 0).alias("repeat"))
     return cluster.greedy_clusters(x, ["event_id"]).select("event_id", "contig", "cluster", "cluster_end")
