@@ -1,4 +1,8 @@
-"""BAM files: compressed blocks are gzip members, records follow one another. A file is streamed by one task; files are read side by side."""
+"""BAM files: compressed blocks are gzip members, records follow one another.
+
+A file with an index beside it (.bai) is cut at starts of records that the index names, about every
+SPLIT_BYTES, and only the parts that hold wanted contigs are read. Without one it is streamed by one task.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +19,10 @@ OPS = "MIDNSHP=X"
 BASES = "=ACMGRSVTWYHKDBN"
 TAG_FORMATS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 ROWS = 2000
+#: Compressed bytes of a part.
+SPLIT_BYTES = 64 << 20
+#: Fixed value of the format: the bin of an index that holds counts instead of places.
+COUNTS_BIN = 37450
 
 SCHEMA = (
     "path string, aln_idx long, read_qname string, flag int, contig string, ref_start long, ref_end long, mapq int, cigar string, seq string, "
@@ -30,14 +38,16 @@ def open_stream(path: str):
     from pyarrow import fs
 
     store, name = fs.FileSystem.from_uri(path)
-    return store.open_input_stream(name)
+    return store.open_input_file(name)
 
 
 class Inflated:
-    """Bytes of a file of gzip members."""
+    """Bytes of a file of gzip members, from the member at ``start`` on."""
 
-    def __init__(self, file):
+    def __init__(self, file, start: int = 0):
         self.file, self.member, self.data = file, zlib.decompressobj(31), bytearray()
+        self.read, self.made, self.taken = start, 0, 0
+        self.members = [(0, start)]  # where members begin: in the bytes, and in the file
 
     def take(self, n: int) -> bytes:
         """``n`` bytes, or fewer at the end."""
@@ -45,13 +55,27 @@ class Inflated:
             rest = self.member.unused_data
             if self.member.eof:
                 self.member = zlib.decompressobj(31)
-            raw = rest or self.file.read(1 << 16)
+                self.members.append((self.made, self.read - len(rest)))
+            raw = rest
+            if not raw:
+                raw = self.file.read(1 << 16)
+                self.read += len(raw)
             if not raw:
                 break
-            self.data += self.member.decompress(raw)
+            more = self.member.decompress(raw)
+            self.made += len(more)
+            self.data += more
         out, self.data = bytes(self.data[:n]), self.data[n:]
+        self.taken += len(out)
         return out
 
+    def place(self, at: int) -> int:
+        """The virtual offset of byte ``at``, of those read last: the member's place in the file and the byte's in the member."""
+        while len(self.members) > 1 and self.members[1][0] <= at:
+            del self.members[0]
+        begin, file = self.members[0]
+        return file << 16 | at - begin
+
     def number(self) -> int:
         return struct.unpack("<i", self.take(4))[0]
 
@@ -82,10 +106,56 @@ def tags(block: bytes) -> dict[str, object]:
     return found
 
 
-def records(data: Inflated, names: list[tuple[str, int]]) -> Iterator[tuple]:
-    """Mapped records in file order, as rows of SCHEMA without the path."""
+def index_places(path: str) -> list[tuple[list[int], int]]:
+    """For each contig of an index, virtual offsets at which records begin, and where its last one ends; empty without an index."""
+    try:
+        with open_stream(f"{path}.bai") as file:
+            data = file.read()
+    except FileNotFoundError:
+        return []
+    at = 8
+
+    def numbers(form: str) -> tuple:
+        nonlocal at
+        at += struct.calcsize(form)
+        return struct.unpack_from(form, data, at - struct.calcsize(form))
+
+    out = []
+    for _ in range(struct.unpack_from("<i", data, 4)[0]):
+        begins, end = set(), 0
+        for _ in range(numbers("<i")[0]):
+            name, n = numbers("<Ii")
+            places = numbers(f"<{2 * n}Q")
+            if name != COUNTS_BIN:
+                begins |= set(places[::2])
+                end = max(end, *places[1::2])
+        begins |= set(numbers(f"<{numbers('<i')[0]}Q")) - {0}
+        out.append((sorted(begins), end))
+    return out
+
+
+def splits(path: str, wanted: list[str] | None = None) -> list[tuple[int, int]]:
+    """(start, end) virtual offsets of a file's parts; 0 stands for the first record and for the file's end."""
+    places = index_places(path)
+    if not any(begins for begins, _ in places):
+        return [(0, 0)]
+    cuts = [0]
+    for x in sorted({x for begins, _ in places for x in begins}):
+        if (x >> 16) - (cuts[-1] >> 16) >= SPLIT_BYTES:
+            cuts.append(x)
+    parts = list(zip(cuts, [*cuts[1:], 0]))
+    if wanted is None:
+        return parts
+    spans = [(begins[0], end) for (name, _), (begins, end) in zip(bam_contigs(path), places) if name in wanted and begins]
+    return [(a, b) for a, b in parts if any(begin < (b or end + 1) and a < end for begin, end in spans)]
+
+
+def records(data: Inflated, names: list[tuple[str, int]], stop: int = 0) -> Iterator[tuple]:
+    """Mapped records in file order, before the virtual offset ``stop`` if there is one, as rows of SCHEMA without the path."""
     index = -1
     while len(head := data.take(4)) == 4:
+        if stop and data.place(data.taken - 4) >= stop:
+            return
         block = data.take(struct.unpack("<i", head)[0])
         index += 1
         ref, pos, n_name, mapq, _, n_ops, flag, n_seq = struct.unpack_from("<iiBBHHHi", block)
@@ -106,24 +176,30 @@ def records(data: Inflated, names: list[tuple[str, int]]) -> Iterator[tuple]:
         yield index, name, flag, names[ref][0], pos, pos + span, mapq, "".join(f"{n}{o}" for n, o in ops), seq or None, length, left, length - right, text("SA"), number("HP"), text("PS"), number("NM")
 
 
-def bam(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The mapped alignments of BAM files, ``aln_idx`` in file order within each."""
+def bam(spark: SparkSession, paths: list[str], wanted: list[str] | None = None) -> DataFrame:
+    """The mapped alignments of BAM files, of the ``wanted`` contigs or all; ``aln_idx`` is in file order within each."""
     columns = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path in batch["path"]:
+            for path, part, start, stop in batch.itertuples(index=False, name=None):
                 with open_stream(path) as file:
                     data = Inflated(file)
                     names, held = contigs(data), []
-                    for row in records(data, names):
-                        held.append((path, *row))
+                    if start:
+                        file.seek(start >> 16)
+                        data = Inflated(file, start >> 16)
+                        data.take(start & 0xFFFF)
+                    for index, *row in records(data, names, stop):
+                        if wanted is None or row[2] in wanted:
+                            held.append((path, part << 32 | index, *row))
                         if len(held) == ROWS:
                             yield pd.DataFrame(held, columns=columns)
                             held = []
                     yield pd.DataFrame(held, columns=columns)
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths)).mapInPandas(run, SCHEMA)
+    parts = [(path, i, *span) for path in paths for i, span in enumerate(splits(path, wanted))]
+    return spark.createDataFrame(parts, "path string, part long, start long, stop long").repartition(max(len(parts), 1)).mapInPandas(run, SCHEMA)
 
 
 def bam_contigs(path: str) -> list[tuple[str, int]]:
