@@ -215,6 +215,33 @@ def group_calls(members: DataFrame, depth: DataFrame, samples: DataFrame, p: Par
     return out.select("group_id", "contig", "svtype", "first.pos", "first.end", "first.svlen", "samples", "support", "fwd", "rev", "precise", "stdev_pos", "stdev_len", F.array_join(F.transform("cells", lambda c: F.when(c["has"], "1").otherwise("0")), "").alias("supp_vec"), F.array_join(F.transform("cells", gt), "\t").alias("genotypes"), "ac", F.when(F.col("ac") == 0, "GT").otherwise("PASS").alias("filter"))
 
 
+def group_genotypes(members: DataFrame, depth: DataFrame, p: Params = DEFAULTS, relabel: int | None = None, phased: bool = True) -> DataFrame:
+    """(group_id, columns, supp_vec, ac): the sample columns GT:GQ:DR:DV[:PS]:ID of each group, by sample id.
+
+    Of several members of a sample the highest genotype counts, and all are named. ``members``: group_id,
+    sample_id, call_id, gt_a, gt_b, gq, dr, dv. With ``relabel``, genotypes of a lower quality become the
+    highest one that a better quality has in the group.
+    """
+    rank = F.struct(F.coalesce("gt_a", F.lit(-1)).alias("ra"), F.coalesce("gt_b", F.lit(-1)).alias("rb"), "call_id", "gt_a", "gt_b", F.coalesce("gq", F.lit(0)).cast("long").alias("gq"), F.coalesce("dr", F.lit(0)).cast("long").alias("dr"), F.coalesce("dv", F.lit(0)).cast("long").alias("dv"))
+    own = members.groupBy("group_id", "sample_id").agg(F.max(rank).alias("g"), F.array_join(F.array_sort(F.collect_set(F.col("call_id").cast("string"))), ",").alias("id"))
+    own = own.select("group_id", "sample_id", *(F.col(f"g.{c}").alias(c) for c in ("gt_a", "gt_b", "gq", "dr", "dv")), "id")
+    zero = F.when(F.col("depth") >= p.combine_null_depth, 0).cast("int")
+    off = depth.select("group_id", "sample_id", zero.alias("gt_a"), zero.alias("gt_b"), F.lit(0).cast("long").alias("gq"), F.col("depth").alias("dr"), F.lit(0).cast("long").alias("dv"), F.lit("NULL").alias("id"))
+    each = own.unionByName(off).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "gt_a", "gt_b", "gq", "dr", "dv", "id"))).alias("cells"))
+    cells = F.col("cells")
+    if relabel is not None:
+        known = F.filter(cells, lambda c: (c["gq"] > relabel) & c["gt_a"].isNotNull())
+        each = each.withColumn("_top", F.array_max(F.transform(known, lambda c: F.struct(c["gt_a"].alias("a"), c["gt_b"].alias("b")))))
+        better = F.coalesce((F.col("_top.a") > 0) | (F.col("_top.b") > 0), F.lit(False))
+        moved = lambda c: better & (c["gq"] < relabel) & c["gt_a"].isNotNull()
+        cells = F.transform(cells, lambda c: c.withField("gt_a", F.when(moved(c), F.col("_top.a")).otherwise(c["gt_a"])).withField("gt_b", F.when(moved(c), F.col("_top.b")).otherwise(c["gt_b"])))
+    said = lambda x: F.coalesce(x.cast("string"), F.lit("."))
+    text = lambda c: F.concat_ws(":", F.concat(said(c["gt_a"]), F.lit("/"), said(c["gt_b"])), c["gq"].cast("string"), c["dr"].cast("string"), c["dv"].cast("string"), *[F.lit(".")] * phased, c["id"])
+    has = lambda c: c["gt_a"].isNotNull() & (c["dv"] > 0)
+    alleles = F.aggregate(cells, F.lit(0), lambda n, c: n + F.when(has(c), c["gt_a"] + c["gt_b"]).otherwise(0))
+    return each.select("group_id", F.array_join(F.transform(cells, text), "\t").alias("columns"), F.array_join(F.transform(cells, lambda c: F.when(has(c), "1").otherwise("0")), "").alias("supp_vec"), alleles.alias("ac"))
+
+
 def majority_genotype(members: DataFrame) -> DataFrame:
     """(group_id, gt_a, gt_b): the commonest known genotype of a group; of several that with most alleles."""
     counted = members.where("gt_a is not null").groupBy("group_id", "gt_a", "gt_b").agg(F.count("*").alias("n"))

@@ -130,14 +130,18 @@ def genotype_variants(alignments: DataFrame, contigs: DataFrame, variants: DataF
     return found.select(F.col("target_id").alias("line_index"), *(F.when(alone, zero).otherwise(F.col(c)).alias(c) for c in ("gt_a", "gt_b")), F.coalesce("gq", F.lit(0)).alias("gq"), F.coalesce("dr", F.when(alone, F.col("depth")), F.lit(0)).alias("dr"), F.coalesce("dv", F.lit(0)).alias("dv"), "call_id")
 
 
-def combine_samples(candidates: DataFrame, block_coverage: DataFrame, samples: DataFrame, p: Params = DEFAULTS, one_per_sample: bool = False) -> DataFrame:
-    """One call for each group of candidates across samples."""
+def combine_samples(candidates: DataFrame, block_coverage: DataFrame, samples: DataFrame, p: Params = DEFAULTS, one_per_sample: bool = False, relabel: int | None = None) -> DataFrame:
+    """One call for each group of candidates across samples; with the samples' columns of a record where candidates have gq, dr and dv."""
     kept = combine.supported(candidates, p)
     n = samples.select("sample_id").distinct().count()
     members = stored(combine.combined(kept, n, p, one_per_sample))
     groups = members.groupBy("group_id", "contig").agg(F.avg("pos").alias("pos_mean"))
-    depth = combine.absent_coverage(groups, members, samples, block_coverage, p)
-    return combine.group_calls(members, depth, samples, p)
+    depth = stored(combine.absent_coverage(groups, members, samples, block_coverage, p))
+    calls = combine.group_calls(members, depth, samples, p)
+    if not {"gq", "dr", "dv"} <= set(members.columns):
+        return calls
+    told = combine.group_genotypes(members, depth, p, relabel)
+    return calls.drop("supp_vec", "ac", "filter").join(told, "group_id").where(F.contains("supp_vec", F.lit("1"))).withColumn("filter", F.when(F.col("ac") == 0, "GT").otherwise("PASS"))
 
 
 def stored_sample(calls: DataFrame, alignments: DataFrame, path: str, sample_id: str, p: Params = DEFAULTS) -> None:
