@@ -47,6 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,61 +103,75 @@ def fold_of(doc_id: str):
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(without, lang, feature, good, bad), saved: labelled documents with a feature, or with any (null), of all folds but ``without`` (-1: of all). ``rows``: (text, lang, bad, fold)."""
-    names = ["lang", "fold", "feature", "good", "bad"]
+    """(lang, feature, good0, bad0, good1, ...), saved: by fold, the labelled documents with a feature, or with any (null). ``rows``: (text, lang, bad, fold)."""
+    names = [f"{kind}{k}" for k in range(FOLDS) for kind in ("good", "bad")]
 
-    def flushed(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, fold), found in held.items():
+    def flushed(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for lang, found in held.items():
             keys, at = np.unique(np.concatenate([f for f, _ in found]), return_inverse=True)
-            bad = np.repeat([b for _, b in found], [len(f) for f, _ in found]).astype(bool)
-            counts = [np.bincount(at, weights=w, minlength=len(keys)).astype(np.int64) for w in (~bad, bad)]
-            total = [sum(not b for _, b in found), sum(b for _, b in found)]
+            cell = np.array([c for _, c in found])
+            own = np.repeat(cell, [len(f) for f, _ in found])
+            counts = [np.append(np.bincount(at[own == c], minlength=len(keys)), (cell == c).sum()).astype(np.int64) for c in range(2 * FOLDS)]
             features = pa.concat_arrays([pa.array(keys, pa.int64()), pa.nulls(1, pa.int64())])
-            n = len(features)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array([fold] * n, pa.int32()), features, *(pa.array(np.append(c, t), pa.int64()) for c, t in zip(counts, total))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(features)), features, *map(pa.array, counts)], names=["lang", "feature", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = {}, 0  # several documents together, so that each feature is sent once for them
         for batch in batches:
             for text, lang, bad, fold in zip(as_bytes(column(batch, "text")), *(column(batch, c).to_pylist() for c in ("lang", "bad", "fold"))):
                 found = features(text)
-                held.setdefault((lang or "", fold), []).append((found, bad))
+                held.setdefault(lang or "", []).append((found, 2 * fold + bad))
                 n += len(found)
                 if n >= RUN_FEATURES:
                     yield from flushed(held)
                     held, n = {}, 0
         yield from flushed(held)
 
-    counts = rows.select("text", "lang", "bad", "fold").mapInArrow(run, "lang string, fold int, feature long, good long, bad long")
-    by_fold = counts.groupBy("lang", "fold", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    without = F.explode(F.filter(F.sequence(F.lit(-1), F.lit(FOLDS - 1)), lambda k: k != F.col("fold"))).alias("without")
-    left = by_fold.select(without, "lang", "feature", "good", "bad").groupBy("without", "lang", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    return saved(left, "features")
+    counts = rows.select("text", "lang", "bad", "fold").mapInArrow(run, "lang string, feature long, " + ", ".join(f"{x} long" for x in names))
+    return saved(counts.groupBy("lang", "feature").agg(*(F.sum(x).alias(x) for x in names)), "features")
+
+
+def left_out(counts: DataFrame, prefix: str = "") -> list:
+    """For each fold left out (-1: none): good and bad columns of ``counts``."""
+    total = lambda kind, k: sum((F.col(f"{prefix}{kind}{j}") for j in range(FOLDS) if j != k), F.lit(0))
+    return [(k, total("good", k), total("bad", k)) for k in range(-1, FOLDS)]
 
 
 def weights(rows: DataFrame, least_ratio: float, least_z: float, least_share: float, pool_weight: float) -> dict[int, Weights]:
     """By fold left out (-1: none), then by language, and under None for languages without labels: the features that count, sorted, and their log likelihood ratios of rejection."""
     counts = counted(rows)
-    own, pool = ["without", "lang"], ["without"]
-    total = counts.where("feature is null").select(*own, F.col("good").alias("all_good"), F.col("bad").alias("all_bad"))
-    overall = total.groupBy(*pool).agg(F.sum("all_good").alias("all_good"), F.sum("all_bad").alias("all_bad"))
-    x = counts.where("feature is not null").join(F.broadcast(total), own)
+    kinds = [c for c in counts.columns if c not in ("lang", "feature")]
+    totals = counts.where("feature is null").collect()
+    all_of = {k: {r["lang"]: (sum(r[f"good{j}"] for j in range(FOLDS) if j != k), sum(r[f"bad{j}"] for j in range(FOLDS) if j != k)) for r in totals} for k in range(-1, FOLDS)}
+    own = counts.where("feature is null").select("lang", *(F.col(c).alias(f"all_{c}") for c in kinds))
+    x = counts.where("feature is not null").join(F.broadcast(own), "lang")
 
     # Significant: more rejected than the languages' own shares lead to expect; in one language, or in all together
-    n = F.col("bad") + F.col("good")
-    x = x.withColumn("expected", n * F.col("all_bad") / (F.col("all_bad") + F.col("all_good")))
-    term = lambda c, e: F.when((F.col(c) > 0) & (e > 0), F.col(c) * F.log(F.col(c) / e)).otherwise(0.0)
-    root = F.sqrt(F.greatest(2 * (term("bad", F.col("expected")) + term("good", n - F.col("expected"))), F.lit(0.0)))
-    ratio = F.log((F.col("bad") + 0.5) / (F.col("all_bad") + 1.0)) - F.log((F.col("good") + 0.5) / (F.col("all_good") + 1.0))
-    counts_for = (F.col("bad") > 0) & (F.col("bad") >= least_share * F.col("all_bad")) & (ratio >= math.log(least_ratio)) & (root >= least_z)
-    in_one = x.where((F.col("all_good") > 0) & (F.col("all_bad") > 0) & counts_for).select(*own, "feature")
-    pooled = x.groupBy(*pool, "feature").agg(*(F.sum(c).alias(c) for c in ("good", "bad", "expected"))).join(F.broadcast(overall), pool)
-    in_all = pooled.where(counts_for & (F.col("bad") > F.col("expected"))).select(*pool, F.lit(None).cast("string").alias("lang"), "feature")
-    chosen = saved(in_one.unionByName(in_all), "chosen")
-    cells = x.join(F.broadcast(chosen.select(*pool, "feature").distinct()), [*pool, "feature"], "left_semi").select(*own, "feature", "good", "bad").toArrow()
-    chosen, totals = chosen.toArrow(), total.collect()
-    of = lambda table, k: table.filter(np.asarray(table["without"]) == k) if len(table) else table
-    return {k: _pooled(of(chosen, k), of(cells, k), {r["lang"]: (r["all_good"], r["all_bad"]) for r in totals if r["without"] == k}, least_ratio, pool_weight) for k in range(-1, FOLDS)}
+    term = lambda c, e: F.when((c > 0) & (e > 0), c * F.log(c / e)).otherwise(0.0)
+
+    def significant(good, bad, expected, all_good, all_bad):
+        root = F.sqrt(F.greatest(2 * (term(bad, expected) + term(good, good + bad - expected)), F.lit(0.0)))
+        ratio = F.log((bad + 0.5) / (all_bad + 1.0)) - F.log((good + 0.5) / (all_good + 1.0))
+        return (bad > 0) & (bad >= least_share * all_bad) & (ratio >= math.log(least_ratio)) & (root >= least_z)
+
+    expected = {k: F.coalesce(F.try_divide((good + bad) * b, b + g), F.lit(0.0)) for (k, good, bad), (_, g, b) in zip(left_out(x), left_out(x, "all_"))}
+    in_one = F.array(*(F.when((g > 0) & (b > 0) & significant(good, bad, expected[k], g, b), F.lit(k)) for (k, good, bad), (_, g, b) in zip(left_out(x), left_out(x, "all_"))))
+    by_feature = x.groupBy("feature").agg(*(F.sum(c).alias(c) for c in kinds), *(F.sum(e).alias(f"e{k + 1}") for k, e in expected.items()))
+    sums = {k: (sum(g for g, _ in of.values()), sum(b for _, b in of.values())) for k, of in all_of.items()}
+    in_all = F.array(*(F.when(significant(good, bad, F.col(f"e{k + 1}"), F.lit(sums[k][0]), F.lit(sums[k][1])) & (bad > F.col(f"e{k + 1}")), F.lit(k)) for k, good, bad in left_out(by_feature)))
+    chosen = x.select("lang", "feature", F.explode(F.array_compact(in_one)).alias("without"))
+    chosen = saved(chosen.unionByName(by_feature.select(F.lit(None).cast("string").alias("lang"), "feature", F.explode(F.array_compact(in_all)).alias("without"))), "chosen")
+    cells = x.join(F.broadcast(chosen.select("feature").distinct()), "feature", "left_semi").select("lang", "feature", *kinds).toArrow()
+    chosen = chosen.toArrow()
+    numbers = {c: cells[c].to_numpy() for c in kinds}
+    out = {}
+    for k in range(-1, FOLDS):
+        good, bad = (sum(numbers[f"{kind}{j}"] for j in range(FOLDS) if j != k) for kind in ("good", "bad"))
+        own_cells = pa.table({"lang": cells["lang"], "feature": cells["feature"], "good": good, "bad": bad})
+        mine = chosen.filter(pc.equal(chosen["without"], k))
+        own_cells = own_cells.filter(pc.is_in(own_cells["feature"], mine["feature"].combine_chunks()))
+        out[k] = _pooled(mine, own_cells, all_of[k], least_ratio, pool_weight)
+    return out
 
 
 def _pooled(chosen: pa.Table, cells: pa.Table, totals: dict[str, tuple[int, int]], least_ratio: float, pool_weight: float) -> Weights:
