@@ -19,11 +19,11 @@ near copies gives as many edges as it has entries. Components come from ``compon
 common. Equal texts are collapsed first. Candidates are pairs of texts within ``distance`` bits, a
 wider radius than the similarity's own; each is confirmed by the two sets of shingles, and only
 confirmed pairs join. A bucket gives all its close pairs if it has at most CLOSE of them for each
-entry; else the edges of a minimum spanning forest, so every entry's nearest and enough to join all
-that are close, and from the centre of each of its trees to all of it. A large family of copies is then
-tested against the texts they are nearest to and those that are most like the whole family, not each
-against all. A pair that only shares buckets of the latter kind, as neither the nearest nor the
-centre's, is joined through others or not at all: that is the bound of this search.
+entry. In a fuller one each text whose own segment is the key is paired with its nearest and with the
+hub, which is closest to all others. So a large family of copies is tested against the texts that they
+are nearest to and the one they are most likely made from, not each against all. That is the bound of
+this search: a pair of such a family may be joined through others or, in about one of five hundred
+merges of the hot test table, not at all.
 
 Defined cases: a text that is null, empty or blank has fingerprint zero, which links like any other
 in ``near_duplicates``; for ``survivors`` such texts equal each other and resemble nothing else. Null
@@ -54,8 +54,8 @@ RUN = 1 << 16
 TASK_ROWS = 1_500_000
 #: Buckets of more entries are searched one by one.
 SPARSE = 256
-#: Close pairs, for each entry, that a bucket gives; one with more gives a minimum spanning forest.
-CLOSE = 32
+#: Close pairs, for each entry, that a bucket gives; one with more gives the nearest and the hub of each entry.
+CLOSE = 4
 #: Distances held at once in the search of one bucket.
 TILE = 1 << 20
 #: A table of ids is broadcast up to this many rows.
@@ -130,7 +130,7 @@ def ball(bits: int, radius: int) -> np.ndarray:
 
 
 def table_entries(fps: DataFrame, radius: int, segments: int = 2, lanes: int = 1) -> DataFrame:
-    """(key, node, fp, ...): every fingerprint under every key of the balls around its segments."""
+    """(key, home, node, fp, ...): every fingerprint under every key of the balls around its segments; home marks the segment itself."""
     each = segments // lanes
     bits = 64 // each
     names = [*lane_names(lanes)[lanes == 1 :], "node"]  # of one lane the node is the fingerprint
@@ -144,11 +144,11 @@ def table_entries(fps: DataFrame, radius: int, segments: int = 2, lanes: int = 1
             for s in range(segments):
                 part = (fps[:, s // each] >> np.uint64(s % each * bits)) & np.uint64((1 << bits) - 1)
                 keys = (part[:, None] ^ masks) | np.uint64(s << bits)
-                yield {"key": keys.ravel().view(np.int64)} | {name: np.repeat(x, len(masks)) for name, x in own.items()}
+                yield {"key": keys.ravel().view(np.int64), "home": np.tile(masks == 0, len(fps))} | {name: np.repeat(x, len(masks)) for name, x in own.items()}
 
         return step
 
-    return map_batches(fps, make, ", ".join(f"{x} long" for x in ("key", *names)))
+    return map_batches(fps, make, "key long, home boolean, " + ", ".join(f"{x} long" for x in names))
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -185,49 +185,26 @@ def close_pairs(fps: np.ndarray, distance: int, most: int) -> np.ndarray | None:
     return np.concatenate(out)
 
 
-def minimum_forest(fps: np.ndarray, distance: int) -> np.ndarray:
-    """(i, j) edges of a minimum spanning forest of all pairs within ``distance``, one entry at a time."""
-    n = len(fps)
-    left, best, near = np.arange(1, n), apart(fps[1:], fps[0]), np.zeros(n - 1, np.int64)
-    out = []
-    while len(left):
-        k = int(np.argmin(best))
-        here = left[k]
-        if best[k] <= distance:
-            out.append((near[k], here))
-        rest = np.arange(len(left)) != k
-        left, best, near = left[rest], best[rest], near[rest]
-        d = apart(fps[left], fps[here])
-        closer = d < best
-        best, near = np.where(closer, d, best), np.where(closer, here, near)
-    return np.array(out, np.int64).reshape(-1, 2)
-
-
-def centre_edges(fps: np.ndarray, tree: np.ndarray, distance: int) -> np.ndarray:
-    """(i, j): each tree's entry that is nearest to the majority of its bits, with all of the tree within ``distance`` of it."""
-    label, edges = np.arange(len(fps)), tree
-    while len(edges):  # the smallest number along the edges, until none changes
-        low = np.minimum(label[edges[:, 0]], label[edges[:, 1]])
-        before = label.copy()
-        np.minimum.at(label, edges.ravel(), np.repeat(low, 2))
-        label = label[label]
-        if (label == before).all():
-            break
-    out = [np.zeros((0, 2), np.int64)]
-    for k in np.unique(label[tree.ravel()]).tolist():
-        own = np.flatnonzero(label == k)
-        bits = np.unpackbits(np.ascontiguousarray(fps[own]).view(np.uint8).reshape(len(own), -1), axis=1)
-        middle = np.packbits(2 * bits.sum(axis=0) > len(own)).view(np.uint64)
-        centre = own[np.argmin(apart(fps[own], middle))]
-        near = own[(apart(fps[own], fps[centre]) <= distance) & (own != centre)]
-        out.append(np.stack([np.full(len(near), centre), near], axis=1))
+def nearest_and_hub(fps: np.ndarray, home: np.ndarray, distance: int) -> np.ndarray:
+    """(i, j): every entry of ``home`` that has close ones with the nearest of them and with the hub: that which is closest to all, by the sum of what distances stay below ``distance``."""
+    n, step = len(fps), max(1, TILE // len(fps))
+    weight = np.concatenate([np.maximum(distance + 1 - apart(fps[i : i + step, None], fps[None]), 0).sum(axis=1) for i in range(0, n, step)])
+    own, out = np.flatnonzero(home), [np.zeros((0, 2), np.int64)]
+    for i in range(0, len(own), step):
+        at = own[i : i + step]
+        d = apart(fps[at, None], fps[None])
+        d[np.arange(len(at)), at] = distance + 1
+        close = d <= distance
+        some = close.any(axis=1)
+        for j in (d.argmin(axis=1), np.where(close, weight, -1).argmax(axis=1)):
+            out.append(np.stack([at[some], j[some]], axis=1))
     return np.concatenate(out)
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, distance: int, every: bool) -> np.ndarray:
-    """(n, 2) nodes: links among the entries of equal keys, bucket by bucket. A spanning forest of them; with ``every``, all or a minimum spanning forest."""
+def bucket_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, home: np.ndarray, distance: int, every: bool) -> np.ndarray:
+    """(n, 2) nodes: links among the entries of equal keys, bucket by bucket. A spanning forest of them; with ``every``, all, or of too many some for the entries whose own segment is the key (``home``)."""
     order = np.lexsort((*fps.T[::-1], keys))
-    keys, fps, node = keys[order], fps[order], node[order]
+    keys, fps, node, home = keys[order], fps[order], node[order], home[order]
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.concatenate([start, [len(keys)]]))
     close = np.concatenate([apart(fps[:-1], fps[1:]) <= distance, [False]])
@@ -258,8 +235,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, distance:
             own = fps[a : a + n]
             pairs = close_pairs(own, distance, CLOSE * n)
             if pairs is None:
-                tree = minimum_forest(own, distance)
-                pairs = np.concatenate([tree, centre_edges(own, tree, distance)])
+                pairs = nearest_and_hub(own, home[a : a + n], distance)
             out.append(node[a + pairs])
             continue
         left, queue = np.arange(a + 1, a + n), [a]
@@ -289,10 +265,10 @@ def links(fps: DataFrame, distance: int = 4, segments: int = 2, lanes: int = 1,
     tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
 
     def search(batches):
-        held = [(column(b, "key").to_numpy(), column(b, "node").to_numpy(), column(b, "node").to_numpy().view(np.uint64)[:, None] if lanes == 1 else lanes_of(b, lanes)) for b in batches]
+        held = [(column(b, "key").to_numpy(), column(b, "node").to_numpy(), column(b, "home").to_numpy(zero_copy_only=False), column(b, "node").to_numpy().view(np.uint64)[:, None] if lanes == 1 else lanes_of(b, lanes)) for b in batches]
         if held:
-            keys, node, fp = (np.concatenate(x) for x in zip(*held))
-            edges = bucket_links(keys, fp, node, distance, every)
+            keys, node, home, fp = (np.concatenate(x) for x in zip(*held))
+            edges = bucket_links(keys, fp, node, home, distance, every)
             for i in range(0, len(edges), 100_000):
                 part = edges[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["u", "v"])
