@@ -7,11 +7,10 @@ partial score over slice j. Partial scores are shifted by the list's minimum, so
    lists of its rows, so it completes the scores of what it gives; the k-th highest of these is a
    safe cutoff.
 2. The cutoff is broadcast. Each list gives all entries of at least cutoff / lists: a candidate that
-   no list gives has a lower total than the cutoff, so it cannot be among the k highest. A task knows
-   the k highest of the scores it has completed so far, and holds back what cannot reach the k-th.
-3. Of the candidates that all lists gave, the scores are known, and the k-th highest is a better
-   cutoff. Others whose upper bound (cutoff / lists for each list that did not give them) is too low
-   go; missing partial scores of the rest are looked up, and the complete scores are ranked.
+   no list gives has a lower total than the cutoff, so it cannot be among the k highest.
+3. The partial scores that the other lists did not give are looked up where the candidate's vector is,
+   and its score is complete. A task hands on what reaches the k-th highest of the cutoff and the
+   scores it has completed so far; the complete scores are ranked.
 
 Queries are a stated set, taken in blocks of QUERY_BLOCK vectors: what is broadcast, the thresholds
 and query vectors of one block, has that bound. A block is one pass over the candidates, whose result
@@ -157,56 +156,36 @@ def _search(rows: DataFrame, block: Block, k: int, lists: int, folder: str) -> N
     safe = np.where(np.isin(np.arange(n), q[some]), safe - floor.sum(axis=0), 0)  # shifted; 0 where fewer than k are known
     limits = spark.sparkContext.broadcast((floor, safe))
 
-    # Phase 2: shifted partial scores of at least cutoff / lists, summed for each candidate
+    # Phases 2 and 3: entries of at least cutoff / lists in some list, and their complete scores
     def sufficient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (floor, safe) = Block(**sent.value), limits.value
-        best = np.repeat(safe[:, None], k, axis=1)  # the k highest complete scores so far, rising
+        best = np.repeat(safe[:, None], k, axis=1)  # the k highest so far, rising
+        shift = floor.sum(axis=0)
         for batch in batches:
             for queries, rid, parts, own in known.tiles(batch, lists):
                 parts -= floor[:, queries, None]
-                given = (lists * parts >= safe[queries][:, None]) & ~own
-                q, c = np.nonzero(given.any(axis=0))
+                q, c = np.nonzero(((lists * parts >= safe[queries][:, None]) & ~own).any(axis=0))
                 if not len(q):
                     continue
-                low, count, of = np.where(given[:, q, c], parts[:, q, c], 0).sum(axis=0), given[:, q, c].sum(axis=0), queries[q]
-                whole = np.flatnonzero(count == lists)
-                order = whole[np.lexsort((-low[whole], of[whole]))]
+                score, of = parts[:, q, c].sum(axis=0), queries[q]
+                order = np.lexsort((-score, of))
                 first = np.flatnonzero(np.diff(of[order], prepend=-1))
                 place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
                 top, place = order[place < k], place[place < k]
                 more = np.full((n, k), np.iinfo(np.int64).min)
-                more[of[top], place] = low[top]
+                more[of[top], place] = score[top]
                 best = np.sort(np.concatenate([best, more], axis=1), axis=1)[:, -k:]
-                keep = lists * low + (lists - count) * safe[of] >= lists * best[of, 0]
-                yield pa.RecordBatch.from_arrays([pa.array(of[keep].astype(np.int32)), pa.array(rid[c[keep]]), pa.array(low[keep]), pa.array(count[keep].astype(np.int32))], names=["q", "rid", "low", "known"])
-
-    entries = saved(rows.mapInArrow(sufficient, "q int, rid long, low long, known int"), "entries")
-    safe_rows = spark.createDataFrame([(q, int(x), int(floor[:, q].sum())) for q, x in enumerate(safe)], "q int, cutoff long, shift long")
-    better = F.broadcast(_kth(entries.where(F.col("known") == lists), k).withColumnRenamed("cutoff", "lower"))
-    left = entries.join(F.broadcast(safe_rows), "q").join(better, "q", "left")
-    left = left.where(lists * F.col("low") + (lists - F.col("known")) * F.col("cutoff") >= lists * F.greatest(F.coalesce("lower", F.lit(0)), "cutoff"))
-
-    # Phase 3: what is still missing, exactly; then the ranks
-    whole = left.where(F.col("known") == lists).select("q", "rid", (F.col("low") + F.col("shift")).alias("score"))
-    whole = whole.join(rows.select("rid", "vec_id", "n"), "rid").select("q", "rid", "vec_id", "n", "score")
-    open_ = left.where(F.col("known") < lists).select("q", "rid").join(rows, "rid")
-
-    def resolve(batch: pa.RecordBatch) -> Iterator[dict]:
-        q, values, score = column(batch, "q").to_numpy(), column(batch, "v"), np.zeros(len(batch), np.int64)
-        length, flat, starts = values.value_lengths().to_numpy(), values.values.to_numpy(), values.offsets.to_numpy()[:-1]
-        for n, (queries, vectors) in sent.value["by_length"].items():
-            place = np.zeros(len(sent.value["ids"]), np.int64)
-            place[queries] = np.arange(len(queries))
-            at = np.flatnonzero(length == n)
-            score[at] = np.einsum("ij,ij->i", vectors[place[q[at]]], flat[starts[at][:, None] + np.arange(n)].reshape(len(at), n))
-        yield {c: column(batch, c) for c in ("q", "rid", "vec_id", "n")} | {"score": score}
+                keep = score >= best[of, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(of[keep].astype(np.int32)), pa.array(rid[c[keep]]), pa.array(score[keep] + shift[of[keep]])], names=["q", "rid", "score"])
+
+    entries = saved(rows.mapInArrow(sufficient, "q int, rid long, score long"), "entries")
 
     def own_row(batch: pa.RecordBatch) -> Iterator[dict]:
         vector = {q: v for queries, vectors in sent.value["by_length"].values() for q, v in zip(queries.tolist(), vectors.tolist())}
         same = pa.array([vector[q] == v for q, v in zip(column(batch, "q").to_pylist(), column(batch, "v").to_pylist())], pa.bool_())
         yield {c: column(batch, c).filter(same) for c in ("q", "rid")}
 
-    scored = whole.unionByName(map_batches(open_, lambda: resolve, "q int, rid long, vec_id long, n long, score long"))
+    scored = entries.join(rows.select("rid", "vec_id", "n"), "rid")
     named = F.broadcast(spark.createDataFrame([(q, int(x), int(m)) for q, (x, m) in enumerate(zip(block.ids, block.rows))], "q int, query_id long, own_rows long"))
     own = rows.join(named, F.col("vec_id") == F.col("query_id")).select("rid", "q", "v")  # rows of a query's id, of which one may be its own
     mine = map_batches(own, lambda: own_row, "q int, rid long").withColumn("own", F.lit(1))
