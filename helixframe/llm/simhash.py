@@ -50,8 +50,8 @@ from .components import components
 SEED = 42
 #: Shingles of a long text are hashed and counted in runs of this many.
 RUN = 1 << 16
-#: Table rows that one task of the search is planned for, 16 bytes each.
-TASK_ROWS = 1_500_000
+#: Table rows that one task of the search is planned for, of up to 33 bytes each.
+TASK_ROWS = 1_000_000
 #: Buckets of more entries are searched one by one.
 SPARSE = 256
 #: Close pairs, for each entry, that a bucket gives; one with more gives the nearest and the hub of each entry.
