@@ -3,7 +3,6 @@ import re
 import struct
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
