@@ -67,7 +67,7 @@ def binned(df: DataFrame, first: Column, last: Column, size: int, name: str = "_
     return df.withColumn(name, F.explode(F.sequence(F.floor(first / size), F.floor(F.greatest(first, last) / size))))
 
 
-def depth_at(points: DataFrame, steps: DataFrame, keys: list[str], pos: str, size: int = 10_000) -> DataFrame:
+def depth_at(points: DataFrame, steps: DataFrame, keys: list[str], pos: str, size: int = 1_000) -> DataFrame:
     """``points`` (a row for each point) with ``depth``: that of the step that holds ``pos``, else 0."""
     cut = binned(steps, F.col("start"), F.col("end") - 1, size).select(*keys, "_bin", "start", "end", "depth")
     at = points.withColumn("_bin", F.floor(F.col(pos) / size))

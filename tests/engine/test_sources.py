@@ -72,6 +72,13 @@ def test_sinks(spark, tmp_path):
     assert sorted(map(tuple, readers.store_list(spark, str(tmp_path / "list.tsv")).collect())) == [("a/b/s1.store", "s1"), ("x.store", "mine")]
 
 
+def test_populations(spark, tmp_path):
+    rows = spark.createDataFrame([("v1", "c", "DEL", 5, 0.5), ("v2", "d", "INS", 250_000, 0.1), ("v3", "c", "DEL", 120_000, 0.2)], "id string, contig string, svtype string, pos long, af double")
+    writers.write_population(rows, str(tmp_path / "p"))
+    assert sorted(r["id"] for r in readers.population(spark, str(tmp_path / "p")).collect()) == ["v1", "v2", "v3"]
+    assert sorted((r["id"], r["block"]) for r in readers.population(spark, str(tmp_path / "p"), "c").collect()) == [("v1", 0), ("v3", 100_000)]
+
+
 def test_combining(spark):
     rows = [(1, 1, "c", "DEL", 1000, -100, 9), (2, 2, "c", "DEL", 1040, -110, 5), (3, 3, "c", "DEL", 9000, -100, 7), (4, 1, "c", "DEL", 1010, -3000, 4)]
     df = spark.createDataFrame([(*r, None, None) for r in rows], "call_id long, sample_id long, contig string, svtype string, pos long, svlen long, support long, mate_contig string, mate_pos long").repartition(3)
