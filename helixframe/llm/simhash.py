@@ -19,11 +19,13 @@ near copies gives as many edges as it has entries. Components come from ``compon
 common. Equal texts are collapsed first. Candidates are pairs of texts within ``distance`` bits, a
 wider radius than the similarity's own; each is confirmed by the two sets of shingles, and only
 confirmed pairs join. A bucket gives all its close pairs if it has at most CLOSE of them for each
-entry. In a fuller one each text whose own segment is the key is paired with its nearest and with the
-hub, which is closest to all others. So a large family of copies is tested against the texts that they
-are nearest to and the one they are most likely made from, not each against all. That is the bound of
-this search: a pair of such a family may be joined through others or, in about one of five hundred
-merges of the hot test table, not at all.
+entry. In a fuller one each text whose own segment is the key is first paired with its nearest and with
+the hub, which is closest to all others; that joins most of a large family. Then the full buckets are
+searched again for all other close pairs: those within a group are joined already, and of those between
+groups the ones go whose sets have to differ too much by their odd sketches. The sketch has the parity
+of the number of shingles in each of SKETCH bins, so two sets differ in as many shingles at least as
+their sketches do in bits; no pair of the similarity is lost by it. What stays is confirmed as well.
+So the groups are those that all close pairs of the table join.
 
 Defined cases: a text that is null, empty or blank has fingerprint zero, which links like any other
 in ``near_duplicates``; for ``survivors`` such texts equal each other and resemble nothing else. Null
@@ -44,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, column, columns_as, map_batches, saved, spread_join
+from .common import LOWER, as_bytes, column, columns_as, forget, map_batches, saved, spread_join
 from .components import components
 
 SEED = 42
@@ -57,7 +59,12 @@ SPARSE = 256
 #: Close pairs, for each entry, that a bucket gives; one with more gives the nearest and the hub of each entry.
 CLOSE = 4
 #: Distances held at once in the search of one bucket.
-TILE = 1 << 20
+TILE = 1 << 18
+#: Pairs whose sketches are held at once.
+PART = 1 << 16
+#: Bits of the sketch of a set of shingles.
+SKETCH = 512
+SKETCH_NAMES = [f"s{i}" for i in range(SKETCH // 64)]
 #: A table of ids is broadcast up to this many rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -120,8 +127,18 @@ def fingerprints(docs: DataFrame, width: int = 4, lanes: int = 1, id_col: str =
     return map_batches(columns_as(docs, doc_id=id_col, text=text_col), make, "doc_id long, " + ", ".join(f"{x} long" for x in lane_names(lanes)))
 
 
+def odd_sketch(grams: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of hashes in SKETCH bins, as words of 64 bits."""
+    odd = np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def words_of(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([column(batch, x).to_numpy().view(np.uint64) for x in names], axis=1)
+
+
 def lanes_of(batch: pa.RecordBatch, lanes: int) -> np.ndarray:
-    return np.stack([column(batch, x).to_numpy().view(np.uint64) for x in lane_names(lanes)], axis=1)
+    return words_of(batch, lane_names(lanes))
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -129,11 +146,11 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
 
 
-def table_entries(fps: DataFrame, radius: int, segments: int = 2, lanes: int = 1) -> DataFrame:
-    """(key, home, node, fp, ...): every fingerprint under every key of the balls around its segments; home marks the segment itself."""
+def table_entries(fps: DataFrame, radius: int, segments: int = 2, lanes: int = 1, more: tuple[str, ...] = (), only: np.ndarray | None = None) -> DataFrame:
+    """(key, home, node, fp, ..., more): every fingerprint under every key of the balls around its segments, or those of ``only``; home marks the segment itself. ``more`` are further columns of longs."""
     each = segments // lanes
     bits = 64 // each
-    names = [*lane_names(lanes)[lanes == 1 :], "node"]  # of one lane the node is the fingerprint
+    names = [*lane_names(lanes)[lanes == 1 :], "node", *more]  # of one lane the node is the fingerprint
 
     def make():
         masks = ball(bits, radius)
@@ -143,8 +160,12 @@ def table_entries(fps: DataFrame, radius: int, segments: int = 2, lanes: int = 1
             own = {name: column(batch, name).to_numpy() for name in names}
             for s in range(segments):
                 part = (fps[:, s // each] >> np.uint64(s % each * bits)) & np.uint64((1 << bits) - 1)
-                keys = (part[:, None] ^ masks) | np.uint64(s << bits)
-                yield {"key": keys.ravel().view(np.int64), "home": np.tile(masks == 0, len(fps))} | {name: np.repeat(x, len(masks)) for name, x in own.items()}
+                keys = ((part[:, None] ^ masks) | np.uint64(s << bits)).ravel().view(np.int64)
+                if only is None:
+                    yield {"key": keys, "home": np.tile(masks == 0, len(fps))} | {name: np.repeat(x, len(masks)) for name, x in own.items()}
+                    continue
+                here = np.flatnonzero(np.isin(keys, only))
+                yield {"key": keys[here], "home": (masks == 0)[here % len(masks)]} | {name: x[here // len(masks)] for name, x in own.items()}
 
         return step
 
@@ -152,7 +173,10 @@ def table_entries(fps: DataFrame, radius: int, segments: int = 2, lanes: int = 1
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    total = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for i in range(1, a.shape[-1]):
+        total += np.bitwise_count(a[..., i] ^ b[..., i])
+    return total
 
 
 def forest(pairs: np.ndarray) -> np.ndarray:
@@ -201,15 +225,15 @@ def nearest_and_hub(fps: np.ndarray, home: np.ndarray, distance: int) -> np.ndar
     return np.concatenate(out)
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, home: np.ndarray, distance: int, every: bool) -> np.ndarray:
-    """(n, 2) nodes: links among the entries of equal keys, bucket by bucket. A spanning forest of them; with ``every``, all, or of too many some for the entries whose own segment is the key (``home``)."""
+def bucket_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, home: np.ndarray, distance: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 2) nodes: links among the entries of equal keys, bucket by bucket, and the keys of full buckets. A spanning forest of the links; with ``every``, all, but of a full bucket some for the entries whose own segment is the key (``home``): ``crossing_links`` has its others."""
     order = np.lexsort((*fps.T[::-1], keys))
     keys, fps, node, home = keys[order], fps[order], node[order], home[order]
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.concatenate([start, [len(keys)]]))
     close = np.concatenate([apart(fps[:-1], fps[1:]) <= distance, [False]])
     dense = (size > SPARSE) | (size > 16) & (2 * np.add.reduceat(close, start) > size) if len(start) else np.zeros(0, bool)
-    out = []
+    out, full = [], []
 
     # Small buckets: every entry with the one that stands d behind it, for all buckets at once
     end, sparse = np.repeat(start + size, size), ~np.repeat(dense, size)
@@ -236,6 +260,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, home: np.n
             pairs = close_pairs(own, distance, CLOSE * n)
             if pairs is None:
                 pairs = nearest_and_hub(own, home[a : a + n], distance)
+                full.append(keys[a])
             out.append(node[a + pairs])
             continue
         left, queue = np.arange(a + 1, a + n), [a]
@@ -249,16 +274,62 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, home: np.n
                 out.append(np.stack([np.full(near.sum(), node[here]), node[left[near]]], axis=1))
                 queue += left[near].tolist()
                 left = left[~near]
-    return np.concatenate([np.zeros((0, 2), np.int64), *out])
+    return np.concatenate([np.zeros((0, 2), np.int64), *out]), np.array(full, np.int64)
+
+
+def first_segment(a: np.ndarray, b: np.ndarray, segments: int, radius: int) -> np.ndarray:
+    """The first segment in which the fingerprints of each row are close enough to share a key."""
+    each = segments // a.shape[1]
+    bits = 64 // each
+    mask = np.uint64((1 << bits) - 1)
+    x = a ^ b
+    return np.stack([np.bitwise_count(x[:, s // each] >> np.uint64(s % each * bits) & mask) <= 2 * radius for s in range(segments)], axis=1).argmax(axis=1)
+
+
+def crossing_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, distance: int, segments: int, radius: int, similarity: float) -> Iterator[np.ndarray]:
+    """(n, 2) nodes, part by part: all links among the entries of equal keys whose roots differ and whose sets of ``size`` may have ``similarity`` by their sketches. A pair comes from the keys of the first segment that gives it one."""
+    bits = 64 * fps.shape[1] // segments
+    order = np.argsort(keys, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(keys)]):
+        at = order[a:b]
+        _, of, count = np.unique(root[at], return_inverse=True, return_counts=True)
+        most = count.argmax()
+        others = np.flatnonzero(of != most)  # of two groups one at least is not the largest
+        own, step = fps[at], max(1, TILE // len(at))
+        for i in range(0, len(others), step):
+            rows = others[i : i + step]
+            x, y = np.nonzero(apart(own[rows, None], own[None]) <= distance)
+            x = rows[x]
+            once = (of[x] != of[y]) & ((of[y] == most) | (x < y))
+            x, y = at[x[once]], at[y[once]]
+            for j in range(0, len(x), PART):
+                u, v = x[j : j + PART], y[j : j + PART]
+                differ = apart(sketch[u], sketch[v])
+                alike = (1 + similarity) * differ <= (1 - similarity) * (size[u] + size[v]) + 1e-6
+                alike &= first_segment(fps[u], fps[v], segments, radius) == keys[at[0]] >> bits
+                if alike.any():
+                    yield np.stack([node[u[alike]], node[v[alike]]], axis=1)
+
+
+def _edges(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(pairs), 100_000):
+        part = pairs[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["u", "v"])
 
 
 def links(fps: DataFrame, distance: int = 4, segments: int = 2, lanes: int = 1, radius: int | None = None, every: bool = False) -> DataFrame:
     """(u, v): links among the rows of ``fps`` (node, fp, ...), which is saved; of one lane node is fp.
 
-    Enough to join every component, or with ``every`` the candidates that ``survivors`` takes. The
+    Enough to join every component, or with ``every`` the candidates that ``survivors`` takes first. The
     default ``radius`` of the balls loses no link; a smaller one only links whose segments all differ
     by more than twice of it.
     """
+    return links_and_full(fps, distance, segments, lanes, radius, every).where("u <> v")
+
+
+def links_and_full(fps: DataFrame, distance: int, segments: int, lanes: int, radius: int | None, every: bool) -> DataFrame:
+    """The (u, v) of ``links``, and (key, key) for each full bucket."""
     radius = math.ceil((distance // segments) / 2) if radius is None else radius
     bits = 64 * lanes // segments
     rows = fps.count() * segments * len(ball(bits, radius))
@@ -268,14 +339,38 @@ def links(fps: DataFrame, distance: int = 4, segments: int = 2, lanes: int = 1,
         held = [(column(b, "key").to_numpy(), column(b, "node").to_numpy(), column(b, "home").to_numpy(zero_copy_only=False), column(b, "node").to_numpy().view(np.uint64)[:, None] if lanes == 1 else lanes_of(b, lanes)) for b in batches]
         if held:
             keys, node, home, fp = (np.concatenate(x) for x in zip(*held))
-            edges = bucket_links(keys, fp, node, home, distance, every)
-            for i in range(0, len(edges), 100_000):
-                part = edges[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["u", "v"])
+            held.clear()
+            edges, full = bucket_links(keys, fp, node, home, distance, every)
+            yield from _edges(edges)
+            yield from _edges(np.stack([full, full], axis=1))
 
     return table_entries(fps, radius, segments, lanes).repartition(tasks, "key").mapInArrow(search, "u long, v long")
 
 
+def links_between(fps: DataFrame, full: DataFrame, distance: int, segments: int, lanes: int, radius: int, similarity: float) -> DataFrame:
+    """(u, v), saved: all pairs of the buckets ``full`` (key) with different roots that may have ``similarity``. ``fps`` (node, fp, ..., root, size, s0, ...) is saved.
+
+    The keys are at most as many as segments have values: 524,288 of eight segments of 16 bits.
+    """
+    only = np.sort(full.toArrow().column("key").to_numpy())
+    more = ("root", "size", *SKETCH_NAMES)
+    entries = saved(table_entries(fps, radius, segments, lanes, more, only).drop("home"), "entries")
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // (TASK_ROWS // 4)))
+
+    def search(batches):
+        held = [(*(column(b, x).to_numpy() for x in ("key", "node", "root", "size")), lanes_of(b, lanes), words_of(b, SKETCH_NAMES)) for b in batches]
+        if held:
+            keys, node, root, size, fp, sketch = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            for pairs in crossing_links(keys, fp, node, root, size, sketch, distance, segments, radius, similarity):
+                yield from _edges(pairs)
+
+    found = entries.repartition(tasks, "key").mapInArrow(search, "u long, v long")
+    found = saved(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "between")
+    forget(entries)
+    return found
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest id that links of 64-bit fingerprints reach."""
     rows = saved(fingerprints(docs, width, id_col=id_col, text_col=text_col), "fingerprints")
@@ -288,8 +383,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, id_col:
 
 
 def text_rows(docs: DataFrame, width: int, lanes: int) -> DataFrame:
-    """(doc_id, raw, h1, h2, fp, ...) of ``docs`` (doc_id, raw, text): h1 and h2 are a hash of the lower-cased words, fp of the distinct shingles."""
-    names = lane_names(lanes)
+    """(doc_id, raw, h1, h2, fp, ..., size, s0, ...) of ``docs`` (doc_id, raw, text): h1 and h2 are a hash of the lower-cased words, fp of the distinct shingles, size their number, s0 and on their sketch."""
+    names = [*lane_names(lanes), "size", *SKETCH_NAMES]
 
     def make():
         import xxhash
@@ -297,8 +392,13 @@ def text_rows(docs: DataFrame, width: int, lanes: int) -> DataFrame:
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             texts = as_bytes(column(batch, "text"))
             words = np.array([np.frombuffer(xxhash.xxh3_128_digest(b" ".join(x.translate(LOWER).split())), np.int64) for x in texts]).reshape(-1, 2)
-            fps = np.array([fingerprint(np.unique(gram_hashes(x, width)), lanes) for x in texts], np.uint64).reshape(-1, lanes).view(np.int64)
-            yield {"doc_id": column(batch, "doc_id"), "raw": column(batch, "raw"), "h1": words[:, 0].copy(), "h2": words[:, 1].copy()} | {x: fps[:, i].copy() for i, x in enumerate(names)}
+            of = np.zeros((len(texts), len(names)), np.int64)
+            for row, text in zip(of, texts):
+                grams = np.unique(gram_hashes(text, width))
+                row[:lanes] = np.array(fingerprint(grams, lanes), np.uint64).view(np.int64)
+                row[lanes] = len(grams)
+                row[lanes + 1 :] = odd_sketch(grams)
+            yield {"doc_id": column(batch, "doc_id"), "raw": column(batch, "raw"), "h1": words[:, 0].copy(), "h2": words[:, 1].copy()} | {x: of[:, i].copy() for i, x in enumerate(names)}
 
         return step
 
@@ -334,7 +434,8 @@ def survivors(docs: DataFrame, similarity: float = 0.8, width: int = 5, distance
 
     The defaults: two texts that share 0.8 of their distinct shingles differ in 19 bits of 128, give or
     take 4, so 998 of 1000 such pairs are within 31. Up to 23 bits no pair is missed by the
-    table; of those at 0.8 that differ by more, one in 700 has no segment within two bits.
+    table; of those at 0.8 that differ by more, one in 700 has no segment within two bits. Every pair
+    within ``distance`` that the table has is decided.
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -343,14 +444,26 @@ def survivors(docs: DataFrame, similarity: float = 0.8, width: int = 5, distance
     keyed = known.select(F.col(own).cast("long").alias("doc_id"), "raw", F.col(text).alias("text"))
 
     rows = saved(text_rows(keyed, width, lanes), "rows")
-    lanes_max = [F.max(x).alias(x) for x in lane_names(lanes)]  # equal words have equal fingerprints
-    distinct = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "raw")).alias("first"), *lanes_max)
-    distinct = saved(distinct.select(F.monotonically_increasing_id().alias("node"), "first.doc_id", "first.raw", *lane_names(lanes)), "distinct")
-    found = links(distinct.select("node", *lane_names(lanes)), distance, segments, lanes, radius, every=True)
-    pairs = saved(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    chosen = distinct.join(nodes, "node").select("node", "doc_id", "raw")
-    groups = components(confirmed(pairs, keyed.join(_small(chosen), ["doc_id", "raw"]).select("node", "text"), width, similarity))
+    derived = [*lane_names(lanes), "size", *SKETCH_NAMES]
+    distinct = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "raw")).alias("first"), *(F.max(x).alias(x) for x in derived))  # equal words have equal ones
+    distinct = saved(distinct.select(F.monotonically_increasing_id().alias("node"), "first.doc_id", "first.raw", *derived), "distinct")
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        chosen = distinct.join(nodes, "node").select("node", "doc_id", "raw")
+        return confirmed(pairs, keyed.join(_small(chosen), ["doc_id", "raw"]).select("node", "text"), width, similarity)
+
+    found = links_and_full(distinct.select("node", *lane_names(lanes)), distance, segments, lanes, radius, every=True)
+    found = saved(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    full = found.where("u = v").select(F.col("u").alias("key"))
+    edges = saved(decided(found.where("u <> v")), "edges")
+    groups = components(edges)
+    if not full.isEmpty():
+        rooted = saved(distinct.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *derived), "rooted")
+        between = links_between(rooted, full, distance, segments, lanes, radius, similarity)
+        forget(rooted)
+        if not between.isEmpty():
+            groups = components(edges.union(decided(between)))
     roots = distinct.join(groups, "node", "left").select("doc_id", "raw", F.coalesce("root", "node").alias("root"))
     kept = roots.groupBy("root").agg(F.min(F.struct("doc_id", "raw")).alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.raw").alias("kept_raw"))
 

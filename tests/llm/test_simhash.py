@@ -175,6 +175,37 @@ def test_survivors_of_a_family_beyond_all_pairs(spark, monkeypatch):
     assert [r["doc_id"] for r in simhash.survivors(docs).collect()] == brute_survivors(list(enumerate(texts))) == [0]
 
 
+def test_survivors_of_full_buckets_are_those_of_all_pairs(spark, monkeypatch):
+    """Copies of copies: many resemble neither the hub nor the one whose fingerprint is nearest, but another. None that are alike differ in over 31 bits."""
+    monkeypatch.setattr(simhash, "CLOSE", 0)
+    rng = random.Random(7)
+    versions = [[f"w{i}" for i in range(150)]]
+    for k in range(200):
+        copy = list(rng.choice(versions[-12:]))
+        for i in rng.sample(range(150), rng.randint(3, 4)):
+            copy[i] = f"new{k}x{i}"
+        versions.append(copy)
+    rows = list(enumerate(" ".join(x) for x in versions))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.survivors(docs).collect()) == brute_survivors(rows)
+
+
+def test_sketches_lose_no_pair_of_the_similarity():
+    rng, pairs, alike, found = np.random.default_rng(6), [], [], 0
+    for n in (1, 2, 9, 50, 400, 3000):
+        for share in (0.5, 0.75, 0.85, 0.89, 0.95, 1):
+            for _ in range(5):
+                both, own, other = (np.unique(rng.integers(0, 2**63, k).astype(np.uint64)) for k in (max(1, round(n * share)), round(n * (1 - share)), round(n * (1 - share))))
+                pairs.append([np.concatenate([both, own]), np.concatenate([both, other])])
+                alike.append(len(both) >= 0.8 * (len(both) + len(own) + len(other)))
+    for (a, b), want in zip(pairs, alike):
+        got = simhash.crossing_links(np.zeros(2, np.int64), np.zeros((2, 2), np.uint64), np.array([7, 8]), np.array([7, 8]), np.array([len(a), len(b)]), np.array([simhash.odd_sketch(a), simhash.odd_sketch(b)]).view(np.uint64), 31, 8, 1, 0.8)
+        got = [sorted(x) for part in got for x in part.tolist()]
+        assert got == [[7, 8]] if want else got in ([], [[7, 8]])
+        found += len(got)
+    assert sum(alike) <= found < len(pairs)
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 400)] + [(500, 500)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
