@@ -82,14 +82,26 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(spec)
+        give_back()
         step = make()
         for batch in batches:
             for out in step(batch):
                 yield pa.RecordBatch.from_arrays([_as_array(out[f.name], f.type) for f in arrow], schema=arrow)
+        step = batch = out = None
+        give_back()
 
     return df.mapInArrow(run, spec)
 
 
+def give_back() -> None:
+    """Returns memory that was freed to the system. Workers serve many tasks and would keep the most that any of them took."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def _as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

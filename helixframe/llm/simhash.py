@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, column, columns_as, forget, map_batches, saved, spread_join
+from .common import LOWER, as_bytes, column, columns_as, forget, give_back, map_batches, saved, spread_join
 from .components import components
 
 SEED = 42
@@ -336,6 +336,7 @@ def links_and_full(fps: DataFrame, distance: int, segments: int, lanes: int, rad
     tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
 
     def search(batches):
+        give_back()
         held = [(column(b, "key").to_numpy(), column(b, "node").to_numpy(), column(b, "home").to_numpy(zero_copy_only=False), column(b, "node").to_numpy().view(np.uint64)[:, None] if lanes == 1 else lanes_of(b, lanes)) for b in batches]
         if held:
             keys, node, home, fp = (np.concatenate(x) for x in zip(*held))
@@ -358,6 +359,7 @@ def links_between(fps: DataFrame, full: DataFrame, distance: int, segments: int,
     tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // (TASK_ROWS // 4)))
 
     def search(batches):
+        give_back()
         held = [(*(column(b, x).to_numpy() for x in ("key", "node", "root", "size")), lanes_of(b, lanes), words_of(b, SKETCH_NAMES)) for b in batches]
         if held:
             keys, node, root, size, fp, sketch = (np.concatenate(x) for x in zip(*held))
