@@ -21,10 +21,12 @@ wider radius than the similarity's own; each is confirmed by the two sets of shi
 confirmed pairs join. A bucket gives all its close pairs if it has at most CLOSE of them for each
 entry. In a fuller one each text whose own segment is the key is first paired with its nearest and with
 the hub, which is closest to all others; that joins most of a large family. Then the full buckets are
-searched again for all other close pairs: those within a group are joined already, and of those between
-groups the ones go whose sets have to differ too much by their odd sketches. The sketch has the parity
-of the number of shingles in each of SKETCH bins, so two sets differ in as many shingles at least as
-their sketches do in bits; no pair of the similarity is lost by it. What stays is confirmed as well.
+searched again for all other close pairs. Of the keys that a pair shares, which may be all, one is its
+own; an entry is searched again only under a key that is its own with some close one, at most once under
+each of its keys. Pairs within a group are joined already, and of those between groups the ones go whose
+sets have to differ too much by their odd sketches. The sketch has the parity of the number of shingles in
+each of SKETCH bins, so two sets differ in as many shingles at least as their sketches do in bits; no pair
+of the similarity is lost by it. What stays is confirmed as well.
 So the groups are those that all close pairs of the table join.
 
 Defined cases: a text that is null, empty or blank has fingerprint zero, which links like any other
@@ -146,11 +148,17 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
 
 
-def table_entries(fps: DataFrame, radius: int, segments: int = 2, lanes: int = 1, more: tuple[str, ...] = (), only: np.ndarray | None = None) -> DataFrame:
-    """(key, home, node, fp, ..., more): every fingerprint under every key of the balls around its segments, or those of ``only``; home marks the segment itself. ``more`` are further columns of longs."""
-    each = segments // lanes
+def segment(fps: np.ndarray, s: int, segments: int) -> np.ndarray:
+    """The values of one segment."""
+    each = segments // fps.shape[1]
     bits = 64 // each
-    names = [*lane_names(lanes)[lanes == 1 :], "node", *more]  # of one lane the node is the fingerprint
+    return fps[:, s // each] >> np.uint64(s % each * bits) & np.uint64((1 << bits) - 1)
+
+
+def table_entries(fps: DataFrame, radius: int, segments: int = 2, lanes: int = 1) -> DataFrame:
+    """(key, home, node, fp, ...): every fingerprint under every key of the balls around its segments; home marks the segment itself."""
+    bits = 64 * lanes // segments
+    names = [*lane_names(lanes)[lanes == 1 :], "node"]  # of one lane the node is the fingerprint
 
     def make():
         masks = ball(bits, radius)
@@ -159,13 +167,8 @@ def table_entries(fps: DataFrame, radius: int, segments: int = 2, lanes: int = 1
             fps = lanes_of(batch, lanes)
             own = {name: column(batch, name).to_numpy() for name in names}
             for s in range(segments):
-                part = (fps[:, s // each] >> np.uint64(s % each * bits)) & np.uint64((1 << bits) - 1)
-                keys = ((part[:, None] ^ masks) | np.uint64(s << bits)).ravel().view(np.int64)
-                if only is None:
-                    yield {"key": keys, "home": np.tile(masks == 0, len(fps))} | {name: np.repeat(x, len(masks)) for name, x in own.items()}
-                    continue
-                here = np.flatnonzero(np.isin(keys, only))
-                yield {"key": keys[here], "home": (masks == 0)[here % len(masks)]} | {name: x[here // len(masks)] for name, x in own.items()}
+                keys = ((segment(fps, s, segments)[:, None] ^ masks) | np.uint64(s << bits)).ravel().view(np.int64)
+                yield {"key": keys, "home": np.tile(masks == 0, len(fps))} | {name: np.repeat(x, len(masks)) for name, x in own.items()}
 
         return step
 
@@ -225,15 +228,55 @@ def nearest_and_hub(fps: np.ndarray, home: np.ndarray, distance: int) -> np.ndar
     return np.concatenate(out)
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, home: np.ndarray, distance: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 2) nodes: links among the entries of equal keys, bucket by bucket, and the keys of full buckets. A spanning forest of the links; with ``every``, all, but of a full bucket some for the entries whose own segment is the key (``home``): ``crossing_links`` has its others."""
+def middle(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """One value that is in the balls around both x and y, the same for (y, x): half of the bits that differ are flipped, the lowest, and of the two values that this gives it is the smaller."""
+    left = x ^ y
+    half, flip = np.bitwise_count(left) >> 1, np.zeros_like(left)
+    for i in range(radius):
+        lowest = left & (~left + np.uint64(1))
+        flip |= np.where(half > i, lowest, np.uint64(0))
+        left ^= lowest
+    return np.minimum(x ^ flip, y ^ flip)
+
+
+def middles(key: int, fps: np.ndarray, segments: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, own) of a bucket: own[kind[i], kind[j]] where the key is the ``middle`` of the segments of the entries i and j."""
+    bits = 64 * fps.shape[1] // segments
+    values, kind = np.unique(segment(fps, key >> bits, segments), return_inverse=True)
+    return kind, middle(values[:, None], values[None], radius) == np.uint64(key & (1 << bits) - 1)
+
+
+def first_here(key: int, fps: np.ndarray, i: np.ndarray, j: np.ndarray, segments: int, radius: int) -> np.ndarray:
+    """Of the pairs (i, j) of the bucket those that no segment before that of the key gives a key."""
+    at = np.arange(len(i))
+    for s in range(key >> 64 * fps.shape[1] // segments):
+        part = segment(fps, s, segments)
+        at = at[np.bitwise_count(part[i[at]] ^ part[j[at]]) > 2 * radius]
+    return at
+
+
+def meeting(key: int, fps: np.ndarray, distance: int, segments: int, radius: int) -> np.ndarray:
+    """The entries of a bucket that are within ``distance`` of another whose key with them is this one: of all keys that a pair shares the ``middle`` in the first segment that gives them any."""
+    kind, own = middles(key, fps, segments, radius)
+    found, step = np.zeros(len(fps), bool), max(1, TILE // len(fps))
+    for i in range(0, len(fps), step):
+        x, y = np.nonzero((apart(fps[i : i + step, None], fps[None, i:]) <= distance) & own[kind[i : i + step]][:, kind[i:]])
+        later = y > x
+        x, y = x[later] + i, y[later] + i
+        at = first_here(key, fps, x, y, segments, radius)
+        found[x[at]] = found[y[at]] = True
+    return np.flatnonzero(found)
+
+
+def bucket_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, home: np.ndarray, distance: int, segments: int, radius: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 2) nodes: links among the entries of equal keys, bucket by bucket, and (key, node) of the entries of full buckets that have to be searched again. A spanning forest of the links; with ``every``, all, but of a full bucket some for the entries whose own segment is the key (``home``): ``crossing_links`` has its others."""
     order = np.lexsort((*fps.T[::-1], keys))
     keys, fps, node, home = keys[order], fps[order], node[order], home[order]
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.concatenate([start, [len(keys)]]))
     close = np.concatenate([apart(fps[:-1], fps[1:]) <= distance, [False]])
     dense = (size > SPARSE) | (size > 16) & (2 * np.add.reduceat(close, start) > size) if len(start) else np.zeros(0, bool)
-    out, full = [], []
+    out, again = [], [np.zeros((0, 2), np.int64)]
 
     # Small buckets: every entry with the one that stands d behind it, for all buckets at once
     end, sparse = np.repeat(start + size, size), ~np.repeat(dense, size)
@@ -260,7 +303,8 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, home: np.n
             pairs = close_pairs(own, distance, CLOSE * n)
             if pairs is None:
                 pairs = nearest_and_hub(own, home[a : a + n], distance)
-                full.append(keys[a])
+                met = node[a : a + n][meeting(int(keys[a]), own, distance, segments, radius)]
+                again.append(np.stack([np.full(len(met), keys[a]), met], axis=1))
             out.append(node[a + pairs])
             continue
         left, queue = np.arange(a + 1, a + n), [a]
@@ -274,21 +318,11 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, home: np.n
                 out.append(np.stack([np.full(near.sum(), node[here]), node[left[near]]], axis=1))
                 queue += left[near].tolist()
                 left = left[~near]
-    return np.concatenate([np.zeros((0, 2), np.int64), *out]), np.array(full, np.int64)
-
-
-def first_segment(a: np.ndarray, b: np.ndarray, segments: int, radius: int) -> np.ndarray:
-    """The first segment in which the fingerprints of each row are close enough to share a key."""
-    each = segments // a.shape[1]
-    bits = 64 // each
-    mask = np.uint64((1 << bits) - 1)
-    x = a ^ b
-    return np.stack([np.bitwise_count(x[:, s // each] >> np.uint64(s % each * bits) & mask) <= 2 * radius for s in range(segments)], axis=1).argmax(axis=1)
+    return np.concatenate([np.zeros((0, 2), np.int64), *out]), np.concatenate(again)
 
 
 def crossing_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, distance: int, segments: int, radius: int, similarity: float) -> Iterator[np.ndarray]:
-    """(n, 2) nodes, part by part: all links among the entries of equal keys whose roots differ and whose sets of ``size`` may have ``similarity`` by their sketches. A pair comes from the keys of the first segment that gives it one."""
-    bits = 64 * fps.shape[1] // segments
+    """(n, 2) nodes, part by part: all links among the entries of equal keys whose roots differ and whose sets of ``size`` may have ``similarity`` by their sketches. A pair comes from the key that ``meeting`` takes."""
     order = np.argsort(keys, kind="stable")
     start = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
     for a, b in zip(start.tolist(), [*start[1:].tolist(), len(keys)]):
@@ -296,26 +330,27 @@ def crossing_links(keys: np.ndarray, fps: np.ndarray, node: np.ndarray, root: np
         _, of, count = np.unique(root[at], return_inverse=True, return_counts=True)
         most = count.argmax()
         others = np.flatnonzero(of != most)  # of two groups one at least is not the largest
-        own, step = fps[at], max(1, TILE // len(at))
+        own, key, step = fps[at], int(keys[at[0]]), max(1, TILE // len(at))
+        kind, here = middles(key, own, segments, radius)
         for i in range(0, len(others), step):
             rows = others[i : i + step]
-            x, y = np.nonzero(apart(own[rows, None], own[None]) <= distance)
+            x, y = np.nonzero((apart(own[rows, None], own[None]) <= distance) & here[kind[rows]][:, kind])
             x = rows[x]
             once = (of[x] != of[y]) & ((of[y] == most) | (x < y))
-            x, y = at[x[once]], at[y[once]]
+            x, y = x[once], y[once]
             for j in range(0, len(x), PART):
-                u, v = x[j : j + PART], y[j : j + PART]
+                first = first_here(key, own, x[j : j + PART], y[j : j + PART], segments, radius)
+                u, v = at[x[j + first]], at[y[j + first]]
                 differ = apart(sketch[u], sketch[v])
                 alike = (1 + similarity) * differ <= (1 - similarity) * (size[u] + size[v]) + 1e-6
-                alike &= first_segment(fps[u], fps[v], segments, radius) == keys[at[0]] >> bits
                 if alike.any():
                     yield np.stack([node[u[alike]], node[v[alike]]], axis=1)
 
 
-def _edges(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(pairs: np.ndarray, names: list[str], missing: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(pairs), 100_000):
         part = pairs[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(part[:, c].copy()) for c in range(part.shape[1])), *(pa.nulls(len(part), pa.int64()) for _ in missing)], names=[*names, *missing])
 
 
 def links(fps: DataFrame, distance: int = 4, segments: int = 2, lanes: int = 1, radius: int | None = None, every: bool = False) -> DataFrame:
@@ -325,12 +360,12 @@ def links(fps: DataFrame, distance: int = 4, segments: int = 2, lanes: int = 1,
     default ``radius`` of the balls loses no link; a smaller one only links whose segments all differ
     by more than twice of it.
     """
-    return links_and_full(fps, distance, segments, lanes, radius, every).where("u <> v")
+    radius = math.ceil((distance // segments) / 2) if radius is None else radius
+    return links_and_entries(fps, distance, segments, lanes, radius, every).where("key is null").select("u", "v")
 
 
-def links_and_full(fps: DataFrame, distance: int, segments: int, lanes: int, radius: int | None, every: bool) -> DataFrame:
-    """The (u, v) of ``links``, and (key, key) for each full bucket."""
-    radius = math.ceil((distance // segments) / 2) if radius is None else radius
+def links_and_entries(fps: DataFrame, distance: int, segments: int, lanes: int, radius: int, every: bool) -> DataFrame:
+    """(u, v, key): the (u, v) of ``links``, without a key, and (node, node, key) for each entry of a full bucket that has to be searched again."""
     bits = 64 * lanes // segments
     rows = fps.count() * segments * len(ball(bits, radius))
     tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
@@ -341,21 +376,15 @@ def links_and_full(fps: DataFrame, distance: int, segments: int, lanes: int, rad
         if held:
             keys, node, home, fp = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            edges, full = bucket_links(keys, fp, node, home, distance, every)
-            yield from _edges(edges)
-            yield from _edges(np.stack([full, full], axis=1))
-
-    return table_entries(fps, radius, segments, lanes).repartition(tasks, "key").mapInArrow(search, "u long, v long")
+            edges, again = bucket_links(keys, fp, node, home, distance, segments, radius, every)
+            yield from _rows(edges, ["u", "v"], ("key",))
+            yield from _rows(again[:, [1, 1, 0]], ["u", "v", "key"])
 
+    return table_entries(fps, radius, segments, lanes).repartition(tasks, "key").mapInArrow(search, "u long, v long, key long")
 
-def links_between(fps: DataFrame, full: DataFrame, distance: int, segments: int, lanes: int, radius: int, similarity: float) -> DataFrame:
-    """(u, v), saved: all pairs of the buckets ``full`` (key) with different roots that may have ``similarity``. ``fps`` (node, fp, ..., root, size, s0, ...) is saved.
 
-    The keys are at most as many as segments have values: 524,288 of eight segments of 16 bits.
-    """
-    only = np.sort(full.toArrow().column("key").to_numpy())
-    more = ("root", "size", *SKETCH_NAMES)
-    entries = saved(table_entries(fps, radius, segments, lanes, more, only).drop("home"), "entries")
+def links_between(fps: DataFrame, entries: DataFrame, distance: int, segments: int, lanes: int, radius: int, similarity: float) -> DataFrame:
+    """(u, v), saved: all pairs of ``entries`` (key, node) with different roots that may have ``similarity``, each once. ``fps`` has (node, fp, ..., root, size, s0, ...)."""
     tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // (TASK_ROWS // 4)))
 
     def search(batches):
@@ -365,12 +394,9 @@ def links_between(fps: DataFrame, full: DataFrame, distance: int, segments: int,
             keys, node, root, size, fp, sketch = (np.concatenate(x) for x in zip(*held))
             held.clear()
             for pairs in crossing_links(keys, fp, node, root, size, sketch, distance, segments, radius, similarity):
-                yield from _edges(pairs)
+                yield from _rows(pairs, ["u", "v"])
 
-    found = entries.repartition(tasks, "key").mapInArrow(search, "u long, v long")
-    found = saved(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "between")
-    forget(entries)
-    return found
+    return saved(entries.join(fps, "node").repartition(tasks, "key").mapInArrow(search, "u long, v long"), "between")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -455,27 +481,28 @@ def survivors(docs: DataFrame, similarity: float = 0.8, width: int = 5, distance
         chosen = distinct.join(nodes, "node").select("node", "doc_id", "raw")
         return confirmed(pairs, keyed.join(_small(chosen), ["doc_id", "raw"]).select("node", "text"), width, similarity)
 
-    found = links_and_full(distinct.select("node", *lane_names(lanes)), distance, segments, lanes, radius, every=True)
-    found = saved(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    full = found.where("u = v").select(F.col("u").alias("key"))
-    edges = saved(decided(found.where("u <> v")), "edges")
+    found = saved(links_and_entries(distinct.select("node", *lane_names(lanes)), distance, segments, lanes, radius, every=True), "found")
+    pairs = saved(found.where("key is null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    edges = saved(decided(pairs), "edges")
     groups = components(edges)
-    if not full.isEmpty():
+    again = found.where("key is not null").select("key", F.col("u").alias("node"))
+    if not again.isEmpty():
         rooted = saved(distinct.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *derived), "rooted")
-        between = links_between(rooted, full, distance, segments, lanes, radius, similarity)
+        between = links_between(rooted, again, distance, segments, lanes, radius, similarity)
         forget(rooted)
         if not between.isEmpty():
             groups = components(edges.union(decided(between)))
+    forget(found)
     roots = distinct.join(groups, "node", "left").select("doc_id", "raw", F.coalesce("root", "node").alias("root"))
     kept = roots.groupBy("root").agg(F.min(F.struct("doc_id", "raw")).alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.raw").alias("kept_raw"))
 
     is_kept = (F.col(own).cast("long") == F.col("kept_id")) & (F.col("raw") == F.col("kept_raw"))
     left = known.join(_small(kept), is_kept, "left_semi")
-    again = saved(rows.groupBy("doc_id", "raw").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("kept_id"), F.col("raw").alias("kept_raw")), "repeated")
-    if not again.isEmpty():
+    repeated = saved(rows.groupBy("doc_id", "raw").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("kept_id"), F.col("raw").alias("kept_raw")), "repeated")
+    if not repeated.isEmpty():
         cols = plain.columns
-        once = left.join(_small(again), is_kept, "left_semi").groupBy(own, "raw").agg(F.min(F.struct(*cols)).alias("row")).select("row.*")
-        left = left.join(_small(again), is_kept, "left_anti").select(*cols).unionByName(once)
+        once = left.join(_small(repeated), is_kept, "left_semi").groupBy(own, "raw").agg(F.min(F.struct(*cols)).alias("row")).select("row.*")
+        left = left.join(_small(repeated), is_kept, "left_anti").select(*cols).unionByName(once)
     return left.select(*plain.columns).unionByName(plain.where(F.col(own).isNull())).toDF(*names)
 
 

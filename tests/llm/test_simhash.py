@@ -190,6 +190,46 @@ def test_survivors_of_full_buckets_are_those_of_all_pairs(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.survivors(docs).collect()) == brute_survivors(rows)
 
 
+def near_and_strange(rng):
+    """Fingerprints of 128 bits: two families of near copies, one of which has equal first halves, and strangers that share a segment with them."""
+    fps = set()
+    for low in (0, 64):
+        center = rng.getrandbits(128)
+        fps |= {center ^ sum(1 << b for b in rng.sample(range(low, 128), rng.randint(1, 14))) for _ in range(25)}
+        fps |= {rng.getrandbits(112) << 16 | center & 0xFFFF for _ in range(25)}
+    fps = sorted(fps)
+    meet = lambda x, y: any((x >> s & 0xFFFF ^ y >> s & 0xFFFF).bit_count() <= 2 for s in range(0, 128, 16))
+    close = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 31 and meet(fps[i], fps[j])}
+    return np.array([[x & 2**64 - 1, x >> 64] for x in fps], np.uint64), close
+
+
+def test_the_second_search_gives_a_pair_once():
+    fps, close = near_and_strange(random.Random(8))
+    masks, keys = simhash.ball(16, 1).astype(np.int64), []
+    for s in range(8):
+        part = (fps[:, s // 4] >> np.uint64(s % 4 * 16) & np.uint64(0xFFFF)).astype(np.int64)
+        keys.append((part[:, None] ^ masks | s << 16).ravel())
+    at = np.tile(np.repeat(np.arange(len(fps)), len(masks)), 8)
+    sketch = np.zeros((len(at), simhash.SKETCH // 64), np.uint64)
+    got = simhash.crossing_links(np.concatenate(keys), fps[at], at, at, np.full(len(at), 9), sketch, 31, 8, 1, 0.8)
+    got = [tuple(sorted(x)) for part in got for x in part.tolist()]
+    assert len(close) > 300 and sorted(got) == sorted(close)
+
+
+def test_only_entries_with_a_close_one_are_searched_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CLOSE", 0)
+    fps, close = near_and_strange(random.Random(8))
+    table = spark.createDataFrame([(n, *map(int, r)) for n, r in enumerate(fps.view(np.int64))], "node long, fp long, fp1 long")
+    found = simhash.links_and_entries(table, 31, 8, 2, 1, every=True).collect()
+    under = {}
+    for r in found:
+        if r["key"] is not None:
+            under.setdefault(r["key"], []).append(r["u"])
+    together = [(i, j) for nodes in under.values() for j in nodes for i in nodes if i < j]
+    assert {tuple(sorted((r["u"], r["v"]))) for r in found if r["key"] is None} <= close <= set(together)
+    assert {n for nodes in under.values() for n in nodes} == {n for pair in close for n in pair} != set(range(len(fps)))
+
+
 def test_sketches_lose_no_pair_of_the_similarity():
     rng, pairs, alike, found = np.random.default_rng(6), [], [], 0
     for n in (1, 2, 9, 50, 400, 3000):
