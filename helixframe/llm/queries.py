@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, and SQL for those that SQL can express."""
+"""The registered queries of the operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lm_scoring, packing, quality, simhash, substring, topk, warc
+from . import centroids, chat, decontam, langid, lm_scoring, packing, quality, simhash, substring, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.cross_fitted(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summary(spark, *centroids.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -76,8 +80,36 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op11_centroids": op11_centroids,
 }
+
+
+def _clusters_sql(rounds: int) -> str:
+    """Assignment and means, written once for each round."""
+    near = """near{i} as (
+            select r, cluster, distance from (
+                select r, cluster, distance, row_number() over (partition by r order by distance, cluster) as place from (
+                    select v.r, c.cluster, list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as distance from vectors v, c{i} c)) where place = 1)"""
+    means = """c{j} as (
+            select c.cluster, coalesce(m.c, c.c) as c from c{i} c left join (
+                select cluster, list((s - ((s % n) + n) % n) // n order by d) as c from (
+                    select cluster, d, sum(x)::bigint as s, count(*) as n from (
+                        select cluster, unnest(v) as x, unnest(range(1, 65)) as d from near{i} join vectors using (r)) group by cluster, d) group by cluster) m using (cluster))"""
+    steps = [x.format(i=i, j=i + 1) for i in range(rounds) for x in (near, means)] + [near.format(i=rounds)]
+    return f"""
+        with vectors as materialized (
+            select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        c0 as (select row_number() over (order by sha256('2:' || vec_id) nulls last, v) - 1 as cluster, v as c from vectors qualify cluster < 40),
+        {", ".join(steps)}
+        select vec_id, cluster::integer as cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia,
+            sum(distance) over ()::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+        from near{rounds} join c{rounds} using (cluster) join vectors using (r)
+    """
+
+
 ORACLE_SQL = {
+    "op11_centroids": _clusters_sql(5),
     "op5_chat_rotation": """
         with said as (
             select conv_id, turn, coalesce(turn // 64, -1) as segment,
