@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, decontam, langid, lm_scoring, packing, quality, simhash, substring, topk, warc
+from . import centroids, chat, decontam, langid, lm_scoring, packing, quality, simhash, substring, topk, warc, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.summary(spark, *centroids.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64))
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return word_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -81,6 +87,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
     "op11_centroids": op11_centroids,
+    "op12_word_bpe": op12_word_bpe,
 }
 
 
