@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, decontam, langid, lm_scoring, packing, quality, simhash, substring, topk, warc, word_bpe
+from . import centroids, chat, decontam, langid, lm_scoring, packing, quality, repair, simhash, substring, topk, warc, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.damaged(table(spark, sf_dir, "conversations")), present_col="present")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -88,6 +92,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_centroids": op11_centroids,
     "op12_word_bpe": op12_word_bpe,
+    "op13_repair": op13_repair,
 }
 
 
@@ -139,6 +144,50 @@ ORACLE_SQL = {
             coalesce(string_agg(cast(stop - length(said) - 8 as bigint) || '-' || cast(stop as bigint), ',' order by n) filter (where own), '') as mask
         from placed group by conv_id, speaker, segment, part
     """,
+    "op13_repair": r"""
+        with recursive crcs as (select list(list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, b) order by b) as t from range(256) x(b)),
+        named as (select *, dense_rank() over (order by conv_id nulls first) as c, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+        hit as (
+            select *, xor(list_reduce(list_transform(string_split(name, ''), lambda x: ascii(x)::bigint), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 20 as fault
+            from named, crcs),
+        damaged as (
+            select c, turn, case when fault = 4 then 'user' else coalesce(role, ' ') end as role,
+                case when fault = 1 then '' when fault = 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as said
+            from (select *, unnest(range(case when fault = 3 then 2 else 1 end)) from hit where fault <> 0)),
+        placed as (select *, row_number() over (partition by c order by turn nulls first, role, said) - 1 as i, left(role, 1) as k from damaged),
+        looked as (
+            select *, right(rtrim(said, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as mark, row_number() over (partition by c, role, said order by i) as nth,
+                lag(k) over (partition by c order by i) as before from placed),
+        judged as (select *, case when mark = '' then 'blank' when nth > 1 then 'duplicate' when mark in ('.', '!', '?') then '' else 'truncated' end as fault from looked),
+        grammar(p, r, q) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        inserts(p, q, cost, edits, lines) as (
+            select distinct p, p, 0, '', '' from grammar
+            union all select p, q, 3, 'I', chr(10) || case r when 'u' then 'user:' else 'assistant:' end from grammar where r <> 's'
+            union all values (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+        edits(p, q, what, r, cost) as (
+            select p, q, 'K', r, 0 from grammar union all select p, q, 'R', r, 3 from grammar where r <> 's' union all select distinct p, p, 'D', '', 4 from grammar),
+        paths(c, i, s, cost, audit, lines) as (
+            select c, 0::bigint, 0, 0::bigint, '', '' from (select distinct c from named)
+            union all
+            select c, i, s, best.cost, best.audit, best.lines from (
+                select j.c, j.i + 1 as i, e.q as s, min({
+                    'cost': x.cost + n.cost + e.cost + case when e.what <> 'D' and j.fault = 'truncated' then 3 else 0 end, 'audit': x.audit || n.edits || e.what,
+                    'lines': x.lines || n.lines || case e.what when 'D' then '' else chr(10) || case when e.what = 'K' then j.role when e.r = 'u' then 'user' else 'assistant' end || ':' || j.said end}) as best
+                from paths x join judged j on j.c = x.c and j.i = x.i join inserts n on n.p = x.s join edits e on e.p = n.q
+                where e.what = 'D' or (j.fault in ('', 'truncated') and (e.what = 'R' or e.r = j.k))
+                group by j.c, j.i, e.q)),
+        lengths as (select c, count(*) as n from judged group by c),
+        ended as (
+            select c, min({'cost': x.cost + n.cost, 'audit': x.audit || n.edits, 'lines': x.lines || n.lines}) as best
+            from paths x left join lengths l using (c) join inserts n on n.p = x.s where x.i = coalesce(l.n, 0) and n.q in (0, 3) group by c),
+        counted as (
+            select c, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+                count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where (before || k) not in ('su', 'ua', 'au')) as illegal
+            from judged group by c)
+        select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+            coalesce(illegal, 0)::bigint as illegal, best.cost::bigint as cost, best.audit as audit, sha256(substr(best.lines, 2)) as repaired_sha256
+        from (select distinct c, conv_id from named) join ended using (c) left join counted using (c)
+    """,
     "op2_decontamination": r"""
         with fold as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as big, 'abcdefghijklmnopqrstuvwxyz' as small),
         docs as (select doc_id, row_number() over () as r, coalesce(regexp_extract_all(translate(text, big, small), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as words from documents, fold),
