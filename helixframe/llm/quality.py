@@ -34,7 +34,7 @@ divided by ``least_share``, for each language and for all together.
 Defined cases: a null or empty text has no features, so no evidence; a null source or language is
 "" at its level; labels of unknown documents, null ids or null values teach nothing; several labels
 of a document count each; without labels no evidence is found and nothing is rejected; rows with
-null ids are scored, and kept by ``accepted``; an empty table gives no rows; other columns are
+null ids are scored, and kept by ``accepted``; rows that share an id are judged one by one; an empty table gives no rows; other columns are
 ignored by ``classify`` and kept by ``accepted``.
 """
 
@@ -48,7 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, column, columns_as, map_batches, saved
@@ -247,13 +247,23 @@ def rates(seen: list, weight: float) -> tuple[float, dict[str, float], dict[str,
     return prior, by_level, {f"{r['level']}:{r['size']}": (r["bad"] + weight * by_level[str(r["level"])]) / (r["n"] + weight) for r in seen}
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, least_ratio: float = 10.0, least_z: float = 4.0, least_share: float = 0.02, level_weight: float = 5.0, pool_weight: float = 5.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, evidence, host_rate, path_rate, p_reject, rejected) for every row. ``threshold`` is above a half, since a good document lost costs more than a bad one kept."""
+def row_key(text: str, source: str, lang: str) -> Column:
+    """A hash of what a row is judged by; rows of one id that differ in it are judged apart."""
+    return F.xxhash64(*(x for c in (text, source, lang) for x in (F.col(c), F.col(c).isNull())))
+
+
+def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """(doc_id, evidence, host_rate, path_rate, p_reject, rejected) for every row."""
+    return judged(docs, labels, **how).drop("row")
+
+
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, least_ratio: float = 10.0, least_z: float = 4.0, least_share: float = 0.02, level_weight: float = 5.0, pool_weight: float = 5.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """What ``classify`` gives, with ``row``, the ``row_key``. ``threshold`` is above a half, since a good document lost costs more than a bad one kept."""
     rows = columns_as(docs, doc_id=id_col, text=text_col, source=source_col, lang=lang_col)
     source = F.coalesce("source", F.lit(""))
-    rows = rows.select("doc_id", "text", "lang", F.regexp_extract(source, r"^(?:[A-Za-z]+://)?([^/?#]*)", 1).alias("host"), F.concat_ws("/", F.regexp_replace(source, r"/[^/]*$", ""), F.coalesce("lang", F.lit(""))).alias("path"), fold_of("doc_id").alias("fold"))
+    rows = rows.select("doc_id", "text", "lang", row_key("text", "source", "lang").alias("row"), F.regexp_extract(source, r"^(?:[A-Za-z]+://)?([^/?#]*)", 1).alias("host"), F.concat_ws("/", F.regexp_replace(source, r"/[^/]*$", ""), F.coalesce("lang", F.lit(""))).alias("path"), fold_of("doc_id").alias("fold"))
     found = weights(labelled(rows.select("doc_id", "text", "lang", "fold"), labels), least_ratio, least_z, least_share, pool_weight)
-    scored = saved(evidence(rows, found, ["doc_id", "host", "path"]), "evidence")
+    scored = saved(evidence(rows, found, ["doc_id", "row", "host", "path"]), "evidence")
 
     level, other = (F.least(F.floor(c), F.lit(TOP_LEVEL)).alias("level") for c in ("evidence", "other_evidence"))
     seen = labelled(scored.select("doc_id", "other_evidence", "size"), labels).groupBy(other, "size").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), F.sum("other_evidence").alias("sum")).collect()
@@ -270,11 +280,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, least_r
 
     final = logit(F.col("p")) + logit(F.col("path_rate")) - logit(F.lit(float(base)))
     out = alone.join(sites, ["host", "path"]).withColumn("p_reject", 1 / (1 + F.exp(-final)))
-    return out.select("doc_id", "evidence", "host_rate", "path_rate", "p_reject", (F.col("p_reject") > threshold).alias("rejected"))
+    return out.select("doc_id", "evidence", "host_rate", "path_rate", "p_reject", (F.col("p_reject") > threshold).alias("rejected"), "row")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, source, lang, ...) that are not rejected."""
-    gone = saved(classify(docs, labels, **how).where("rejected and doc_id is not null").select("doc_id").distinct(), "rejected")
+    """The rows of ``docs`` (doc_id, text, source, lang, ...) that are not rejected. A row goes by its own text, source and language, whatever other rows of its id say; rows with null ids stay."""
+    gone = saved(judged(docs, labels, **how).where("rejected and doc_id is not null").select("doc_id", "row").distinct(), "rejected")
     small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no column clashes with the key
+    at = {c: f"c{names.index(c)}" for c in ("doc_id", "text", "source", "lang")}
+    keyed = plain.withColumns({"doc_id": F.col(at["doc_id"]), "row": row_key(at["text"], at["source"], at["lang"])})
+    left = keyed.join(F.broadcast(gone) if small else gone, ["doc_id", "row"], "left_anti")
+    return left.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

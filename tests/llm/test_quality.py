@@ -160,6 +160,17 @@ def test_odd_rows(spark, monkeypatch):
     assert quality.classify(empty(docs), labels).count() == 0
 
 
+def test_rows_of_one_id_are_judged_apart(spark):
+    texts = [f"fine words of number {i} stand here" for i in range(60)] + [f"awful spam %%% number {i}" for i in range(30)]
+    docs = odd_documents(spark, texts)
+    labels = spark.createDataFrame([(10 + i, int(i < 60), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    good, bad = docs.where("doc_id = 15"), docs.where("doc_id = 80")
+    both = docs.unionByName(good.select(F.lit(2000).cast("long").alias("doc_id"), *docs.columns[1:])).unionByName(bad.select(F.lit(2000).cast("long").alias("doc_id"), *docs.columns[1:])).unionByName(bad.select(F.lit(2000).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *docs.columns[2:]))
+    assert [r["rejected"] for r in quality.classify(both, labels).where("doc_id = 2000").orderBy("p_reject").collect()] == [False, False, True]
+    kept = [r["text"] for r in quality.accepted(both, labels).where("doc_id = 2000").collect()]
+    assert sorted(kept, key=str) == [None, texts[5]]
+
+
 def test_sparse_sites_stay_near_the_level_above(spark):
     groups = spark.createDataFrame([("a", 1000, 900.0, 0.5), ("b", 1000, 100.0, 0.5), ("c", 1, 1.0, 0.5)], "k string, n long, mass double, up double")
     rate = {r["k"]: r["rate"] for r in quality.shrunk(groups, "up").collect()}
