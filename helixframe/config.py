@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 # Defaults that define the results.
@@ -61,6 +61,12 @@ class Params:
     population_min_share: float = 0.75
     nm_factor: float = 1.66
 
+    mosaic_merge_len: float = 0.27
+
+    def for_mosaic(self) -> Params:
+        """These with what mosaic calling changes: the length threshold of clusters, unless it was set."""
+        return replace(self, merge_len=self.mosaic_merge_len) if self.merge_len == Params.merge_len else self
+
     @property
     def screen(self) -> int:
         return int(self.screen_factor * self.min_svlen)

@@ -90,7 +90,9 @@ def merged_runs(rows: list[tuple], svtype: str, p: Params, first_part: bool = Tr
         if not a.joins(b, svtype, p):
             at += 1
             continue
-        a.rows, a.long_rows, a.end, a.repeat = a.rows + b.rows, a.long_rows + b.long_rows, b.end, a.repeat or b.repeat
+        a.rows += b.rows
+        a.long_rows += b.long_rows
+        a.end, a.repeat = b.end, a.repeat or b.repeat
         a.measure()
         del runs[at + 1]
         at = max(at - 1, floor)

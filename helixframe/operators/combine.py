@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +9,8 @@ from pyspark.sql.types import ArrayType
 
 from ..config import DEFAULTS, Params
 from ..functions.intervals import binned
+from . import edits
+from .grouping import combined  # noqa: F401
 
 
 def match_limit(size: Column, p: Params = DEFAULTS) -> Column:
@@ -40,10 +39,10 @@ def nearest(targets: DataFrame, calls: DataFrame, p: Params = DEFAULTS) -> DataF
 
 
 def alike(a: Column, b: Column, share: float = DEFAULTS.combine_sequence_share) -> Column:
-    """Whether the edit distance leaves more than ``share`` of the mean length. Lengths alone are compared first: they bound it."""
+    """Whether the edit distance leaves more than ``share`` of the mean length. It is searched no further than that."""
     mean = (F.length(a) + F.length(b)) / 2
-    bound = F.try_divide(mean - F.abs(F.length(a) - F.length(b)), mean) > share
-    return F.coalesce(F.when(bound, F.try_divide(mean - F.levenshtein(a, b), mean) > share).otherwise(False), F.lit(False))
+    found = edits.within(a, b, F.ceil(mean * (1 - share)))
+    return F.coalesce(F.try_divide(mean - found, mean) > share, F.lit(False))
 
 
 def population_annotated(calls: DataFrame, population: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -58,9 +57,9 @@ def population_annotated(calls: DataFrame, population: DataFrame, p: Params = DE
     distance = F.abs(F.col("pos") - F.col("_pos")) + F.abs(F.abs("svlen") - F.abs("_len"))
     met = met.where(distance <= match_limit(F.least(F.abs("svlen"), F.abs("_len")), p))
     if sequences:
-        left = lambda d: F.try_divide(F.col("_len") - d, F.col("_len")) > p.combine_sequence_share
-        bound = left(F.abs(F.length("alt") - F.length("_alt")))  # lengths first: they bound the distance
-        met = met.where(F.when((F.col("svtype") == "INS") & F.col("alt").isNotNull() & F.col("_alt").isNotNull(), F.when(bound, left(F.levenshtein("alt", "_alt"))).otherwise(False)).otherwise(True))
+        found = edits.within(F.col("alt"), F.col("_alt"), F.ceil(F.col("_len") * (1 - p.combine_sequence_share)))
+        left = F.coalesce(F.try_divide(F.col("_len") - found, F.col("_len")) > p.combine_sequence_share, F.lit(False))
+        met = met.where(F.when((F.col("svtype") == "INS") & F.col("alt").isNotNull() & F.col("_alt").isNotNull(), left).otherwise(True))
     best = met.groupBy("call_id").agg(F.min(F.struct(distance.alias("d"), F.col("_id").alias("id"), "af", "genotyped_n")).alias("b"))
     return calls.join(best, "call_id", "left").select(*calls.columns, F.coalesce(F.round("b.af", 5), F.lit(0.0)).alias("population_af"), F.coalesce("b.genotyped_n", F.lit(0)).cast("long").alias("population_size"))
 
@@ -87,100 +86,6 @@ def absent_coverage(groups: DataFrame, members: DataFrame, samples: DataFrame, b
     return missing.join(depth, ["sample_id", "contig", "cov_bin"], "left").select("group_id", "sample_id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein's distance, a column of its table at a time as the bits of two whole numbers: rises and falls along ``a``."""
-    if not a or a == b:
-        return len(b) if not a else 0
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    every, last, rises, falls, score = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << len(a)) - 1, 0, len(a)
-    for c in b:
-        here = where.get(c, 0)
-        level = ((here & rises) + rises ^ rises) | here
-        up, down = falls | every & ~(level | rises), rises & level
-        score += bool(up & last) - bool(down & last)
-        up, down = (up << 1 | 1) & every, down << 1 & every
-        rises, falls = down | every & ~(here | falls | up), up & (here | falls)
-    return score
-
-
-class Group:
-    """Calls of several samples taken for one."""
-
-    def __init__(self, row, name: int):
-        self.name, self.n, self.pos, self.size, self.mate = name, 0, 0.0, 0.0, 0.0
-        self.mate_contig, self.samples, self.alt = row.mate_contig, set(), getattr(row, "alt", None)
-        self.add(row)
-
-    def resembles(self, row, p: Params) -> bool:
-        """Whether the edit distance to the first member's sequence leaves more than a share of the mean length; true without sequences."""
-        other = getattr(row, "alt", None)
-        if not p.combine_sequence_share or self.alt is None or other is None or not self.size:
-            return True
-        if (self.size - abs(len(self.alt) - len(other))) / self.size <= p.combine_sequence_share:
-            return False
-        return (self.size - edit_distance(self.alt, other)) / self.size > p.combine_sequence_share
-
-    def add(self, row) -> None:
-        self.n += 1
-        self.pos += (row.pos - self.pos) / self.n
-        self.size += (abs(row.svlen) - self.size) / self.n
-        self.mate += ((row.mate_pos or 0) - self.mate) / self.n
-        self.samples.add(row.sample_id)
-
-    def distance(self, row, p: Params) -> float:
-        """Infinite where too far."""
-        if row.svtype == "BND":
-            d = abs(self.pos - row.pos) + abs(self.mate - (row.mate_pos or 0))
-            return d if d <= p.combine_bnd and self.mate_contig == row.mate_contig else math.inf
-        d = abs(self.pos - row.pos) + abs(self.size - abs(row.svlen))
-        return d if d <= min(p.combine_match * math.sqrt(min(self.size, abs(row.svlen))), p.combine_match_max) else math.inf
-
-
-def grouped_rows(rows: list, n_samples: int, p: Params = DEFAULTS, one_per_sample: bool = False) -> list[int]:
-    """The group number of each row (by pos, ties by call_id). Buffers of bins are grouped by falling support; groups near a buffer's end stay open."""
-    least, out, names = max(25, n_samples // 2), {}, 0
-    bins: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        bins.setdefault(r.pos // p.bin_size * p.bin_size, []).append(i)
-    keys, held, filled, kept = sorted(bins), [], 0, []
-    for at, b in enumerate(keys):
-        held += bins[b]
-        filled += 1
-        if len(held) < least and at + 1 < len(keys):
-            continue
-        for i in sorted(held, key=lambda i: -rows[i].support):
-            r, best, near = rows[i], None, math.inf
-            for g in kept:
-                if (d := g.distance(r, p)) < near and not (one_per_sample and r.sample_id in g.samples) and (r.svtype == "BND" or g.resembles(r, p)):
-                    best, near = g, d
-            if best is None:
-                best = Group(r, names)
-                names += 1
-                kept.append(best)
-            else:
-                best.add(r)
-            out[i] = best.name
-        kept = [g for g in kept if abs(g.pos - b) < max(p.bin_size * filled / 2, p.combine_overlap)]
-        held, filled = [], 0
-    return [out[i] for i in range(len(rows))]
-
-
-def combined(candidates: DataFrame, n_samples: int, p: Params = DEFAULTS, one_per_sample: bool = False) -> DataFrame:
-    """``candidates`` (call_id, sample_id, contig, svtype, pos, svlen, support, mate_contig, mate_pos; alt if known) with ``group_id``. Exact: order matters, so it runs contig by contig and type by type."""
-    schema = candidates.withColumn("group_id", F.lit("").cast("string")).schema
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["pos", "call_id"], kind="stable")
-        clean = rows.astype(object).where(rows.notna(), None)
-        found = grouped_rows(list(clean.itertuples(index=False)), n_samples, p, one_per_sample)
-        head = f"{rows['contig'].iloc[0]}:{rows['svtype'].iloc[0]}:"
-        return rows.assign(group_id=[f"{head}{g}" for g in found])
-
-    return candidates.groupBy("contig", "svtype").applyInPandas(run, schema)
-
-
 def group_calls(members: DataFrame, depth: DataFrame, samples: DataFrame, p: Params = DEFAULTS, min_share: float = 0.2, high_share: float = 0.0) -> DataFrame:
     """One call for each group that enough samples support: position, length and end of its best member, means, deviations and supp_vec.
 

@@ -50,7 +50,12 @@ def total(ops: Column, codes: str, least: int = 0) -> Column:
 
 
 def mismatch_rate(alignments: DataFrame) -> DataFrame:
-    """``nm_rate``: (NM - insertions - deletions of more than 10) / (query length + 1); -1 without NM."""
+    """``nm_rate``: (NM - insertions - deletions of more than 10) / (aligned part of the read + 1); -1 without NM."""
     ops = cigar_ops(F.col("cigar"))
-    rate = (F.col("nm") - total(ops, "I", 10) - total(ops, "D", 10)) / (F.col("query_length") + 1)
+    rate = (F.col("nm") - total(ops, "I", 10) - total(ops, "D", 10)) / (F.col("qry_end") - F.col("qry_start") + 1)
     return alignments.withColumns({"insertions": total(ops, "I"), "deletions": total(ops, "D"), "nm_rate": F.coalesce(rate, F.lit(-1.0))})
+
+
+def regional_rate(alignments: DataFrame) -> DataFrame:
+    """(contig, regional_nm): the mean ``nm_rate`` of the reads that have NM; 0 where none has."""
+    return mismatch_rate(alignments).groupBy("contig").agg(F.coalesce(F.avg(F.when(F.col("nm").isNotNull(), F.col("nm_rate"))), F.lit(0.0)).alias("regional_nm"))

@@ -163,7 +163,7 @@ def inline_leads(spark, d):
     return extract.inline_leads(alignments(spark, d).withColumn("seq", F.lit(None).cast("string"))).select("aln_idx", "contig", "lead_start", "lead_end", "svtype", "svlen")
 
 
-@query("mismatch_rate", f"{WITH_ALIGNMENTS}, {OPS}, sums as (select aln_idx, sum(case when op in ('I', 'D') and len > 10 then len else 0 end) as gaps from walked group by aln_idx) select a.aln_idx, round(coalesce((nm - gaps) / (query_length + 1), -1), 6) as nm_rate from alignments a join sums s on a.aln_idx = s.aln_idx")
+@query("mismatch_rate", f"{WITH_ALIGNMENTS}, {OPS}, sums as (select aln_idx, sum(case when op in ('I', 'D') and len > 10 then len else 0 end) as gaps from walked group by aln_idx) select a.aln_idx, round(coalesce((nm - gaps) / (qry_end - qry_start + 1), -1), 6) as nm_rate from alignments a join sums s on a.aln_idx = s.aln_idx")
 def mismatch_rate(spark, d):
     return rounded(scan.mismatch_rate(alignments(spark, d)).select("aln_idx", "nm_rate"), "nm_rate")
 
@@ -583,7 +583,36 @@ def sample_pivot_suppvec(spark, d):
     return combine.group_calls(members, depth, samples).select("group_id", "samples", "support", "fwd", "rev", "supp_vec", "pos", "svlen")
 
 
-@query("combine_groups")
+#: Buffers by a fold over a block's bins, then calls one by one, each joined with the open groups of its contig and type; a group is named by its first call.
+GROUPS_SQL = SAMPLES_SQL.replace("with ", "with recursive ", 1) + """,
+    cands as (select *, case when svtype = 'BND' then contig end as mate_contig, case when svtype = 'BND' then pos + 5000 end as mate_pos, pos // 100 * 100 as bin, pos // 100000 as block from members),
+    spots as (select *, row_number() over (partition by contig, svtype, block order by bin) as i from (select contig, svtype, block, bin, count(*) as n from cands group by all)),
+    fold as (
+        select contig, svtype, block, i, bin, n as held, 0 as no from spots where i = 1
+        union all
+        select b.contig, b.svtype, b.block, b.i, b.bin, case when f.held >= 25 then 0 else f.held end + b.n, f.no + (f.held >= 25)::int
+        from fold f join spots b on b.contig = f.contig and b.svtype = f.svtype and b.block = f.block and b.i = f.i + 1),
+    buffers as (select contig, svtype, bin, max(bin) over w as last_bin, count(*) over w as filled from fold window w as (partition by contig, svtype, block, no)),
+    placed as (
+        select *, row_number() over (partition by contig, svtype order by last_bin, support desc, pos, call_id) as i, last_bin is distinct from lead(last_bin) over (partition by contig, svtype order by last_bin, support desc, pos, call_id) as ends
+        from cands join buffers using (contig, svtype, bin)),
+    walk as (
+        select contig, svtype, 0 as i, null::bigint as call_id, null::bigint as name, []::struct(name bigint, n bigint, pos double, size double, mate double, mate_contig varchar)[] as groups from (select distinct contig, svtype from placed)
+        union all
+        select contig, svtype, i, call_id, coalesce(groups[k].name, call_id),
+            list_filter(case when k is null then list_append(groups, {'name': call_id, 'n': 1::bigint, 'pos': pos::double, 'size': abs(svlen)::double, 'mate': coalesce(mate_pos, 0)::double, 'mate_contig': mate_contig})
+                else list_transform(groups, lambda g, j: case when j = k then {'name': g.name, 'n': g.n + 1, 'pos': g.pos + (pos - g.pos) / (g.n + 1), 'size': g.size + (abs(svlen) - g.size) / (g.n + 1), 'mate': g.mate + (coalesce(mate_pos, 0) - g.mate) / (g.n + 1), 'mate_contig': g.mate_contig} else g end) end,
+                lambda g: not ends or abs(g.pos - last_bin) < greatest(50 * filled, 2500))
+        from (
+            select *, case when list_min(far) is not null then list_position(far, list_min(far)) end as k from (
+                select r.contig, r.svtype, r.i, r.call_id, r.pos, r.svlen, r.mate_pos, r.mate_contig, r.ends, r.last_bin, r.filled, w.groups,
+                    list_transform(w.groups, lambda g: case when r.svtype = 'BND' then case when g.mate_contig = r.mate_contig and abs(g.pos - r.pos) + abs(g.mate - r.mate_pos) <= 2000 then abs(g.pos - r.pos) + abs(g.mate - r.mate_pos) end
+                        when least(g.size, abs(r.svlen)) > 0 and abs(g.pos - r.pos) + abs(g.size - abs(r.svlen)) <= least(250 * sqrt(least(g.size, abs(r.svlen))), 1000) then abs(g.pos - r.pos) + abs(g.size - abs(r.svlen)) end) as far
+                from walk w join placed r on r.contig = w.contig and r.svtype = w.svtype and r.i = w.i + 1))),
+    told as (select c.call_id, c.sample_id, contig, svtype, c.pos, c.svlen, c.support, c.mate_contig, c.mate_pos, contig || ':' || svtype || ':' || w.name as group_id from walk w join cands c using (contig, svtype, call_id))"""
+
+
+@query("combine_groups", f"{GROUPS_SQL} select * from told")
 def combine_groups(spark, d):
     x = sample_candidates(spark, d).select("call_id", "sample_id", "contig", "svtype", "pos", "svlen", "support", "mate_contig", "mate_pos")
     return combine.combined(x, 4)
@@ -691,7 +720,21 @@ def entry_force(spark, d):
     return pipelines.genotype_variants(entry_alignments(spark, d), spark.sql(CONTIGS), given)
 
 
-@query("entry_combine")
+@query(
+    "entry_combine",
+    GROUPS_SQL.replace("mate_pos, pos // 100 * 100 as bin, pos // 100000 as block from members", "mate_pos, pos // 100 * 100 as bin, pos // 100000 as block from members where support >= 3")
+    + f""", {COVERAGE_SQL}, known as (select t.*, m.fwd, m.rev from told t join members m using (call_id)),
+    met as (
+        select group_id, contig, svtype, arg_min(pos, (-support, call_id)) as pos, arg_min(svlen, (-support, call_id)) as svlen, count(distinct sample_id) as samples, cast(round_even(avg(support), 0) as bigint) as support,
+            sum(fwd)::bigint as fwd, sum(rev)::bigint as rev, coalesce(stddev_samp(pos), 0) as stdev_pos, coalesce(stddev_samp(abs(svlen)), 0) as stdev_len, avg(pos) as pos_mean
+        from known group by group_id, contig, svtype),
+    cells as (
+        select g.group_id, s.sample_id, exists (select 1 from known k where k.group_id = g.group_id and k.sample_id = s.sample_id) as has, coalesce(d.depth, 0) >= 5 as deep
+        from met g cross join samples s left join depths d on d.sample_id = s.sample_id and d.contig = g.contig and d.cov_bin = cast(floor(pos_mean / 500) * 500 as bigint)),
+    wide as (select group_id, string_agg(has::int, '' order by sample_id) as supp_vec, string_agg(case when has then '0/1' when deep then '0/0' else './.' end, chr(9) order by sample_id) as genotypes from cells group by group_id)
+    select group_id, contig, svtype, pos, pos as "end", svlen, samples, support, fwd, rev, true as precise, round(stdev_pos, 6) as stdev_pos, round(stdev_len, 6) as stdev_len, supp_vec, genotypes, samples as ac, 'PASS' as filter
+    from met join wide using (group_id) where abs(svlen) >= 45 or svtype = 'BND'""",
+)
 def entry_combine(spark, d):
     members = sample_candidates(spark, d).withColumns({"end": F.col("pos"), "precise": F.lit(True), "gt_a": F.lit(0), "gt_b": F.lit(1), "passed": F.lit(True)})
-    return pipelines.combine_samples(members, sample_coverage(spark, d), members.select("sample_id").distinct())
+    return rounded(pipelines.combine_samples(members, sample_coverage(spark, d), members.select("sample_id").distinct()), "stdev_pos", "stdev_len")

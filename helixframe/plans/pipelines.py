@@ -54,6 +54,7 @@ def with_sequences(calls: DataFrame, leads: DataFrame, p: Params = DEFAULTS) ->
 
 def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame | None = None, repeats: DataFrame | None = None, p: Params = DEFAULTS, keep_failed: bool = False, mosaic: bool = False, measure_nm: bool = False) -> DataFrame:
     """Genotyped, filtered calls of a sample, in order of contig, position and id."""
+    p = p.for_mosaic() if mosaic else p
     used = scan.scan(alignments, regions, p)
     leads = leads_of(used, p)
     steps = grid.coverage(used)
@@ -86,7 +87,7 @@ def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame |
     calls = genotype.genotyped(calls.withColumn("filter", first), k, n, p, mosaic)
     votes = genotype.phase_votes(known, PART, "aln_idx", p).select(*PART, "hp", "ps", "hp_support", "ps_support", "hp_filter", "ps_filter", "phase", "haplotype")
     calls = genotype.hom_alt_phased(calls.join(votes, PART, "left"))
-    regional = scan.mismatch_rate(used).groupBy("contig").agg(F.avg("nm_rate").alias("regional_nm"))
+    regional = scan.regional_rate(used)
     calls = calls.join(F.broadcast(regional), "contig", "left")
     after = F.when(F.col("gt_filter") != "PASS", F.col("gt_filter")).otherwise(qc.first_filter(qc.genotype_rules(p, mosaic, nm=measure_nm)))
     calls = calls.withColumn("filter", F.when(F.col("filter") != "PASS", F.col("filter")).otherwise(after))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, STORE_VERSION, Params
 from ..functions.intervals import binned
 from ..operators.scan import cigar_ops, total
+from .sequences import fasta, fasta_index  # noqa: F401
 
 
 def bed_regions(spark: SparkSession, path: str) -> DataFrame:
@@ -34,16 +35,6 @@ def tandem_repeats(spark: SparkSession, path: str, p: Params = DEFAULTS) -> Data
     return x.select("contig", F.greatest(F.col("start") - p.repeat_padding, F.lit(0)).alias("start"), (F.col("end") + p.repeat_padding).alias("end"))
 
 
-def fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
-    """(contig, chunk_no, seq): sequences in chunks of ``chunk`` bases. Records are split at '>', so a contig is one value while it is cut."""
-    x = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    head = F.substring_index("value", "\n", 1)
-    seq = F.regexp_replace(F.substring(F.col("value"), F.length(head) + 1, F.length("value")), r"\s", "")
-    x = x.select(F.split(head, r"\s")[0].alias("contig"), seq.alias("seq")).where("seq <> ''")
-    each = x.select("contig", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / chunk).cast("int"))).alias("chunk_no"))
-    return each.select("contig", "chunk_no", F.substring("seq", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("seq"))
-
-
 def bases(points: DataFrame, reference: DataFrame, chunk: int, out: str = "base") -> DataFrame:
     """``points`` (contig, at, ...) with the base at ``at`` (from 0), null off the reference: an equi-join on chunks."""
     x = points.withColumn("chunk_no", F.floor(F.col("at") / chunk).cast("int")).join(reference, ["contig", "chunk_no"], "left")
@@ -128,23 +119,34 @@ def store_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store_headers(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None, p: Params = DEFAULTS) -> DataFrame:
-    """(root, sample_id, version) of the stores at ``paths``: ids as named there, else as the header has them, else the path's stem. Other block or bin sizes, and newer versions, raise."""
+    """(root, sample_id, version) of the stores at ``paths``: ids as ``names`` has them by path, else as the header does, else the path's stem; repeated ids raise. Other block or bin sizes, and newer versions, raise."""
     schema = "sample_id string, version string, block_size long, coverage_bin long"
     rows = spark.read.schema(schema).json([f"{x}/header" for x in paths])
     rows = rows.select(F.substring_index("_metadata.file_path", "/header/", 1).alias("root"), "*").collect()  # one for each store
     if len(rows) != len(set(paths)):
         raise ValueError(f"{len(set(paths))} stores have {len(rows)} headers")
+    named = {_whole_path(spark, k): v for k, v in (names or {}).items()}
     out, numbers = [], lambda v: [int(x) if x.isdigit() else 0 for x in (v or "").split(".")]
     for r in rows:
         if (r["block_size"], r["coverage_bin"]) != (p.block_size, p.coverage_bin):
             raise ValueError(f"{r['root']}: blocks of {r['block_size']} and bins of {r['coverage_bin']} bases, not {p.block_size} and {p.coverage_bin}")
         if numbers(r["version"])[:1] > numbers(STORE_VERSION)[:1]:
             raise ValueError(f"{r['root']}: version {r['version']} is newer than {STORE_VERSION}")
-        own = next((v for k, v in (names or {}).items() if r["root"].endswith(k.rstrip("/").split(":")[-1])), None)
+        own = named.get(_whole_path(spark, r["root"], encoded=True))
         out.append((r["root"], own or r["sample_id"] or r["root"].rpartition("/")[2].split(".")[0], r["version"]))
+    ids = [x[1] for x in out]
+    if repeated := sorted({x for x in ids if ids.count(x) > 1}):
+        raise ValueError(f"several stores are of one sample id: {', '.join(repeated)}")
     return spark.createDataFrame(out, "root string, sample_id string, version string")
 
 
+def _whole_path(spark: SparkSession, path: str, encoded: bool = False) -> str:
+    """The path with its store and from its root on; ``encoded``: as an address, as Spark names a row's file."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    at = of(spark._jvm.java.net.URI(path)) if encoded else of(path.rstrip("/"))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def sample_stores(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None, contig: str | None = None, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates, binned depth and samples (root, sample_id, version) of any number of stores, each in one read."""
     samples = store_headers(spark, paths, names, p)

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from helixframe.config import Params
-from helixframe.operators import combine
+from helixframe.operators import combine, scan
 from helixframe.plans import pipelines
 from helixframe.sources import readers
 
@@ -94,6 +94,28 @@ def test_only_passing_calls_stay(tables, calls):
     assert [r["pos"] for r in kept] == sorted(r["pos"] for r in kept)
 
 
+def test_regional_rate_leaves_out_reads_without_nm(spark):
+    r = Reads()
+    for i in range(4):
+        r.add(f"a{i}", 1_000 * i, [(100, "S"), (1_899, "M"), (50, "I"), (50, "M")], nm=[250, None][i % 2], inserted="A" * 50)
+        r.add(f"b{i}", 1_000 * i, [(2_000, "M")], nm=None, contig="chr2")
+    rates = {x["contig"]: x["regional_nm"] for x in scan.regional_rate(spark.createDataFrame(r.rows, SCHEMA)).collect()}
+    assert rates == {"chr1": 200 / 2_000, "chr2": 0.0}  # long insertions do not count, clipped bases are not aligned
+
+
+def test_mosaic_calls_join_lengths_further_apart(spark, tables):
+    assert Params().for_mosaic().merge_len == 0.27 and Params(merge_len=0.1).for_mosaic().merge_len == 0.1
+    r = Reads()
+    for i in range(40):
+        r.add(f"plain{i}", 1_000 + 3_000 * i, [(20_000, "M")], flag=16 * (i % 2))
+    for i in range(12):  # insertions of 1000 and of 1240: further apart than 0.22 of the shorter, not than 0.27
+        n = 1_000 + 240 * (i % 2)
+        r.add(f"ins{i}", 46_000, [(4_000, "M"), (n, "I"), (4_000, "M")], flag=16 * (i // 2 % 2), inserted="C" * n)
+    x = spark.createDataFrame(r.rows, SCHEMA)
+    found = [sorted(c["support"] for c in pipelines.call_sample(x, tables[1], keep_failed=True, mosaic=m).collect() if c["svtype"] == "INS") for m in (False, True)]
+    assert found == [[6, 6], [12]]
+
+
 def test_records(spark, tables):
     rng = random.Random(1)
     chunk, bases = 1 << 12, "".join(rng.choice("ACGT") for _ in range(LENGTH))
@@ -140,6 +162,13 @@ def test_stores_of_samples(spark, tables, tmp_path):
     variants = spark.createDataFrame([("chr1", "DEL", 50_004, -301, "v", None, 0.25, 40)], "contig string, svtype string, pos long, svlen long, id string, alt string, af double, genotyped_n long")
     known = {(r["svtype"], r["pos"]): r["population_af"] for r in pipelines.combine_stores(spark, paths, population=variants).collect()}
     assert known["DEL", 50_000] == 0.25 and known["INS", 80_000] == 0
+    for name in ("d/s1", "e/d/s1"):  # one path ends like the other
+        pipelines.stored_sample(calls, tables[0], str(tmp_path / name), "")
+    paths = [str(tmp_path / x) for x in ("d/s1", "e/d/s1")]
+    samples = readers.store_headers(spark, paths, {paths[1]: "second", f"file:{paths[0]}/": "first"}).collect()
+    assert {r["sample_id"]: r["root"].endswith("/e/d/s1") for r in samples} == {"first": False, "second": True}
+    with pytest.raises(ValueError, match="one sample id: s1"):
+        readers.store_headers(spark, paths)
     with pytest.raises(ValueError, match="blocks of"):
         readers.store_headers(spark, paths, p=Params(block_size=5))
 
@@ -151,22 +180,6 @@ def test_calls_of_other_samples_keep_apart_by_sequence(spark):
     assert got[1] == got[2] != got[3]
 
 
-def test_edit_distance():
-    rng = random.Random(4)
-
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, before = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
-        return row[-1]
-
-    for _ in range(300):
-        a, b = ("".join(rng.choice("ACG") for _ in range(rng.randint(0, 80))) for _ in range(2))
-        assert combine.edit_distance(a, b) == plain(a, b)
-
-
 def test_columns_of_samples(spark):
     rows = [("g", 0, "a", 0, 1, 50, 5, 6), ("g", 0, "b", 0, 0, 9, 1, 2), ("g", 1, "c", 0, 0, 3, 8, 1), ("h", 1, "d", None, None, None, None, 4)]
     members = spark.createDataFrame(rows, "group_id string, sample_id int, call_id string, gt_a int, gt_b int, gq int, dr long, dv long")

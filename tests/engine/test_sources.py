@@ -1,10 +1,12 @@
 import gzip
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import combine, consensus, grid, qc, text
-from helixframe.sources import readers, writers
+from helixframe.sources import readers, sequences, writers
 from helixframe.streaming import windowed
 
 
@@ -38,6 +40,59 @@ def test_fasta_and_masks(spark, tmp_path):
     assert sorted(map(tuple, grid.masked(steps, grid.n_runs(ref, 4)).collect())) == [("chr1", 2, 4, 5), ("chr1", 8, 12, 5), ("chr2", 0, 4, 1)]
 
 
+def plain_fasta(text):
+    """Chunks by the plainest way: split at '>', drop white space."""
+    parts = [r.partition("\n")[::2] for r in text.split("\n>")]
+    return {head.split()[0]: "".join(body.split()) for head, body in parts if body.split()}
+
+
+@pytest.mark.parametrize("split, step", [(1 << 20, 1 << 16), (37, 16), (5, 3)])
+def test_fasta_ranges(spark, tmp_path, monkeypatch, split, step):
+    """Regular, ragged, one-line, blank-lined and empty records, in ranges of every size, equal a plain reading."""
+    monkeypatch.setattr(sequences, "SPLIT_BYTES", split)
+    monkeypatch.setattr(sequences, "STEP", step)
+    monkeypatch.setattr(sequences, "open_stream", lambda path: open(path, "rb"))
+    rng = random.Random(split)
+    base = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    body = lambda n, w, end="\n": end.join(base(w if i + w <= n else n - i) for i in range(0, n, w))
+    texts = [f"chr1 a b\n{body(100, 10)}", f"chr2\n{body(95, 10)}\n", "none\n", f"ragged\n{base(9)}\n{base(14)}\n{base(3)}\n{base(14)}", f"line\n{base(300)}", f"blank\n\n{body(33, 7)}\n\n", f"dos\r\n{body(64, 8, chr(13) + chr(10))}\r\n", f"end\n{base(8)}\n{base(5)}\n{base(8)}", f"tail\n{body(25, 10)}\n\n\n", f"hole\n{body(20, 10)}\n\n{base(10)}", f"last\n{base(1)}"]
+    text = ">" + "\n>".join(texts)
+    (tmp_path / "a.fa").write_bytes(text.encode())
+    path = str(tmp_path / "a.fa")
+    want = plain_fasta(text[1:])
+    for chunk in (4, 1000):
+        got = {}
+        for r in readers.fasta(spark, path, chunk).orderBy("contig", "chunk_no").collect():
+            got[r["contig"]] = got.get(r["contig"], "") + r["seq"]
+            assert r["chunk_no"] == (len(got[r["contig"]]) - 1) // chunk and len(r["seq"]) <= chunk
+        assert got == want
+    index = {r["contig"]: r for r in readers.fasta_index(spark, path).collect()}
+    assert {c: r["length"] for c, r in index.items()} == {c: len(s) for c, s in want.items()}
+    assert index["chr1"]["line_bases"] == 10 and index["line"]["line_bases"] == 300 and index["ragged"]["line_bases"] is None and index["end"]["line_bases"] is index["hole"]["line_bases"] is None and index["tail"]["line_bases"] == 10
+    assert (index["dos"]["line_bases"], index["dos"]["line_bytes"]) == (8, 10)
+    only = readers.fasta(spark, path, 50, ["chr2"]).orderBy("chunk_no").collect()
+    assert "".join(r["seq"] for r in only) == want["chr2"]
+
+
+def test_fasta_with_an_index_beside_it(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">c\nACGTA\nCCGTT\nG\n")
+    (tmp_path / "a.fa.fai").write_text("c\t11\t3\t5\t6\n")
+    assert [tuple(r) for r in readers.fasta_index(spark, str(tmp_path / "a.fa")).collect()] == [("c", 11, 3, 5, 6)]
+    assert [r["seq"] for r in readers.fasta(spark, str(tmp_path / "a.fa"), 4).orderBy("chunk_no").collect()] == ["ACGT", "ACCG", "TTG"]
+
+
+def test_fasta_takes_linear_time(spark, tmp_path):
+    """32 MB of one contig; a reading that looks for each chunk from the start takes most of a minute."""
+    line = (b"ACGTTGCAAC" * 6 + b"\n") * 1000
+    with open(tmp_path / "big.fa", "wb") as file:
+        file.write(b">c\n")
+        for _ in range(550):
+            file.write(line)
+    began = time.perf_counter()
+    rows, bases = readers.fasta(spark, str(tmp_path / "big.fa")).agg(F.count("*"), F.sum(F.length("seq"))).first()
+    assert bases == 33_000_000 and rows == -(-bases // (1 << 16)) and time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("zipped", [False, True])
 def test_vcf(spark, tmp_path, zipped):
     lines = ["##x", "#CHROM", "c\t11\ta\tN\t<DEL>\t9\tPASS\tSVTYPE=DEL;SVLEN=-50;END=60;FLAG", "c\t21\tb\tA\tACCC\t9\tPASS\t.", "c\t31\td\tN\tN]chr7:88]\t9\tPASS\tSVTYPE=TRA;K=1;K=2"]
@@ -89,8 +144,6 @@ def test_combining(spark):
 
 
 def test_consensus_corrects_single_errors():
-    import random
-
     rng = random.Random(1)
     truth = "".join(rng.choice("ACGT") for _ in range(300))
     bad = truth[:150] + ("A" if truth[150] != "A" else "C") + truth[151:]
