@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Fixed values of the format: operations by number, bases by nibble, sizes of tag values.
 OPS = "MIDNSHP=X"
 BASES = "=ACMGRSVTWYHKDBN"
+#: The two bases of each byte.
+PAIRS = [a + b for a in BASES for b in BASES]
 TAG_FORMATS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 ROWS = 2000
 #: Compressed bytes of a part.
@@ -150,14 +152,15 @@ def splits(path: str, wanted: list[str] | None = None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in parts if any(begin < (b or end + 1) and a < end for begin, end in spans)]
 
 
-def records(data: Inflated, names: list[tuple[str, int]], stop: int = 0) -> Iterator[tuple]:
-    """Mapped records in file order, before the virtual offset ``stop`` if there is one, as rows of SCHEMA without the path."""
+def records(data: Inflated, names: list[tuple[str, int]], stop: int = 0, places: bool = False) -> Iterator[tuple]:
+    """Mapped records in file order, before the virtual offset ``stop`` if there is one, as rows of SCHEMA without the path; ``places``: numbered by their virtual offset."""
     index = -1
     while len(head := data.take(4)) == 4:
-        if stop and data.place(data.taken - 4) >= stop:
+        place = data.place(data.taken - 4) if stop or places else 0
+        if stop and place >= stop:
             return
         block = data.take(struct.unpack("<i", head)[0])
-        index += 1
+        index = place if places else index + 1
         ref, pos, n_name, mapq, _, n_ops, flag, n_seq = struct.unpack_from("<iiBBHHHi", block)
         if ref < 0 or not n_ops:
             continue
@@ -166,7 +169,7 @@ def records(data: Inflated, names: list[tuple[str, int]], stop: int = 0) -> Iter
         ops = [(x >> 4, OPS[x & 15]) for x in struct.unpack_from(f"<{n_ops}I", block, at)]
         at += 4 * n_ops
         packed = block[at : at + (n_seq + 1) // 2]
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq]
+        seq = "".join(map(PAIRS.__getitem__, packed))[:n_seq]
         found = tags(block[at + len(packed) + n_seq :])
         length = sum(n for n, o in ops if o in "MIS=X")
         left, right = (ops[0][0] if ops[0][1] == "S" else 0), (ops[-1][0] if n_ops > 1 and ops[-1][1] == "S" else 0)
