@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from ..config import DEFAULTS, Params
 from ..functions.intervals import binned
 from . import edits
 from .grouping import combined  # noqa: F401
 
+#: Samples whose depths of a bin are one array.
+PACK = 64
+
 
 def match_limit(size: Column, p: Params = DEFAULTS) -> Column:
     """Largest sum of position and length difference for calls of this length."""
@@ -73,26 +75,63 @@ def population_frequencies(genotypes: DataFrame, n_samples: int, p: Params = DEF
 
 
 def absent_coverage(groups: DataFrame, members: DataFrame, samples: DataFrame, block_coverage: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """(group_id, sample_id, depth): binned depth at the group's mean for every sample without a member.
+    """(group_id, sample_id, depth): binned depth at the group's mean for every sample without a member, a row for each.
 
-    ``samples`` is a small dimension, whose ids are a literal; a group's own ids are at most as many. Only missing samples become rows.
+    ``samples`` is a small dimension, sent as one row with an array; a group's own ids are at most as many. Only missing samples become rows.
     """
-    ids = [r["sample_id"] for r in samples.select("sample_id").distinct().collect()]
-    every = F.array(*map(F.lit, ids)).cast(ArrayType(samples.schema["sample_id"].dataType))
+    every = samples.agg(F.array_sort(F.collect_set("sample_id")).alias("_every"))
     own = members.groupBy("group_id").agg(F.collect_set("sample_id").alias("_own"))
-    at = groups.select("group_id", "contig", (F.floor(F.col("pos_mean") / p.coverage_bin) * p.coverage_bin).cast("long").alias("cov_bin"))
-    missing = at.join(own, "group_id", "left").withColumn("sample_id", F.explode(F.array_except(every, F.coalesce("_own", F.array())))).drop("_own")
+    at = groups.select("group_id", "contig", coverage_key(p).alias("cov_bin"), F.lit(1).alias("_one")).join(F.broadcast(every.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    missing = at.join(own, "group_id", "left").withColumn("sample_id", F.explode(F.array_except("_every", F.coalesce("_own", F.array().cast(own.schema["_own"].dataType))))).drop("_own", "_every")
     depth = block_coverage.groupBy("sample_id", "contig", "cov_bin").agg(F.max("depth").alias("depth"))
     return missing.join(depth, ["sample_id", "contig", "cov_bin"], "left").select("group_id", "sample_id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
-def group_calls(members: DataFrame, depth: DataFrame, samples: DataFrame, p: Params = DEFAULTS, min_share: float = 0.2, high_share: float = 0.0) -> DataFrame:
+def sample_index(samples: DataFrame) -> DataFrame:
+    """(sample_id, idx): samples numbered by id, a row each."""
+    return samples.select("sample_id").distinct().withColumn("idx", F.row_number().over(W.orderBy("sample_id")) - 1)
+
+
+def packed_depths(depth: DataFrame, keys: list[str], index: DataFrame) -> DataFrame:
+    """(keys, depths array<array<int>>) of ``depth`` (keys, sample_id, depth): by a sample's number / PACK and its rest; null where a pack has none. One row a key, whatever the samples are."""
+    packs = -(-index.count() // PACK)
+    at = depth.join(F.broadcast(index), "sample_id").groupBy(*keys, F.floor(F.col("idx") / PACK).cast("int").alias("_pack"), (F.col("idx") % PACK).alias("_at")).agg(F.max("depth").cast("int").alias("_depth"))
+    rows = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
+    spread = lambda name, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at(name, i))
+    packed = at.groupBy(*keys, "_pack").agg(rows("_at", "_depth").alias("_m")).select(*keys, "_pack", spread(F.col("_m"), PACK).alias("_d"))
+    return packed.groupBy(*keys).agg(rows("_pack", "_d").alias("_m")).select(*keys, spread(F.col("_m"), max(packs, 1)).alias("depths"))
+
+
+def deep_samples(depth: DataFrame, keys: list[str], index: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """(keys, deep array<long>): a bitmap of the samples that are deep enough to be genotyped as without the variant."""
+    words = -(-index.count() // 64)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("idx") % 64).cast("int"))
+    at = depth.where(F.col("depth") >= p.combine_null_depth).join(F.broadcast(index), "sample_id")
+    held = at.groupBy(*keys, F.floor(F.col("idx") / 64).cast("int").alias("_word")).agg(F.bit_or(bit).alias("_bits")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(max(words, 1) - 1)), lambda w: F.coalesce(F.try_element_at(F.col("_m"), w), F.lit(0).cast("long")))
+    return held.select(*keys, every.alias("deep"))
+
+
+def coverage_key(p: Params = DEFAULTS) -> Column:
+    """The bin of depth of a group's mean position."""
+    return (F.floor(F.col("pos_mean") / p.coverage_bin) * p.coverage_bin).cast("long")
+
+
+def every_cell(own: Column, n: int, absent) -> Column:
+    """``own`` (array of structs that begin with idx) and ``absent(idx)`` for all other samples, by number."""
+    missing = F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.transform(own, lambda c: c["idx"]))
+    return F.array_sort(F.concat(own, F.transform(missing, absent)))
+
+
+def group_calls(members: DataFrame, block_coverage: DataFrame, samples: DataFrame, p: Params = DEFAULTS, min_share: float = 0.2, high_share: float = 0.0) -> DataFrame:
     """One call for each group that enough samples support: position, length and end of its best member, means, deviations and supp_vec.
 
     ``members``: call_id, sample_id, group_id, contig, svtype, pos, end, svlen, support, fwd, rev, precise, gt_a, gt_b, passed.
-    Samples without a member are 0/0 if deep enough there, else unknown.
+    Samples without a member are 0/0 if deep enough there, else unknown: a bit of the bin's bitmap, of the
+    bins that have a group; a group is one row all along.
     """
-    n = samples.select("sample_id").distinct().count()
+    index = sample_index(samples)
+    n = index.count()
     first = F.min(F.struct((-F.col("support")).alias("s"), "call_id", "pos", "end", "svlen")).alias("first")
     x = members.groupBy("group_id", "contig", "svtype").agg(
         first,
@@ -104,35 +143,48 @@ def group_calls(members: DataFrame, depth: DataFrame, samples: DataFrame, p: Par
         (F.avg(F.col("precise").cast("int")) > 0.5).alias("precise"),
         F.coalesce(F.stddev_samp("pos"), F.lit(0.0)).alias("stdev_pos"),
         F.coalesce(F.stddev_samp(F.abs("svlen")), F.lit(0.0)).alias("stdev_len"),
+        F.avg("pos").alias("pos_mean"),
     )
     x = x.where((F.col("passing") > 0) & (F.col("passing") / n >= high_share) | (F.col("samples") / n >= min_share) & (F.col("samples") >= 2))
-    x = x.where((F.col("passing") > 0) & ((F.abs("first.svlen") >= p.screen) | (F.col("svtype") == "BND")))
+    x = x.where((F.col("passing") > 0) & ((F.abs("first.svlen") >= p.screen) | (F.col("svtype") == "BND"))).withColumn("cov_bin", coverage_key(p))
+    deep = deep_samples(block_coverage.join(x.select("contig", "cov_bin").distinct(), ["contig", "cov_bin"], "left_semi"), ["contig", "cov_bin"], index, p)
     order = F.struct((F.col("gt_a") + F.col("gt_b")).alias("alleles"), "gt_a", "gt_b")
-    own = members.groupBy("group_id", "sample_id").agg(F.max(order).alias("g"))
-    own = own.select("group_id", "sample_id", F.col("g.gt_a").alias("gt_a"), F.col("g.gt_b").alias("gt_b"))
-    zero = F.when(F.col("depth") >= p.combine_null_depth, 0).cast("int")
-    off = depth.select("group_id", "sample_id", zero.alias("gt_a"), zero.alias("gt_b"))
-    cells = own.unionByName(off).withColumn("has", F.coalesce((F.col("gt_a") + F.col("gt_b")) > 0, F.lit(False)))
-    alleles = F.sum(F.when(F.col("has"), F.col("gt_a") + F.col("gt_b")).otherwise(0)).alias("ac")
-    cells = cells.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "gt_a", "gt_b", "has"))).alias("cells"), alleles)
+    own = members.groupBy("group_id", "sample_id").agg(F.max(order).alias("g")).join(F.broadcast(index), "sample_id")
+    own = own.groupBy("group_id").agg(F.collect_list(F.struct("idx", F.col("g.gt_a").cast("int").alias("gt_a"), F.col("g.gt_b").cast("int").alias("gt_b"))).alias("own"))
+
+    def absent(i: Column) -> Column:
+        bit = F.call_function("shiftright", F.get("deep", F.floor(i / 64).cast("int")), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+        zero = F.when(bit, 0).cast("int")
+        return F.struct(i.alias("idx"), zero.alias("gt_a"), zero.alias("gt_b"))
+
+    out = x.join(own, "group_id").join(deep, ["contig", "cov_bin"], "left").withColumn("cells", every_cell(F.col("own"), n, absent))
+    has = lambda c: F.coalesce((c["gt_a"] + c["gt_b"]) > 0, F.lit(False))
+    ac = F.aggregate("cells", F.lit(0).cast("long"), lambda k, c: k + F.when(has(c), c["gt_a"] + c["gt_b"]).otherwise(0))
     gt = lambda c: F.concat(F.coalesce(c["gt_a"].cast("string"), F.lit(".")), F.lit("/"), F.coalesce(c["gt_b"].cast("string"), F.lit(".")))
-    out = x.join(cells, "group_id")
-    return out.select("group_id", "contig", "svtype", "first.pos", "first.end", "first.svlen", "samples", "support", "fwd", "rev", "precise", "stdev_pos", "stdev_len", F.array_join(F.transform("cells", lambda c: F.when(c["has"], "1").otherwise("0")), "").alias("supp_vec"), F.array_join(F.transform("cells", gt), "\t").alias("genotypes"), "ac", F.when(F.col("ac") == 0, "GT").otherwise("PASS").alias("filter"))
+    out = out.withColumn("ac", ac)
+    return out.select("group_id", "contig", "svtype", "first.pos", "first.end", "first.svlen", "samples", "support", "fwd", "rev", "precise", "stdev_pos", "stdev_len", F.array_join(F.transform("cells", lambda c: F.when(has(c), "1").otherwise("0")), "").alias("supp_vec"), F.array_join(F.transform("cells", gt), "\t").alias("genotypes"), "ac", F.when(F.col("ac") == 0, "GT").otherwise("PASS").alias("filter"))
 
 
-def group_genotypes(members: DataFrame, depth: DataFrame, p: Params = DEFAULTS, relabel: int | None = None, phased: bool = True) -> DataFrame:
+def group_genotypes(members: DataFrame, depths: DataFrame, samples: DataFrame, p: Params = DEFAULTS, relabel: int | None = None, phased: bool = True) -> DataFrame:
     """(group_id, columns, supp_vec, ac): the sample columns GT:GQ:DR:DV[:PS]:ID of each group, by sample id.
 
     Of several members of a sample the highest genotype counts, and all are named. ``members``: group_id,
-    sample_id, call_id, gt_a, gt_b, gq, dr, dv. With ``relabel``, genotypes of a lower quality become the
-    highest one that a better quality has in the group.
+    sample_id, call_id, gt_a, gt_b, gq, dr, dv; ``depths`` (group_id, depths): ``packed_depths`` of the samples.
+    With ``relabel``, genotypes of a lower quality become the highest one that a better quality has in the group.
     """
+    index = sample_index(samples)
+    n = index.count()
     rank = F.struct(F.coalesce("gt_a", F.lit(-1)).alias("ra"), F.coalesce("gt_b", F.lit(-1)).alias("rb"), "call_id", "gt_a", "gt_b", F.coalesce("gq", F.lit(0)).cast("long").alias("gq"), F.coalesce("dr", F.lit(0)).cast("long").alias("dr"), F.coalesce("dv", F.lit(0)).cast("long").alias("dv"))
     own = members.groupBy("group_id", "sample_id").agg(F.max(rank).alias("g"), F.array_join(F.array_sort(F.collect_set(F.col("call_id").cast("string"))), ",").alias("id"))
-    own = own.select("group_id", "sample_id", *(F.col(f"g.{c}").alias(c) for c in ("gt_a", "gt_b", "gq", "dr", "dv")), "id")
-    zero = F.when(F.col("depth") >= p.combine_null_depth, 0).cast("int")
-    off = depth.select("group_id", "sample_id", zero.alias("gt_a"), zero.alias("gt_b"), F.lit(0).cast("long").alias("gq"), F.col("depth").alias("dr"), F.lit(0).cast("long").alias("dv"), F.lit("NULL").alias("id"))
-    each = own.unionByName(off).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "gt_a", "gt_b", "gq", "dr", "dv", "id"))).alias("cells"))
+    own = own.join(F.broadcast(index), "sample_id").select("group_id", "idx", *(F.col(f"g.{c}").cast("int").alias(c) for c in ("gt_a", "gt_b")), *(F.col(f"g.{c}").alias(c) for c in ("gq", "dr", "dv")), "id")
+    own = own.groupBy("group_id").agg(F.collect_list(F.struct("idx", "gt_a", "gt_b", "gq", "dr", "dv", "id")).alias("own"))
+
+    def absent(i: Column) -> Column:
+        depth = F.coalesce(F.get(F.get("depths", F.floor(i / PACK).cast("int")), (i % PACK).cast("int")), F.lit(0)).cast("long")
+        zero, none = F.when(depth >= p.combine_null_depth, 0).cast("int"), F.lit(0).cast("long")
+        return F.struct(i.alias("idx"), zero.alias("gt_a"), zero.alias("gt_b"), none.alias("gq"), depth.alias("dr"), none.alias("dv"), F.lit("NULL").alias("id"))
+
+    each = own.join(depths, "group_id", "left").select("group_id", every_cell(F.col("own"), n, absent).alias("cells"))
     cells = F.col("cells")
     if relabel is not None:
         known = F.filter(cells, lambda c: (c["gq"] > relabel) & c["gt_a"].isNotNull())

@@ -577,10 +577,9 @@ def absent_sample_cov(spark, d):
 
 @query("sample_pivot_suppvec", f"{SAMPLES_SQL} select contig || ':' || svtype || ':' || cluster as group_id, count(distinct sample_id) as samples, cast(round_even(avg(support), 0) as bigint) as support, cast(sum(fwd) as bigint) as fwd, cast(sum(rev) as bigint) as rev, max((sample_id = 0)::int) || '' || max((sample_id = 1)::int) || max((sample_id = 2)::int) || max((sample_id = 3)::int) as supp_vec, arg_min(pos, (-support, call_id)) as pos, arg_min(svlen, (-support, call_id)) as svlen from members group by contig, svtype, cluster having count(distinct case when support >= 1 then sample_id end) > 0 and (abs(arg_min(svlen, (-support, call_id))) >= 45 or svtype = 'BND')")
 def sample_pivot_suppvec(spark, d):
-    members, groups, samples = grouped(spark, d)
+    members, _, samples = grouped(spark, d)
     members = members.withColumns({"end": F.col("pos"), "precise": F.lit(True), "gt_a": F.lit(0), "gt_b": F.lit(1), "passed": F.lit(True)})
-    depth = combine.absent_coverage(groups, members, samples, sample_coverage(spark, d))
-    return combine.group_calls(members, depth, samples).select("group_id", "samples", "support", "fwd", "rev", "supp_vec", "pos", "svlen")
+    return combine.group_calls(members, sample_coverage(spark, d), samples).select("group_id", "samples", "support", "fwd", "rev", "supp_vec", "pos", "svlen")
 
 
 #: Buffers by a fold over a block's bins, then calls one by one, each joined with the open groups of its contig and type; a group is named by its first call.

@@ -134,14 +134,17 @@ def genotype_variants(alignments: DataFrame, contigs: DataFrame, variants: DataF
 def combine_samples(candidates: DataFrame, block_coverage: DataFrame, samples: DataFrame, p: Params = DEFAULTS, one_per_sample: bool = False, relabel: int | None = None) -> DataFrame:
     """One call for each group of candidates across samples; with the samples' columns of a record where candidates have gq, dr and dv."""
     kept = combine.supported(candidates, p)
-    n = samples.select("sample_id").distinct().count()
+    n = combine.sample_index(samples).count()
     members = stored(combine.combined(kept, n, p, one_per_sample))
-    groups = members.groupBy("group_id", "contig").agg(F.avg("pos").alias("pos_mean"))
-    depth = stored(combine.absent_coverage(groups, members, samples, block_coverage, p))
-    calls = combine.group_calls(members, depth, samples, p)
+    calls = combine.group_calls(members, block_coverage, samples, p)
     if not {"gq", "dr", "dv"} <= set(members.columns):
         return calls
-    told = combine.group_genotypes(members, depth, p, relabel)
+    calls = stored(calls)
+    emitted = members.join(calls.select("group_id"), "group_id", "left_semi")  # depths are fetched for these alone
+    at = emitted.groupBy("group_id", "contig").agg(F.avg("pos").alias("pos_mean")).withColumn("cov_bin", combine.coverage_key(p))
+    bins = ["contig", "cov_bin"]
+    packed = combine.packed_depths(block_coverage.join(at.select(*bins).distinct(), bins, "left_semi"), bins, combine.sample_index(samples))
+    told = combine.group_genotypes(emitted, at.join(packed, bins).select("group_id", "depths"), samples, p, relabel)
     return calls.drop("supp_vec", "ac", "filter").join(told, "group_id").where(F.contains("supp_vec", F.lit("1"))).withColumn("filter", F.when(F.col("ac") == 0, "GT").otherwise("PASS"))
 
 

@@ -184,8 +184,42 @@ def test_columns_of_samples(spark):
     rows = [("g", 0, "a", 0, 1, 50, 5, 6), ("g", 0, "b", 0, 0, 9, 1, 2), ("g", 1, "c", 0, 0, 3, 8, 1), ("h", 1, "d", None, None, None, None, 4)]
     members = spark.createDataFrame(rows, "group_id string, sample_id int, call_id string, gt_a int, gt_b int, gq int, dr long, dv long")
     depth = spark.createDataFrame([("g", 2, 7), ("h", 0, 2), ("h", 2, 0)], "group_id string, sample_id int, depth long")
-    got = {r["group_id"]: r for r in combine.group_genotypes(members, depth).collect()}
+    samples = spark.createDataFrame([(0,), (1,), (2,)], "sample_id int")
+    packed = combine.packed_depths(depth, ["group_id"], combine.sample_index(samples))
+    got = {r["group_id"]: r for r in combine.group_genotypes(members, packed, samples).collect()}
     assert got["g"]["columns"] == "0/1:50:5:6:.:a,b\t0/0:3:8:1:.:c\t0/0:0:7:0:.:NULL" and (got["g"]["supp_vec"], got["g"]["ac"]) == ("110", 1)
     assert got["h"]["columns"] == "./.:0:2:0:.:NULL\t./.:0:0:4:.:d\t./.:0:0:0:.:NULL" and (got["h"]["supp_vec"], got["h"]["ac"]) == ("000", 0)
-    again = {r["group_id"]: r["columns"].split("\t") for r in combine.group_genotypes(members, depth, relabel=20).collect()}
+    again = {r["group_id"]: r["columns"].split("\t") for r in combine.group_genotypes(members, packed, samples, relabel=20).collect()}
     assert [x.split(":")[0] for x in again["g"]] == ["0/1", "0/1", "0/1"] and again["h"][1].startswith("./.")
+
+
+def test_absent_samples_of_many_are_one_row_a_group(spark, monkeypatch):
+    """Bitmaps and packs of depths say what a row for each group and absent sample says, with more samples than a word or a pack has."""
+    monkeypatch.setattr(combine, "PACK", 7)
+    rng = random.Random(3)
+    samples = spark.createDataFrame([(f"s{i:03}",) for i in range(150)], "sample_id string")
+    groups = {f"g{g}": 1_000 * g + 700 for g in range(12)}
+    rows = [(f"{g}-{s}-{k}", f"s{s:03}", g, "c", "DEL", at, at + 60, -60, 5, 3, 2, True, *rng.choice([(0, 1), (1, 1), (0, 0), (None, None)]), True, rng.randint(0, 60), 4, 6) for g, at in groups.items() for s in rng.sample(range(150), 40) for k in range(rng.choice([1, 1, 2]))]
+    members = spark.createDataFrame(rows, "call_id string, sample_id string, group_id string, contig string, svtype string, pos long, end long, svlen long, support long, fwd long, rev long, precise boolean, gt_a int, gt_b int, passed boolean, gq int, dr long, dv long")
+    depth = {(f"s{s:03}", at // 500 * 500): rng.randint(0, 9) for at in groups.values() for s in range(150) if rng.random() < 0.7}
+    table = spark.createDataFrame([(s, "c", b, n) for (s, b), n in depth.items()], "sample_id string, contig string, cov_bin long, depth long")
+    calls = {r["group_id"]: r for r in combine.group_calls(members, table, samples).collect()}
+    index = combine.sample_index(samples)
+    at = spark.createDataFrame([(g, "c", x // 500 * 500) for g, x in groups.items()], "group_id string, contig string, cov_bin long")
+    packed = at.join(combine.packed_depths(table, ["contig", "cov_bin"], index), ["contig", "cov_bin"])
+    told = {r["group_id"]: r["columns"].split("\t") for r in combine.group_genotypes(members, packed.select("group_id", "depths"), samples).collect()}
+    assert len(calls) == len(told) == 12
+    for g, x in groups.items():
+        genotypes = calls[g]["genotypes"].split("\t")
+        for s in range(150):
+            own = [r for r in rows if r[2] == g and r[1] == f"s{s:03}"]
+            n = depth.get((f"s{s:03}", x // 500 * 500), 0)
+            zero = "0/0" if n >= 5 else "./."
+            if own:
+                best = max(own, key=lambda r: (-1 if r[12] is None else r[12] + r[13], r[12] or 0, r[13] or 0))
+                assert genotypes[s] == (f"{best[12]}/{best[13]}" if best[12] is not None else "./.")
+            else:
+                assert genotypes[s] == zero and told[g][s] == f"{zero}:0:{n}:0:.:NULL"
+            assert calls[g]["supp_vec"][s] == str(int(any((r[12] or 0) + (r[13] or 0) > 0 for r in own)))
+    plan = combine.group_calls(members, table, samples)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
