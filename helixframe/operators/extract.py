@@ -17,8 +17,8 @@ from .scan import SECONDARY, SUPPLEMENTARY, cigar_ops, total
 READ_OPS, REF_OPS = "MI=XS", "MD=XN"
 
 
-def cigar_events(alignments: DataFrame, least: int) -> DataFrame:
-    """A row for each I, D or S of at least ``least``: op, len, pos_read and pos_ref where it begins, and is_first."""
+def walked(least: int) -> Column:
+    """The I, D and S of at least ``least`` of ``cigar``: array of op, len, pos_read and pos_ref where each begins."""
 
     def walk(acc, x):
         event = F.struct(x["op"].alias("op"), x["len"].alias("len"), acc["read"].alias("pos_read"), acc["ref"].alias("pos_ref"))
@@ -30,39 +30,49 @@ def cigar_events(alignments: DataFrame, least: int) -> DataFrame:
         )
 
     start = F.struct(F.lit(0).cast("long").alias("read"), F.col("ref_start").cast("long").alias("ref"), F.array().cast("array<struct<op:string,len:bigint,pos_read:bigint,pos_ref:bigint>>").alias("events"))
-    return alignments.withColumn("event", F.explode(F.aggregate(cigar_ops(F.col("cigar")), start, walk)["events"])).select(*alignments.columns, "event.*")
+    return F.aggregate(cigar_ops(F.col("cigar")), start, walk)["events"]
+
+
+def cigar_events(alignments: DataFrame, least: int) -> DataFrame:
+    """A row for each I, D or S of at least ``least``: op, len, pos_read and pos_ref where it begins."""
+    return alignments.withColumn("event", F.explode(walked(least))).select(*alignments.columns, "event.*")
 
 
-def inline_leads(alignments: DataFrame, p: Params = DEFAULTS, detect_large_ins: bool = True) -> DataFrame:
-    """Leads of insertions, deletions and clips within a CIGAR. A null svlen is a long insertion of unknown length."""
-    e = cigar_events(alignments, p.screen)
+def inline_events(alignments: DataFrame, p: Params = DEFAULTS, detect_large_ins: bool = True) -> DataFrame:
+    """``alignments`` with ``inline``: the leads within the CIGAR as an array, so that later steps need neither CIGAR nor bases."""
     primary = (F.col("flag").bitwiseAND(SECONDARY + SUPPLEMENTARY) == 0) & F.col("sa").isNull()
-    long_clip = (F.col("op") == "S") & (F.col("len") >= p.long_ins_length / 2) & primary & F.lit(detect_large_ins)
-    svtype = F.when(F.col("op").eqNullSafe("I") | long_clip, "INS").when(F.col("op") == "D", "DEL").when(F.col("pos_ref") == F.col("ref_start"), "SINGLE_LEFT").otherwise("SINGLE_RIGHT")
-    svlen = F.when(F.col("op") == "I", F.col("len")).when(F.col("op") == "D", -F.col("len")).when(~long_clip, F.lit(0))
-    return e.select(
-        "aln_idx",
-        "read_qname",
-        "contig",
-        F.when(F.col("op") == "D", F.col("pos_ref") + F.col("len")).otherwise(F.col("pos_ref")).alias("lead_start"),
-        F.col("pos_ref").alias("lead_end"),
-        F.col("pos_read").alias("lead_qry_start"),
-        F.when(F.col("op") == "D", F.col("pos_read")).otherwise(F.col("pos_read") + F.col("len")).alias("lead_qry_end"),
-        F.when(F.col("flag").bitwiseAND(16) == 0, "+").otherwise("-").alias("strand"),
-        "mapq",
-        F.lit("INLINE").alias("source"),
-        svtype.alias("svtype"),
-        svlen.cast("long").alias("svlen"),
-        F.when((F.col("op") == "I") & (F.col("len") <= p.max_seq_length), F.substring("seq", F.col("pos_read") + 1, F.col("len"))).alias("seq"),
-    )
+
+    def lead(e: Column) -> Column:
+        long_clip = (e["op"] == "S") & (e["len"] >= p.long_ins_length / 2) & primary & F.lit(detect_large_ins)
+        svtype = F.when(e["op"].eqNullSafe("I") | long_clip, "INS").when(e["op"] == "D", "DEL").when(e["pos_ref"] == F.col("ref_start"), "SINGLE_LEFT").otherwise("SINGLE_RIGHT")
+        svlen = F.when(e["op"] == "I", e["len"]).when(e["op"] == "D", -e["len"]).when(~long_clip, F.lit(0))
+        return F.struct(
+            F.when(e["op"] == "D", e["pos_ref"] + e["len"]).otherwise(e["pos_ref"]).alias("lead_start"),
+            e["pos_ref"].alias("lead_end"),
+            e["pos_read"].alias("lead_qry_start"),
+            F.when(e["op"] == "D", e["pos_read"]).otherwise(e["pos_read"] + e["len"]).alias("lead_qry_end"),
+            svtype.alias("svtype"),
+            svlen.cast("long").alias("svlen"),
+            F.when((e["op"] == "I") & (e["len"] <= p.max_seq_length), F.substring("seq", e["pos_read"] + 1, e["len"])).alias("seq"),
+        )
+
+    return alignments.withColumn("inline", F.transform(walked(p.screen), lead))
+
+
+def inline_leads(alignments: DataFrame, p: Params = DEFAULTS, detect_large_ins: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Leads of insertions, deletions and clips within a CIGAR, or of ``inline`` where that is known. A null svlen is a long insertion of unknown length."""
+    x = alignments if "inline" in alignments.columns else inline_events(alignments, p, detect_large_ins)
+    strand = F.when(F.col("flag").bitwiseAND(16) == 0, "+").otherwise("-").alias("strand")
+    each = x.select("aln_idx", "read_qname", "contig", strand, "mapq", F.lit("INLINE").alias("source"), *carried, F.explode("inline").alias("_e"))
+    return each.select("aln_idx", "read_qname", "contig", "_e.lead_start", "_e.lead_end", "_e.lead_qry_start", "_e.lead_qry_end", "strand", "mapq", "source", "_e.svtype", "_e.svlen", "_e.seq", *carried)
 
 
-def sa_entries(alignments: DataFrame) -> DataFrame:
-    """A row for each well-formed entry of the SA tag: contig, position (from 0), strand, CIGAR numbers, mapq, nm."""
-    each = alignments.select("aln_idx", F.posexplode(F.filter(F.split("sa", ";"), lambda x: F.size(F.split(x, ",")) == 6)).alias("sa_no", "entry"))
+def sa_entries(alignments: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each well-formed entry of the SA tag: contig, position (from 0), strand, CIGAR numbers, mapq, nm; and what is ``carried`` of the read."""
+    each = alignments.select("aln_idx", *carried, F.posexplode(F.filter(F.split("sa", ";"), lambda x: F.size(F.split(x, ",")) == 6)).alias("sa_no", "entry"))
     f = F.split("entry", ",")
-    named = each.select("aln_idx", "sa_no", f[0].alias("contig"), (F.expr("try_cast(split(entry, ',')[1] as bigint)") - 1).alias("pos"), f[2].alias("strand"), f[3].alias("cigar"), F.expr("try_cast(split(entry, ',')[4] as int)").alias("mapq"), F.expr("try_cast(split(entry, ',')[5] as int)").alias("nm"))
-    return named.select("aln_idx", "sa_no", "contig", "pos", "strand", "mapq", "nm", *clip_spans(F.col("cigar"))).where("ref_span is not null and pos is not null")
+    named = each.select("aln_idx", *carried, "sa_no", f[0].alias("contig"), (F.expr("try_cast(split(entry, ',')[1] as bigint)") - 1).alias("pos"), f[2].alias("strand"), f[3].alias("cigar"), F.expr("try_cast(split(entry, ',')[4] as int)").alias("mapq"), F.expr("try_cast(split(entry, ',')[5] as int)").alias("nm"))
+    return named.select("aln_idx", *carried, "sa_no", "contig", "pos", "strand", "mapq", "nm", *clip_spans(F.col("cigar"))).where("ref_span is not null and pos is not null")
 
 
 def clip_spans(cigar: Column) -> list[Column]:
@@ -72,16 +82,16 @@ def clip_spans(cigar: Column) -> list[Column]:
     return [clip(F.get(ops, F.lit(0))).alias("clip_start"), F.when(F.size(ops) > 1, clip(F.element_at(ops, -1))).otherwise(0).alias("clip_end"), total(ops, "MDX=N").alias("ref_span"), total(ops, "MIX=").alias("read_span")]
 
 
-def segments(alignments: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def segments(alignments: DataFrame, p: Params = DEFAULTS, carried: tuple[str, ...] = ()) -> DataFrame:
     """The parts of split reads in read coordinates: the primary's own and one for each SA entry; reads with too many are left out."""
     split = alignments.where((F.col("flag").bitwiseAND(SUPPLEMENTARY) == 0) & F.col("sa").isNotNull())
     n = F.size(F.filter(F.split("sa", ";"), lambda x: x != ""))
     split = split.where(n <= p.max_splits_base + p.max_splits_kb * F.col("query_length") / 1000)
     reverse = F.col("flag").bitwiseAND(16) != 0
     start = F.when(reverse, F.col("query_length") - F.col("qry_end")).otherwise(F.col("qry_start"))
-    own = split.select("aln_idx", F.lit(-1).alias("sa_no"), "contig", "ref_start", "ref_end", start.cast("long").alias("qry_start"), (start + F.col("qry_end") - F.col("qry_start")).cast("long").alias("qry_end"), F.when(reverse, "-").otherwise("+").alias("strand"), "mapq")
+    own = split.select("aln_idx", F.lit(-1).alias("sa_no"), "contig", "ref_start", "ref_end", start.cast("long").alias("qry_start"), (start + F.col("qry_end") - F.col("qry_start")).cast("long").alias("qry_end"), F.when(reverse, "-").otherwise("+").alias("strand"), "mapq", *carried)
     first = F.when(F.col("strand") == "-", F.col("clip_end")).otherwise(F.col("clip_start"))
-    other = sa_entries(split).select("aln_idx", "sa_no", "contig", F.col("pos").alias("ref_start"), (F.col("pos") + F.col("ref_span")).alias("ref_end"), first.alias("qry_start"), (first + F.col("read_span")).alias("qry_end"), "strand", "mapq")
+    other = sa_entries(split, carried).select("aln_idx", "sa_no", "contig", F.col("pos").alias("ref_start"), (F.col("pos") + F.col("ref_span")).alias("ref_end"), first.alias("qry_start"), (first + F.col("read_span")).alias("qry_end"), "strand", "mapq", *carried)
     return own.unionByName(other)
 
 
@@ -108,13 +118,13 @@ def _pairs(parts: DataFrame, p: Params) -> DataFrame:
     return b.withColumns({"event": F.when(c("contig") == a("contig"), event), "leading": leading})
 
 
-def split_leads(alignments: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def split_leads(alignments: DataFrame, p: Params = DEFAULTS, carried: tuple[str, ...] = ()) -> DataFrame:
     """Leads between neighbouring parts of a read; a long clip before the first part is an insertion of unknown length.
 
     If no pair of a read with more than two parts shows an event, only its parts on the first part's
     contig and strand are taken; if those are two, they are compared anew.
     """
-    parts = segments(alignments, p)
+    parts = segments(alignments, p, carried)
     pairs = _pairs(parts, p)
     read = W.partitionBy("aln_idx")
     over = read.orderBy("qry_start", "sa_no")
@@ -126,17 +136,19 @@ def split_leads(alignments: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     end = F.when(F.col("e.svtype") == "INS", F.col("e.start")).otherwise(F.col("e.start") + F.col("e.svlen"))
     out = out.where(F.least("mapq", F.coalesce("a_mapq", "mapq")) >= p.min_mapq)
     source = F.when(F.col("sa_no") < 0, "SPLIT_PRIM").otherwise("SPLIT_SUP")
-    return out.select("aln_idx", "contig", F.col("e.svtype").alias("svtype"), F.col("e.start").alias("lead_start"), end.alias("lead_end"), F.col("e.svlen").alias("svlen"), "strand", "mapq", source.alias("source"), F.col("qry_start").alias("lead_qry_start"), F.col("qry_end").alias("lead_qry_end"))
+    return out.select("aln_idx", "contig", F.col("e.svtype").alias("svtype"), F.col("e.start").alias("lead_start"), end.alias("lead_end"), F.col("e.svlen").alias("svlen"), "strand", "mapq", source.alias("source"), F.col("qry_start").alias("lead_qry_start"), F.col("qry_end").alias("lead_qry_end"), *carried)
 
 
-def breakends(alignments: DataFrame) -> DataFrame:
+def breakends(alignments: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """(aln_idx, contig, ref_start, mate_contig, mate_ref_start, is_first, is_reverse) from the first SA entry, if its strand differs."""
-    sa = sa_entries(alignments).where("sa_no = 0").select("aln_idx", *(F.col(c).alias(f"m_{c}") for c in ("contig", "pos", "strand", "clip_start", "clip_end", "ref_span")))
-    own = alignments.select("aln_idx", "contig", "ref_start", "ref_end", F.when(F.col("flag").bitwiseAND(16) != 0, "-").otherwise("+").alias("strand"), *clip_spans(F.col("cigar"))[:2])
-    both = own.join(sa, "aln_idx").where("strand <> m_strand")
+    strand = F.when(F.col("flag").bitwiseAND(16) != 0, "-").otherwise("+")
+    here = F.struct("contig", "ref_start", "ref_end", strand.alias("strand"), *clip_spans(F.col("cigar"))[:2])
+    sa = sa_entries(alignments.withColumn("_own", here), ("_own", *carried)).where("sa_no = 0")
+    own = [F.col(f"_own.{c}").alias(c) for c in ("contig", "ref_start", "ref_end", "strand", "clip_start", "clip_end")]
+    both = sa.select("aln_idx", *carried, *own, *(F.col(c).alias(f"m_{c}") for c in ("contig", "pos", "strand", "clip_start", "clip_end", "ref_span"))).where("strand <> m_strand")
     both = both.withColumns({"is_first": F.col("clip_start") <= F.col("clip_end"), "is_reverse": F.col("m_clip_end") > F.col("m_clip_start")})
     mate = F.col("m_pos") + F.when(F.col("is_reverse"), F.col("m_ref_span")).when(F.col("is_first"), 1).otherwise(2)
-    return both.select("aln_idx", "contig", F.when(F.col("is_first"), F.col("ref_end")).otherwise(F.col("ref_start") + 1).alias("ref_start"), F.col("m_contig").alias("mate_contig"), mate.alias("mate_ref_start"), "is_first", "is_reverse")
+    return both.select("aln_idx", "contig", F.when(F.col("is_first"), F.col("ref_end")).otherwise(F.col("ref_start") + 1).alias("ref_start"), F.col("m_contig").alias("mate_contig"), mate.alias("mate_ref_start"), "is_first", "is_reverse", *carried)
 
 
 def owned(leads: DataFrame, regions: DataFrame) -> DataFrame:

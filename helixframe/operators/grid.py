@@ -25,11 +25,16 @@ def lead_bins(leads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return leads.groupBy("contig", "svtype", bin_of("ref_start", p.bin_size).alias("bin")).agg(F.count("*").alias("n"), *hap_counts())
 
 
+def hap_steps(alignments: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """(contig, hap, start, end, depth): runs of bins over which as many reads of a haplotype (0, 1, 2) span, the bin of their end left out; by a sweep."""
+    hap = F.when(F.col("hap").isin(1, 2), F.col("hap")).otherwise(0)
+    return depth_steps(alignments.select("contig", hap.alias("hap"), bin_of("ref_start", p.bin_size).alias("a"), bin_of("ref_end", p.bin_size).alias("z")), ["contig", "hap"], "a", "z")
+
+
 def hap_reference(alignments: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """(contig, bin, hap0, hap1, hap2): reads over every bin they span, the bin of their end left out."""
-    spans = alignments.where(bin_of("ref_start", p.bin_size) < bin_of("ref_end", p.bin_size))
-    each = spans.withColumn("bin", F.explode(F.sequence(bin_of("ref_start", p.bin_size), bin_of("ref_end", p.bin_size) - p.bin_size, F.lit(p.bin_size).cast("long"))))
-    return each.groupBy("contig", "bin").agg(*hap_counts())
+    """(contig, bin, hap0, hap1, hap2): reads over every bin they span, the bin of their end left out. Runs become bins only after the sweep."""
+    each = hap_steps(alignments, p).withColumn("bin", F.explode(F.sequence("start", F.col("end") - p.bin_size, F.lit(p.bin_size).cast("long"))))
+    return each.groupBy("contig", "bin").agg(*(F.coalesce(F.sum(F.when(F.col("hap") == k, F.col("depth"))), F.lit(0).cast("long")).alias(f"hap{k}") for k in (0, 1, 2)))
 
 
 def coverage(alignments: DataFrame) -> DataFrame:

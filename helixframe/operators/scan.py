@@ -57,5 +57,6 @@ def mismatch_rate(alignments: DataFrame) -> DataFrame:
 
 
 def regional_rate(alignments: DataFrame) -> DataFrame:
-    """(contig, regional_nm): the mean ``nm_rate`` of the reads that have NM; 0 where none has."""
-    return mismatch_rate(alignments).groupBy("contig").agg(F.coalesce(F.avg(F.when(F.col("nm").isNotNull(), F.col("nm_rate"))), F.lit(0.0)).alias("regional_nm"))
+    """(contig, regional_nm): the mean ``nm_rate`` (made where it is not there) of the reads that have NM; 0 where none has."""
+    rated = alignments if "nm_rate" in alignments.columns else mismatch_rate(alignments)
+    return rated.groupBy("contig").agg(F.coalesce(F.avg(F.when(F.col("nm").isNotNull(), F.col("nm_rate"))), F.lit(0.0)).alias("regional_nm"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
+from ..functions.intervals import depth_at
 from ..functions.storage import stored
 from ..operators import call, cluster, combine, consensus, extract, genotype, grid, qc, scan, text
 from ..sources import readers, writers
@@ -16,16 +17,28 @@ from ..sources import readers, writers
 PART = [*call.KEYS, "sub"]
 
 
-def leads_of(alignments: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """All leads of usable alignments: inline, split and breakend ones."""
-    own = scan.mismatch_rate(alignments).select("aln_idx", "read_qname", F.coalesce("hp", F.lit(0)).alias("hap"), F.col("ps").alias("phase_set"), (F.col("flag").bitwiseAND(2048) != 0).alias("is_sa"), F.col("nm_rate").alias("nm"), F.col("query_length").alias("read_len"))
-    inline = extract.inline_leads(alignments, p).drop("read_qname")
-    split = extract.split_leads(alignments, p)
-    bnd = extract.breakends(alignments).join(alignments.select("aln_idx", "mapq", F.when(F.col("flag").bitwiseAND(16) == 0, "+").otherwise("-").alias("strand")), "aln_idx")
-    bnd = bnd.select("aln_idx", "contig", F.lit("BND").alias("svtype"), F.col("ref_start").alias("lead_start"), F.col("ref_start").alias("lead_end"), F.lit(0).cast("long").alias("svlen"), "strand", "mapq", F.lit("BND_SA").alias("source"), "mate_contig", "mate_ref_start", "is_first", "is_reverse")
-    found = inline.unionByName(split, allowMissingColumns=True).unionByName(bnd, allowMissingColumns=True).join(own, "aln_idx")
+def reads_of(alignments: DataFrame, regions: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """Usable alignments in what calling needs of them: tags, mismatch rate, the leads within their CIGAR and, as ``cigar``, its first and last operation. Stored, so that alignments are read once."""
+    used = extract.inline_events(scan.mismatch_rate(scan.scan(alignments, regions, p)), p)
+    ops = scan.cigar_ops(F.col("cigar"))
+    told = lambda x: F.concat(x["len"].cast("string"), x["op"])
+    ends = F.concat(told(F.get(ops, F.lit(0))), F.when(F.size(ops) > 1, told(F.element_at(ops, -1))).otherwise(""))
+    is_sa = (F.col("flag").bitwiseAND(2048) != 0).alias("is_sa")
+    return stored(used.select("aln_idx", "read_qname", "flag", "contig", "ref_start", "ref_end", "mapq", ends.alias("cigar"), "query_length", "qry_start", "qry_end", "sa", F.coalesce("hp", F.lit(0)).alias("hap"), F.col("ps").alias("phase_set"), "nm", "nm_rate", is_sa, "inline"))
+
+
+def leads_of(reads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """All leads of ``reads_of``: inline, split and breakend ones. Each carries its read's tags, so nothing is joined."""
+    strand = F.when(F.col("flag").bitwiseAND(16) == 0, "+").otherwise("-")
+    tag = F.struct("read_qname", "hap", "phase_set", "is_sa", F.col("nm_rate").alias("nm"), F.col("query_length").alias("read_len"))
+    x = reads.withColumns({"tag": tag, "own": F.struct("mapq", strand.alias("strand"))})
+    inline = extract.inline_leads(x, p, carried=("tag",)).drop("read_qname")
+    split = extract.split_leads(x, p, ("tag",))
+    bnd = extract.breakends(x, ("tag", "own"))
+    bnd = bnd.select("aln_idx", "contig", F.lit("BND").alias("svtype"), F.col("ref_start").alias("lead_start"), F.col("ref_start").alias("lead_end"), F.lit(0).cast("long").alias("svlen"), "own.strand", "own.mapq", F.lit("BND_SA").alias("source"), "mate_contig", "mate_ref_start", "is_first", "is_reverse", "tag")
+    found = inline.unionByName(split, allowMissingColumns=True).unionByName(bnd, allowMissingColumns=True)
     named = {"lead_start": "ref_start", "lead_end": "ref_end", "lead_qry_start": "qry_start", "lead_qry_end": "qry_end"}
-    return found.withColumnsRenamed(named).withColumn("read_id", F.xxhash64("read_qname"))
+    return found.withColumnsRenamed(named).select("*", "tag.*").drop("tag").withColumn("read_id", F.xxhash64("read_qname"))
 
 
 def parts_of(found: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -55,16 +68,16 @@ def with_sequences(calls: DataFrame, leads: DataFrame, p: Params = DEFAULTS) ->
 def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame | None = None, repeats: DataFrame | None = None, p: Params = DEFAULTS, keep_failed: bool = False, mosaic: bool = False, measure_nm: bool = False) -> DataFrame:
     """Genotyped, filtered calls of a sample, in order of contig, position and id."""
     p = p.for_mosaic() if mosaic else p
-    used = scan.scan(alignments, regions, p)
-    leads = leads_of(used, p)
-    steps = grid.coverage(used)
+    reads = reads_of(alignments, regions, p)
+    leads = stored(leads_of(reads, p))
+    steps = grid.coverage(reads)
     seeds = leads.withColumn("seed", grid.bin_of("ref_start", p.bin_size))
     if repeats is None:
         leads = leads.withColumn("repeat", F.lit(False))
     else:
         hit = grid.in_repeats(seeds.select("contig", "seed").distinct(), repeats).withColumn("hit", F.lit(True))
         leads = seeds.join(hit, ["contig", "seed"], "left").withColumn("repeat", F.coalesce("hit", F.lit(False))).drop("hit", "seed")
-    leads = grid.cap_sequences(leads, ["aln_idx", "ref_start", "svlen"], p)
+    leads = stored(grid.cap_sequences(leads, ["aln_idx", "ref_start", "svlen"], p))
     found = stored(cluster.greedy_clusters(leads, ["read_qname", "svlen"], p))
     known = stored(parts_of(found, p))
     counts = call.lead_counts(known, found.where("svlen is null"), PART, call.KEYS, p)
@@ -87,22 +100,23 @@ def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame |
     calls = genotype.genotyped(calls.withColumn("filter", first), k, n, p, mosaic)
     votes = genotype.phase_votes(known, PART, "aln_idx", p).select(*PART, "hp", "ps", "hp_support", "ps_support", "hp_filter", "ps_filter", "phase", "haplotype")
     calls = genotype.hom_alt_phased(calls.join(votes, PART, "left"))
-    regional = scan.regional_rate(used)
+    regional = scan.regional_rate(reads)
     calls = calls.join(F.broadcast(regional), "contig", "left")
     after = F.when(F.col("gt_filter") != "PASS", F.col("gt_filter")).otherwise(qc.first_filter(qc.genotype_rules(p, mosaic, nm=measure_nm)))
     calls = calls.withColumn("filter", F.when(F.col("filter") != "PASS", F.col("filter")).otherwise(after))
-    calls = genotype.phase_rescued(with_haplotypes(calls, leads, used, p))
+    calls = genotype.phase_rescued(with_haplotypes(calls, leads, reads, p))
     calls = calls if keep_failed else calls.where("filter = 'PASS'")
     return calls.orderBy("contig_idx", "pos", "id")
 
 
-def with_haplotypes(calls: DataFrame, leads: DataFrame, used: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def with_haplotypes(calls: DataFrame, leads: DataFrame, reads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """hap_support and hap_reads: leads and reads of the call's haplotype in the first bin of its cluster; null without a passing one."""
     own = grid.lead_bins(leads, p).select("contig", "svtype", F.col("bin").alias("cluster"), F.col("hap1").alias("own1"), F.col("hap2").alias("own2"))
-    every = grid.hap_reference(used.withColumn("hap", F.coalesce("hp", F.lit(0))), p).select("contig", F.col("bin").alias("cluster"), F.col("hap1").alias("all1"), F.col("hap2").alias("all2"))
-    x = calls.join(own, call.KEYS, "left").join(every, ["contig", "cluster"], "left")
-    of = lambda name: F.when(F.col("hp_filter") == "PASS", F.when(F.col("hp") == "1", F.col(f"{name}1")).when(F.col("hp") == "2", F.col(f"{name}2")))
-    return x.withColumns({"hap_support": of("own"), "hap_reads": of("all")}).drop("own1", "own2", "all1", "all2")
+    hap = F.when(F.col("hp_filter") == "PASS", F.when(F.col("hp").isin("1", "2"), F.col("hp").cast("int")))
+    x = calls.withColumn("hap", hap).join(own, call.KEYS, "left").withColumn("hap_support", F.when(F.col("hap") == 1, F.col("own1")).when(F.col("hap") == 2, F.col("own2"))).drop("own1", "own2")
+    points = x.where("hap is not null").select("contig", "hap", "cluster").distinct()
+    spans = depth_at(points, grid.hap_steps(reads, p).where("hap > 0"), ["contig", "hap"], "cluster", 10_000)
+    return x.join(spans.withColumnRenamed("depth", "hap_reads"), ["contig", "hap", "cluster"], "left").drop("hap")
 
 
 def vcf_of(calls: DataFrame, reference: DataFrame | None = None, chunk: int = 0, p: Params = DEFAULTS, prefix: str = "", phased: bool = True, mosaic: bool = False, measure_nm: bool = False) -> DataFrame:

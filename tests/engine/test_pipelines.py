@@ -88,6 +88,27 @@ def test_long_reads_support_long_insertions(calls):
     assert (long["svlen"], long["support_long"], long["support"]) == (3_000, 5, 11)
 
 
+def test_alignments_are_read_once(spark, tables, tmp_path):
+    """One scan of the stored alignments makes the reads; nothing after it goes back to them, and leads need no join."""
+    tables[0].write.parquet(str(tmp_path / "a"))
+    seen = []
+    real = pipelines.stored
+    pipelines.stored = lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or real(df)
+    try:
+        calls = pipelines.call_sample(spark.read.parquet(str(tmp_path / "a")), tables[1], keep_failed=True)
+    finally:
+        pipelines.stored = real
+    seen.append(calls._jdf.queryExecution().executedPlan().toString())
+    assert sum(plan.count(f"file:{tmp_path}/a") for plan in seen) == seen[0].count(f"file:{tmp_path}/a") == 1
+    assert "Join" not in seen[1] and "Generate explode(inline" in seen[1]
+
+
+def test_haplotypes_of_calls(calls):
+    gone = calls["DEL", None, 50]
+    assert (gone["hap_support"], gone["hap_reads"]) == (10, 10)
+    assert calls["INS", None, 80]["hap_reads"] is None
+
+
 def test_only_passing_calls_stay(tables, calls):
     kept = pipelines.call_sample(*tables).collect()
     assert {r["filter"] for r in kept} == {"PASS"} and len(kept) == sum(r["filter"] == "PASS" for r in calls.values())
