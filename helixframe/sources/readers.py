@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, STORE_VERSION, Params
 from ..functions.intervals import binned
 from ..operators.scan import cigar_ops, total
+from . import blocked_gzip
 from .sequences import fasta, fasta_index  # noqa: F401
 
 
@@ -74,8 +75,11 @@ def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vcf(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a VCF (plain or gzip), see ``parse_vcf``; line_index keeps the file's order."""
-    lines = spark.read.text(path).withColumn("line_index", F.monotonically_increasing_id())
+    """Records of a VCF (plain, gzip or blocked gzip), see ``parse_vcf``; line_index keeps the file's order. A blocked file is read by many tasks, a plain gzip one by one."""
+    if path.endswith((".gz", ".bgz")) and not any(c in path for c in "*?{[") and blocked_gzip.is_blocked(path):
+        lines = blocked_gzip.lines(spark, path)
+    else:
+        lines = spark.read.text(path).withColumn("line_index", F.monotonically_increasing_id())
     return parse_vcf(lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")))
 
 
