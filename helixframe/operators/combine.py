@@ -132,7 +132,8 @@ def group_calls(members: DataFrame, block_coverage: DataFrame, samples: DataFram
     """
     index = sample_index(samples)
     n = index.count()
-    first = F.min(F.struct((-F.col("support")).alias("s"), "call_id", "pos", "end", "svlen")).alias("first")
+    alt = ["alt"] * ("alt" in members.columns)
+    first = F.min(F.struct((-F.col("support")).alias("s"), "call_id", "pos", "end", "svlen", *alt)).alias("first")
     x = members.groupBy("group_id", "contig", "svtype").agg(
         first,
         F.count_distinct("sample_id").alias("samples"),
@@ -162,7 +163,21 @@ def group_calls(members: DataFrame, block_coverage: DataFrame, samples: DataFram
     ac = F.aggregate("cells", F.lit(0).cast("long"), lambda k, c: k + F.when(has(c), c["gt_a"] + c["gt_b"]).otherwise(0))
     gt = lambda c: F.concat(F.coalesce(c["gt_a"].cast("string"), F.lit(".")), F.lit("/"), F.coalesce(c["gt_b"].cast("string"), F.lit(".")))
     out = out.withColumn("ac", ac)
-    return out.select("group_id", "contig", "svtype", "first.pos", "first.end", "first.svlen", "samples", "support", "fwd", "rev", "precise", "stdev_pos", "stdev_len", F.array_join(F.transform("cells", lambda c: F.when(has(c), "1").otherwise("0")), "").alias("supp_vec"), F.array_join(F.transform("cells", gt), "\t").alias("genotypes"), "ac", F.when(F.col("ac") == 0, "GT").otherwise("PASS").alias("filter"))
+    return out.select("group_id", "contig", "svtype", "first.pos", "first.end", "first.svlen", "samples", "support", "fwd", "rev", "precise", "stdev_pos", "stdev_len", F.array_join(F.transform("cells", lambda c: F.when(has(c), "1").otherwise("0")), "").alias("supp_vec"), F.array_join(F.transform("cells", gt), "\t").alias("genotypes"), "ac", F.when(F.col("ac") == 0, "GT").otherwise("PASS").alias("filter"), *(f"first.{c}" for c in alt))
+
+
+def population_of(calls: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """(id, contig, svtype, pos, end, svlen, af, genotyped_n, variant_n; alt if known) of combined calls that enough samples are genotyped for: what ``write_population`` stores."""
+    cells = F.transform(F.split("genotypes", "\t"), lambda g: F.split(g, "/"))
+    known = F.filter(cells, lambda g: (g[0] != ".") & (g[1] != "."))
+    alleles = F.transform(known, lambda g: g[0].cast("int") + g[1].cast("int"))
+    x = calls.withColumns({"_n": F.size(F.split("genotypes", "\t")), "_alleles": alleles}).withColumns({
+        "genotyped_n": F.size("_alleles").cast("long"),
+        "variant_n": F.size(F.filter("_alleles", lambda k: k > 0)).cast("long"),
+        "af": F.try_divide(F.aggregate("_alleles", F.lit(0), lambda a, k: a + k), 2 * F.size("_alleles")),
+    })
+    kept = x.where(F.col("genotyped_n") / F.col("_n") >= p.population_min_share)
+    return kept.select(F.col("group_id").alias("id"), "contig", "svtype", "pos", "end", "svlen", "af", "genotyped_n", "variant_n", *["alt"] * ("alt" in calls.columns))
 
 
 def group_genotypes(members: DataFrame, depths: DataFrame, samples: DataFrame, p: Params = DEFAULTS, relabel: int | None = None, phased: bool = True) -> DataFrame:

@@ -65,12 +65,14 @@ def with_sequences(calls: DataFrame, leads: DataFrame, p: Params = DEFAULTS) ->
     return calls.join(consensus.with_consensus(held).select(*PART, F.col("alt").alias("_seq")), PART, "left").withColumn("alt", F.coalesce("_seq", "alt")).drop("_seq")
 
 
-def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame | None = None, repeats: DataFrame | None = None, p: Params = DEFAULTS, keep_failed: bool = False, mosaic: bool = False, measure_nm: bool = False) -> DataFrame:
-    """Genotyped, filtered calls of a sample, in order of contig, position and id."""
+def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame | None = None, repeats: DataFrame | None = None, p: Params = DEFAULTS, keep_failed: bool = False, mosaic: bool = False, measure_nm: bool = False, reference: DataFrame | None = None, chunk: int = 0) -> DataFrame:
+    """Genotyped, filtered calls of a sample, in order of contig, position and id. With ``reference`` (contig, chunk_no, seq in chunks of ``chunk``) there is no depth where it has N."""
     p = p.for_mosaic() if mosaic else p
     reads = reads_of(alignments, regions, p)
     leads = stored(leads_of(reads, p))
     steps = grid.coverage(reads)
+    if reference is not None:
+        steps = grid.masked(steps, grid.n_runs(reference, chunk))
     seeds = leads.withColumn("seed", grid.bin_of("ref_start", p.bin_size))
     if repeats is None:
         leads = leads.withColumn("repeat", F.lit(False))
@@ -172,6 +174,11 @@ def stored_sample(calls: DataFrame, alignments: DataFrame, path: str, sample_id:
 CANDIDATE = "contig svtype pos end svlen support support_sa qual precise fwd rev stdev_pos stdev_len alt mate_contig mate_pos cov_upstream cov_start cov_center cov_end cov_downstream gt_a gt_b gq dr dv vaf".split()
 
 
+def combined_population(calls: DataFrame, path: str, p: Params = DEFAULTS) -> None:
+    """Stores the variants of ``combine_samples`` and their frequencies, for ``population_annotated`` of later samples."""
+    writers.write_population(combine.population_of(calls, p), path, p)
+
+
 def combine_stores(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None, population: DataFrame | None = None, p: Params = DEFAULTS, one_per_sample: bool = False) -> DataFrame:
     """``combine_samples`` over stores; calls of old stores are genotyped anew. With ``population``, its frequencies too."""
     found, depth, samples = readers.sample_stores(spark, paths, names, p=p)

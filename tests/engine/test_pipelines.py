@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.config import Params
-from helixframe.operators import combine, scan
+from helixframe.operators import combine, genotype, scan
 from helixframe.plans import pipelines
 from helixframe.sources import readers
 
@@ -169,6 +170,46 @@ def test_samples_are_combined(spark):
     assert got["DEL"]["genotypes"] == "0/1\t0/1\t0/0" and got["INS"]["samples"] == 3
 
 
+def test_population_of_combined_samples(spark, tmp_path):
+    """Written, read back and looked up by a later call."""
+    rows = [(s, f"{s}:{v}", "chr1", t, at, at + 100, 100, 5, 3, 2, True, *gt, True, None, None) for v, t, at, gts in (("a", "INS", 10_000, {0: (0, 1), 1: (1, 1), 2: (0, 0), 3: (0, 1)}), ("b", "DUP", 50_000, {0: (0, 1), 1: (0, 1)})) for s, gt in gts.items()]
+    x = spark.createDataFrame(rows, "sample_id int, call_id string, contig string, svtype string, pos long, end long, svlen long, support long, fwd long, rev long, precise boolean, gt_a int, gt_b int, passed boolean, mate_contig string, mate_pos long").withColumn("alt", F.lit("A" * 100))
+    depth = spark.createDataFrame([(2, "chr1", 50_000, 9), (3, "chr1", 50_000, 2)], "sample_id int, contig string, cov_bin long, depth long")
+    calls = pipelines.combine_samples(x, depth, x.select("sample_id").distinct())
+    pipelines.combined_population(calls, str(tmp_path / "p"))
+    found = {r["svtype"]: r for r in readers.population(spark, str(tmp_path / "p")).collect()}
+    assert (found["INS"]["af"], found["INS"]["genotyped_n"], found["INS"]["variant_n"], found["INS"]["alt"]) == (0.5, 4, 3, "A" * 100)
+    assert (found["DUP"]["af"], found["DUP"]["genotyped_n"], found["DUP"]["variant_n"]) == (2 / 6, 3, 2)
+    assert combine.population_of(calls, Params(population_min_share=0.8)).count() == 1
+    later = spark.createDataFrame([("c", "chr1", "INS", 10_020, 100, "A" * 99 + "C")], "call_id string, contig string, svtype string, pos long, svlen long, alt string")
+    assert combine.population_annotated(later, readers.population(spark, str(tmp_path / "p"))).first()["population_af"] == 0.5
+
+
+def test_no_depth_where_the_reference_has_n(spark, tables):
+    chunk = 1 << 15
+    bases = "A" * 50_100 + "N" * 100 + "A" * (LENGTH - 50_200)
+    reference = spark.createDataFrame([("chr1", i, bases[i * chunk : (i + 1) * chunk]) for i in range(-(-LENGTH // chunk))], "contig string, chunk_no int, seq string")
+    found, plain = ({r["svtype"]: r for r in pipelines.call_sample(*tables, keep_failed=True, **how).collect() if r["pos"] == 50_000} for how in ({"reference": reference, "chunk": chunk}, {}))
+    assert (found["DEL"]["cov_center"], found["DEL"]["cov_upstream"]) == (0, plain["DEL"]["cov_upstream"]) and plain["DEL"]["cov_center"] > 0
+
+
+def test_homozygous_calls_keep_their_haplotype(spark):
+    """Reads of two haplotypes fail a heterozygous call's phase, not a homozygous one's, unless those are unphased."""
+    rows = [("hom", 1, 1, "1", "FAIL", "7"), ("het", 0, 1, "1", "FAIL", "7"), ("none", 1, 1, "NULL", "FAIL", "NULL"), ("zero", 1, 1, "0", "FAIL", "7"), ("unknown", None, None, "2", "FAIL", "7")]
+    df = spark.createDataFrame([(*r[:5], r[5], 4, 4, "FAIL", None) for r in rows], "id string, gt_a int, gt_b int, hp string, hp_filter string, ps string, hp_support long, ps_support long, ps_filter string, haplotype string")
+    got = {r["id"]: (r["hp_filter"], r["haplotype"], r["phase_set"]) for r in genotype.hom_alt_phased(df).collect()}
+    assert got == {"hom": ("PASS", "1", "7"), "het": ("FAIL", None, None), "none": ("PASS", None, None), "zero": ("FAIL", None, None), "unknown": ("FAIL", None, None)}
+
+
+def test_calls_without_depth_fail_genotyping(spark):
+    rows = [("a", "DEL", -100, 5, 0, 0, 0, 0, 0), ("b", "DEL", -100, 5, 9, 9, 9, 9, 9), ("c", "DEL", -100, 0, 0, 0, 0, 0, 0)]
+    names = ("cov_upstream", "cov_start", "cov_center", "cov_end", "cov_downstream")
+    df = spark.createDataFrame([(*r, "PASS") for r in rows], "id string, svtype string, svlen long, support long, " + ", ".join(f"{c} long" for c in names) + ", filter string")
+    df = df.withColumns({"support_long": F.lit(0), "support_sa": F.lit(0).cast("long"), "end": F.lit(200).cast("long"), "pos": F.lit(100).cast("long")})
+    got = {r["id"]: r for r in genotype.genotyped(df, *genotype.observed(Params())).collect()}
+    assert got["c"]["gt_filter"] == "GT_FAILED" and got["c"]["gt_a"] is None and got["b"]["gt_filter"] == "PASS"
+
+
 def test_stores_of_samples(spark, tables, tmp_path):
     calls = pipelines.call_sample(*tables, keep_failed=True)
     for name in ("s1.store", "s2.store"):
