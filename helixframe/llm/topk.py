@@ -56,8 +56,10 @@ def quantised(rows: DataFrame, scale: float) -> DataFrame:
 
 def candidates(rows: DataFrame, k: int) -> DataFrame:
     """(rid, vec_id, v, n): of equal vectors the smallest ids, up to k + 1 rows; saved."""
-    before = F.sum("n").over(W.partitionBy("v").orderBy(F.col("vec_id").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1))
-    kept = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= k)
+    order = W.partitionBy("v").orderBy(F.col("vec_id").asc_nulls_last())
+    few = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)  # each task drops the rest before the shuffle
+    before = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1))
+    kept = few.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= k)
     return saved(kept.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v", "n"), "vectors")
 
 
