@@ -77,11 +77,11 @@ def population_frequencies(genotypes: DataFrame, n_samples: int, p: Params = DEF
 def absent_coverage(groups: DataFrame, members: DataFrame, samples: DataFrame, block_coverage: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """(group_id, sample_id, depth): binned depth at the group's mean for every sample without a member, a row for each.
 
-    ``samples`` is a small dimension, sent as one row with an array; a group's own ids are at most as many. Only missing samples become rows.
+    ``samples`` is a small dimension, one array as a scalar subquery; a group's own ids are at most as many. Only missing samples become rows.
     """
-    every = samples.agg(F.array_sort(F.collect_set("sample_id")).alias("_every"))
+    every = samples.agg(F.array_sort(F.collect_set("sample_id")).alias("_every")).scalar()
     own = members.groupBy("group_id").agg(F.collect_set("sample_id").alias("_own"))
-    at = groups.select("group_id", "contig", coverage_key(p).alias("cov_bin"), F.lit(1).alias("_one")).join(F.broadcast(every.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    at = groups.select("group_id", "contig", coverage_key(p).alias("cov_bin"), every.alias("_every"))
     missing = at.join(own, "group_id", "left").withColumn("sample_id", F.explode(F.array_except("_every", F.coalesce("_own", F.array().cast(own.schema["_own"].dataType))))).drop("_own", "_every")
     depth = block_coverage.groupBy("sample_id", "contig", "cov_bin").agg(F.max("depth").alias("depth"))
     return missing.join(depth, ["sample_id", "contig", "cov_bin"], "left").select("group_id", "sample_id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
