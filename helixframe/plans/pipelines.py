@@ -94,8 +94,9 @@ def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame |
     mates = call.resolve_bnd(known.where("svtype = 'BND'"), PART).withColumnsRenamed({"support": "mate_support", "alt": "mate_alt"})
     calls = calls.join(mates, PART, "left").withColumns({"support": F.coalesce("mate_support", "support"), "alt": F.coalesce("mate_alt", "alt")}).drop("mate_support", "mate_alt")
     calls = calls.join(F.broadcast(contigs.select("contig", "contig_idx").distinct()), "contig")
-    calls = call.call_ids(calls, ["pos", "cluster", "sub"]).withColumn("call_id", F.concat_ws(":", "contig", "id"))
-    calls = grid.with_coverage(calls, steps, p).withColumn("coverage_var", F.lit(0.0))
+    # a row a call, stored where the next steps use it more than once: plans would double with each
+    calls = stored(call.call_ids(calls, ["pos", "cluster", "sub"]).withColumn("call_id", F.concat_ws(":", "contig", "id")))
+    calls = stored(grid.with_coverage(calls, steps, p).withColumn("coverage_var", F.lit(0.0)))
     calls = with_sequences(calls, known, p)
     first = qc.first_filter(qc.call_rules(p, mosaic) + ([] if mosaic else qc.support_rule(p)))
     k, n = genotype.observed(p)
@@ -106,7 +107,7 @@ def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame |
     calls = calls.join(F.broadcast(regional), "contig", "left")
     after = F.when(F.col("gt_filter") != "PASS", F.col("gt_filter")).otherwise(qc.first_filter(qc.genotype_rules(p, mosaic, nm=measure_nm)))
     calls = calls.withColumn("filter", F.when(F.col("filter") != "PASS", F.col("filter")).otherwise(after))
-    calls = genotype.phase_rescued(with_haplotypes(calls, leads, reads, p))
+    calls = genotype.phase_rescued(with_haplotypes(stored(calls), leads, reads, p))
     calls = calls if keep_failed else calls.where("filter = 'PASS'")
     return calls.orderBy("contig_idx", "pos", "id")
 
