@@ -38,33 +38,36 @@ def cigar_events(alignments: DataFrame, least: int) -> DataFrame:
     return alignments.withColumn("event", F.explode(walked(least))).select(*alignments.columns, "event.*")
 
 
-def inline_events(alignments: DataFrame, p: Params = DEFAULTS, detect_large_ins: bool = True) -> DataFrame:
-    """``alignments`` with ``inline``: the leads within the CIGAR as an array, so that later steps need neither CIGAR nor bases."""
+def _inline_fields(e: Column, p: Params, detect_large_ins: bool) -> list[Column]:
+    """What an event ``e`` of ``walked`` is as a lead."""
     primary = (F.col("flag").bitwiseAND(SECONDARY + SUPPLEMENTARY) == 0) & F.col("sa").isNull()
+    long_clip = (e["op"] == "S") & (e["len"] >= p.long_ins_length / 2) & primary & F.lit(detect_large_ins)
+    svtype = F.when(e["op"].eqNullSafe("I") | long_clip, "INS").when(e["op"] == "D", "DEL").when(e["pos_ref"] == F.col("ref_start"), "SINGLE_LEFT").otherwise("SINGLE_RIGHT")
+    svlen = F.when(e["op"] == "I", e["len"]).when(e["op"] == "D", -e["len"]).when(~long_clip, F.lit(0))
+    return [
+        F.when(e["op"] == "D", e["pos_ref"] + e["len"]).otherwise(e["pos_ref"]).alias("lead_start"),
+        e["pos_ref"].alias("lead_end"),
+        e["pos_read"].alias("lead_qry_start"),
+        F.when(e["op"] == "D", e["pos_read"]).otherwise(e["pos_read"] + e["len"]).alias("lead_qry_end"),
+        svtype.alias("svtype"),
+        svlen.cast("long").alias("svlen"),
+        F.when((e["op"] == "I") & (e["len"] <= p.max_seq_length), F.substring("seq", e["pos_read"] + 1, e["len"])).alias("seq"),
+    ]
 
-    def lead(e: Column) -> Column:
-        long_clip = (e["op"] == "S") & (e["len"] >= p.long_ins_length / 2) & primary & F.lit(detect_large_ins)
-        svtype = F.when(e["op"].eqNullSafe("I") | long_clip, "INS").when(e["op"] == "D", "DEL").when(e["pos_ref"] == F.col("ref_start"), "SINGLE_LEFT").otherwise("SINGLE_RIGHT")
-        svlen = F.when(e["op"] == "I", e["len"]).when(e["op"] == "D", -e["len"]).when(~long_clip, F.lit(0))
-        return F.struct(
-            F.when(e["op"] == "D", e["pos_ref"] + e["len"]).otherwise(e["pos_ref"]).alias("lead_start"),
-            e["pos_ref"].alias("lead_end"),
-            e["pos_read"].alias("lead_qry_start"),
-            F.when(e["op"] == "D", e["pos_read"]).otherwise(e["pos_read"] + e["len"]).alias("lead_qry_end"),
-            svtype.alias("svtype"),
-            svlen.cast("long").alias("svlen"),
-            F.when((e["op"] == "I") & (e["len"] <= p.max_seq_length), F.substring("seq", e["pos_read"] + 1, e["len"])).alias("seq"),
-        )
 
-    return alignments.withColumn("inline", F.transform(walked(p.screen), lead))
+def inline_events(alignments: DataFrame, p: Params = DEFAULTS, detect_large_ins: bool = True) -> DataFrame:
+    """``alignments`` with ``inline``: the leads within the CIGAR as an array, so that later steps need neither CIGAR nor bases."""
+    return alignments.withColumn("inline", F.transform(walked(p.screen), lambda e: F.struct(*_inline_fields(e, p, detect_large_ins))))
 
 
 def inline_leads(alignments: DataFrame, p: Params = DEFAULTS, detect_large_ins: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
     """Leads of insertions, deletions and clips within a CIGAR, or of ``inline`` where that is known. A null svlen is a long insertion of unknown length."""
-    x = alignments if "inline" in alignments.columns else inline_events(alignments, p, detect_large_ins)
+    known = "inline" in alignments.columns
+    # events are exploded first: fields of an array that is made in the same plan would each make it again
+    x = alignments.withColumn("_e", F.explode("inline" if known else walked(p.screen)))
+    fields = [F.col(f"_e.{c}") for c in ("lead_start", "lead_end", "lead_qry_start", "lead_qry_end", "svtype", "svlen", "seq")] if known else _inline_fields(F.col("_e"), p, detect_large_ins)
     strand = F.when(F.col("flag").bitwiseAND(16) == 0, "+").otherwise("-").alias("strand")
-    each = x.select("aln_idx", "read_qname", "contig", strand, "mapq", F.lit("INLINE").alias("source"), *carried, F.explode("inline").alias("_e"))
-    return each.select("aln_idx", "read_qname", "contig", "_e.lead_start", "_e.lead_end", "_e.lead_qry_start", "_e.lead_qry_end", "strand", "mapq", "source", "_e.svtype", "_e.svlen", "_e.seq", *carried)
+    return x.select("aln_idx", "read_qname", "contig", *fields[:4], strand, "mapq", F.lit("INLINE").alias("source"), *fields[4:], *carried)
 
 
 def sa_entries(alignments: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
