@@ -19,11 +19,12 @@ def bounds(svtype: Column, start: Column, svlen: Column) -> tuple[Column, Column
     return pos, end
 
 
-def candidates(leads: DataFrame, keys: list[str] = KEYS, p: Params = DEFAULTS) -> DataFrame:
-    """One row for each cluster of ``leads`` (keys, ref_start, svlen, read_id, strand, mapq). Windows and sums over the keys share one exchange."""
-    x, dev_len = stats.with_trimmed(leads, keys, "svlen", "stdev_len")  # first, so that the exchange is by the keys alone
-    x, dev_pos = stats.with_trimmed(x, keys, "ref_start", "stdev_pos")
+def candidates(leads: DataFrame, keys: list[str] = KEYS, p: Params = DEFAULTS, parts: int | None = None) -> DataFrame:
+    """One row for each cluster of ``leads`` (keys, ref_start, svlen, read_id, strand, mapq). Windows and sums over the keys share one exchange, to ``parts`` tasks, and a sort for lengths and one for starts."""
+    dealt = leads.repartition(parts, *keys) if parts else leads
+    x, dev_len = stats.with_trimmed(dealt, keys, "svlen", "stdev_len")  # first, so that the exchange is by the keys alone
     x, length = stats.with_center(x, keys, "svlen", "center_len")
+    x, dev_pos = stats.with_trimmed(x, keys, "ref_start", "stdev_pos")
     x, start = stats.with_center(x, keys, "ref_start", "center_start")
     base = x.groupBy(*keys).agg(
         length,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS as P
 from ..functions import stats
+from ..functions.tasks import tasks
 from ..operators import call, cluster, combine, consensus, extract, genotype, grid, qc, scan, text
 from ..sources import readers
 from ..streaming import windowed
@@ -336,7 +337,7 @@ CANDIDATES = f"""{CLUSTERS},
 
 @query("call_candidates", f'{WITH_LEADS}{CANDIDATES} select contig, svtype, cluster, pos, stop as "end", svlen, support, qual, precise, fwd, rev, round(stdev_pos, 6) as stdev_pos, round(stdev_len, 6) as stdev_len from candidates')
 def call_candidates(spark, d):
-    return longs(rounded(call.candidates(clustered(spark, d)), "stdev_pos", "stdev_len"), "qual")
+    return longs(rounded(call.candidates(clustered(spark, d), parts=tasks(leads(spark, d))), "stdev_pos", "stdev_len"), "qual")
 
 
 LIKELIHOOD = """,
@@ -351,7 +352,7 @@ LIKELIHOOD = """,
     'select contig, svtype, pos, stop as "end", svlen, support, case when alleles = 2 then 1 else 0 end as gt_a, case when alleles >= 1 then 1 when svtype = \'DUP\' and k / n >= 1.0 / 6 then 1 else 0 end as gt_b, cast(n - k as bigint) as dr, cast(k as bigint) as dv, round(k / n, 6) as vaf from o',
 )
 def call_and_genotype(spark, d):
-    kept = call.candidates(clustered(spark, d)).where(F.col("support") >= P.min_support)
+    kept = call.candidates(clustered(spark, d), parts=tasks(leads(spark, d))).where(F.col("support") >= P.min_support)
     x = genotype.genotyped(kept, F.col("support"), 2 * F.col("fwd") + F.col("rev"))
     return rounded(x.select("contig", "svtype", "pos", "end", "svlen", "support", "gt_a", "gt_b", "dr", "dv", "vaf"), "vaf")
 
