@@ -6,10 +6,14 @@ carried by a second window over one summary row for each tile.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tasks import tasks
+
 #: Width of a tile of the axis.
 TILE = 1_000_000
 
@@ -43,23 +47,30 @@ def runs(df: DataFrame, keys: list[str], pos: str, starts: Column, tile: int = T
     return marked.withColumn("island", F.coalesce("_own", "_carried")).drop("_tile", "_start", "_own", "_carried")
 
 
-def depth_steps(intervals: DataFrame, keys: list[str], start: str, end: str, tile: int = TILE) -> DataFrame:
+def depth_steps(intervals: DataFrame, keys: list[str], start: str, end: str, tile: int = TILE, counts: dict[str, Column] | None = None) -> DataFrame:
     """(keys, start, end, depth): the runs of equal depth above 0 of half-open intervals, by an event sweep.
 
-    Events are dealt by tile once; sums and next positions come from one sort there, and what crosses a
-    tile from one row for each tile.
+    With ``counts`` (name to a number from 0 up that an interval adds) such a sum each instead of ``depth``.
+    Events are dealt by tile once, to tasks by the number of intervals (``tasks``: a table or stored); sums and
+    next positions come from one sort there, and what crosses a tile from one row for each tile, which is broadcast: as many as the axis has Mb.
     """
+    counts = counts or {"depth": F.lit(1)}
     at = [*keys, "_tile"]
-    ends = intervals.where(F.col(start) < F.col(end)).select(*keys, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")), F.struct(F.col(end).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    dealt = ends.select(*keys, F.floor(F.col("e.pos") / tile).alias("_tile"), F.col("e.pos").alias("pos"), F.col("e.d").alias("d")).repartition(*at)
-    events = dealt.groupBy(*at, "pos").agg(F.sum("d").alias("d")).where("d <> 0")
+    begun = F.struct(F.col(start).alias("pos"), *(c.alias(n) for n, c in counts.items()))
+    ended = F.struct(F.col(end).alias("pos"), *((-c).alias(n) for n, c in counts.items()))
+    ends = intervals.where(F.col(start) < F.col(end)).select(*keys, F.explode(F.array(begun, ended)).alias("e"))
+    dealt = ends.select(*keys, F.floor(F.col("e.pos") / tile).alias("_tile"), "e.*").repartition(tasks(intervals), *at)
+    changed = reduce(Column.__or__, (F.col(n) != 0 for n in counts))
+    events = dealt.groupBy(*at, "pos").agg(*(F.sum(n).alias(n) for n in counts)).where(changed)
     within = W.partitionBy(*at).orderBy("pos")
-    swept = events.withColumns({"_own": F.sum("d").over(within.rowsBetween(W.unboundedPreceding, 0)), "_next": F.lead("pos").over(within)})
+    swept = events.withColumns({**{f"_own_{n}": F.sum(n).over(within.rowsBetween(W.unboundedPreceding, 0)) for n in counts}, "_next": F.lead("pos").over(within)}).drop(*counts)
     over = W.partitionBy(*keys).orderBy("_tile")
-    tiles = events.groupBy(*at).agg(F.sum("d").alias("_sum"), F.min("pos").alias("_first"))
-    tiles = tiles.select(*at, F.coalesce(F.sum("_sum").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lead("_first").over(over).alias("_after"))
-    summed = swept.join(tiles, at).withColumn("depth", F.col("_own") + F.col("_base"))
-    return summed.where("depth > 0").select(*keys, F.col("pos").alias("start"), F.coalesce("_next", "_after").alias("end"), F.col("depth").cast("long").alias("depth"))
+    before = over.rowsBetween(W.unboundedPreceding, -1)
+    tiles = events.groupBy(*at).agg(*(F.sum(n).alias(n) for n in counts), F.min("pos").alias("_first"))
+    tiles = tiles.select(*at, *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_base_{n}") for n in counts), F.lead("_first").over(over).alias("_after"))
+    summed = swept.join(F.broadcast(tiles), at).withColumns({n: (F.col(f"_own_{n}") + F.col(f"_base_{n}")).cast("long") for n in counts})
+    covered = reduce(Column.__or__, (F.col(n) > 0 for n in counts))
+    return summed.where(covered).select(*keys, F.col("pos").alias("start"), F.coalesce("_next", "_after").alias("end"), *counts)
 
 
 def binned(df: DataFrame, first: Column, last: Column, size: int, name: str = "_bin") -> DataFrame:

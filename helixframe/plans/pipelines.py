@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Params
 from ..functions.intervals import depth_at
 from ..functions.storage import stored
+from ..functions.tasks import tasks
 from ..operators import call, cluster, combine, consensus, extract, genotype, grid, qc, scan, text
 from ..sources import readers, writers
 
@@ -27,6 +28,11 @@ def reads_of(alignments: DataFrame, regions: DataFrame | None = None, p: Params
     return stored(used.select("aln_idx", "read_qname", "flag", "contig", "ref_start", "ref_end", "mapq", ends.alias("cigar"), "query_length", "qry_start", "qry_end", "sa", F.coalesce("hp", F.lit(0)).alias("hap"), F.col("ps").alias("phase_set"), "nm", "nm_rate", is_sa, "inline"))
 
 
+def spans_of(alignments: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Where usable alignments lie; stored, so that they are read once."""
+    return stored(scan.scan(alignments, p=p).select("contig", "ref_start", "ref_end"))
+
+
 def leads_of(reads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """All leads of ``reads_of``: inline, split and breakend ones. Each carries its read's tags, so nothing is joined."""
     strand = F.when(F.col("flag").bitwiseAND(16) == 0, "+").otherwise("-")
@@ -83,7 +89,7 @@ def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame |
     found = stored(cluster.greedy_clusters(leads, ["read_qname", "svlen"], p))
     known = stored(parts_of(found, p))
     counts = call.lead_counts(known, found.where("svlen is null"), PART, call.KEYS, p)
-    calls = call.candidates(known, PART, p).join(counts, PART)
+    calls = call.candidates(known, PART, p, tasks(known)).join(counts, PART)
     long_ins = (F.col("svtype") == "INS") & (F.col("svlen") >= p.long_ins_length)
     calls = calls.withColumns({
         "support": F.when(long_ins, F.col("support_all")).otherwise(F.col("support")),
@@ -140,7 +146,7 @@ def genotype_variants(alignments: DataFrame, contigs: DataFrame, variants: DataF
     targets = variants.withColumn("target_id", F.col("line_index"))
     mate = ["mate_contig"] * ("mate_contig" in targets.columns)
     near = combine.nearest(targets.select("target_id", "contig", "svtype", "pos", "svlen", *mate), calls.select("call_id", "contig", "svtype", "pos", "svlen", *mate), p)
-    depth = grid.with_coverage(variants.select(F.col("line_index").alias("call_id"), "contig", "svtype", "pos", "end"), grid.coverage(scan.scan(alignments, p=p)), p)
+    depth = grid.with_coverage(variants.select(F.col("line_index").alias("call_id"), "contig", "svtype", "pos", "end"), grid.coverage(spans_of(alignments, p)), p)
     depth = depth.select(F.col("call_id").alias("target_id"), F.greatest("cov_start", "cov_center", "cov_end").alias("depth"))
     found = near.select("target_id", "call_id").join(calls.select("call_id", "gt_a", "gt_b", "gq", "dr", "dv"), "call_id", "left").join(depth, "target_id", "left")
     zero = F.when(F.col("depth") > 0, 0).cast("int")
@@ -168,7 +174,7 @@ def combine_samples(candidates: DataFrame, block_coverage: DataFrame, samples: D
 def stored_sample(calls: DataFrame, alignments: DataFrame, path: str, sample_id: str, p: Params = DEFAULTS) -> None:
     """Writes the store of a sample: all its calls, failed ones too, and its binned depth."""
     kept = calls.select("call_id", *CANDIDATE, (F.col("filter") == "PASS").alias("passed"))
-    writers.write_sample(kept, grid.coverage_bins(grid.coverage(scan.scan(alignments, p=p)), p), path, sample_id, p=p)
+    writers.write_sample(kept, grid.coverage_bins(grid.coverage(spans_of(alignments, p)), p), path, sample_id, p=p)
 
 
 #: What a store keeps of a call.
