@@ -32,9 +32,11 @@ def hap_steps(alignments: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def hap_reference(alignments: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """(contig, bin, hap0, hap1, hap2): reads over every bin they span, the bin of their end left out. Runs become bins only after the sweep."""
-    each = hap_steps(alignments, p).withColumn("bin", F.explode(F.sequence("start", F.col("end") - p.bin_size, F.lit(p.bin_size).cast("long"))))
-    return each.groupBy("contig", "bin").agg(*(F.coalesce(F.sum(F.when(F.col("hap") == k, F.col("depth"))), F.lit(0).cast("long")).alias(f"hap{k}") for k in (0, 1, 2)))
+    """(contig, bin, hap0, hap1, hap2): reads over every bin they span, the bin of their end left out. One sweep counts all haplotypes; runs become bins only after it."""
+    hap = F.when(F.col("hap").isin(1, 2), F.col("hap")).otherwise(0)
+    spans = alignments.select("contig", hap.alias("hap"), bin_of("ref_start", p.bin_size).alias("a"), bin_of("ref_end", p.bin_size).alias("z"))
+    steps = depth_steps(spans, ["contig"], "a", "z", counts={f"hap{k}": (F.col("hap") == k).cast("int") for k in (0, 1, 2)})
+    return steps.select("contig", F.explode(F.sequence("start", F.col("end") - p.bin_size, F.lit(p.bin_size).cast("long"))).alias("bin"), "hap0", "hap1", "hap2")
 
 
 def coverage(alignments: DataFrame) -> DataFrame:
