@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Params
 from ..functions.intervals import islands, runs
 from ..functions.storage import forget, stored
+from ..functions.tasks import tasks
 from .grid import bin_of
 
 
@@ -53,97 +56,135 @@ def reach(leads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         forget(before, old, near)
 
 
+class Leads:
+    """Leads of known length, sorted, of the bins that have enough of them: starts and lengths as 8 bytes each, and what is known of each bin."""
+
+    def __init__(self, starts: np.ndarray, sizes: np.ndarray, repeat: np.ndarray, part: np.ndarray, p: Params):
+        """``part``: a number for each lead that changes from one part to the next."""
+        seeds = starts // p.bin_size * p.bin_size
+        first = np.flatnonzero(np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (part[1:] != part[:-1])]))
+        n = np.diff(np.append(first, len(starts)))
+        kept = n >= p.min_leads
+        self.seeds, self.parts, self.repeat = seeds[first][kept], part[first][kept], np.logical_or.reduceat(repeat, first)[kept]
+        self.edges = np.concatenate([[0], np.cumsum(n[kept])])
+        self.starts, self.sizes = (array("q", x[np.repeat(kept, n)].astype(np.int64).tobytes()) for x in (starts, sizes))
+
+
 class Run:
-    """A run of bins being merged."""
+    """A run of bins being merged; ``rows`` are places in ``leads``."""
 
-    def __init__(self, seed: int, size: int, rows: list, long_rows: list, repeat: bool):
-        self.start, self.end, self.rows, self.long_rows, self.repeat = seed, seed + size, rows, long_rows, repeat
-        self.measure()
+    __slots__ = ("start", "end", "rows", "bins", "repeat", "mean", "deviation")
 
-    def measure(self) -> None:
+    def __init__(self, leads: Leads, at: int, p: Params):
+        self.start = int(leads.seeds[at])
+        self.end, self.bins, self.repeat = self.start + p.bin_size, range(at, at + 1), bool(leads.repeat[at])
+        self.rows = range(int(leads.edges[at]), int(leads.edges[at + 1]))
+        self.measure(leads)
+
+    def measure(self, leads: Leads) -> None:
         """Mean length and deviation of starts over every step-th lead; the mean's divisor is at most 100."""
         n = min(len(self.rows), 100)
-        taken = self.rows[:: len(self.rows) // n] if n else []
-        self.mean = sum(r[1] for r in taken) / n if n else 0.0
-        mean = sum(r[0] for r in taken) / len(taken) if taken else 0.0
-        self.deviation = math.sqrt(sum((r[0] - mean) ** 2 for r in taken) / (len(taken) - 1)) if len(taken) > 1 else 0.0
+        taken = slice(self.rows.start, self.rows.stop, len(self.rows) // n)
+        starts = leads.starts[taken]
+        self.mean = sum(leads.sizes[taken]) / n
+        mean = sum(starts) / len(starts)
+        self.deviation = math.sqrt(sum((x - mean) ** 2 for x in starts) / (len(starts) - 1)) if len(starts) > 1 else 0.0
 
     def joins(self, other: Run, svtype: str, p: Params) -> bool:
         inner, outer = other.start - self.end, other.end - self.start
         by_repeat = (self.repeat or other.repeat) and outer <= min(p.repeat_h_max, (abs(self.mean) + abs(other.mean)) * p.repeat_h)
         return inner <= min(self.deviation, other.deviation) * p.merge_r or by_repeat or svtype == "BND" and inner <= p.merge_bnd
 
+    def take(self, other: Run, leads: Leads) -> None:
+        self.end, self.repeat = other.end, self.repeat or other.repeat
+        self.rows, self.bins = range(self.rows.start, other.rows.stop), range(self.bins.start, other.bins.stop)
+        self.measure(leads)
 
-def merged_runs(rows: list[tuple], svtype: str, p: Params, first_part: bool = True) -> list[Run]:
-    """rows: (ref_start, svlen or None, repeat, index) by ref_start. The runs after all merges, in order.
+
+def merged_bins(leads: Leads, bins: range, svtype: str, p: Params, first_part: bool) -> list[Run]:
+    """The runs of some bins after all merges, in order.
 
     A merge looks again at the pair before it, but never at the first pair of a contig: its first run
     absorbs one neighbour at most. Later parts of a contig have runs before them, so all pairs count.
     """
-    bins: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-    for row in rows:
-        bins[row[0] // p.bin_size * p.bin_size][row[1] is None].append(row)
-    runs = [Run(b, p.bin_size, known, long, any(r[2] for r in known)) for b, (known, long) in sorted(bins.items()) if len(known) >= p.min_leads]
-    floor, at = (1, 0) if first_part else (0, 0)
-    while at + 1 < len(runs):
-        a, b = runs[at], runs[at + 1]
-        if not a.joins(b, svtype, p):
+    floor, at, runs, built = int(first_part), 0, [], bins.start
+    while True:
+        while len(runs) < at + 2 and built < bins.stop:  # what lies ahead is one bin each
+            runs.append(Run(leads, built, p))
+            built += 1
+        if at + 1 >= len(runs):
+            return runs
+        if runs[at].joins(runs[at + 1], svtype, p):
+            runs[at].take(runs.pop(at + 1), leads)
+            at = max(at - 1, floor)
+        else:
             at += 1
-            continue
-        a.rows += b.rows
-        a.long_rows += b.long_rows
-        a.end, a.repeat = b.end, a.repeat or b.repeat
-        a.measure()
-        del runs[at + 1]
-        at = max(at - 1, floor)
-    return runs
+
+
+def merged_runs(rows: list[tuple], svtype: str, p: Params, first_part: bool = True) -> list[Run]:
+    """``merged_bins`` of rows: (ref_start, svlen or None, repeat, index) by ref_start."""
+    known = [r for r in rows if r[1] is not None]
+    if not known:
+        return []
+    leads = Leads(*(np.array([r[i] for r in known]) for i in range(3)), np.zeros(len(known), int), p)
+    return merged_bins(leads, range(len(leads.seeds)), svtype, p, first_part)
 
 
 def greedy_clusters(leads: DataFrame, order: list[str], p: Params = DEFAULTS, split: bool = True) -> DataFrame:
-    """``leads`` (with a boolean ``repeat``) of all clusters of the greedy merge, with ``cluster`` (its first seed) and ``cluster_end``.
+    """``leads`` (with a boolean ``repeat``; a table or stored) of all clusters of the greedy merge, with ``cluster`` (its first seed) and ``cluster_end``.
 
-    Exact: its order matters, so it runs in Python, part by part (``reach``), or contig by contig. Rows
-    arrive sorted by part, so a task holds one part at a time, however many it has.
+    Exact: its order matters, so it runs in Python, part by part (``reach``), or contig by contig. Parts
+    arrive sorted, with starts and lengths alone, and a task holds one part at a time, 16 bytes a lead. It
+    tells the cluster of each bin, and leads meet that in a join.
     """
     keys = ["contig", "svtype"]
     found = leads.withColumn("seed", bin_of("ref_start", p.bin_size))
     parts = reach(found, p) if split else found.select(*keys, "seed", F.lit(0).cast("long").alias("part")).distinct()
     first = parts.groupBy(*keys).agg(F.min("part").alias("first_part"))
-    found = found.join(parts.join(first, keys), [*keys, "seed"])
-    schema = leads.withColumns({"cluster": F.lit(0).cast("long"), "cluster_end": F.lit(0).cast("long")}).schema
-
-    def clustered(rows: pd.DataFrame) -> pd.DataFrame:
-        """Whole parts, sorted."""
-        part, contig, svtype = (rows[c].to_numpy() for c in ("part", "contig", "svtype"))
-        edge = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (contig[1:] != contig[:-1]) | (svtype[1:] != svtype[:-1]), [True]]))
-        is_first = (part == rows["first_part"].to_numpy()).tolist()
-        tuples = list(zip(rows["ref_start"].tolist(), [None if pd.isna(x) else int(x) for x in rows["svlen"]], rows["repeat"].tolist(), range(len(rows))))
-        at, start, end = [], [], []
-        for a, b in zip(edge.tolist(), edge[1:].tolist()):
-            for c in merged_runs(tuples[a:b], svtype[a], p, is_first[a]):
-                for r in (*c.rows, *c.long_rows):
-                    at.append(r[3])
-                    start.append(c.start)
-                    end.append(c.end)
-        return rows.iloc[at].assign(cluster=start, cluster_end=end)[schema.names]
+    known = found.where("svlen is not null").select(*dict.fromkeys([*keys, "seed", "ref_start", "svlen", "repeat", *order]))
+    known = known.join(parts.join(F.broadcast(first), keys), [*keys, "seed"])
+
+    def clustered(pieces: list[tuple]) -> pa.RecordBatch:
+        """(contig, svtype, seed, cluster, cluster_end) of whole parts."""
+        starts, sizes, repeat, new = (np.concatenate([x[i] for x in pieces]) for i in range(4))
+        named = [k for x in pieces for k in x[4]]
+        held = Leads(starts, sizes, repeat, np.cumsum(new) - 1, p)
+        del starts, sizes, repeat, new
+        cluster, end = held.seeds.copy(), held.seeds + p.bin_size
+        edges = np.flatnonzero(np.diff(held.parts, prepend=-1, append=-1)) if len(held.seeds) else np.zeros(1, int)
+        several = np.flatnonzero(np.diff(edges) > 1)
+        for a, b in zip(edges[several].tolist(), edges[several + 1].tolist()):
+            _, svtype, is_first = named[held.parts[a]]
+            for r in merged_bins(held, range(a, b), svtype, p, is_first):
+                if len(r.bins) > 1:
+                    cluster[r.bins.start : r.bins.stop], end[r.bins.start : r.bins.stop] = r.start, r.end
+        contig, svtype = (pa.array([named[i][k] for i in held.parts.tolist()], pa.string()) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([contig, svtype, *(pa.array(x, pa.int64()) for x in (held.seeds, cluster, end))], ["contig", "svtype", "seed", "cluster", "cluster_end"])
 
     def run(batches):
-        held: list[pd.DataFrame] = []
-        for rows in batches:
-            if not len(rows):
+        last, pieces = None, []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            last = rows[[*keys, "part"]].iloc[-1]
-            open_ = ((rows["part"] == last["part"]) & (rows["contig"] == last["contig"]) & (rows["svtype"] == last["svtype"])).to_numpy()
-            done = rows[~open_]
-            if len(done) or held and not held[-1][[*keys, "part"]].iloc[-1].equals(last):
-                yield clustered(pd.concat([*held, done], ignore_index=True))
-                held = []
-            held.append(rows[open_])
-        if held:
-            yield clustered(pd.concat(held, ignore_index=True))
-
-    dealt = found.repartition(*(F.col(c) for c in (*keys, "part")))
-    return dealt.sortWithinPartitions(*keys, "part", "ref_start", *(F.col(c).asc_nulls_last() for c in order)).mapInPandas(run, schema)
+            contig, svtype, part, head, starts, sizes, repeat = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            new = np.concatenate([[(contig[0], svtype[0], part[0]) != last], (part[1:] != part[:-1]) | (contig[1:] != contig[:-1]) | (svtype[1:] != svtype[:-1])])
+            last = contig[-1], svtype[-1], part[-1]
+            begun = np.flatnonzero(new)
+            named = [(contig[i], svtype[i], bool(part[i] == head[i])) for i in begun.tolist()]
+            if len(begun):
+                cut = begun[-1]
+                if pieces or cut:
+                    yield clustered([*pieces, (starts[:cut], sizes[:cut], repeat[:cut], new[:cut], named[:-1])])
+                pieces = [(starts[cut:], sizes[cut:], repeat[cut:], new[cut:], named[-1:])]
+            else:
+                pieces.append((starts, sizes, repeat, new, []))
+        if pieces:
+            yield clustered(pieces)
+
+    dealt = known.repartition(tasks(leads), *keys, "part").sortWithinPartitions(*keys, "part", "ref_start", *(F.col(c).asc_nulls_last() for c in order))
+    sent = dealt.select(*keys, "part", "first_part", F.col("ref_start").cast("long"), F.col("svlen").cast("long"), F.coalesce("repeat", F.lit(False)).alias("repeat"))
+    named = sent.mapInArrow(run, "contig string, svtype string, seed long, cluster long, cluster_end long")
+    return found.join(named, [*keys, "seed"]).select(*leads.columns, "cluster", "cluster_end")
 
 
 def merged_fragments(leads: DataFrame, keys: list[str], p: Params = DEFAULTS, carried: tuple[str, ...] = ()) -> DataFrame:
