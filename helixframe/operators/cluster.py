@@ -193,7 +193,8 @@ def merged_fragments(leads: DataFrame, keys: list[str], p: Params = DEFAULTS, ca
     Neighbours (by ref_start) are one event if both their reference and read distances, to the start
     or the end of the one before, are below the limit, on one strand; within repeats always.
     """
-    over = W.partitionBy(*keys, "read_qname").orderBy("ref_start", "qry_start", "qry_end", "svlen")
+    # what decides comes last, so that pieces at one place do not depend on the order of rows
+    over = W.partitionBy(*keys, "read_qname").orderBy("ref_start", "qry_start", "qry_end", "svlen", "strand", "ref_end", "repeat")
     x = leads.withColumns({f"_{c}": F.lag(c).over(over) for c in ("ref_start", "ref_end", "qry_start", "qry_end", "strand")})
     close = lambda c: (F.abs(F.col(f"{c}_start") - F.col(f"_{c}_end")) < p.merge_inner) | (F.abs(F.col(f"{c}_start") - F.col(f"_{c}_start")) < p.merge_inner)
     same = F.col("repeat") | (close("ref") & close("qry") & (F.col("strand") == F.col("_strand")))
