@@ -18,22 +18,23 @@ from .tasks import tasks
 TILE = 1_000_000
 
 
-def neighbours(df: DataFrame, keys: list[str], pos: str, tile: int = TILE) -> DataFrame:
-    """``prev`` and ``next``: the positions (distinct within the keys) before and after each row's."""
-    df = df.withColumn("_tile", F.floor(F.col(pos) / tile))
-    ends = df.groupBy(*keys, "_tile").agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
-    over = W.partitionBy(*keys).orderBy("_tile")
-    ends = ends.select(*keys, "_tile", F.lag("_last").over(over).alias("_before"), F.lead("_first").over(over).alias("_after"))
-    within = W.partitionBy(*keys, "_tile").orderBy(pos)
-    df = df.withColumns({"_prev": F.lag(pos).over(within), "_next": F.lead(pos).over(within)})
-    df = df.join(ends, [*keys, "_tile"])
-    return df.withColumns({"prev": F.coalesce("_prev", "_before"), "next": F.coalesce("_next", "_after")}).drop("_tile", "_prev", "_next", "_before", "_after")
-
-
 def islands(df: DataFrame, keys: list[str], pos: str, width: int, gap: Column, tile: int = TILE) -> DataFrame:
-    """``island``: the first position of the row's run of positions whose distance, less ``width``, is ``gap`` at most."""
-    near = neighbours(df, keys, pos, tile)
-    return runs(near, keys, pos, F.col("prev").isNull() | (F.col(pos) - F.col("prev") - width > gap), tile).drop("prev", "next")
+    """``island``: the first position of the row's run of positions whose distance, less ``width``, is ``gap`` (of the keys) at most. Positions may repeat.
+
+    Rows are dealt by tile once and sorted once; a ``df`` that has ``_tile`` is dealt by it (and by keys) already.
+    """
+    at = [*keys, "_tile"]
+    within = W.partitionBy(*at).orderBy(pos)
+    x = df if "_tile" in df.columns else df.withColumn("_tile", F.floor(F.col(pos) / tile))
+    x = x.withColumn("_prev", F.lag(pos).over(within)).withColumn("_start", F.when(F.col(pos) - F.col("_prev") - width > gap, F.col(pos))).drop("_prev")
+    x = x.withColumn("_own", F.max("_start").over(within.rowsBetween(W.unboundedPreceding, 0)))
+    ends = x.groupBy(*at).agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"), F.max("_start").alias("_inner"))
+    over = W.partitionBy(*keys).orderBy("_tile")
+    ends = ends.withColumn("_before", F.lag("_last").over(over))
+    ends = ends.withColumn("_head", F.when(F.col("_before").isNull() | (F.col("_first") - F.col("_before") - width > gap), F.col("_first")))
+    ends = ends.withColumn("_carried", F.max(F.coalesce("_inner", "_head")).over(over.rowsBetween(W.unboundedPreceding, -1)))
+    ends = ends.select(*at, F.coalesce("_head", "_carried").alias("_begun"))
+    return x.join(ends, at).withColumn("island", F.coalesce("_own", "_begun")).select(*(c for c in df.columns if c != "_tile"), "island")
 
 
 def runs(df: DataFrame, keys: list[str], pos: str, starts: Column, tile: int = TILE) -> DataFrame:

@@ -5,27 +5,29 @@ from __future__ import annotations
 import math
 from array import array
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
-from ..functions.intervals import islands, runs
+from ..functions.intervals import TILE, islands, runs
 from ..functions.storage import forget, stored
 from ..functions.tasks import tasks
 from .grid import bin_of
 
 
 def island_clusters(leads: DataFrame, gap: int = 0, p: Params = DEFAULTS) -> DataFrame:
-    """``leads`` in bins of enough leads, with ``cluster``: the seed of the first bin of the run of neighbouring bins."""
+    """``leads`` in bins of enough leads, with ``cluster``: the seed of the first bin of the run of neighbouring bins. Leads are dealt by tile once; bins are counted and joined to runs there."""
+    keys = ["contig", "svtype"]
     known = leads.where("svlen is not null").withColumn("seed", bin_of("ref_start", p.bin_size))
-    seeds = known.groupBy("contig", "svtype", "seed").agg(F.count("*").alias("_n")).where(F.col("_n") >= p.min_leads)
-    named = islands(seeds, ["contig", "svtype"], "seed", p.bin_size, F.lit(gap)).select("contig", "svtype", "seed", F.col("island").alias("cluster"))
-    return known.join(named, ["contig", "svtype", "seed"])
+    dealt = known.where(reduce(Column.__and__, (F.col(c).isNotNull() for c in (*keys, "seed")))).withColumn("_tile", F.floor(F.col("seed") / TILE)).repartition(*keys, "_tile")
+    held = dealt.withColumn("_n", F.count("*").over(W.partitionBy(*keys, "_tile", "seed"))).where(F.col("_n") >= p.min_leads).drop("_n")
+    return islands(held, keys, "seed", p.bin_size, F.lit(gap)).select(*keys, "seed", *(c for c in leads.columns if c not in {*keys, "seed"}), F.col("island").alias("cluster"))
 
 
 def reach(leads: DataFrame, p: Params = DEFAULTS) -> DataFrame:

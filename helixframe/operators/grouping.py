@@ -17,6 +17,7 @@ within half a buffer or ``combine_overlap`` of the last bin. A part without such
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,12 +26,15 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
 from ..functions.intervals import islands
+from ..functions.tasks import tasks
 from .edits import distance_within
 
 
 class Group:
     """Calls of several samples taken for one."""
 
+    __slots__ = ("name", "n", "pos", "size", "mate", "mate_contig", "samples", "alt")
+
     def __init__(self, row):
         self.name, self.n, self.pos, self.size, self.mate = row.call_id, 0, 0.0, 0.0, 0.0
         self.mate_contig, self.samples, self.alt = row.mate_contig, set(), getattr(row, "alt", None)
@@ -101,11 +105,20 @@ def grouped_rows(rows: list, n_samples: int, p: Params = DEFAULTS, one_per_sampl
     return [out[i] for i in range(len(rows))]
 
 
+def dealt(candidates: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """``candidates`` with ``block`` and ``mates``, dealt by contig, type and block. Stored or a table (``tasks``)."""
+    # buffers of other mates close no group that a breakend could still reach, unless groups close early
+    apart = F.lit(p.combine_overlap >= p.combine_bnd) & (F.col("svtype") == "BND")
+    x = candidates.withColumns({"mates": F.when(apart, F.coalesce("mate_contig", F.lit(""))).otherwise(""), "block": F.floor(F.col("pos") / p.block_size)})
+    return x.repartition(tasks(candidates), "contig", "svtype", "block")
+
+
 def buffers(candidates: DataFrame, n_samples: int, p: Params = DEFAULTS) -> DataFrame:
-    """(contig, svtype, bin, last_bin, filled) of every bin with calls: the last bin of its buffer, and how many of the buffer's have calls."""
+    """(contig, svtype, block, bin, last_bin, filled) of every bin with calls: the last bin of its buffer, and how many of the buffer's have calls."""
     least = max(25, n_samples // 2)
     keys = ["contig", "svtype", "block"]
-    bins = candidates.groupBy("contig", "svtype", F.floor(F.col("pos") / p.block_size).alias("block"), (F.floor(F.col("pos") / p.bin_size) * p.bin_size).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    x = candidates if "block" in candidates.columns else dealt(candidates, p)
+    bins = x.groupBy(*keys, (F.floor(F.col("pos") / p.bin_size) * p.bin_size).cast("long").alias("bin")).agg(F.count("mates").alias("n"))  # never null; so it reads what ``parts`` reads
     # a block's bins are at most block_size / bin_size
     listed = bins.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"))
 
@@ -119,38 +132,39 @@ def buffers(candidates: DataFrame, n_samples: int, p: Params = DEFAULTS) -> Data
     start = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<bin:bigint,no:int>>").alias("out"))
     each = listed.select(*keys, F.explode(F.aggregate("bins", start, step)["out"]).alias("b")).select(*keys, "b.bin", "b.no")
     ends = each.groupBy(*keys, "no").agg(F.max("bin").alias("last_bin"), F.count("*").alias("filled"), F.collect_list("bin").alias("bins"))
-    return ends.select("contig", "svtype", F.explode("bins").alias("bin"), "last_bin", "filled")
+    return ends.select(*keys, F.explode("bins").alias("bin"), "last_bin", "filled")
 
 
 def parts(candidates: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """``candidates`` with ``part``: the first position of a run without a gap wider than what calls of its type can bridge."""
-    keys = ["contig", "svtype", "mates"]
-    # buffers of other mates close no group that a breakend could still reach, unless groups close early
-    apart = F.lit(p.combine_overlap >= p.combine_bnd) & (F.col("svtype") == "BND")
-    x = candidates.withColumn("mates", F.when(apart, F.coalesce("mate_contig", F.lit(""))).otherwise(""))
+    """``candidates`` with ``block``, ``mates`` and ``part``: the first position of a run without a gap wider than what calls of its type can bridge."""
     widest = F.when(F.col("svtype") == "BND", p.combine_bnd).otherwise(p.combine_match_max)
-    runs = islands(x.select(*keys, "pos").distinct(), keys, "pos", 0, widest).select(*keys, "pos", F.col("island").alias("part"))
-    return x.join(runs, [*keys, "pos"])
+    x = candidates if "block" in candidates.columns else dealt(candidates, p)
+    found = islands(x.withColumn("_tile", F.col("block")), ["contig", "svtype", "mates"], "pos", 0, widest)
+    return found.withColumnRenamed("island", "part")
 
 
 def combined(candidates: DataFrame, n_samples: int, p: Params = DEFAULTS, one_per_sample: bool = False) -> DataFrame:
-    """``candidates`` (call_id, sample_id, contig, svtype, pos, svlen, support, mate_contig, mate_pos; alt if known) with ``group_id``, which names the group's first call."""
+    """``candidates`` (call_id, sample_id, contig, svtype, pos, svlen, support, mate_contig, mate_pos; alt if known; a table or stored) with ``group_id``, which names the group's first call."""
     names = candidates.columns
     at_bin = (F.floor(F.col("pos") / p.bin_size) * p.bin_size).cast("long")
-    placed = parts(candidates, p).withColumn("bin", at_bin).join(buffers(candidates, n_samples, p), ["contig", "svtype", "bin"])
+    x = dealt(candidates, p)
+    placed = parts(x, p).withColumn("bin", at_bin).join(buffers(x, n_samples, p), ["contig", "svtype", "block", "bin"])
     by = ["contig", "svtype", "mates", "part"]
     used = [*by, "last_bin", "filled", *(c for c in names if c not in by)]
     schema = candidates.withColumn("group_id", F.lit("").cast("string")).schema
+    asked = [c for c in used if c in {*by, "last_bin", "filled", "call_id", "sample_id", "pos", "svlen", "support", "mate_contig", "mate_pos", "alt"}]
+
+    def plain(values: pd.Series) -> list:
+        """Python's own numbers and strings; None for null."""
+        return [None if x != x else x for x in values.tolist()] if values.hasnans else values.tolist()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        Row = namedtuple("Row", asked)
         part, buffer, kept = None, None, Open()
         for rows in batches:
-            if not len(rows):
-                continue
-            clean = rows.astype(object).where(rows.notna(), None)
             found = []
-            for r in clean.itertuples(index=False):
-                key = (r.contig, r.svtype, r.mates, r.part)
+            for r in map(Row._make, zip(*(plain(rows[c]) for c in asked))):
+                key = r[:4]
                 if key != part:
                     part, buffer, kept = key, None, Open()
                 if buffer is not None and r.last_bin != buffer[0]:
@@ -159,5 +173,5 @@ def combined(candidates: DataFrame, n_samples: int, p: Params = DEFAULTS, one_pe
                 found.append(f"{r.contig}:{r.svtype}:{kept.take(r, p, one_per_sample)}")
             yield rows.assign(group_id=found)[schema.names]
 
-    dealt = placed.select(*used).repartition(*by)
-    return dealt.sortWithinPartitions(*by, "last_bin", F.desc("support"), "pos", "call_id").mapInPandas(run, schema)
+    sent = placed.select(*used).repartition(*by)
+    return sent.sortWithinPartitions(*by, "last_bin", F.desc("support"), "pos", "call_id").mapInPandas(run, schema)

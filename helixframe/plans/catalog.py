@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS as P
 from ..functions import stats
+from ..functions.storage import stored
 from ..functions.tasks import tasks
 from ..operators import call, cluster, combine, consensus, extract, genotype, grid, qc, scan, text
 from ..sources import readers
@@ -544,7 +545,7 @@ SAMPLE_CANDIDATES = f"{LEADS}"
 
 def sample_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of each sample: the center of its leads of a cluster."""
-    x = clustered(spark, d)
+    x = clustered(spark, d).repartition(*call.KEYS)  # one exchange for the distinct reads too
     x = x.groupBy("sample_id", *call.KEYS).agg(F.min("ref_start").alias("pos"), F.max("svlen").alias("svlen"), F.count_distinct("read_id").alias("support"), F.count_if(F.col("strand") == "+").alias("fwd"), F.count_if(F.col("strand") == "-").alias("rev"), F.min("lead_id").alias("call_id"))
     return x.withColumns({"mate_contig": F.when(F.col("svtype") == "BND", F.col("contig")), "mate_pos": F.when(F.col("svtype") == "BND", F.col("pos") + 5000)})
 
@@ -565,7 +566,7 @@ COVERAGE_SQL = "depths as (select l_suppkey % 4 as sample_id, l_returnflag as co
 
 
 def grouped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    members = sample_candidates(spark, d).withColumn("group_id", F.concat_ws(":", "contig", "svtype", "cluster"))
+    members = stored(sample_candidates(spark, d)).withColumn("group_id", F.concat_ws(":", "contig", "svtype", "cluster"))
     groups = members.groupBy("group_id", "contig").agg(F.avg("pos").alias("pos_mean"))
     return members, groups, leads(spark, d).select("sample_id").distinct()
 
@@ -615,7 +616,7 @@ GROUPS_SQL = SAMPLES_SQL.replace("with ", "with recursive ", 1) + """,
 @query("combine_groups", f"{GROUPS_SQL} select * from told")
 def combine_groups(spark, d):
     x = sample_candidates(spark, d).select("call_id", "sample_id", "contig", "svtype", "pos", "svlen", "support", "mate_contig", "mate_pos")
-    return combine.combined(x, 4)
+    return combine.combined(stored(x), 4)
 
 
 @query("majority_genotype", f"{WITH_CALLS}, c as (select contig || pos // 2000 as group_id, gt_a, gt_b, count(*) as n from calls where gt_a is not null group by all) select group_id, gt_a, gt_b from c qualify row_number() over (partition by group_id order by n desc, gt_a + gt_b desc, gt_b desc) = 1")
@@ -736,5 +737,5 @@ def entry_force(spark, d):
     from met join wide using (group_id) where abs(svlen) >= 45 or svtype = 'BND'""",
 )
 def entry_combine(spark, d):
-    members = sample_candidates(spark, d).withColumns({"end": F.col("pos"), "precise": F.lit(True), "gt_a": F.lit(0), "gt_b": F.lit(1), "passed": F.lit(True)})
+    members = stored(sample_candidates(spark, d)).withColumns({"end": F.col("pos"), "precise": F.lit(True), "gt_a": F.lit(0), "gt_b": F.lit(1), "passed": F.lit(True)})
     return rounded(pipelines.combine_samples(members, sample_coverage(spark, d), members.select("sample_id").distinct()), "stdev_pos", "stdev_len")

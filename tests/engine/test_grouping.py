@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.config import Params
 from helixframe.operators import combine, edits, grouping
+from helixframe.plans import catalog
 
 COLUMNS = "call_id long, sample_id int, contig string, svtype string, pos long, svlen long, support long, mate_contig string, mate_pos long"
 Row = namedtuple("Row", [x.split()[0] for x in COLUMNS.split(", ")])
@@ -139,3 +140,12 @@ def test_columns(spark):
             continue
         d, mean = plain(r["a"], r["b"]), (len(r["a"]) + len(r["b"])) / 2
         assert r["d"] == (d if d <= r["n"] else None) and r["same"] == (mean > 0 and (mean - d) / mean > 0.7)
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet")
+
+
+def test_candidates_are_made_once(spark):
+    """What groups them reads them stored; made anew in each step, they would read the table each time."""
+    assert scans(catalog.combine_groups(spark, "/root/testdata/sf0.001")) == 0
