@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
 from ..functions.intervals import binned
+from ..functions.storage import stored
 from . import edits
 from .grouping import combined  # noqa: F401
 
@@ -130,14 +131,21 @@ def group_calls(members: DataFrame, block_coverage: DataFrame, samples: DataFram
     Samples without a member are 0/0 if deep enough there, else unknown: a bit of the bin's bitmap, of the
     bins that have a group; a group is one row all along.
     """
-    index = sample_index(samples)
+    index = stored(sample_index(samples))
     n = index.count()
     alt = ["alt"] * ("alt" in members.columns)
     first = F.min(F.struct((-F.col("support")).alias("s"), "call_id", "pos", "end", "svlen", *alt)).alias("first")
-    x = members.groupBy("group_id", "contig", "svtype").agg(
+    order = F.struct((F.col("gt_a") + F.col("gt_b")).alias("alleles"), "gt_a", "gt_b")
+    # members are dealt and sorted once; the first of a sample's speaks for the sample
+    keys = ["group_id", "contig", "svtype"]
+    own, at = W.partitionBy(*keys, "idx"), ["support", "fwd", "rev", "precise"]
+    dealt = members.join(F.broadcast(index), "sample_id", "left").select(*keys, "idx", "call_id", "pos", "end", "svlen", *alt, *at, "gt_a", "gt_b", "passed").repartition(*keys)
+    told = dealt.withColumns({"_g": F.max(order).over(own), "_passed": F.max(F.coalesce("passed", F.lit(False))).over(own), "_nth": F.row_number().over(own.orderBy("idx"))})
+    one = (F.col("_nth") == 1) & F.col("idx").isNotNull()
+    x = told.groupBy(*keys).agg(
         first,
-        F.count_distinct("sample_id").alias("samples"),
-        F.count_distinct(F.when(F.col("passed"), F.col("sample_id"))).alias("passing"),
+        F.count_if(one).alias("samples"),
+        F.count_if(one & F.col("_passed")).alias("passing"),
         F.bround(F.avg("support")).cast("long").alias("support"),
         F.sum("fwd").alias("fwd"),
         F.sum("rev").alias("rev"),
@@ -145,20 +153,18 @@ def group_calls(members: DataFrame, block_coverage: DataFrame, samples: DataFram
         F.coalesce(F.stddev_samp("pos"), F.lit(0.0)).alias("stdev_pos"),
         F.coalesce(F.stddev_samp(F.abs("svlen")), F.lit(0.0)).alias("stdev_len"),
         F.avg("pos").alias("pos_mean"),
+        F.collect_list(F.when(one, F.struct("idx", F.col("_g.gt_a").cast("int").alias("gt_a"), F.col("_g.gt_b").cast("int").alias("gt_b")))).alias("own"),
     )
     x = x.where((F.col("passing") > 0) & (F.col("passing") / n >= high_share) | (F.col("samples") / n >= min_share) & (F.col("samples") >= 2))
-    x = x.where((F.col("passing") > 0) & ((F.abs("first.svlen") >= p.screen) | (F.col("svtype") == "BND"))).withColumn("cov_bin", coverage_key(p))
+    x = stored(x.where((F.col("passing") > 0) & ((F.abs("first.svlen") >= p.screen) | (F.col("svtype") == "BND"))).withColumn("cov_bin", coverage_key(p)))
     deep = deep_samples(block_coverage.join(x.select("contig", "cov_bin").distinct(), ["contig", "cov_bin"], "left_semi"), ["contig", "cov_bin"], index, p)
-    order = F.struct((F.col("gt_a") + F.col("gt_b")).alias("alleles"), "gt_a", "gt_b")
-    own = members.groupBy("group_id", "sample_id").agg(F.max(order).alias("g")).join(F.broadcast(index), "sample_id")
-    own = own.groupBy("group_id").agg(F.collect_list(F.struct("idx", F.col("g.gt_a").cast("int").alias("gt_a"), F.col("g.gt_b").cast("int").alias("gt_b"))).alias("own"))
 
     def absent(i: Column) -> Column:
         bit = F.call_function("shiftright", F.get("deep", F.floor(i / 64).cast("int")), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
         zero = F.when(bit, 0).cast("int")
         return F.struct(i.alias("idx"), zero.alias("gt_a"), zero.alias("gt_b"))
 
-    out = x.join(own, "group_id").join(deep, ["contig", "cov_bin"], "left").withColumn("cells", every_cell(F.col("own"), n, absent))
+    out = x.join(deep, ["contig", "cov_bin"], "left").withColumn("cells", every_cell(F.col("own"), n, absent))
     has = lambda c: F.coalesce((c["gt_a"] + c["gt_b"]) > 0, F.lit(False))
     ac = F.aggregate("cells", F.lit(0).cast("long"), lambda k, c: k + F.when(has(c), c["gt_a"] + c["gt_b"]).otherwise(0))
     gt = lambda c: F.concat(F.coalesce(c["gt_a"].cast("string"), F.lit(".")), F.lit("/"), F.coalesce(c["gt_b"].cast("string"), F.lit(".")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import intervals, stats
 from helixframe.functions.tasks import tasks
-from helixframe.operators import call, cluster, genotype, grid
+from helixframe.operators import call, cluster, combine, genotype, grid
 
 
 def plan(df, capsys):
@@ -64,3 +64,19 @@ def test_the_second_likelihood_is_not_lost_beside_the_best(spark):
     df = spark.createDataFrame([(23, 46)], "k long, n long").selectExpr("*", "'DEL' as svtype", "100L as svlen")
     row = genotype.genotyped(df, F.col("k"), F.col("n")).first()
     assert (row["gt_a"], row["gt_b"], row["gq"]) == (0, 1, 60)
+
+
+def test_islands_sort_once_and_take_repeated_positions(spark, capsys):
+    at = [("a", x) for x in (10, 10, 90, 400, 999_950, 1_000_020, 1_000_020, 3_000_000, 3_000_090)] + [("b", 5)]
+    df = spark.createDataFrame(at, "k string, x long")
+    got = sorted({(r["k"], r["x"], r["island"]) for r in intervals.islands(df, ["k"], "x", 0, F.lit(100)).collect()})
+    assert got == [("a", 10, 10), ("a", 90, 10), ("a", 400, 400), ("a", 999_950, 999_950), ("a", 1_000_020, 999_950), ("a", 3_000_000, 3_000_000), ("a", 3_000_090, 3_000_000), ("b", 5, 5)]
+    assert plan(intervals.islands(df, ["k"], "x", 0, F.lit(100)), capsys).count("Exchange ") <= 4
+
+
+def test_members_of_groups_are_dealt_once(spark, capsys):
+    rows = [(f"c{i}", i % 3, f"g{i // 2}", "a", "DEL", 100 * i, 100 * i, -60, 5, 1, 1, True, 0, 1, True) for i in range(12)]
+    members = spark.createDataFrame(rows, "call_id string, sample_id int, group_id string, contig string, svtype string, pos long, end long, svlen long, support long, fwd long, rev long, precise boolean, gt_a int, gt_b int, passed boolean")
+    depth = spark.createDataFrame([(0, "a", 0, 9)], "sample_id int, contig string, cov_bin long, depth long")
+    found = plan(combine.group_calls(members, depth, members.select("sample_id")), capsys)
+    assert "Expand" not in found and "Window" not in found  # groups are stored; members are not counted again
