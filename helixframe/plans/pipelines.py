@@ -156,8 +156,9 @@ def genotype_variants(alignments: DataFrame, contigs: DataFrame, variants: DataF
 
 def combine_samples(candidates: DataFrame, block_coverage: DataFrame, samples: DataFrame, p: Params = DEFAULTS, one_per_sample: bool = False, relabel: int | None = None) -> DataFrame:
     """One call for each group of candidates across samples; with the samples' columns of a record where candidates have gq, dr and dv."""
-    kept = combine.supported(candidates, p)
-    n = combine.sample_index(samples).count()
+    samples = stored(samples.select("sample_id").distinct())
+    kept = stored(combine.supported(candidates, p))
+    n = samples.count()
     members = stored(combine.combined(kept, n, p, one_per_sample))
     calls = combine.group_calls(members, block_coverage, samples, p)
     if not {"gq", "dr", "dv"} <= set(members.columns):

@@ -149,3 +149,8 @@ def scans(df):
 def test_candidates_are_made_once(spark):
     """What groups them reads them stored; made anew in each step, they would read the table each time."""
     assert scans(catalog.combine_groups(spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_samples_are_listed_once(spark):
+    """Only the depths are read from the table when calls are grouped; counting samples reads what is stored."""
+    assert scans(catalog.entry_combine(spark, "/root/testdata/sf0.001")) <= 1
