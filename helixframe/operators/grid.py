@@ -109,5 +109,6 @@ def in_repeats(seeds: DataFrame, repeats: DataFrame) -> DataFrame:
 
 def cap_sequences(leads: DataFrame, order: list[str], p: Params = DEFAULTS) -> DataFrame:
     """``seq`` of the first leads of a bin only: a bound of memory that belongs to the results."""
-    over = W.partitionBy("contig", "svtype", bin_of("ref_start", p.bin_size)).orderBy(*order)
+    seed = F.col("seed") if "seed" in leads.columns else bin_of("ref_start", p.bin_size)  # leads that were joined by their seed are dealt by it
+    over = W.partitionBy("contig", "svtype", seed).orderBy(*order)
     return leads.withColumn("_r", F.row_number().over(over)).withColumn("seq", F.when(F.col("_r") <= p.seqs_per_bin, F.col("seq"))).drop("_r")

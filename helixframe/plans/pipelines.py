@@ -81,12 +81,12 @@ def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame |
         steps = grid.masked(steps, grid.n_runs(reference, chunk))
     seeds = leads.withColumn("seed", grid.bin_of("ref_start", p.bin_size))
     if repeats is None:
-        leads = leads.withColumn("repeat", F.lit(False))
+        leads = seeds.withColumn("repeat", F.lit(False))
     else:
         hit = grid.in_repeats(seeds.select("contig", "seed").distinct(), repeats).withColumn("hit", F.lit(True))
-        leads = seeds.join(hit, ["contig", "seed"], "left").withColumn("repeat", F.coalesce("hit", F.lit(False))).drop("hit", "seed")
-    leads = stored(grid.cap_sequences(leads, ["aln_idx", "ref_start", "svlen"], p))
-    found = stored(cluster.greedy_clusters(leads, ["read_qname", "svlen"], p))
+        leads = stored(seeds.join(hit, ["contig", "seed"], "left").withColumn("repeat", F.coalesce("hit", F.lit(False))).drop("hit"))
+    # clusters hold whole bins, so sequences are capped where leads meet their bin's cluster: the same exchange
+    found = stored(grid.cap_sequences(cluster.greedy_clusters(leads, ["read_qname", "svlen"], p), ["aln_idx", "ref_start", "svlen"], p).drop("seed"))
     known = stored(parts_of(found, p))
     counts = call.lead_counts(known, found.where("svlen is null"), PART, call.KEYS, p)
     calls = call.candidates(known, PART, p, tasks(known)).join(counts, PART)

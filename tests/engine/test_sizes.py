@@ -1,10 +1,12 @@
 """What one task holds, and orders that leave nothing open."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.config import DEFAULTS
 from helixframe.functions import intervals, stats
 from helixframe.functions.tasks import tasks
 from helixframe.operators import call, cluster, combine, genotype, grid
@@ -80,3 +82,10 @@ def test_members_of_groups_are_dealt_once(spark, capsys):
     depth = spark.createDataFrame([(0, "a", 0, 9)], "sample_id int, contig string, cov_bin long, depth long")
     found = plan(combine.group_calls(members, depth, members.select("sample_id")), capsys)
     assert "Expand" not in found and "Window" not in found  # groups are stored; members are not counted again
+
+
+def test_sequences_are_capped_where_their_bin_is(spark, capsys):
+    rows = [(i, "a", "INS", 10 * i, 10 * i // 100 * 100, "ACGT") for i in range(60)]
+    df = spark.createDataFrame(rows, "aln_idx long, contig string, svtype string, ref_start long, seed long, seq string")
+    found = grid.cap_sequences(df.repartition(8, "contig", "svtype", "seed"), ["aln_idx"], replace(DEFAULTS, seqs_per_bin=4))
+    assert plan(found, capsys).count("Exchange ") == 1 and found.where("seq is not null").count() == 24
