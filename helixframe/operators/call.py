@@ -55,15 +55,26 @@ def lead_counts(leads: DataFrame, long_leads: DataFrame, keys: list[str], own: l
     parts = leads.select(*keys).distinct()
     more = long_leads.select(*own, "read_qname", "is_sa").join(parts, own).select(*keys, "read_qname", "is_sa", F.lit(True).alias("long"))
     known = ~F.col("long")
-    return each.unionByName(more, allowMissingColumns=True).groupBy(*keys).agg(
-        F.count_distinct("read_qname").alias("support_all"),
-        F.count_distinct(F.when(F.col("long"), F.col("read_qname"))).alias("support_long"),
-        F.count_if(known & F.col("split")).alias("support_split"),
-        F.count_if(known).alias("n_leads"),
-        F.count_if("is_sa").alias("sa_count"),
-        F.avg(F.col("is_sa").cast("int")).alias("sa_share"),
-        F.avg("nm").alias("nm"),
-        F.count_if(known & F.coalesce("near", F.lit(False))).alias("edge_reads"),
+    # a row a read first: distinct reads would copy every lead once for each such count
+    reads = each.unionByName(more, allowMissingColumns=True).groupBy(*keys, "read_qname").agg(
+        F.max("long").alias("_long"),
+        F.count_if(known & F.col("split")).alias("_split"),
+        F.count_if(known).alias("_n"),
+        F.count_if("is_sa").alias("_sa"),
+        F.count("is_sa").alias("_told"),
+        F.sum("nm").alias("_nm"),
+        F.count("nm").alias("_rated"),
+        F.count_if(known & F.coalesce("near", F.lit(False))).alias("_near"),
+    )
+    return reads.groupBy(*keys).agg(
+        F.count("read_qname").alias("support_all"),
+        F.count_if(F.col("_long") & F.col("read_qname").isNotNull()).alias("support_long"),
+        F.sum("_split").alias("support_split"),
+        F.sum("_n").alias("n_leads"),
+        F.sum("_sa").alias("sa_count"),
+        F.try_divide(F.sum("_sa"), F.sum("_told")).alias("sa_share"),
+        F.try_divide(F.sum("_nm"), F.sum("_rated")).alias("nm"),
+        F.sum("_near").alias("edge_reads"),
     )
 
 

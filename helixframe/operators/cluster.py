@@ -8,7 +8,6 @@ from collections import defaultdict
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,7 +17,7 @@ from ..config import DEFAULTS, Params
 from ..functions.intervals import TILE, islands, runs
 from ..functions.storage import forget, stored
 from ..functions.tasks import tasks
-from .grid import bin_of
+from .grid import bin_of, in_repeats
 
 
 def island_clusters(leads: DataFrame, gap: int = 0, p: Params = DEFAULTS) -> DataFrame:
@@ -40,7 +39,9 @@ def reach(leads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """
     keys = ["contig", "svtype"]
     known = leads.where("svlen is not null").groupBy(*keys, bin_of("ref_start", p.bin_size).alias("seed")).agg(F.count("*").alias("n"))
-    seeds = stored(islands(known.where(F.col("n") >= p.min_leads).drop("n"), keys, "seed", p.bin_size, F.lit(max(p.repeat_h_max, p.merge_bnd))))
+    known = stored(known.where(F.col("n") >= p.min_leads).drop("n"))  # islands reads it twice; leads are counted once
+    seeds = stored(islands(known, keys, "seed", p.bin_size, F.lit(max(p.repeat_h_max, p.merge_bnd))))
+    forget(known)
     named = seeds.withColumnRenamed("island", "part")
     parts = stored(named.groupBy(*keys, "part").agg((F.max("seed") + p.bin_size).alias("end")))
     over = W.partitionBy(*keys).orderBy("part")  # a row for each part, not for each lead
@@ -132,9 +133,12 @@ def merged_runs(rows: list[tuple], svtype: str, p: Params, first_part: bool = Tr
     return merged_bins(leads, range(len(leads.seeds)), svtype, p, first_part)
 
 
-def greedy_clusters(leads: DataFrame, order: list[str], p: Params = DEFAULTS, split: bool = True) -> DataFrame:
+def greedy_clusters(leads: DataFrame, order: list[str], p: Params = DEFAULTS, split: bool = True, repeats: DataFrame | None = None) -> DataFrame:
     """``leads`` (with a boolean ``repeat``; a table or stored) of all clusters of the greedy merge, with ``cluster`` (its first seed) and ``cluster_end``.
 
+    With ``repeats`` (contig, start, end) a lead's ``repeat`` is that of its bin, and leads need none: bins alone
+    meet the repeats, and leads get it with their cluster.
+
     Exact: its order matters, so it runs in Python, part by part (``reach``), or contig by contig. Parts
     arrive sorted, with starts and lengths alone, and a task holds one part at a time, 16 bytes a lead. It
     tells the cluster of each bin, and leads meet that in a join.
@@ -143,11 +147,15 @@ def greedy_clusters(leads: DataFrame, order: list[str], p: Params = DEFAULTS, sp
     found = leads.withColumn("seed", bin_of("ref_start", p.bin_size))
     parts = reach(found, p) if split else found.select(*keys, "seed", F.lit(0).cast("long").alias("part")).distinct()
     first = parts.groupBy(*keys).agg(F.min("part").alias("first_part"))
-    known = found.where("svlen is not null").select(*dict.fromkeys([*keys, "seed", "ref_start", "svlen", "repeat", *order]))
+    own = ["repeat"] if repeats is None else []
+    if repeats is not None:
+        hit = in_repeats(parts.select("contig", "seed").distinct(), repeats).withColumn("hit", F.lit(True))
+        parts = stored(parts.join(hit, ["contig", "seed"], "left").withColumn("repeat", F.coalesce("hit", F.lit(False))).drop("hit"))
+    known = found.where("svlen is not null").select(*dict.fromkeys([*keys, "seed", "ref_start", "svlen", *own, *order]))
     known = known.join(parts.join(F.broadcast(first), keys), [*keys, "seed"])
 
     def clustered(pieces: list[tuple]) -> pa.RecordBatch:
-        """(contig, svtype, seed, cluster, cluster_end) of whole parts."""
+        """(contig, svtype, seed, cluster, cluster_end, bin_repeat) of whole parts."""
         starts, sizes, repeat, new = (np.concatenate([x[i] for x in pieces]) for i in range(4))
         named = [k for x in pieces for k in x[4]]
         held = Leads(starts, sizes, repeat, np.cumsum(new) - 1, p)
@@ -161,7 +169,7 @@ def greedy_clusters(leads: DataFrame, order: list[str], p: Params = DEFAULTS, sp
                 if len(r.bins) > 1:
                     cluster[r.bins.start : r.bins.stop], end[r.bins.start : r.bins.stop] = r.start, r.end
         contig, svtype = (pa.array([named[i][k] for i in held.parts.tolist()], pa.string()) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([contig, svtype, *(pa.array(x, pa.int64()) for x in (held.seeds, cluster, end))], ["contig", "svtype", "seed", "cluster", "cluster_end"])
+        return pa.RecordBatch.from_arrays([contig, svtype, *(pa.array(x, pa.int64()) for x in (held.seeds, cluster, end)), pa.array(held.repeat.astype(bool), pa.bool_())], ["contig", "svtype", "seed", "cluster", "cluster_end", "bin_repeat"])
 
     def run(batches):
         last, pieces = None, []
@@ -185,8 +193,9 @@ def greedy_clusters(leads: DataFrame, order: list[str], p: Params = DEFAULTS, sp
 
     dealt = known.repartition(tasks(leads), *keys, "part").sortWithinPartitions(*keys, "part", "ref_start", *(F.col(c).asc_nulls_last() for c in order))
     sent = dealt.select(*keys, "part", "first_part", F.col("ref_start").cast("long"), F.col("svlen").cast("long"), F.coalesce("repeat", F.lit(False)).alias("repeat"))
-    named = sent.mapInArrow(run, "contig string, svtype string, seed long, cluster long, cluster_end long")
-    return found.join(named, [*keys, "seed"]).select(*leads.columns, "cluster", "cluster_end")
+    named = sent.mapInArrow(run, "contig string, svtype string, seed long, cluster long, cluster_end long, bin_repeat boolean")
+    more = [] if repeats is None else [F.col("bin_repeat").alias("repeat")]
+    return found.join(named, [*keys, "seed"]).select(*leads.columns, *more, "cluster", "cluster_end")
 
 
 def merged_fragments(leads: DataFrame, keys: list[str], p: Params = DEFAULTS, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -246,18 +255,24 @@ def length_parts(lengths: list[int], p: Params = DEFAULTS) -> list[int]:
 
 
 def split_by_length(leads: DataFrame, keys: list[str], p: Params = DEFAULTS) -> DataFrame:
-    """``length_key`` for the leads of each cluster. Only the distinct length bins of a cluster are gathered."""
-    size = p.resplit_bin
-    x = leads.withColumn("_bin", F.floor(F.abs("svlen") / size) * size)
-    bins = x.groupBy(*keys).agg(F.array_sort(F.collect_set("_bin")).alias("_bins"))
-    schema = bins.select(*keys).schema.add("_bin", "long").add("length_key", "long")
+    """``length_key`` for the leads of each cluster, as ``length_parts`` gives it, by windows over the cluster alone: no exchange where leads are dealt by it.
 
-    def run(batches):
-        for rows in batches:
-            out = [(*r[:-1], int(b), k) for r in rows[[*keys, "_bins"]].itertuples(index=False, name=None) for b, k in zip(r[-1], length_parts([int(b) for b in r[-1]], p))]
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return x.join(bins.mapInPandas(run, schema), [*keys, "_bin"]).drop("_bin")
+    What joins are chains of bins, each near enough to the one before; a chain is named by its last bin. Only
+    where a cluster is one chain does the walk's comparison with the last bin join early: the name is
+    then the first bin but the lowest that is near enough to the last.
+    """
+    size, own = p.resplit_bin, W.partitionBy(*keys)
+    over = own.orderBy("_bin")
+    limit = lambda x: F.greatest(F.lit(float(p.resplit_min)), F.col(x) * p.merge_len)
+    known = leads.where(reduce(Column.__and__, (F.col(c).isNotNull() for c in (*keys, "svlen"))))
+    x = known.withColumn("_bin", (F.floor(F.abs("svlen") / size) * size).cast("long")).withColumn("_before", F.lag("_bin").over(over))
+    begun = F.when(F.col("_before").isNull() | (F.col("_bin") - F.col("_before") > limit("_before")), F.col("_bin"))
+    x = x.withColumn("_chain", F.max(begun).over(over.rowsBetween(W.unboundedPreceding, 0)))
+    x = x.withColumns({"_low": F.min("_bin").over(own), "_high": F.max("_bin").over(own), "_top": F.max("_chain").over(own)})
+    x = x.withColumn("_name", F.min(F.when((F.col("_bin") > F.col("_low")) & (F.col("_high") - F.col("_bin") <= limit("_bin")), F.col("_bin"))).over(own))
+    x = x.withColumn("_last", F.max("_bin").over(W.partitionBy(*keys, "_chain")))
+    named = F.when(F.col("_top") == F.col("_low"), F.coalesce("_name", "_low")).otherwise(F.col("_last"))
+    return x.select(*leads.columns, named.alias("length_key"))
 
 
 def cluster_metrics(leads: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -17,8 +17,8 @@ from .scan import SECONDARY, SUPPLEMENTARY, cigar_ops, total
 READ_OPS, REF_OPS = "MI=XS", "MD=XN"
 
 
-def walked(least: int) -> Column:
-    """The I, D and S of at least ``least`` of ``cigar``: array of op, len, pos_read and pos_ref where each begins."""
+def walked(least: int, ops: Column | None = None) -> Column:
+    """The I, D and S of at least ``least`` of ``cigar`` (or of its ``ops``): array of op, len, pos_read and pos_ref where each begins."""
 
     def walk(acc, x):
         event = F.struct(x["op"].alias("op"), x["len"].alias("len"), acc["read"].alias("pos_read"), acc["ref"].alias("pos_ref"))
@@ -30,7 +30,7 @@ def walked(least: int) -> Column:
         )
 
     start = F.struct(F.lit(0).cast("long").alias("read"), F.col("ref_start").cast("long").alias("ref"), F.array().cast("array<struct<op:string,len:bigint,pos_read:bigint,pos_ref:bigint>>").alias("events"))
-    return F.aggregate(cigar_ops(F.col("cigar")), start, walk)["events"]
+    return F.aggregate(cigar_ops(F.col("cigar")) if ops is None else ops, start, walk)["events"]
 
 
 def cigar_events(alignments: DataFrame, least: int) -> DataFrame:
@@ -55,9 +55,9 @@ def _inline_fields(e: Column, p: Params, detect_large_ins: bool) -> list[Column]
     ]
 
 
-def inline_events(alignments: DataFrame, p: Params = DEFAULTS, detect_large_ins: bool = True) -> DataFrame:
+def inline_events(alignments: DataFrame, p: Params = DEFAULTS, detect_large_ins: bool = True, ops: Column | None = None) -> DataFrame:
     """``alignments`` with ``inline``: the leads within the CIGAR as an array, so that later steps need neither CIGAR nor bases."""
-    return alignments.withColumn("inline", F.transform(walked(p.screen), lambda e: F.struct(*_inline_fields(e, p, detect_large_ins))))
+    return alignments.withColumn("inline", F.transform(walked(p.screen, ops), lambda e: F.struct(*_inline_fields(e, p, detect_large_ins))))
 
 
 def inline_leads(alignments: DataFrame, p: Params = DEFAULTS, detect_large_ins: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -73,14 +73,15 @@ def inline_leads(alignments: DataFrame, p: Params = DEFAULTS, detect_large_ins:
 def sa_entries(alignments: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """A row for each well-formed entry of the SA tag: contig, position (from 0), strand, CIGAR numbers, mapq, nm; and what is ``carried`` of the read."""
     each = alignments.select("aln_idx", *carried, F.posexplode(F.filter(F.split("sa", ";"), lambda x: F.size(F.split(x, ",")) == 6)).alias("sa_no", "entry"))
-    f = F.split("entry", ",")
-    named = each.select("aln_idx", *carried, "sa_no", f[0].alias("contig"), (F.expr("try_cast(split(entry, ',')[1] as bigint)") - 1).alias("pos"), f[2].alias("strand"), f[3].alias("cigar"), F.expr("try_cast(split(entry, ',')[4] as int)").alias("mapq"), F.expr("try_cast(split(entry, ',')[5] as int)").alias("nm"))
-    return named.select("aln_idx", *carried, "sa_no", "contig", "pos", "strand", "mapq", "nm", *clip_spans(F.col("cigar"))).where("ref_span is not null and pos is not null")
+    # fields and operations are columns of their own: what is told from them would split and parse each time
+    f = F.col("_f")
+    fields = each.withColumn("_f", F.split("entry", ",")).withColumn("_ops", cigar_ops(f[3]))
+    told = fields.select("aln_idx", *carried, "sa_no", f[0].alias("contig"), (F.expr("try_cast(_f[1] as bigint)") - 1).alias("pos"), f[2].alias("strand"), F.expr("try_cast(_f[4] as int)").alias("mapq"), F.expr("try_cast(_f[5] as int)").alias("nm"), *clip_spans(F.col("_ops")))
+    return told.where("ref_span is not null and pos is not null")
 
 
-def clip_spans(cigar: Column) -> list[Column]:
-    """Clips at either end (S or H), and spans on reference and read; null for a CIGAR with other operations."""
-    ops = cigar_ops(cigar)
+def clip_spans(ops: Column) -> list[Column]:
+    """Clips at either end (S or H), and spans on reference and read, of ``cigar_ops``; null for a CIGAR with other operations."""
     clip = lambda x: F.when(x["op"].isin("S", "H"), x["len"]).otherwise(0)
     return [clip(F.get(ops, F.lit(0))).alias("clip_start"), F.when(F.size(ops) > 1, clip(F.element_at(ops, -1))).otherwise(0).alias("clip_end"), total(ops, "MDX=N").alias("ref_span"), total(ops, "MIX=").alias("read_span")]
 
@@ -145,7 +146,8 @@ def split_leads(alignments: DataFrame, p: Params = DEFAULTS, carried: tuple[str,
 def breakends(alignments: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """(aln_idx, contig, ref_start, mate_contig, mate_ref_start, is_first, is_reverse) from the first SA entry, if its strand differs."""
     strand = F.when(F.col("flag").bitwiseAND(16) != 0, "-").otherwise("+")
-    here = F.struct("contig", "ref_start", "ref_end", strand.alias("strand"), *clip_spans(F.col("cigar"))[:2])
+    here = F.struct("contig", "ref_start", "ref_end", strand.alias("strand"), *clip_spans(F.col("_ops"))[:2])
+    alignments = alignments.where("sa is not null").withColumn("_ops", cigar_ops(F.col("cigar")))
     sa = sa_entries(alignments.withColumn("_own", here), ("_own", *carried)).where("sa_no = 0")
     own = [F.col(f"_own.{c}").alias(c) for c in ("contig", "ref_start", "ref_end", "strand", "clip_start", "clip_end")]
     both = sa.select("aln_idx", *carried, *own, *(F.col(c).alias(f"m_{c}") for c in ("contig", "pos", "strand", "clip_start", "clip_end", "ref_span"))).where("strand <> m_strand")

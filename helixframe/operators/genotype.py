@@ -69,20 +69,21 @@ def genotyped(calls: DataFrame, k: Column, n: Column, p: Params = DEFAULTS, mosa
     )
 
 
-def phase_votes(leads: DataFrame, keys: list[str], order: str, p: Params = DEFAULTS) -> DataFrame:
-    """(keys, hp, hp_support, hp_filter, ps, ps_support, ps_filter, phase, haplotype): one vote for each read, that of its last lead."""
-    votes = leads.groupBy(*keys, "read_id").agg(F.max(F.struct(F.col(order), F.coalesce(F.col("hap").cast("string"), F.lit("NULL")).alias("hp"), F.coalesce(F.col("phase_set").cast("string"), F.lit("NULL")).alias("ps"))).alias("v"))
-
-    def majority(name: str) -> DataFrame:
-        counted = votes.groupBy(*keys, F.col(f"v.{name}").alias(name)).agg(F.count("*").alias("n"))
-        own = W.partitionBy(*keys)
-        ranked = counted.withColumns({"r": F.row_number().over(own.orderBy(F.desc("n"), F.desc(name))), "known": F.sum(F.when(F.col(name) != "NULL", F.col("n")).otherwise(0)).over(own)})
-        top = ranked.where("r = 1")
-        other = F.col("known") - F.when(F.col(name) != "NULL", F.col("n")).otherwise(0)
-        good = (F.col(name) != "NULL") & (F.try_divide(other, F.col("n") + other) < p.phase_conflict)
-        return top.select(*keys, name, F.col("n").alias(f"{name}_support"), F.when(good, "PASS").otherwise("FAIL").alias(f"{name}_filter"))
-
-    x = majority("hp").join(majority("ps"), keys)
+def phase_votes(leads: DataFrame, keys: list[str], order: str, p: Params = DEFAULTS, parts: int | None = None) -> DataFrame:
+    """(keys, hp, hp_support, hp_filter, ps, ps_support, ps_filter, phase, haplotype): one vote for each read, that of its last lead. Leads are dealt by ``keys`` once, to ``parts`` tasks; all else is done there."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NULL"))
+    mine = leads.select(*keys, "read_id", F.struct(F.col(order), told("hap").alias("hp"), told("phase_set").alias("ps")).alias("v"))
+    dealt = mine.repartition(parts, *keys) if parts else mine.repartition(*keys)
+    votes = dealt.groupBy(*keys, "read_id").agg(F.max("v").alias("v"))
+    cast = F.array(*(F.struct(F.lit(c).alias("of"), F.col(f"v.{c}").alias("name")) for c in ("hp", "ps")))
+    counted = votes.select(*keys, F.explode(cast).alias("c")).groupBy(*keys, "c.of", "c.name").agg(F.count("*").alias("n"))
+    own = W.partitionBy(*keys, "of")
+    ranked = counted.withColumns({"r": F.row_number().over(own.orderBy(F.desc("n"), F.desc("name"))), "known": F.sum(F.when(F.col("name") != "NULL", F.col("n")).otherwise(0)).over(own)})
+    other = F.col("known") - F.when(F.col("name") != "NULL", F.col("n")).otherwise(0)
+    good = (F.col("name") != "NULL") & (F.try_divide(other, F.col("n") + other) < p.phase_conflict)
+    top = ranked.where("r = 1").select(*keys, "of", F.struct("name", F.col("n").alias("support"), F.when(good, "PASS").otherwise("FAIL").alias("filter")).alias("top"))
+    x = top.groupBy(*keys).agg(*(F.max(F.when(F.col("of") == c, F.col("top"))).alias(f"_{c}") for c in ("hp", "ps")))
+    x = x.select(*keys, *(F.col(f"_{c}.{f}").alias(n) for c in ("hp", "ps") for f, n in (("name", c), ("support", f"{c}_support"), ("filter", f"{c}_filter"))))
     return x.withColumns({"phase": phase_text(F.col("hp_filter")), "haplotype": F.when((F.col("hp_filter") == "PASS") & F.col("hp").isin("1", "2"), F.col("hp"))})
 
 

@@ -39,9 +39,10 @@ def contig_catalog(alignments: DataFrame) -> DataFrame:
 
 def cigar_ops(cigar: Column) -> Column:
     """array<struct<len, op>> of a CIGAR string; null where it holds anything else."""
-    whole = F.regexp_replace(cigar, r"\d+[MIDNSHP=X]", "") == ""
-    ops = F.transform(F.regexp_extract_all(cigar, F.lit(r"([0-9]+[MIDNSHP=X])"), F.lit(1)), lambda x: F.struct(F.substring(x, 1, F.length(x) - 1).cast("long").alias("len"), F.right(x, F.lit(1)).alias("op")))
-    return F.when(whole, ops)
+    found = F.regexp_extract_all(cigar, F.lit(r"([0-9]+[MIDNSHP=X])"), F.lit(1))
+    op = lambda x: F.struct(F.substring(x, 1, F.length(x) - 1).cast("long").alias("len"), F.right(x, F.lit(1)).alias("op"))
+    once = F.transform(F.array(found), lambda f: F.when(F.array_join(f, "") == cigar, F.transform(f, op)))  # the pattern runs once for both uses
+    return F.get(once, F.lit(0))
 
 
 def total(ops: Column, codes: str, least: int = 0) -> Column:
@@ -49,9 +50,9 @@ def total(ops: Column, codes: str, least: int = 0) -> Column:
     return F.aggregate(ops, F.lit(0).cast("long"), lambda n, x: n + F.when(x["op"].isin(*codes) & (x["len"] > least), x["len"]).otherwise(0))
 
 
-def mismatch_rate(alignments: DataFrame) -> DataFrame:
-    """``nm_rate``: (NM - insertions - deletions of more than 10) / (aligned part of the read + 1); -1 without NM."""
-    ops = cigar_ops(F.col("cigar"))
+def mismatch_rate(alignments: DataFrame, ops: Column | None = None) -> DataFrame:
+    """``nm_rate``: (NM - insertions - deletions of more than 10) / (aligned part of the read + 1); -1 without NM. ``ops``: a column of ``cigar_ops``, where there is one."""
+    ops = cigar_ops(F.col("cigar")) if ops is None else ops
     rate = (F.col("nm") - total(ops, "I", 10) - total(ops, "D", 10)) / (F.col("qry_end") - F.col("qry_start") + 1)
     return alignments.withColumns({"insertions": total(ops, "I"), "deletions": total(ops, "D"), "nm_rate": F.coalesce(rate, F.lit(-1.0))})
 

@@ -20,8 +20,9 @@ PART = [*call.KEYS, "sub"]
 
 def reads_of(alignments: DataFrame, regions: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
     """Usable alignments in what calling needs of them: tags, mismatch rate, the leads within their CIGAR and, as ``cigar``, its first and last operation. Stored, so that alignments are read once."""
-    used = extract.inline_events(scan.mismatch_rate(scan.scan(alignments, regions, p)), p)
-    ops = scan.cigar_ops(F.col("cigar"))
+    ops = F.col("_ops")  # a column of its own: the CIGAR is parsed once for all that is told from it
+    parsed = scan.scan(alignments, regions, p).withColumn("_ops", scan.cigar_ops(F.col("cigar")))
+    used = extract.inline_events(scan.mismatch_rate(parsed, ops), p, ops=ops)
     told = lambda x: F.concat(x["len"].cast("string"), x["op"])
     ends = F.concat(told(F.get(ops, F.lit(0))), F.when(F.size(ops) > 1, told(F.element_at(ops, -1))).otherwise(""))
     is_sa = (F.col("flag").bitwiseAND(2048) != 0).alias("is_sa")
@@ -48,14 +49,14 @@ def leads_of(reads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def parts_of(found: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """The leads of known length of clusters, with ``sub``: fragments of one event on a read joined (INS, DEL), clusters split by length, breakends by mate."""
-    known = found.where("svlen is not null")
-    carried = tuple(c for c in known.columns if c not in {*call.KEYS, "read_qname", "ref_start", "svlen", "seq"})
-    whole = cluster.merged_fragments(known.where("svtype in ('INS', 'DEL')"), call.KEYS, p, carried)
-    sized = whole.unionByName(known.where("svtype not in ('INS', 'DEL', 'BND')"), allowMissingColumns=True)
-    sized = cluster.split_by_length(sized, call.KEYS, p).withColumn("sub", F.col("length_key").cast("string"))
-    mates = cluster.bnd_parts(known.where("svtype = 'BND'"), call.KEYS, p).withColumn("sub", F.concat_ws(":", "mate_contig", F.col("is_first").cast("string"), F.col("part").cast("string")))
-    return sized.unionByName(mates, allowMissingColumns=True)
+    """The leads of known length of clusters, with ``sub``: fragments of one event on a read joined (INS, DEL), clusters split by length, breakends by mate. ``found``: a table or stored; its clusters are dealt once, each step works on them there."""
+    carried = tuple(c for c in found.columns if c not in {*call.KEYS, "read_qname", "ref_start", "svlen", "seq"})
+    n = tasks(found)
+    of = lambda types: found.where(f"svlen is not null and svtype {types}").repartition(n, *call.KEYS)
+    whole = cluster.split_by_length(cluster.merged_fragments(of("in ('INS', 'DEL')"), call.KEYS, p, carried), call.KEYS, p)
+    sized = whole.unionByName(cluster.split_by_length(of("not in ('INS', 'DEL', 'BND')"), call.KEYS, p), allowMissingColumns=True)
+    mates = cluster.bnd_parts(of("= 'BND'"), call.KEYS, p).withColumn("sub", F.concat_ws(":", "mate_contig", F.col("is_first").cast("string"), F.col("part").cast("string")))
+    return sized.withColumn("sub", F.col("length_key").cast("string")).unionByName(mates, allowMissingColumns=True)
 
 
 def with_sequences(calls: DataFrame, leads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -81,15 +82,14 @@ def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame |
         steps = grid.masked(steps, grid.n_runs(reference, chunk))
     seeds = leads.withColumn("seed", grid.bin_of("ref_start", p.bin_size))
     if repeats is None:
-        leads = seeds.withColumn("repeat", F.lit(False))
-    else:
-        hit = grid.in_repeats(seeds.select("contig", "seed").distinct(), repeats).withColumn("hit", F.lit(True))
-        leads = stored(seeds.join(hit, ["contig", "seed"], "left").withColumn("repeat", F.coalesce("hit", F.lit(False))).drop("hit"))
+        seeds = seeds.withColumn("repeat", F.lit(False))
     # clusters hold whole bins, so sequences are capped where leads meet their bin's cluster: the same exchange
-    found = stored(grid.cap_sequences(cluster.greedy_clusters(leads, ["read_qname", "svlen"], p), ["aln_idx", "ref_start", "svlen"], p).drop("seed"))
+    clustered = cluster.greedy_clusters(seeds, ["read_qname", "svlen"], p, repeats=repeats)
+    found = stored(grid.cap_sequences(clustered, ["aln_idx", "ref_start", "svlen"], p).drop("seed"))
     known = stored(parts_of(found, p))
+    parts = tasks(known)
     counts = call.lead_counts(known, found.where("svlen is null"), PART, call.KEYS, p)
-    calls = call.candidates(known, PART, p, tasks(known)).join(counts, PART)
+    calls = call.candidates(known, PART, p, parts).join(counts, PART)
     long_ins = (F.col("svtype") == "INS") & (F.col("svlen") >= p.long_ins_length)
     calls = calls.withColumns({
         "support": F.when(long_ins, F.col("support_all")).otherwise(F.col("support")),
@@ -107,20 +107,21 @@ def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame |
     first = qc.first_filter(qc.call_rules(p, mosaic) + ([] if mosaic else qc.support_rule(p)))
     k, n = genotype.observed(p)
     calls = genotype.genotyped(calls.withColumn("filter", first), k, n, p, mosaic)
-    votes = genotype.phase_votes(known, PART, "aln_idx", p).select(*PART, "hp", "ps", "hp_support", "ps_support", "hp_filter", "ps_filter", "phase", "haplotype")
+    votes = genotype.phase_votes(known, PART, "aln_idx", p, parts).select(*PART, "hp", "ps", "hp_support", "ps_support", "hp_filter", "ps_filter", "phase", "haplotype")
     calls = genotype.hom_alt_phased(calls.join(votes, PART, "left"))
     regional = scan.regional_rate(reads)
     calls = calls.join(F.broadcast(regional), "contig", "left")
     after = F.when(F.col("gt_filter") != "PASS", F.col("gt_filter")).otherwise(qc.first_filter(qc.genotype_rules(p, mosaic, nm=measure_nm)))
     calls = calls.withColumn("filter", F.when(F.col("filter") != "PASS", F.col("filter")).otherwise(after))
-    calls = genotype.phase_rescued(with_haplotypes(stored(calls), leads, reads, p))
+    calls = genotype.phase_rescued(with_haplotypes(stored(calls), found, reads, p))
     calls = calls if keep_failed else calls.where("filter = 'PASS'")
     return calls.orderBy("contig_idx", "pos", "id")
 
 
-def with_haplotypes(calls: DataFrame, leads: DataFrame, reads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """hap_support and hap_reads: leads and reads of the call's haplotype in the first bin of its cluster; null without a passing one."""
-    own = grid.lead_bins(leads, p).select("contig", "svtype", F.col("bin").alias("cluster"), F.col("hap1").alias("own1"), F.col("hap2").alias("own2"))
+def with_haplotypes(calls: DataFrame, found: DataFrame, reads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """hap_support and hap_reads: leads and reads of the call's haplotype in the first bin of its cluster (``found``: the leads of clusters); null without a passing one."""
+    first = found.where(grid.bin_of("ref_start", p.bin_size) == F.col("cluster"))
+    own = grid.lead_bins(first, p).select("contig", "svtype", F.col("bin").alias("cluster"), F.col("hap1").alias("own1"), F.col("hap2").alias("own2"))
     hap = F.when(F.col("hp_filter") == "PASS", F.when(F.col("hp").isin("1", "2"), F.col("hp").cast("int")))
     x = calls.withColumn("hap", hap).join(own, call.KEYS, "left").withColumn("hap_support", F.when(F.col("hap") == 1, F.col("own1")).when(F.col("hap") == 2, F.col("own2"))).drop("own1", "own2")
     points = x.where("hap is not null").select("contig", "hap", "cluster").distinct()

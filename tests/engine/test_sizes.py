@@ -10,6 +10,7 @@ from helixframe.config import DEFAULTS
 from helixframe.functions import intervals, stats
 from helixframe.functions.tasks import tasks
 from helixframe.operators import call, cluster, combine, genotype, grid
+from helixframe.plans import pipelines
 
 
 def plan(df, capsys):
@@ -89,3 +90,61 @@ def test_sequences_are_capped_where_their_bin_is(spark, capsys):
     df = spark.createDataFrame(rows, "aln_idx long, contig string, svtype string, ref_start long, seed long, seq string")
     found = grid.cap_sequences(df.repartition(8, "contig", "svtype", "seed"), ["aln_idx"], replace(DEFAULTS, seqs_per_bin=4))
     assert plan(found, capsys).count("Exchange ") == 1 and found.where("seq is not null").count() == 24
+
+
+def test_a_cigar_is_parsed_once(spark, monkeypatch):
+    monkeypatch.setattr(pipelines, "stored", lambda df: df)
+    row = [(0, "r", 0, "c", 5, 2_000, 60, "1000M50I945M", 1_995, 0, 1_995, None, 1, None, 3, None)]
+    df = spark.createDataFrame(row, "aln_idx long, read_qname string, flag int, contig string, ref_start long, ref_end long, mapq int, cigar string, query_length int, qry_start int, qry_end int, sa string, hp int, ps string, nm int, seq string")
+    found = pipelines.reads_of(df)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert [(r["cigar"], len(r["inline"])) for r in found.collect()] == [("1000M945M", 1)]
+
+
+def leads_of_clusters(spark, n=80):
+    rng = random.Random(7)
+    rows = [(i, "a", rng.choice(["INS", "DEL", "DUP"]), 1_000 * rng.randint(0, 5), f"r{rng.randint(0, 9)}", rng.randint(0, 900), rng.randint(50, 700)) for i in range(n)]
+    df = spark.createDataFrame(rows, "aln_idx long, contig string, svtype string, cluster long, read_qname string, ref_start long, svlen long")
+    more = {"ref_end": F.col("ref_start"), "qry_start": F.col("ref_start"), "qry_end": F.col("ref_start"), "strand": F.lit("+"), "repeat": F.lit(False), "seq": F.lit(None).cast("string"), "mate_contig": F.lit(None).cast("string")}
+    return df.withColumns(more | {"mate_ref_start": F.lit(None).cast("long"), "is_first": F.lit(None).cast("boolean"), "is_sa": F.col("aln_idx") % 2 == 0, "nm": F.lit(0.5), "source": F.lit("INLINE"), "read_len": F.lit(9_000), "hap": F.lit(1), "phase_set": F.lit("7"), "read_id": F.xxhash64("read_qname")})
+
+
+def test_clusters_are_dealt_once_to_their_parts(spark, capsys):
+    found = plan(pipelines.parts_of(leads_of_clusters(spark)), capsys)
+    assert found.count("Exchange ") == 3 and "MapInPandas" not in found  # one for each kind of lead
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lengths_split_in_windows_as_in_the_walk(spark, seed):
+    rng = random.Random(seed)
+    groups = [[rng.choice([40, 200, 1_000]) + rng.randint(0, rng.choice([60, 300])) * rng.choice([1, -1]) for _ in range(rng.randint(1, 9))] for _ in range(60)]
+    df = spark.createDataFrame([(g, i, x) for g, xs in enumerate(groups) for i, x in enumerate(xs)], "cluster int, i int, svlen long")
+    got = {(r["cluster"], r["i"]): r["length_key"] for r in cluster.split_by_length(df, ["cluster"]).collect()}
+    assert got == {(g, i): k for g, xs in enumerate(groups) for i, k in enumerate(cluster.length_parts(xs))}
+
+
+def test_votes_and_counts_are_dealt_once(spark, capsys):
+    df = leads_of_clusters(spark).withColumn("sub", (F.col("aln_idx") % 2).cast("string"))
+    assert plan(genotype.phase_votes(df, pipelines.PART, "aln_idx", parts=5), capsys).count("Exchange ") == 1
+    counts = call.lead_counts(df, df.where("aln_idx < 9"), pipelines.PART, call.KEYS)
+    assert "Expand" not in plan(counts, capsys)
+    rows = df.select(*pipelines.PART, "read_qname", "aln_idx").collect()
+    want = {}
+    for part in {tuple(r[c] for c in pipelines.PART) for r in rows}:
+        mine = [r for r in rows if tuple(r[c] for c in pipelines.PART) == part]
+        long = [r for r in rows if r["aln_idx"] < 9 and tuple(r[c] for c in call.KEYS) == part[:3]]  # they belong to each part of their cluster
+        want[part] = (len({r["read_qname"] for r in mine + long}), len({r["read_qname"] for r in long}), len(mine), sum(r["aln_idx"] % 2 == 0 for r in mine + long))
+    assert want == {tuple(r[c] for c in pipelines.PART): (r["support_all"], r["support_long"], r["n_leads"], r["sa_count"]) for r in counts.collect()}
+
+
+def test_bins_alone_meet_the_repeats(spark):
+    rng = random.Random(3)
+    rows = [(i, "a", "DEL", 10 + rng.choice([100, 250, 400, 5_000, 9_000]) * rng.randint(0, 12), -rng.randint(50, 400)) for i in range(150)]
+    df = spark.createDataFrame(rows, "lead_id long, contig string, svtype string, ref_start long, svlen long")
+    repeats = spark.createDataFrame([("a", 150, 900), ("a", 4_000, 9_500)], "contig string, start long, end long")
+    seeds = df.withColumn("seed", grid.bin_of("ref_start"))
+    hit = grid.in_repeats(seeds.select("contig", "seed").distinct(), repeats).withColumn("repeat", F.lit(True))
+    marked = seeds.join(hit, ["contig", "seed"], "left").na.fill(False, ["repeat"]).drop("seed")
+    kept = ["lead_id", "repeat", "cluster", "cluster_end"]
+    want, got = ({tuple(r) for r in x.select(*kept).collect()} for x in (cluster.greedy_clusters(marked, ["lead_id"]), cluster.greedy_clusters(df, ["lead_id"], repeats=repeats)))
+    assert got == want and {r[1] for r in got} == {True, False}
