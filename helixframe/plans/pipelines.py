@@ -72,12 +72,15 @@ def with_sequences(calls: DataFrame, leads: DataFrame, p: Params = DEFAULTS) ->
     return calls.join(consensus.with_consensus(held).select(*PART, F.col("alt").alias("_seq")), PART, "left").withColumn("alt", F.coalesce("_seq", "alt")).drop("_seq")
 
 
-def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame | None = None, repeats: DataFrame | None = None, p: Params = DEFAULTS, keep_failed: bool = False, mosaic: bool = False, measure_nm: bool = False, reference: DataFrame | None = None, chunk: int = 0) -> DataFrame:
-    """Genotyped, filtered calls of a sample, in order of contig, position and id. With ``reference`` (contig, chunk_no, seq in chunks of ``chunk``) there is no depth where it has N."""
+def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame | None = None, repeats: DataFrame | None = None, p: Params = DEFAULTS, keep_failed: bool = False, mosaic: bool = False, measure_nm: bool = False, reference: DataFrame | None = None, chunk: int = 0, reads: DataFrame | None = None, steps: DataFrame | None = None, ordered: bool = True) -> DataFrame:
+    """Genotyped, filtered calls of a sample, in order of contig, position and id, unless not ``ordered``. With ``reference`` (contig, chunk_no, seq in chunks of ``chunk``) there is no depth where it has N.
+
+    ``reads`` and ``steps``: ``reads_of`` the alignments and their coverage, where the caller has them.
+    """
     p = p.for_mosaic() if mosaic else p
-    reads = reads_of(alignments, regions, p)
+    reads = reads_of(alignments, regions, p) if reads is None else reads
     leads = stored(leads_of(reads, p))
-    steps = grid.coverage(reads)
+    steps = grid.coverage(reads) if steps is None else steps
     if reference is not None:
         steps = grid.masked(steps, grid.n_runs(reference, chunk))
     seeds = leads.withColumn("seed", grid.bin_of("ref_start", p.bin_size))
@@ -115,7 +118,7 @@ def call_sample(alignments: DataFrame, contigs: DataFrame, regions: DataFrame |
     calls = calls.withColumn("filter", F.when(F.col("filter") != "PASS", F.col("filter")).otherwise(after))
     calls = genotype.phase_rescued(with_haplotypes(stored(calls), found, reads, p))
     calls = calls if keep_failed else calls.where("filter = 'PASS'")
-    return calls.orderBy("contig_idx", "pos", "id")
+    return calls.orderBy("contig_idx", "pos", "id") if ordered else calls
 
 
 def with_haplotypes(calls: DataFrame, found: DataFrame, reads: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -143,11 +146,13 @@ def vcf_of(calls: DataFrame, reference: DataFrame | None = None, chunk: int = 0,
 
 def genotype_variants(alignments: DataFrame, contigs: DataFrame, variants: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """(line_index, gt_a, gt_b, gq, dr, dv, call_id): the nearest call's genotype for every variant of ``variants`` (of ``readers.vcf``); else 0/0 where covered."""
-    calls = stored(call_sample(alignments, contigs, p=p, keep_failed=True))
+    reads = reads_of(alignments, p=p)
+    steps = stored(grid.coverage(reads))  # for the calls and for the variants
+    calls = stored(call_sample(alignments, contigs, p=p, keep_failed=True, reads=reads, steps=steps, ordered=False))
     targets = variants.withColumn("target_id", F.col("line_index"))
     mate = ["mate_contig"] * ("mate_contig" in targets.columns)
     near = combine.nearest(targets.select("target_id", "contig", "svtype", "pos", "svlen", *mate), calls.select("call_id", "contig", "svtype", "pos", "svlen", *mate), p)
-    depth = grid.with_coverage(variants.select(F.col("line_index").alias("call_id"), "contig", "svtype", "pos", "end"), grid.coverage(spans_of(alignments, p)), p)
+    depth = grid.with_coverage(variants.select(F.col("line_index").alias("call_id"), "contig", "svtype", "pos", "end"), steps, p)
     depth = depth.select(F.col("call_id").alias("target_id"), F.greatest("cov_start", "cov_center", "cov_end").alias("depth"))
     found = near.select("target_id", "call_id").join(calls.select("call_id", "gt_a", "gt_b", "gq", "dr", "dv"), "call_id", "left").join(depth, "target_id", "left")
     zero = F.when(F.col("depth") > 0, 0).cast("int")

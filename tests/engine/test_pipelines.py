@@ -160,6 +160,13 @@ def test_genotypes_of_given_variants(spark, tables):
     assert got[3]["gt_a"] is None and got[3]["dr"] == 0
 
 
+def test_forced_genotyping_scans_alignments_once(spark, tables, monkeypatch):
+    scanned, real = [], scan.scan
+    monkeypatch.setattr(scan, "scan", lambda *a, **k: scanned.append(a) or real(*a, **k))
+    given = spark.createDataFrame([(0, "chr1", "DEL", 50_010, -290, 50_300)], "line_index long, contig string, svtype string, pos long, svlen long, end long")
+    assert pipelines.genotype_variants(*tables, given).count() == 1 and len(scanned) == 1
+
+
 def test_samples_are_combined(spark):
     rows = [(s, f"{s}:{i}", "chr1", t, 10_000 * (i + 1) + 7 * s, 10_000 * (i + 1) + 7 * s + 100, 100 + s, 5, 3, 2, True, 0, 1, True, None, None) for s in range(3) for i, t in enumerate(("INS", "DEL", "DUP")) if (s, i) != (2, 1)]
     x = spark.createDataFrame(rows, "sample_id int, call_id string, contig string, svtype string, pos long, end long, svlen long, support long, fwd long, rev long, precise boolean, gt_a int, gt_b int, passed boolean, mate_contig string, mate_pos long")
